@@ -36,3 +36,44 @@ _reg("region_ranking", OK.SQL, lambda s, d: kpis.group_ranking(C(s, d), "region"
 _reg("segment_ranking", OK.SQL, lambda s, d: kpis.group_ranking(C(s, d), "customer_segment"))
 _reg("region_estimates", OK.SQL, lambda s, d: kpis.group_estimates(C(s, d), "region"))
 _reg("segment_estimates", OK.SQL, lambda s, d: kpis.group_estimates(C(s, d), "customer_segment"))
+
+# --- cohorts ------------------------------------------------------------------
+from ebbtide.checks import oracle_ops as OO  # noqa: E402
+from ebbtide.operators import cohorts, nba, priority, whatif  # noqa: E402
+
+_TEXT_COLS = ["customer_id", "region", "customer_segment", "plantype", "estimated_clv", "churn_risk_score"]
+_reg("filter_dimensions", OO.SQL, lambda s, d: cohorts.filter_dimensions(C(s, d), OO.FILTERS, 100))
+_reg("filter_total_matches", OO.SQL, lambda s, d: cohorts.filter_total_matches(C(s, d), OO.FILTERS, 100))
+_reg("high_risk_cohort", OO.SQL, lambda s, d: cohorts.high_risk_cohort(C(s, d)))
+_reg("high_value_cohort", OO.SQL, lambda s, d: cohorts.high_value_cohort(C(s, d)))
+_reg("churned_cohort", OO.SQL, lambda s, d: cohorts.churned_cohort(C(s, d)))
+_reg("segment_contains", OO.SQL, lambda s, d: cohorts.segment_contains(C(s, d), "asia"))
+_reg("at_risk_auto_threshold", OO.SQL, lambda s, d: cohorts.at_risk_auto_threshold(C(s, d), OO.AUTO_THRESHOLDS))
+_reg("row_text_search", OO.SQL, lambda s, d: cohorts.row_text_search(C(s, d), "machinery").select(*_TEXT_COLS))
+_reg("risk_band_counts", OO.SQL, lambda s, d: cohorts.risk_band_counts(C(s, d)))
+
+# --- next best action ---------------------------------------------------------
+_reg("nba_recommendations", OO.SQL, lambda s, d: nba.nba_recommendations(C(s, d)))
+_reg("nba_dimension_join", OO.SQL, lambda s, d: nba.nba_with_attributes(C(s, d)))
+_reg("nba_input_validation", OO.SQL, lambda s, d: nba.nba_input_validation(C(s, d)))
+_reg("strategy_summary", OO.SQL, lambda s, d: nba.strategy_summary(C(s, d)))
+_reg("nba_batch_totals", OO.SQL, lambda s, d: nba.nba_batch_totals(C(s, d)))
+_reg("nba_portfolio_triage", OO.SQL, lambda s, d: nba.nba_portfolio_triage(C(s, d)))
+
+# --- priority list and top-k --------------------------------------------------
+_reg("minmax_normalize", OO.SQL, lambda s, d: priority.minmax_normalize(C(s, d)))
+_reg("priority_score", OO.SQL, lambda s, d: priority.priority_score(C(s, d)))
+_reg("priority_list", OO.SQL, lambda s, d: priority.priority_list(C(s, d), 500))
+_reg("priority_class_counts", OO.SQL, lambda s, d: priority.priority_class_counts(C(s, d), 500))
+_reg("priority_list_filtered", OO.SQL, lambda s, d: priority.priority_list_filtered(C(s, d), 20, segment="auto"))
+_reg("top_high_risk", OO.SQL, lambda s, d: priority.top_high_risk(C(s, d), "europe"))
+_reg("sorted_page", OO.SQL, lambda s, d: priority.sorted_page(C(s, d), "estimated_clv"))
+_reg("risk_clv_scatter", OO.SQL, lambda s, d: priority.risk_clv_scatter(C(s, d)))
+_reg("segment_strategy", OO.SQL, lambda s, d: priority.segment_strategy(C(s, d), 50))
+_reg("action_truncate", OO.SQL, lambda s, d: priority.action_truncate(C(s, d), 10))
+
+# --- what-if --------------------------------------------------------------------
+_reg("campaign_whatif", OO.SQL, lambda s, d: whatif.campaign_whatif(C(s, d)))
+_reg("campaign_grid", OO.SQL, lambda s, d: whatif.campaign_grid(C(s, d), whatif.default_grid()))
+_reg("campaign_verdict", OO.SQL, lambda s, d: whatif.campaign_verdict(C(s, d), whatif.default_grid()))
+_reg("budget_projection", OO.SQL, lambda s, d: whatif.budget_projection(C(s, d)))
