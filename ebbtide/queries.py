@@ -77,3 +77,34 @@ _reg("campaign_whatif", OO.SQL, lambda s, d: whatif.campaign_whatif(C(s, d)))
 _reg("campaign_grid", OO.SQL, lambda s, d: whatif.campaign_grid(C(s, d), whatif.default_grid()))
 _reg("campaign_verdict", OO.SQL, lambda s, d: whatif.campaign_verdict(C(s, d), whatif.default_grid()))
 _reg("budget_projection", OO.SQL, lambda s, d: whatif.budget_projection(C(s, d)))
+
+# --- profiling and domain tagging ---------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ebbtide.checks import oracle_profile as OP  # noqa: E402
+from ebbtide.operators import profile  # noqa: E402
+from ebbtide.sources.tables import table as T  # noqa: E402
+
+
+def _event_keys(s, d):
+    return T(s, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+
+
+def _labelled_docs(s, d):
+    docs = T(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(T(s, d, "labels"), "doc_id", "left").select(*OP.QI_COLS)
+
+
+_reg("column_catalog", OP.SQL, lambda s, d: profile.column_catalog(C(s, d)))
+_reg("missing_report", OP.SQL, lambda s, d: profile.missing_report(C(s, d)))
+_reg("top_missing", OP.SQL, lambda s, d: profile.top_missing(C(s, d)))
+_reg("duplicate_rows", OP.SQL, lambda s, d: profile.duplicate_rows(_event_keys(s, d)))
+_reg("numeric_profile", OP.SQL, lambda s, d: profile.numeric_profile(T(s, d, "lineitem"), OP.LINEITEM_NUM))
+_reg("categorical_profile", OP.SQL, lambda s, d: profile.categorical_profile(C(s, d), OP.CAT_COLS))
+_reg("iqr_outliers", OP.SQL, lambda s, d: profile.iqr_outliers(T(s, d, "events"), OP.EVENT_NUM))
+_reg("quality_issues", OP.SQL, lambda s, d: profile.quality_issues(_labelled_docs(s, d)))
+_reg("data_quality_rating", OP.SQL, lambda s, d: profile.data_quality_rating(C(s, d)))
+_reg("dataset_profile_summary", OP.SQL, lambda s, d: profile.dataset_profile_summary(C(s, d)))
+_reg("domain_tag_documents", OP.SQL, lambda s, d: profile.domain_tag_documents(T(s, d, "documents")))
+_reg("domain_metadata_join", OP.SQL,
+     lambda s, d: profile.domain_metadata_join(profile.domain_tag_documents(T(s, d, "documents"))))
