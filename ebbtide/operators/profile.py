@@ -318,13 +318,9 @@ def domain_scores(text: Column) -> list[Column]:
             for _, kws in DOMAIN_RULES]
 
 
-def domain_of(text: Column) -> Column:
-    """Arg-max domain (earlier rule wins ties); General Analytics when nothing matches.
-
-    A pure projection: the keyword tests are generated expressions, so tagging
-    runs inside the scan's codegen stage with no shuffle or join.
-    """
-    scores = domain_scores(text)
+def domain_pick(scores: list[Column]) -> Column:
+    """Arg-max domain over per-domain score columns (earlier rule wins ties);
+    General Analytics when nothing matches."""
     best = F.greatest(*scores)
     e = F.when(best <= 0, F.lit(GENERAL_DOMAIN))
     for (name, _), s in zip(DOMAIN_RULES, scores):
@@ -332,11 +328,22 @@ def domain_of(text: Column) -> Column:
     return e
 
 
+def with_domain(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """Adds ``domain`` and ``score`` (hits of the winning domain).
+
+    Two projections: the keyword scores first (each is then referenced
+    several times by the arg-max, so Catalyst keeps them in their own
+    projection instead of repeating the keyword tests), then the arg-max.
+    Pure projections: tagging runs in the scan's codegen stage, no shuffle.
+    """
+    stage = df.select(*keep, *[s.alias(f"_d{i}") for i, s in enumerate(domain_scores(text))])
+    cols = [F.col(f"_d{i}") for i in range(len(DOMAIN_RULES))]
+    return stage.select(*keep, domain_pick(cols).alias("domain"), F.greatest(*cols).alias("score"))
+
+
 def domain_tag_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Tag every document by its whole text (not a prefix)."""
-    scores = domain_scores(F.col(text_col))
-    return docs.select(F.col(id_col), domain_of(F.col(text_col)).alias("domain"),
-                       F.greatest(*scores).alias("score"))
+    return with_domain(docs, F.col(text_col), [id_col])
 
 
 def domain_tag_columns(catalog: DataFrame) -> DataFrame:
@@ -344,7 +351,7 @@ def domain_tag_columns(catalog: DataFrame) -> DataFrame:
     its space-joined column names (lower-case substring match)."""
     names = catalog.groupBy("dataset").agg(
         F.concat_ws(" ", F.array_sort(F.collect_list(F.lower("column")))).alias("names"))
-    return names.select("dataset", domain_of(F.col("names")).alias("domain"))
+    return with_domain(names, F.col("names"), ["dataset"]).drop("score")
 
 
 def domain_metadata(spark) -> DataFrame:

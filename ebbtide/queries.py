@@ -108,3 +108,20 @@ _reg("dataset_profile_summary", OP.SQL, lambda s, d: profile.dataset_profile_sum
 _reg("domain_tag_documents", OP.SQL, lambda s, d: profile.domain_tag_documents(T(s, d, "documents")))
 _reg("domain_metadata_join", OP.SQL,
      lambda s, d: profile.domain_metadata_join(profile.domain_tag_documents(T(s, d, "documents"))))
+
+# --- question tagging ------------------------------------------------------------
+from ebbtide.checks import oracle_tagging as OT  # noqa: E402
+from ebbtide.operators import tagging  # noqa: E402
+
+
+def _msgs(s, d):
+    return tagging.user_messages(T(s, d, "conversations"))
+
+
+_reg("intent_keyword_tag", OT.SQL, lambda s, d: tagging.tag_intents_keyword(_msgs(s, d)))
+_reg("entity_tag", OT.SQL, lambda s, d: tagging.tag_entities(_msgs(s, d)))
+_reg("parameter_extract", OT.SQL, lambda s, d: tagging.extract_parameters(_msgs(s, d)))
+_reg("intent_regex_tag", OT.SQL, lambda s, d: tagging.tag_intents_regex(_msgs(s, d)))
+_reg("agent_route", OT.SQL, lambda s, d: tagging.route_agents(_msgs(s, d)))
+_reg("whatif_params_from_text", OT.SQL, lambda s, d: tagging.whatif_parameters(_msgs(s, d)))
+_reg("intent_counts", OT.SQL, lambda s, d: tagging.intent_counts(tagging.tag_intents_regex(_msgs(s, d))))
