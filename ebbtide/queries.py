@@ -125,3 +125,14 @@ _reg("intent_regex_tag", OT.SQL, lambda s, d: tagging.tag_intents_regex(_msgs(s,
 _reg("agent_route", OT.SQL, lambda s, d: tagging.route_agents(_msgs(s, d)))
 _reg("whatif_params_from_text", OT.SQL, lambda s, d: tagging.whatif_parameters(_msgs(s, d)))
 _reg("intent_counts", OT.SQL, lambda s, d: tagging.intent_counts(tagging.tag_intents_regex(_msgs(s, d))))
+
+# --- report tables ------------------------------------------------------------------
+from ebbtide.checks import oracle_reports as OR  # noqa: E402
+from ebbtide.operators import reports  # noqa: E402
+
+_reg("report_scorecard", OR.SQL, lambda s, d: reports.report_scorecard(C(s, d)))
+_reg("report_segment_table", OR.SQL, lambda s, d: reports.report_segment_table(C(s, d)))
+_reg("report_region_table", OR.SQL, lambda s, d: reports.report_region_table(C(s, d)))
+_reg("report_financials", OR.SQL, lambda s, d: reports.report_financials(C(s, d)))
+_reg("report_priority_table", OR.SQL,
+     lambda s, d: reports.report_priority_table(C(s, d), 10, region=OR.REPORT_REGION))
