@@ -168,3 +168,26 @@ SQL["churn_drivers"] = with_enriched(
   UNION ALL SELECT 6, 'geographic_concentration', reg_k, reg_v, churn_pct, reg_k IS NOT NULL FROM m)""") + """
 SELECT *, fired AND coalesce(sum(CAST(fired AS INTEGER)) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS kept
 FROM d"""
+
+# --- F25: ad-hoc insights ---------------------------------------------------
+_PORT = f"""port AS (SELECT {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2)} AS churn_pct,
+  CAST(sum(CAST(churned AS DOUBLE)) AS DOUBLE) AS churned_total,
+  {R(f"coalesce({DSUM('CASE WHEN CAST(churned AS DOUBLE) = 1.0 THEN estimated_clv END', 2)}, 0.0::DOUBLE)", 2)} AS churned_clv
+  FROM enriched)"""
+
+
+def _adhoc_dim(dim: str, col: str) -> str:
+    return f"""SELECT '{dim}' AS dimension, '{col}' AS "column", rank, grp, churn_pct, n, groups FROM (
+  SELECT grp, churn_pct, n, row_number() OVER (ORDER BY churn_pct DESC, grp ASC) AS rank, count(*) OVER () AS groups
+  FROM (SELECT CAST({col} AS VARCHAR) AS grp, {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2)} AS churn_pct,
+        count(*) AS n FROM enriched WHERE {col} IS NOT NULL GROUP BY {col})) WHERE rank <= 5"""
+
+
+SQL["adhoc_insights"] = with_enriched(_PORT) + f"""
+SELECT d.*, p.churn_pct AS portfolio_churn_pct, p.churned_total, p.churned_clv
+FROM ({_adhoc_dim('region', 'region')} UNION ALL {_adhoc_dim('segment', 'customer_segment')}) d, port p"""
+
+SQL["adhoc_numeric_fallback"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", {R(f'avg(CAST({c} AS DOUBLE))', 4)} AS mean, {R(f'stddev_samp(CAST({c} AS DOUBLE))', 4)} AS std,
+  min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max FROM lineitem"""
+    for c in ("l_orderkey", "l_partkey", "l_suppkey"))

@@ -83,6 +83,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ebbtide.checks import oracle_profile as OP  # noqa: E402
 from ebbtide.operators import profile  # noqa: E402
+from ebbtide.functions.scalars import r  # noqa: E402
 from ebbtide.sources.tables import table as T  # noqa: E402
 
 
@@ -136,3 +137,35 @@ _reg("report_region_table", OR.SQL, lambda s, d: reports.report_region_table(C(s
 _reg("report_financials", OR.SQL, lambda s, d: reports.report_financials(C(s, d)))
 _reg("report_priority_table", OR.SQL,
      lambda s, d: reports.report_priority_table(C(s, d), 10, region=OR.REPORT_REGION))
+
+# --- ad-hoc insights on any table ---------------------------------------------------
+_reg("adhoc_insights", OK.SQL, lambda s, d: kpis.adhoc_insights(C(s, d)))
+_reg("adhoc_numeric_fallback", OK.SQL, lambda s, d: kpis.adhoc_numeric_fallback(T(s, d, "lineitem")))
+
+# --- churn-propensity ML --------------------------------------------------------------
+from ebbtide.checks import oracle_ml as OM  # noqa: E402
+from ebbtide.operators import ml  # noqa: E402
+
+
+def _models(s, d):
+    # LR + RF as in the source (its boosted model is optional); trained once per process
+    return ml.trained(C(s, d), ("churn", s.sparkContext.applicationId, d), include_gbt=False)
+
+
+def _risk_scored(s, d):
+    return C(s, d).select("churned", "churn_risk_score",
+                          (F.col("churn_risk_score") >= ml.PRED_CUT).cast("double").alias("prediction"))
+
+
+_reg("ml_feature_selection", OM.SQL, lambda s, d: ml.feature_selection(C(s, d)))
+_reg("stratified_split", OM.SQL, lambda s, d: ml.split_counts(C(s, d)))
+_reg("class_weights", OM.SQL, lambda s, d: ml.class_weights(C(s, d)))
+_reg("median_impute", OM.SQL, lambda s, d: ml.median_values(C(s, d), OM.ML_NUM))
+_reg("mode_impute", OM.SQL, lambda s, d: ml.mode_values(C(s, d), OM.ML_CAT_PREFERRED + OM.ML_CAT_OTHER))
+_reg("roc_auc_rank", OM.SQL,
+     lambda s, d: ml.roc_auc(C(s, d), "churn_risk_score", "churned").select(r(F.col("auc"), 6).alias("roc_auc")))
+_reg("classification_metrics", OM.SQL,
+     lambda s, d: ml.classification_metrics(_risk_scored(s, d), "churn_risk_score", "churned", "prediction"))
+_reg("ml_metrics", {}, lambda s, d: _models(s, d).metrics)
+_reg("feature_importance", {}, lambda s, d: _models(s, d).importances())
+_reg("score_customers", {}, lambda s, d: ml.score_customers(_models(s, d).best, C(s, d), _models(s, d).importances()))
