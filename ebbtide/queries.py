@@ -169,3 +169,26 @@ _reg("classification_metrics", OM.SQL,
 _reg("ml_metrics", {}, lambda s, d: _models(s, d).metrics)
 _reg("feature_importance", {}, lambda s, d: _models(s, d).importances())
 _reg("score_customers", {}, lambda s, d: ml.score_customers(_models(s, d).best, C(s, d), _models(s, d).importances()))
+
+# --- sources and sinks ------------------------------------------------------------------
+from ebbtide.checks import oracle_io as OI  # noqa: E402
+from ebbtide.sources import io as IO  # noqa: E402
+
+
+def _display_names(df):
+    """Header names as a spreadsheet would show them ("Customer Id")."""
+    return {c: " " + c.replace("_", " ").title() + " " for c in df.columns}
+
+
+def _csv_scan(s, d):
+    df = C(s, d)
+    return IO.roundtrip(df, "csv", header_names=_display_names(df))
+
+
+_reg("csv_scan", OI.SQL, _csv_scan)
+_reg("json_roundtrip", OI.SQL, lambda s, d: IO.roundtrip(C(s, d), "json"))
+_reg("parquet_roundtrip", OI.SQL, lambda s, d: IO.roundtrip(C(s, d), "parquet"))
+_reg("sample_rows", OI.SQL, lambda s, d: IO.sample_rows(C(s, d), 10, "customer_id"))
+_reg("export_action_list", OI.SQL, lambda s, d: IO.export_action_list(priority.priority_list(C(s, d), 500))[1])
+_reg("sniff_delimiter", OI.SQL, lambda s, d: IO.sniff_delimiter(T(s, d, "documents")))
+_reg("text_preview", OI.SQL, lambda s, d: IO.text_preview(T(s, d, "documents")))
