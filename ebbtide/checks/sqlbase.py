@@ -28,7 +28,7 @@ hist AS (
     sum(CAST(o.o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o.o_orderdate <= c.t) AS spend_pre,
     count(*) FILTER (WHERE o.o_orderdate <= c.t AND o.o_orderstatus = 'P') AS n_pending,
     count(*) FILTER (WHERE o.o_orderdate <= c.t AND o.o_orderstatus = 'F') AS n_failed,
-    arg_max(o.o_orderpriority, struct_pack(d := o.o_orderdate, k := o.o_orderkey))
+    arg_max(o.o_orderpriority, struct_pack(d := CAST(o.o_orderdate AS DATE), k := o.o_orderkey))
         FILTER (WHERE o.o_orderdate <= c.t) AS last_priority,
     count(*) FILTER (WHERE o.o_orderdate > c.t) AS n_post,
     any_value(c.t) AS t

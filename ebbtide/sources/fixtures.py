@@ -14,10 +14,14 @@ is already hash-partitioned on the customer key.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import r
+from ebbtide.session import scratch_dir
 from ebbtide.sources.tables import table
 
 # Order priority -> plan name.
@@ -27,27 +31,48 @@ CONTRACT_CUTS = [(10, "Two year"), (6, "One year")]  # else Month-to-month
 CUTOFF_DAYS = 365
 
 
+# Latest pre-cut-off order = max of (order day, order key) packed into one
+# long: day * 2^41 + key. Keys must stay below 2^41 (2.2e12; the largest
+# TPC-H-style key at 100 TB is ~6e11). A fixed-width ordering and an int
+# value keep ``max_by`` inside the hash aggregation (a string value or a
+# struct ordering would force a sort-based aggregation over all orders).
+ORDER_KEY_BITS = 41
+PLAN_CODES = {prio: i + 1 for i, (prio, _) in enumerate(PRIORITY_PLAN)}  # other -> 0
+
+
 def order_history(orders: DataFrame) -> DataFrame:
-    """Per-customer order aggregates relative to the cut-off (one shuffle)."""
-    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                      "o_orderdate", "o_orderpriority")
+    """Per-customer order aggregates relative to the cut-off (one shuffle).
+
+    The cut-off is one scalar subquery (max order date, one column read),
+    evaluated once into the ``pre`` flag; every aggregate reads the flag.
+    """
     cutoff = orders.select((F.max("o_orderdate") - F.expr(f"INTERVAL {CUTOFF_DAYS} DAYS")).alias("t")).scalar()
-    pre = F.col("o_orderdate") <= cutoff
-    return (o.groupBy(F.col("o_custkey"))
+    code = F.lit(0)
+    for prio, c in reversed(list(PLAN_CODES.items())):
+        code = F.when(F.col("o_orderpriority") == prio, F.lit(c)).otherwise(code)
+    o = orders.select(
+        "o_custkey", "o_orderstatus", "o_orderdate",
+        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),  # money summed as exact decimal
+        (F.unix_date(F.to_date("o_orderdate")).cast("bigint") * F.lit(1 << ORDER_KEY_BITS)
+         + F.col("o_orderkey")).alias("recency"),
+        code.alias("plan_code"),
+        (F.col("o_orderdate") <= cutoff).alias("pre"),
+        cutoff.alias("t"))
+    pre = F.col("pre")
+    return (o.groupBy("o_custkey")
              .agg(F.count(F.when(pre, 1)).alias("n_pre"),
                   F.min(F.when(pre, F.col("o_orderdate"))).alias("first_pre"),
                   F.max(F.when(pre, F.col("o_orderdate"))).alias("last_pre"),
-                  # money summed as decimal: exact and order-independent
-                  F.sum(F.when(pre, F.col("o_totalprice").cast("decimal(18,2)"))).alias("spend_pre"),
+                  F.sum(F.when(pre, F.col("price"))).alias("spend_pre"),
                   F.count(F.when(pre & (F.col("o_orderstatus") == "P"), 1)).alias("n_pending"),
                   F.count(F.when(pre & (F.col("o_orderstatus") == "F"), 1)).alias("n_failed"),
-                  F.max_by(F.col("o_orderpriority"),
-                           F.when(pre, F.struct("o_orderdate", "o_orderkey"))).alias("last_priority"),
-                  F.count(F.when(~pre, 1)).alias("n_post"))
-             .withColumn("t", cutoff))
+                  F.max_by(F.col("plan_code"), F.when(pre, F.col("recency"))).alias("last_plan_code"),
+                  F.count(F.when(~pre, 1)).alias("n_post"),
+                  F.first("t").alias("t")))
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers table as a plan over customer / nation / region / orders."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -59,7 +84,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenure = F.floor(days_first / F.lit(30.0))
     plan = F.when(~has_pre, F.lit(None).cast("string"))
     for prio, name in PRIORITY_PLAN:
-        plan = plan.when(F.col("last_priority") == prio, F.lit(name))
+        plan = plan.when(F.col("last_plan_code") == PLAN_CODES[prio], F.lit(name))
     plan = plan.otherwise(F.lit("Basic"))
     contract = F.when(~has_pre, F.lit(None).cast("string"))
     for cut, name in CONTRACT_CUTS:
@@ -85,3 +110,27 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(has_pre, F.col("n_failed")).otherwise(nul("bigint")).alias("payment_failures_12m"),
         F.when(F.coalesce(F.col("n_post"), F.lit(0)) > 0, F.lit(0)).otherwise(F.lit(1)).alias("churned"),
     )
+
+
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def customers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The customers table, written once per session and then read back.
+
+    Every retention query starts from this table; deriving it means one
+    aggregation of all orders. Writing it once to the shared checkpoint
+    folder (``spark.checkpoint.dir``) and reading the Parquet back gives every
+    later query a plain scan with pushed-down filters and pruned columns, and
+    cuts the lineage: a lost executor re-reads files instead of re-running
+    the order aggregation.
+    """
+    if not materialize:
+        return derive_customers(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_dir(spark, f"tables/customers-{uuid.uuid4().hex}")
+        derive_customers(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
