@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.aggs import quantile
+from ebbtide.functions.quantiles import quantile_of
 from ebbtide.functions.columns import CLV_ALIASES, DIM_ALIASES, ID_ALIASES, RISK_ALIASES, find_col, find_dim
 from ebbtide.functions.scalars import r, risk_label
 from ebbtide.operators.kpis import THRESHOLD_DP, _num, churn_flag, p75_threshold
@@ -92,10 +92,11 @@ def effective_threshold(df: DataFrame, threshold: float) -> Column:
     (computed over the whole table, before any segment filter)."""
     risk = _num(df, RISK_ALIASES, 0.0)
     t = F.lit(float(threshold))
+    p75 = r(quantile_of(df, risk, 0.75), THRESHOLD_DP)
     return df.select(
         F.when(F.count(F.lit(1)) == 0, t)
          .when(F.max(risk) >= t, t)
-         .otherwise(r(quantile(risk, 0.75), THRESHOLD_DP)).alias("eff")).scalar()
+         .otherwise(F.first(p75)).alias("eff")).scalar()
 
 
 def at_risk_auto_threshold(df: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.aggs import count_if, davg, dsum, quantile, ratio
+from ebbtide.functions.aggs import count_if, davg, dsum, ratio
 from ebbtide.functions.columns import (CHURN_ALIASES, CLV_ALIASES, KPI_CLV_ALIASES, RISK_ALIASES,
                                        SAT_ALIASES, find_col, find_col_containing, find_dim)
+from ebbtide.functions.quantiles import quantile_of, quantiles_for
 from ebbtide.functions.scalars import r, risk_level, safe_numeric
 
 THRESHOLD_DP = 6  # thresholds are rounded before >= / > so ties fall the same way everywhere
@@ -39,7 +40,7 @@ def churn_value(df: DataFrame) -> Column:
 def p75_threshold(df: DataFrame, aliases: list[str], p: float = 0.75) -> Column:
     """Scalar subquery: rounded quantile of the column (nulls filled with 0)."""
     x = _num(df, aliases, 0.0)
-    return df.select(r(quantile(x, p), THRESHOLD_DP).alias("thr")).scalar()
+    return r(quantile_of(df, x, p), THRESHOLD_DP)
 
 
 def high_risk_mask(df: DataFrame) -> Column:
@@ -99,11 +100,10 @@ def breakdown_map(df: DataFrame, canonical: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def clv_risk_quantiles(df: DataFrame) -> DataFrame:
     clv, risk = _num(df, CLV_ALIASES, 0.0), _num(df, RISK_ALIASES, 0.0)
-    qc = quantile(clv, [0.25, 0.5, 0.75])
-    qr = quantile(risk, [0.25, 0.5, 0.75])
-    return (df.agg(qc.alias("qc"), qr.alias("qr"))
-              .select(*[r(F.col("qc")[i], THRESHOLD_DP).alias(f"clv_p{p}") for i, p in enumerate((25, 50, 75))],
-                      *[r(F.col("qr")[i], THRESHOLD_DP).alias(f"risk_p{p}") for i, p in enumerate((25, 50, 75))]))
+    qc, qr = quantiles_for(df, [clv, risk], [0.25, 0.5, 0.75])
+    return (df.sparkSession.range(1)
+              .select(*[r(qc[i], THRESHOLD_DP).alias(f"clv_p{p}") for i, p in enumerate((25, 50, 75))],
+                      *[r(qr[i], THRESHOLD_DP).alias(f"risk_p{p}") for i, p in enumerate((25, 50, 75))]))
 
 
 def revenue_at_risk_top_quartile(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.aggs import quantile
+from ebbtide.functions.quantiles import quantiles_for
 from ebbtide.functions.columns import CHURN_ALIASES, find_col
 from ebbtide.functions.scalars import r, risk_label, safe_numeric
 
@@ -128,13 +128,11 @@ def _weighted(train: DataFrame, label: str) -> DataFrame:
 def median_values(df: DataFrame, num: list[str]) -> DataFrame:
     """Exact median per numeric feature (linear interpolation) and the number
     of nulls it fills."""
-    aggs = []
-    for i, c in enumerate(num):
-        x = safe_numeric(F.col(c))
-        aggs += [quantile(x, 0.5).alias(f"_m{i}"), F.count(F.when(x.isNull(), F.lit(1))).alias(f"_z{i}")]
-    one = df.agg(*aggs)
+    xs = [safe_numeric(F.col(c)) for c in num]
+    med = quantiles_for(df, xs, [0.5])
+    one = df.agg(*[F.count(F.when(x.isNull(), F.lit(1))).alias(f"_z{i}") for i, x in enumerate(xs)])
     return one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), r(F.col(f"_m{i}"), 6).alias("median"),
+        F.struct(F.lit(c).alias("feature"), r(med[i][0], 6).alias("median"),
                  F.col(f"_z{i}").alias("nulls_filled")) for i, c in enumerate(num)])).alias("s")).select("s.*")
 
 

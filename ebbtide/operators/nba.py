@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.aggs import count_if, dsum, quantile, ratio
+from ebbtide.functions.aggs import count_if, dsum, ratio
 from ebbtide.functions.columns import (CLV_ALIASES, ID_ALIASES, RISK_ALIASES, SAT_ALIASES, find_col)
+from ebbtide.functions.quantiles import quantile_of
 from ebbtide.functions.scalars import r, safe_numeric
 from ebbtide.operators.kpis import THRESHOLD_DP
 
@@ -80,7 +81,7 @@ def clv_threshold(df: DataFrame) -> Column:
     if c is None:
         return F.lit(CLV_FALLBACK)
     x = safe_numeric(F.col(c))
-    return df.select(F.coalesce(r(quantile(x, CLV_PERCENTILE), THRESHOLD_DP), F.lit(CLV_FALLBACK))).scalar()
+    return F.coalesce(r(quantile_of(df, x, CLV_PERCENTILE), THRESHOLD_DP), F.lit(CLV_FALLBACK))
 
 
 def rule_column(clv_thr: Column) -> Column:

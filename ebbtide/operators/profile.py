@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.aggs import quantile
+from ebbtide.functions.quantiles import quantiles_for
 from ebbtide.functions.scalars import r
 
 # Quality-issue and rating cut-offs.
@@ -106,10 +106,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Numeric summary (count, mean, sample std, min, 25/50/75 % linear, max)
 # ---------------------------------------------------------------------------
-def numeric_profile(df: DataFrame, cols: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per numeric column. Quantiles are exact (linear interpolation,
-    like pandas ``describe``) unless ``accuracy`` asks for ``percentile_approx``
-    on high-cardinality columns of very large tables."""
+    like pandas ``describe``) at any size (``functions.quantiles``)."""
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame(
@@ -119,15 +118,15 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, accuracy: int
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"),
-                 quantile(x, [0.25, 0.5, 0.75], accuracy).alias(f"_q{i}")]
+                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
     one = df.agg(*aggs)
+    qs = quantiles_for(df, [F.col(c) for c in cols], [0.25, 0.5, 0.75])
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
                         r(F.col(f"_m{i}"), STAT_DP).alias("mean"), r(F.col(f"_s{i}"), STAT_DP).alias("std"),
                         F.col(f"_lo{i}").alias("min"),
-                        r(F.col(f"_q{i}")[0], THRESHOLD_DP).alias("p25"),
-                        r(F.col(f"_q{i}")[1], THRESHOLD_DP).alias("p50"),
-                        r(F.col(f"_q{i}")[2], THRESHOLD_DP).alias("p75"),
+                        r(qs[i][0], THRESHOLD_DP).alias("p25"),
+                        r(qs[i][1], THRESHOLD_DP).alias("p50"),
+                        r(qs[i][2], THRESHOLD_DP).alias("p75"),
                         F.col(f"_hi{i}").alias("max"))
                for i, c in enumerate(cols)]
     return _rows(one, structs)
@@ -163,7 +162,7 @@ def categorical_profile(df: DataFrame, cols: list[str] | None = None) -> DataFra
 # ---------------------------------------------------------------------------
 # IQR outliers; B10-B11: quality issues; B13 rating; B14 summary
 # ---------------------------------------------------------------------------
-def iqr_outliers(df: DataFrame, cols: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: q1, q3, fences, number of values outside them, and
     whether that number passes the reporting cut ``> max(5, 1 % of rows)``.
 
@@ -171,12 +170,11 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, accuracy: int | N
     all columns in one aggregation with the fences as scalar subqueries.
     """
     cols = cols if cols is not None else numeric_columns(df)
-    qs = df.agg(*[quantile(F.col(c).cast("double"), [0.25, 0.75], accuracy).alias(f"_q{i}")
-                  for i, c in enumerate(cols)])
-    q1 = [r(F.col(f"_q{i}")[0], THRESHOLD_DP) for i in range(len(cols))]
-    q3 = [r(F.col(f"_q{i}")[1], THRESHOLD_DP) for i in range(len(cols))]
-    lo = [qs.select(q1[i] - F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i])).scalar() for i in range(len(cols))]
-    hi = [qs.select(q3[i] + F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i])).scalar() for i in range(len(cols))]
+    qs = quantiles_for(df, [F.col(c) for c in cols], [0.25, 0.75])
+    q1 = [r(qs[i][0], THRESHOLD_DP) for i in range(len(cols))]
+    q3 = [r(qs[i][1], THRESHOLD_DP) for i in range(len(cols))]
+    lo = [q1[i] - F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
+    hi = [q3[i] + F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
