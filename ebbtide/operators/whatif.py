@@ -51,8 +51,11 @@ def campaign_grid(df: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     has_fee = find_col(df, FEE_ALIASES) is not None
     fee = _num(df, FEE_ALIASES, 0.0)
     aggs = []
+    effs: dict[float, Column] = {}  # one threshold subquery per distinct threshold, not per scenario
     for i, s in enumerate(scenarios):
-        eff = effective_threshold(df, s.risk_threshold)
+        if float(s.risk_threshold) not in effs:
+            effs[float(s.risk_threshold)] = effective_threshold(df, s.risk_threshold)
+        eff = effs[float(s.risk_threshold)]
         hit = (risk >= eff) & segment_predicate(df, s.target_segment)
         aggs.append(F.struct(
             F.lit(i).alias("scenario_id"), F.lit(s.target_segment).alias("target_segment"),
