@@ -260,3 +260,60 @@ FROM kpi""" for b in (250000.0, 500000.0))
 
 
 _register_whatif()
+
+# --- scored batches, enrichment, bands, formats -------------------------------
+_P = "coalesce(CAST(churn_risk_score AS DOUBLE), 0.0::DOUBLE)"
+_V = "CAST(estimated_clv AS DOUBLE)"
+_CODE = (f"CASE WHEN {_P} >= 0.65 AND coalesce({_V}, 0.0::DOUBLE) >= 50000.0 THEN 'account_manager' "
+         f"WHEN {_P} >= 0.65 THEN 'automated_sequence' WHEN {_P} >= 0.35 THEN 'monitor' ELSE 'upsell' END")
+SQL["customer_playbook"] = with_enriched() + f"""
+SELECT customer_id, {_P} AS churn_probability,
+  CASE WHEN {_P} >= 0.75 THEN 'Critical' WHEN {_P} >= 0.55 THEN 'High' WHEN {_P} >= 0.35 THEN 'Elevated' ELSE 'Moderate' END AS risk_level,
+  {_CODE} AS playbook,
+  CASE {_CODE} WHEN 'account_manager' THEN 'Assign dedicated account manager'
+    WHEN 'automated_sequence' THEN 'Enrol in automated retention sequence'
+    WHEN 'monitor' THEN 'Monitor weekly via risk dashboard' ELSE 'Focus on upsell and expansion' END AS first_action,
+  {_P} >= 0.55 AS immediate_action, {_P} >= 0.65 AS above_intervention_threshold
+FROM enriched"""
+SQL["batch_risk_triage"] = with_enriched() + f"""
+SELECT count(*) AS total_scored, count(*) FILTER (WHERE {_P} >= 0.65) AS high_risk_count,
+  count(*) FILTER (WHERE {_P} >= 0.35 AND {_P} < 0.65) AS medium_risk_count,
+  count(*) FILTER (WHERE {_P} < 0.35) AS low_risk_count FROM enriched"""
+_AVG = f"(coalesce({DSUM(_P, 4)} / CAST(count(*) AS DOUBLE), 0.0::DOUBLE) * 100.0::DOUBLE)"
+_CLV = f"coalesce({DSUM(f'CASE WHEN {_P} >= 0.65 THEN coalesce({_V}, 0.0::DOUBLE) END', 2)}, 0.0::DOUBLE)"
+SQL["batch_insight"] = with_enriched() + f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE {_P} >= 0.65) AS n_high,
+  count(*) FILTER (WHERE {_P} >= 0.35 AND {_P} < 0.65) AS n_medium,
+  {R(RATIO(f"count(*) FILTER (WHERE {_P} >= 0.65)", "count(*)") + " * 100.0::DOUBLE", 2)} AS high_pct,
+  {R(RATIO(f"count(*) FILTER (WHERE {_P} >= 0.35 AND {_P} < 0.65)", "count(*)") + " * 100.0::DOUBLE", 2)} AS medium_pct,
+  {R(_AVG, 2)} AS avg_probability_pct,
+  CASE WHEN {_AVG} >= 25 THEN 'Critical' WHEN {_AVG} >= 20 THEN 'High' WHEN {_AVG} >= 15 THEN 'Elevated' ELSE 'Moderate' END AS risk_level,
+  {R(_CLV, 2)} AS clv_at_risk, {R(f"{_CLV} * 0.28::DOUBLE", 2)} AS projected_recovery,
+  CASE WHEN count(*) >= 100 THEN 'High' ELSE 'Medium' END AS confidence
+FROM enriched"""
+SQL["enrich_customers"] = with_enriched() + f"SELECT {ENRICHED_COLS} FROM enriched"
+SQL["satisfaction_bands"] = with_enriched() + """
+SELECT CASE WHEN s >= 8 THEN 'Excellent' WHEN s >= 7 THEN 'Good' WHEN s >= 6 THEN 'Fair' WHEN s >= 5 THEN 'Poor'
+  ELSE 'Critical' END AS satisfaction_band, count(*) AS customers
+FROM (SELECT coalesce(CAST(satisfaction_score AS DOUBLE), 0.0::DOUBLE) AS s FROM enriched) GROUP BY 1"""
+SQL["risk_level_by_region"] = with_enriched(breakdown_cte("region", "region", "b")) + """
+SELECT region, churn_rate_pct, CASE WHEN churn_rate_pct >= 25 THEN 'Critical' WHEN churn_rate_pct >= 20 THEN 'High'
+  WHEN churn_rate_pct >= 15 THEN 'Elevated' ELSE 'Moderate' END AS risk_level FROM b"""
+
+def _fmt1(x: str, suffix: str, prefix: str) -> str:
+    return f"'{prefix}' || format('{{:.1f}}', {R(x, 1)}) || '{suffix}'"
+
+
+_T = "total_clv"
+_USD = (f"CASE WHEN {_T} >= 1e9 THEN {_fmt1(f'{_T} / 1e9', 'B', '$')} WHEN {_T} >= 1e6 THEN {_fmt1(f'{_T} / 1e6', 'M', '$')} "
+        f"WHEN {_T} >= 1e3 THEN '$' || format('{{:.0f}}', {R(f'{_T} / 1e3', 0)}) || 'K' "
+        f"ELSE '$' || format('{{:,}}', CAST({R(_T, 0)} AS BIGINT)) END")
+_INR = (f"CASE WHEN {_T} >= 1e7 THEN {_fmt1(f'{_T} / 1e7', ' Cr', '₹')} WHEN {_T} >= 1e5 THEN {_fmt1(f'{_T} / 1e5', ' Lakh', '₹')} "
+        f"ELSE '₹' || format('{{:,}}', CAST({R(_T, 0)} AS BIGINT)) END")
+SQL["format_money"] = with_enriched() + f"""
+SELECT region, total_clv, {_USD} AS usd, {_INR} AS inr FROM (
+  SELECT CAST(region AS VARCHAR) AS region,
+    {R(f"coalesce({DSUM('CAST(estimated_clv AS DOUBLE)', 2)}, 0.0::DOUBLE)", 2)} AS total_clv
+  FROM enriched WHERE region IS NOT NULL GROUP BY region)"""
+SQL["breakdown_map"] = with_enriched(breakdown_cte("region", "region", "b")) + \
+    "SELECT to_json(map_from_entries(list(struct_pack(k := region, v := churn_rate_pct) ORDER BY region))) AS churn_by_region FROM b"

@@ -113,3 +113,16 @@ def report_priority_table(df: DataFrame, top_n: int = 10, region: str | None = N
     return pl.select(F.row_number().over(w).alias("ord"), "customer_id", "customer_segment", "plan_type", "region",
                      "estimated_clv", "churn_risk_score", "priority_class",
                      truncate_text(F.col("recommended_action"), ACTION_WIDTH).alias("action"))
+
+
+def money_by_region(df: DataFrame) -> DataFrame:
+    """Total CLV per region with its compact USD and INR display strings."""
+    from ebbtide.functions.aggs import dsum
+    from ebbtide.functions.columns import CLV_ALIASES, find_col, find_dim
+    from ebbtide.functions.scalars import format_inr, format_usd, safe_numeric
+    reg, clv = find_dim(df, "region"), find_col(df, CLV_ALIASES)
+    t = (df.filter(F.col(reg).isNotNull())
+         .groupBy(F.col(reg).cast("string").alias("region"))
+         .agg(r(F.coalesce(dsum(safe_numeric(F.col(clv)), 2), F.lit(0.0)), 2).alias("total_clv")))
+    return t.select("region", "total_clv", format_usd(F.col("total_clv")).alias("usd"),
+                    format_inr(F.col("total_clv")).alias("inr"))

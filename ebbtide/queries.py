@@ -192,3 +192,20 @@ _reg("sample_rows", OI.SQL, lambda s, d: IO.sample_rows(C(s, d), 10, "customer_i
 _reg("export_action_list", OI.SQL, lambda s, d: IO.export_action_list(priority.priority_list(C(s, d), 500))[1])
 _reg("sniff_delimiter", OI.SQL, lambda s, d: IO.sniff_delimiter(T(s, d, "documents")))
 _reg("text_preview", OI.SQL, lambda s, d: IO.text_preview(T(s, d, "documents")))
+
+# --- scored batches, enrichment, bands, formats ---------------------------------------
+from ebbtide.functions.scalars import risk_level as _risk_level, satisfaction_band  # noqa: E402
+from ebbtide.operators import scoring  # noqa: E402
+
+_reg("enrich_customers", OO.SQL, lambda s, d: C(s, d).select(*[c.strip() for c in OO.ENRICHED_COLS.split(",")]))
+_reg("customer_playbook", OO.SQL, lambda s, d: scoring.customer_playbook(C(s, d), "churn_risk_score", "estimated_clv"))
+_reg("batch_risk_triage", OO.SQL, lambda s, d: scoring.batch_risk_triage(C(s, d), "churn_risk_score"))
+_reg("batch_insight", OO.SQL, lambda s, d: scoring.batch_insight(C(s, d), "churn_risk_score", "estimated_clv"))
+_reg("satisfaction_bands", OO.SQL, lambda s, d: C(s, d).groupBy(
+    satisfaction_band(F.coalesce(F.col("satisfaction_score"), F.lit(0.0))).alias("satisfaction_band"))
+    .agg(F.count(F.lit(1)).alias("customers")))
+_reg("risk_level_by_region", OO.SQL, lambda s, d: kpis.churn_breakdown(C(s, d), "region").select(
+    "region", "churn_rate_pct", _risk_level(F.col("churn_rate_pct")).alias("risk_level")))
+_reg("format_money", OO.SQL, lambda s, d: reports.money_by_region(C(s, d)))
+_reg("breakdown_map", OO.SQL, lambda s, d: kpis.breakdown_map(C(s, d), "region").select(
+    F.to_json("churn_by_region").alias("churn_by_region")))
