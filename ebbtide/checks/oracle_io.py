@@ -25,10 +25,11 @@ _pick = "CASE " + " ".join(
 SQL["sniff_delimiter"] = f"""WITH l AS (
   SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{NONBLANK_RE}')) AS lines
   FROM documents),
-s AS (SELECT doc_id, len(lines) AS nonblank_lines, {_stats} FROM l)
+s AS (SELECT doc_id, CAST(len(lines) AS INTEGER) AS nonblank_lines, {_stats} FROM l)
 SELECT doc_id, nonblank_lines, {_pick} AS separator FROM s"""
 
-SQL["text_preview"] = r"""SELECT doc_id, length(text) AS text_chars, len(string_split(text, chr(10))) AS text_lines,
-  len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS text_words,
+SQL["text_preview"] = r"""SELECT doc_id, CAST(length(text) AS INTEGER) AS text_chars,
+  CAST(len(string_split(text, chr(10))) AS INTEGER) AS text_lines,
+  CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS text_words,
   substr(text, 1, 8000) AS preview, length(text) > 8000 AS truncated
 FROM documents"""

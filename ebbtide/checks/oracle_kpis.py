@@ -131,13 +131,13 @@ SELECT arg_min({_canon}, (-churn_rate_pct, {_canon})) AS worst, max(churn_rate_p
 FROM b"""
     SQL[f"{_short}_ranking"] = with_enriched(breakdown_cte(_canon, _col, "b"), KPI_CTE) + f"""
 SELECT * FROM (
-  SELECT row_number() OVER (ORDER BY churn_rate_pct DESC, {_canon} ASC) AS rank, {_canon}, churn_rate_pct,
+  SELECT CAST(row_number() OVER (ORDER BY churn_rate_pct DESC, {_canon} ASC) AS INTEGER) AS rank, {_canon}, churn_rate_pct,
     {R("churn_rate_pct - (SELECT churn_rate_pct FROM kpi)", 2)} AS diff_pp,
     CASE WHEN churn_rate_pct - (SELECT churn_rate_pct FROM kpi) > 2.0 THEN 'above'
          WHEN churn_rate_pct - (SELECT churn_rate_pct FROM kpi) < -2.0 THEN 'below' ELSE '' END AS flag
   FROM b) WHERE rank <= 10"""
     SQL[f"{_short}_estimates"] = with_enriched(breakdown_cte(_canon, _col, "b"), KPI_CTE) + f"""
-SELECT row_number() OVER (ORDER BY b.churn_rate_pct DESC, b.{_canon} ASC) AS rank, b.{_canon}, b.churn_rate_pct,
+SELECT CAST(row_number() OVER (ORDER BY b.churn_rate_pct DESC, b.{_canon} ASC) AS INTEGER) AS rank, b.{_canon}, b.churn_rate_pct,
   count(*) OVER () AS groups,
   {R("b.churn_rate_pct - kpi.churn_rate_pct", 2)} AS deviation_pp,
   CAST(floor(kpi.total_customers * b.churn_rate_pct / 100.0::DOUBLE / greatest(count(*) OVER (), 1)) AS BIGINT) AS est_customers,
@@ -178,7 +178,7 @@ _PORT = f"""port AS (SELECT {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2
 
 def _adhoc_dim(dim: str, col: str) -> str:
     return f"""SELECT '{dim}' AS dimension, '{col}' AS "column", rank, grp, churn_pct, n, groups FROM (
-  SELECT grp, churn_pct, n, row_number() OVER (ORDER BY churn_pct DESC, grp ASC) AS rank, count(*) OVER () AS groups
+  SELECT grp, churn_pct, n, CAST(row_number() OVER (ORDER BY churn_pct DESC, grp ASC) AS INTEGER) AS rank, count(*) OVER () AS groups
   FROM (SELECT CAST({col} AS VARCHAR) AS grp, {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2)} AS churn_pct,
         count(*) AS n FROM enriched WHERE {col} IS NOT NULL GROUP BY {col})) WHERE rank <= 5"""
 

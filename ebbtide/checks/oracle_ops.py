@@ -316,4 +316,4 @@ SELECT region, total_clv, {_USD} AS usd, {_INR} AS inr FROM (
     {R(f"coalesce({DSUM('CAST(estimated_clv AS DOUBLE)', 2)}, 0.0::DOUBLE)", 2)} AS total_clv
   FROM enriched WHERE region IS NOT NULL GROUP BY region)"""
 SQL["breakdown_map"] = with_enriched(breakdown_cte("region", "region", "b")) + \
-    "SELECT to_json(map_from_entries(list(struct_pack(k := region, v := churn_rate_pct) ORDER BY region))) AS churn_by_region FROM b"
+    "SELECT CAST(to_json(map_from_entries(list(struct_pack(k := region, v := churn_rate_pct) ORDER BY region))) AS VARCHAR) AS churn_by_region FROM b"

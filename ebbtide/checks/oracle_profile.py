@@ -100,7 +100,7 @@ fl AS (SELECT *, coalesce(count(*) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED
 o AS (SELECT 2 AS grp, ordinal AS pos, 'outliers' AS issue_type, "column", n_outliers AS count, CAST(NULL AS DOUBLE) AS pct
       FROM fl WHERE k = 0 OR k < 6 - (SELECT count(*) FROM head)),
 allx AS (SELECT * FROM head UNION ALL SELECT * FROM o)
-SELECT row_number() OVER (ORDER BY grp, pos) AS seq, issue_type, "column", count, pct FROM allx"""
+SELECT CAST(row_number() OVER (ORDER BY grp, pos) AS INTEGER) AS seq, issue_type, "column", count, pct FROM allx"""
 
 _CUST_DUPS = _dups("enriched", ", ".join(CUST_COLS))
 SQL["data_quality_rating"] = with_enriched(CATALOG_CTE, f"dup AS ({_CUST_DUPS})") + """

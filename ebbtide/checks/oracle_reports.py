@@ -34,7 +34,7 @@ SQL["report_scorecard"] = with_enriched(*_PRE, E_CTE) + _rows([
 
 def _group(canonical: str, col: str, extra: str) -> str:
     return with_enriched(OK.breakdown_cte(canonical, col, "b")) + f"""
-SELECT row_number() OVER (ORDER BY churn_rate_pct DESC, {canonical} ASC) AS ord, {canonical},
+SELECT CAST(row_number() OVER (ORDER BY churn_rate_pct DESC, {canonical} ASC) AS INTEGER) AS ord, {canonical},
   {R('churn_rate_pct', 1)} AS churn_rate_pct_1dp, upper({OK._RL.format(x='churn_rate_pct')}) AS risk_level,
   CAST(floor(CAST((SELECT count(*) FROM enriched) AS DOUBLE) * (churn_rate_pct / 100.0::DOUBLE)
        * (1.0::DOUBLE / CAST(count(*) OVER () AS DOUBLE))) AS BIGINT) AS est_churned,
@@ -68,6 +68,6 @@ REPORT_REGION = "europe"
 _EF = f"ef AS (SELECT * FROM enriched WHERE lower(trim(CAST(region AS VARCHAR))) = '{REPORT_REGION}')"
 SQL["report_priority_table"] = with_enriched(
     _EF, *[c.replace("FROM enriched", "FROM ef") for c in PRIO_CTES], *top_ctes(10)) + f"""
-SELECT row_number() OVER (ORDER BY priority_score DESC, customer_id ASC) AS ord, customer_id, customer_segment,
+SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, customer_id ASC) AS INTEGER) AS ord, customer_id, customer_segment,
   plan_type, region, estimated_clv, churn_risk_score, priority_class, {_trunc('recommended_action', 30)} AS action
 FROM plx"""

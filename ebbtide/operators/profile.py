@@ -241,8 +241,8 @@ def dataset_profile_summary(df: DataFrame) -> DataFrame:
     miss = cat.agg(F.count(F.when(F.col("null_count") > 0, F.lit(1))).alias("columns_with_missing"))
     return (duplicate_rows(df).crossJoin(miss)
             .select("total_rows", F.lit(len(df.columns)).alias("total_columns"),
-                    F.lit(len(numeric_columns(df))).alias("numeric_columns"),
-                    F.lit(len(categorical_columns(df))).alias("categorical_columns"),
+                    F.lit(len(numeric_columns(df))).cast("bigint").alias("numeric_columns"),
+                    F.lit(len(categorical_columns(df))).cast("bigint").alias("categorical_columns"),
                     "duplicate_rows", "columns_with_missing"))
 
 

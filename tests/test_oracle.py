@@ -38,10 +38,19 @@ def duck(sf_dir):
     con.close()
 
 
+# DuckDB result type -> Spark simpleString
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+              "DATE": "date", "FLOAT": "float"}
+
+
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_oracle(spark, sf_dir, duck, key):
-    got = E.queries()[key](spark, sf_dir).toPandas()
-    want = duck.sql(ORACLE[key]).df()
+    sdf = E.queries()[key](spark, sf_dir)
+    rel = duck.sql(ORACLE[key])
+    assert {f.name: f.dataType.simpleString() for f in sdf.schema.fields} == \
+        {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    got = sdf.toPandas()
+    want = rel.df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
     assert gc == wc
