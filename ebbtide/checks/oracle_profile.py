@@ -87,20 +87,26 @@ QI_COLS = ["lang", "source", "n_chars", "quality", "toxic"]
 QI_SRC = ("qi AS (SELECT d.lang, d.source, d.n_chars, l.quality, l.toxic "
           "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
 QI_NUM = ["n_chars", "quality", "toxic"]
-SQL["quality_issues"] = "WITH " + QI_SRC + ",\n" + f"cat AS ({_catalog('qi', QI_COLS)}),\n" + \
-    f"dup AS ({_dups('qi', ', '.join(QI_COLS))}),\n" + _fences("qi", QI_NUM) + ",\n" + \
-    f"outl AS ({_outliers('qi', QI_NUM)}),\n" + f"""
-miss AS (SELECT 0 AS grp, CASE "column" {" ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(QI_COLS))} END AS pos,
-  'high_missing' AS issue_type, "column", null_count AS count, {R('null_pct', 1)} AS pct FROM cat WHERE null_pct > 20),
+def quality_sql(src_cte: str, src: str, cols: list[str], num: list[str]) -> str:
+    """CTEs ending in ``issues`` (seq, issue_type, column, count, pct) over ``src``."""
+    pos = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cols))
+    return (src_cte + ",\n" if src_cte else "") + f"cat_{src} AS ({_catalog(src, cols)}),\n" + \
+        f"dup_{src} AS ({_dups(src, ', '.join(cols))}),\n" + _fences(src, num) + ",\n" + \
+        f"outl AS ({_outliers(src, num)}),\n" + f"""
+miss AS (SELECT 0 AS grp, CASE "column" {pos} END AS pos,
+  'high_missing' AS issue_type, "column", null_count AS count, {R('null_pct', 1)} AS pct FROM cat_{src} WHERE null_pct > 20),
 dupi AS (SELECT 1 AS grp, 0 AS pos, 'duplicates' AS issue_type, CAST(NULL AS VARCHAR) AS "column",
-  CAST(duplicate_rows AS BIGINT) AS count, {R('duplicate_pct', 1)} AS pct FROM dup WHERE duplicate_rows > 0),
+  CAST(duplicate_rows AS BIGINT) AS count, {R('duplicate_pct', 1)} AS pct FROM dup_{src} WHERE duplicate_rows > 0),
 head AS (SELECT * FROM miss UNION ALL SELECT * FROM dupi),
 fl AS (SELECT *, coalesce(count(*) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
        FROM outl WHERE flagged),
 o AS (SELECT 2 AS grp, ordinal AS pos, 'outliers' AS issue_type, "column", n_outliers AS count, CAST(NULL AS DOUBLE) AS pct
       FROM fl WHERE k = 0 OR k < 6 - (SELECT count(*) FROM head)),
-allx AS (SELECT * FROM head UNION ALL SELECT * FROM o)
-SELECT CAST(row_number() OVER (ORDER BY grp, pos) AS INTEGER) AS seq, issue_type, "column", count, pct FROM allx"""
+allx AS (SELECT * FROM head UNION ALL SELECT * FROM o),
+issues AS (SELECT CAST(row_number() OVER (ORDER BY grp, pos) AS INTEGER) AS seq, issue_type, "column", count, pct FROM allx)"""
+
+
+SQL["quality_issues"] = "WITH " + quality_sql(QI_SRC, "qi", QI_COLS, QI_NUM) + "\nSELECT * FROM issues"
 
 _CUST_DUPS = _dups("enriched", ", ".join(CUST_COLS))
 SQL["data_quality_rating"] = with_enriched(CATALOG_CTE, f"dup AS ({_CUST_DUPS})") + """
@@ -139,3 +145,20 @@ SQL["domain_metadata_join"] = f"""WITH tagged AS (SELECT {_DOM} AS domain FROM d
 meta AS ({_META})
 SELECT c.domain, c.documents, m.use_cases, m.key_metrics, m.analysis
 FROM (SELECT domain, count(*) AS documents FROM tagged GROUP BY domain) c LEFT JOIN meta m ON c.domain = m.domain"""
+
+CUST_NUM = ["customer_id", "tenuremonths", "monthlycharges", "paymentdelaydays", "supporttickets",
+            "payment_failures_12m", "churned", "estimated_clv", "churn_risk_score", "satisfaction_score",
+            "upsell_probability", "retention_offer_cost", "complaints_90d"]
+
+
+def source_context_sql(dataset: str) -> str:
+    names = (" ".join(CUST_COLS) + " " + dataset).lower()
+    dom, _ = domain_sql(f"'{names}'")
+    meta = " ".join(f"WHEN '{d}' THEN '{'; '.join(u)}'" for d, (u, _m, _a) in DOMAIN_META.items())
+    return with_enriched(quality_sql("", "enriched", CUST_COLS, CUST_NUM)) + f"""
+SELECT '{dataset}' AS dataset, (SELECT count(*) FROM enriched) AS total_rows, {len(CUST_COLS)} AS total_columns,
+  {dom} AS detected_domain, (SELECT count(*) FROM issues) AS issue_count,
+  CASE {dom} {meta} END AS use_cases"""
+
+
+SQL["source_context"] = source_context_sql("customers")

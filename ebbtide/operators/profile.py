@@ -362,3 +362,20 @@ def domain_metadata_join(tagged: DataFrame) -> DataFrame:
     """Per-domain counts joined to the metadata dimension (broadcast: 7 rows)."""
     counts = tagged.groupBy("domain").agg(F.count(F.lit(1)).alias("documents"))
     return counts.join(F.broadcast(domain_metadata(tagged.sparkSession)), "domain", "left")
+
+
+def source_context(df: DataFrame, dataset: str) -> DataFrame:
+    """One row — rows, columns, the domain read from the column names
+    (and the dataset name), the number of quality issues and the domain's use
+    cases. The names are schema metadata; the counts come from the data."""
+    spark = df.sparkSession
+    names = spark.range(1).select(F.lit((" ".join(df.columns) + " " + dataset).lower()).alias("names"))
+    dom = with_domain(names, F.col("names"), []).select("domain")
+    meta = domain_metadata(spark).select("domain", "use_cases")
+    issues = quality_issues(df).agg(F.count(F.lit(1)).alias("issue_count"))
+    rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    return (dom.join(F.broadcast(meta), "domain", "left")  # 7-row dimension
+            .select(F.lit(dataset).alias("dataset"), F.lit(len(df.columns)).alias("total_columns"),
+                    F.col("domain").alias("detected_domain"), "use_cases",
+                    rows.scalar().alias("total_rows"), issues.scalar().alias("issue_count"))
+            .select("dataset", "total_rows", "total_columns", "detected_domain", "issue_count", "use_cases"))

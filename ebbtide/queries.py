@@ -209,3 +209,4 @@ _reg("risk_level_by_region", OO.SQL, lambda s, d: kpis.churn_breakdown(C(s, d),
 _reg("format_money", OO.SQL, lambda s, d: reports.money_by_region(C(s, d)))
 _reg("breakdown_map", OO.SQL, lambda s, d: kpis.breakdown_map(C(s, d), "region").select(
     F.to_json("churn_by_region").alias("churn_by_region")))
+_reg("source_context", OP.SQL, lambda s, d: profile.source_context(C(s, d), "customers"))
