@@ -37,11 +37,15 @@ def get_spark(master: str | None = None, app: str = "ebbtide",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is left alone.
-    Only when it is unset (local tests) do we pick a fresh scratch folder.
+    On a cluster this setting points at shared storage and is left alone
+    (and must be set). Only when it is unset on a local master (tests) do we
+    pick a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not visible to the other executors
+            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="ebbtide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
