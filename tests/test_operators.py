@@ -116,3 +116,13 @@ def test_domain_tags(spark):
                                 "dataset string, column string")
     tags = {r["dataset"]: r["domain"] for r in profile.domain_tag_columns(cat).collect()}
     assert tags == {"t1": "Customer Retention", "t2": "General Analytics"}
+
+
+def test_large_grid_matches_single_pass(customers):
+    grid = [whatif.Scenario(t, th, b, d, 0.18) for t in ("All", "asia", "building", "machinery", "none")
+            for th in (0.3, 0.6, 1.0) for b in (100_000.0, 500_000.0) for d in (5.0, 10.0)]
+    assert len(grid) == 60
+    big = whatif.campaign_grid(customers, grid, batch=16)            # reduced table, 4 batches
+    one = whatif.campaign_grid(customers, grid, batch=len(grid))     # one pass over the table
+    assert big.count() == 60
+    assert big.exceptAll(one).count() == 0 and one.exceptAll(big).count() == 0
