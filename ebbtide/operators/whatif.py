@@ -4,8 +4,10 @@ A scenario grid is evaluated in ONE pass over the customer table: each
 scenario contributes a handful of conditional aggregates (count / sums of
 its cohort) to a single global aggregation (partial aggregation per
 partition, one tiny final merge), and the per-scenario arithmetic runs on
-the resulting one-row-per-scenario frame. The auto-threshold fallback is a
-scalar subquery inside the plan. No cross join with the parameter grid.
+the resulting one-row-per-scenario frame. Large grids first reduce the
+table to distinct (region, segment, plan, risk) rows and run in batches.
+The auto-threshold fallback is a scalar subquery inside the plan. No cross
+join with the parameter grid.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.aggs import count_if, dsum
 from ebbtide.functions.columns import CLV_ALIASES, FEE_ALIASES, RISK_ALIASES, find_col
 from ebbtide.functions.scalars import r, roi_label
 from ebbtide.operators.cohorts import effective_threshold, segment_predicate
