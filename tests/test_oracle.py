@@ -1,8 +1,10 @@
 """Every SQL-checkable query key against DuckDB on the same parquet tables (sf0.001)."""
 
 import math
+import numbers
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -19,6 +21,8 @@ def _norm(v):
         if math.isnan(v):
             return "null"
         return repr(int(v)) if v.is_integer() and abs(v) < 2 ** 53 else repr(v)
+    if isinstance(v, numbers.Integral) and not isinstance(v, (bool, np.bool_)):
+        return repr(int(v))
     if hasattr(v, "tolist"):
         return repr(v.tolist())
     return repr(v)
