@@ -43,6 +43,12 @@ def p75_threshold(df: DataFrame, aliases: list[str], p: float = 0.75) -> Column:
     return r(quantile_of(df, x, p), THRESHOLD_DP)
 
 
+def p75_thresholds(df: DataFrame, *alias_lists: list[str], p: float = 0.75) -> list[Column]:
+    """Several rounded quantiles from ONE aggregation (one scan of ``df``)."""
+    qs = quantiles_for(df, [_num(df, a, 0.0) for a in alias_lists], [p])
+    return [r(q[0], THRESHOLD_DP) for q in qs]
+
+
 def high_risk_mask(df: DataFrame) -> Column:
     return _num(df, RISK_ALIASES, 0.0) >= p75_threshold(df, RISK_ALIASES)
 
@@ -181,7 +187,7 @@ def risk_segments(df: DataFrame, top: int | None = None) -> DataFrame:
 def enhanced_kpis(df: DataFrame) -> DataFrame:
     """F1 + F7 + F8 + F9 as one row: the main pass over the customers plus
     scalar subqueries for the thresholds and the concentration row."""
-    thr_risk, thr_clv = p75_threshold(df, RISK_ALIASES), p75_threshold(df, CLV_ALIASES)
+    thr_risk, thr_clv = p75_thresholds(df, RISK_ALIASES, CLV_ALIASES)
     clv, risk = _num(df, CLV_ALIASES, 0.0), _num(df, RISK_ALIASES, 0.0)
     n = F.count(F.lit(1))
     conc = churn_concentration(df).select(F.struct("*").alias("c")).scalar()
