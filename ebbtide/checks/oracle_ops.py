@@ -58,9 +58,9 @@ SELECT CASE WHEN {RISK0} >= 0.65 THEN 'High' WHEN {RISK0} >= 0.35 THEN 'Medium'
   count(*) AS customers FROM enriched GROUP BY 1"""
 
 # --- NBA --------------------------------------------------------------------
-ACTIONS = [("Premium Retention Offer", "Critical", 0.90, 0.65), ("Service Recovery Call", "High", 0.85, 0.55),
-           ("Payment Support Plan", "High", 0.82, 0.50), ("Upsell Premium Plan", "Medium", 0.78, 0.20),
-           ("CX Intervention", "Medium", 0.75, 0.40), ("Monitor", "Low", 0.60, 0.05)]
+from ebbtide.operators.nba import ACTIONS as _NBA_ACTIONS  # noqa: E402
+
+ACTIONS = [(a, p, c, sr) for a, p, c, sr, _reason in _NBA_ACTIONS]
 _RATE = "CASE recommendation " + " ".join(f"WHEN '{a}' THEN {s!r}::DOUBLE" for a, _, _, s in ACTIONS) + \
     " ELSE 0.05::DOUBLE END"
 NBA_CTES = [
@@ -141,15 +141,7 @@ PRIO_CTES = [
 SQL["minmax_normalize"] = with_enriched(*PRIO_CTES) + "SELECT customer_id, norm_clv, norm_complaints FROM sc"
 SQL["priority_score"] = with_enriched(*PRIO_CTES) + "SELECT customer_id, priority_score FROM sc"
 
-PRIORITY_TEXT = [
-    ("High Priority", "Immediate Retention Outreach",
-     "High priority score driven by elevated churn risk and/or CLV — "
-     "immediate personalised outreach required within 48 hours."),
-    ("Medium Priority", "Scheduled Retention Touch",
-     "Moderate risk profile warrants proactive but non-urgent retention contact within the next 2 weeks."),
-    ("Low Priority", "Routine Monitoring",
-     "Low priority score — no immediate action required; include in standard monthly monitoring cycle."),
-]
+from ebbtide.operators.priority import PRIORITY_ACTION as PRIORITY_TEXT  # noqa: E402
 
 
 def top_ctes(n: int, name: str = "pl") -> list[str]:
