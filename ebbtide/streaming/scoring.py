@@ -46,3 +46,22 @@ def start_scoring(spark: SparkSession, source_dir: str, schema, sink_dir: str, c
          .option("path", sink_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def start_scoring_refreshed(spark: SparkSession, source_dir: str, schema, sink_dir: str, customers_dir: str,
+                            available_now: bool = True, name: str = "nba-scoring-refreshed") -> StreamingQuery:
+    """As ``start_scoring``, but the CLV threshold is recomputed from the
+    batch customer table (Parquet at ``customers_dir``) for every micro-batch
+    inside ``foreachBatch`` — one aggregation per micro-batch, appended with
+    the micro-batch id so a replayed batch can be recognised."""
+    def score_batch(batch: DataFrame, batch_id: int) -> None:
+        cust = spark.read.parquet(customers_dir)
+        thr = clv_threshold(enrich(cust))                      # scalar subquery, stays in the plan
+        out = nba_recommendations(enrich(batch), thr).withColumn("risk_label", risk_label(F.col("churn_risk_score")))
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+
+    feed = spark.readStream.schema(schema).parquet(source_dir)
+    w = (feed.writeStream.foreachBatch(score_batch)
+         .option("checkpointLocation", scratch_dir(spark, f"streams/{name}")))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

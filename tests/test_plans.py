@@ -27,3 +27,13 @@ def test_filters_reach_parquet_scan(spark, sf_dir):
     from ebbtide.sources.tables import table
     df = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select("text")
     assert scan_pushdown(df) == [("[IsNotNull(role), EqualTo(role,user)]", "struct<role:string,text:string>")]
+
+
+@pytest.mark.parametrize("key", ["churn_by_region", "risk_segments", "duplicate_rows", "categorical_profile",
+                                 "strategy_summary", "intent_counts"])
+def test_grouping_combines_map_side(spark, sf_dir, key):
+    """Partial aggregation before every shuffle: a key holding a third of all
+    rows is pre-combined on each partition, never sent whole to one task."""
+    p = _plan(E.queries()[key](spark, sf_dir))
+    assert "Exchange hashpartitioning" in p
+    assert "partial_" in p
