@@ -7,13 +7,15 @@ for rounded scores, but not for a money column over billions of rows. So:
 
 * small input (<= ``EXACT_LIMIT`` rows): one ``percentile`` aggregation for
   all requested columns together;
-* large input, per column: ``percentile_approx`` brackets the target rank
-  (its rank error is at most n / accuracy, and the accuracy is chosen so a
-  bracket holds about ``BRACKET_ROWS`` rows); one aggregation counts the
-  rows below / inside each bracket; the values inside a bracket are reduced
-  to (value, count) by a hash aggregation — a value repeated a billion times
-  is one row — and a running count over those distinct values finds the
-  exact order statistics. Nothing proportional to the table meets in one task.
+* large input: four passes whatever the number of columns and quantiles —
+  (1) non-null counts per column, (2) ``percentile_approx`` brackets around
+  every target rank (rank error at most n / accuracy; the accuracy is
+  chosen so a bracket holds about ``BRACKET_ROWS`` rows), (3) rows below
+  and inside every bracket, (4) only the bracketed values, tagged (column,
+  quantile), reduced to (value, count) by a hash aggregation — a value
+  repeated a billion times is one row — and a running count per (column,
+  quantile) window finds the exact order statistics. No task ever holds
+  more than one bracket.
 
 Results are scalar-subquery ``Column`` objects, usable in any expression.
 """
@@ -49,42 +51,69 @@ def quantiles_for(df: DataFrame, exprs: list[Column], probs: list[float],
         s = df.agg(F.struct(*[F.percentile(e.cast("double"), list(probs)).alias(f"q{i}")
                               for i, e in enumerate(exprs)])).scalar()
         return [[s[f"q{i}"][j] for j in range(len(probs))] for i in range(len(exprs))]
-    return [_bracketed(df.select(e.cast("double").alias("v")).filter(F.col("v").isNotNull()), probs)
-            for e in exprs]
+    return _bracketed(df, [e.cast("double") for e in exprs], list(probs))
 
 
 def quantile_of(df: DataFrame, x: Column, p: float, exact_limit: int = EXACT_LIMIT) -> Column:
     return quantiles_for(df, [x], [p], exact_limit)[0][0]
 
 
-def _bracketed(v: DataFrame, probs: list[float]) -> list[Column]:
-    n = row_count(v)
-    if n == 0:
-        return [F.lit(None).cast("double") for _ in probs]
-    acc = int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * n / BRACKET_ROWS))))
-    eps = 2.0 / acc
-    br = v.agg(F.percentile_approx("v", [max(0.0, p - eps) for p in probs], acc).alias("lo"),
-               F.percentile_approx("v", [min(1.0, p + eps) for p in probs], acc).alias("hi")).first()
-    x = F.col("v")
-    cnt = v.agg(*[F.count(F.when(x < F.lit(br.lo[j]), 1)).alias(f"b{j}") for j in range(len(probs))],
-                *[F.count(F.when(x.between(F.lit(br.lo[j]), F.lit(br.hi[j])), 1)).alias(f"w{j}")
-                  for j in range(len(probs))]).first()
-    out = []
-    for j, p in enumerate(probs):
-        pos = p * (n - 1)
+def _bracketed(df: DataFrame, xs: list[Column], probs: list[float]) -> list[list[Column]]:
+    cells = [(i, j) for i in range(len(xs)) for j in range(len(probs))]
+    # pass 1: non-null values per column
+    ns = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
+    n = [ns[f"n{i}"] for i in range(len(xs))]
+    acc = [int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * max(k, 1) / BRACKET_ROWS)))) for k in n]
+    # pass 2: brackets [approx(p - 2/acc), approx(p + 2/acc)] for every (column, quantile)
+    br = df.agg(*[F.percentile_approx(x, [max(0.0, p - 2.0 / acc[i]) for p in probs], acc[i]).alias(f"lo{i}")
+                  for i, x in enumerate(xs)],
+                *[F.percentile_approx(x, [min(1.0, p + 2.0 / acc[i]) for p in probs], acc[i]).alias(f"hi{i}")
+                  for i, x in enumerate(xs)]).first()
+    lo = {(i, j): br[f"lo{i}"][j] if br[f"lo{i}"] else None for i, j in cells}
+    hi = {(i, j): br[f"hi{i}"][j] if br[f"hi{i}"] else None for i, j in cells}
+    live = [(i, j) for i, j in cells if n[i] > 0]
+    inside = {c: xs[c[0]].between(F.lit(lo[c]), F.lit(hi[c])) for c in live}
+    # pass 3: rows below and inside every bracket
+    cnt = df.agg(F.lit(0).alias("_"),
+                 *[F.count(F.when(xs[i] < F.lit(lo[(i, j)]), 1)).alias(f"b{i}_{j}") for i, j in live],
+                 *[F.count(F.when(inside[(i, j)], 1)).alias(f"w{i}_{j}") for i, j in live]).first()
+    target, frac, fallback = {}, {}, []
+    for i, j in live:
+        pos = probs[j] * (n[i] - 1)
         k0 = math.floor(pos)
-        k1 = min(k0 + 1, n - 1)
-        frac = pos - k0
-        below, within = cnt[f"b{j}"], cnt[f"w{j}"]
-        if not (below <= k0 and below + within >= k1 + 1):
-            # the sketch's guarantee makes this unreachable; stay exact regardless
-            out.append(v.agg(F.percentile("v", p)).scalar())
-            continue
-        inside = (v.filter(x.between(F.lit(br.lo[j]), F.lit(br.hi[j])))
-                  .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-        run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # bracket rows only
-        cum = inside.withColumn("cum", F.sum("c").over(run) + F.lit(below))
-        pick = cum.agg(F.min(F.when(F.col("cum") >= k0 + 1, x)).alias("a"),
-                       F.min(F.when(F.col("cum") >= k1 + 1, x)).alias("b"))
-        out.append(pick.select(F.col("a") + (F.col("b") - F.col("a")) * F.lit(frac)).scalar())
+        k1 = min(k0 + 1, n[i] - 1)
+        below, within = cnt[f"b{i}_{j}"], cnt[f"w{i}_{j}"]
+        if below <= k0 and below + within >= k1 + 1:
+            target[(i, j)] = (k0 - below + 1, k1 - below + 1)   # 1-based positions inside the bracket
+            frac[(i, j)] = pos - k0
+        else:
+            fallback.append((i, j))  # excluded by the sketch's guarantee; stays exact regardless
+    out = [[F.lit(None).cast("double") for _ in probs] for _ in xs]
+    for i, j in fallback:
+        out[i][j] = df.agg(F.percentile(xs[i], probs[j])).scalar()
+    if target:
+        # pass 4: only bracketed values, tagged with their (column, quantile) cell
+        tagged = F.filter(F.array(*[F.when(inside[c], F.struct(F.lit(c[0]).alias("ci"), F.lit(c[1]).alias("pj"),
+                                                                 xs[c[0]].alias("v")))
+                                    for c in target]), lambda s: s.isNotNull())
+        per = (df.select(F.explode(tagged).alias("s")).select("s.*")
+               .groupBy("ci", "pj", "v").agg(F.count(F.lit(1)).alias("c")))
+        run = Window.partitionBy("ci", "pj").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        t0 = t1 = None
+        for (i, j), (a, b) in target.items():
+            hit = (F.col("ci") == i) & (F.col("pj") == j)
+            t0 = F.when(hit, F.lit(a)) if t0 is None else t0.when(hit, F.lit(a))
+            t1 = F.when(hit, F.lit(b)) if t1 is None else t1.when(hit, F.lit(b))
+        cum = per.withColumn("cum", F.sum("c").over(run)).withColumn("t0", t0).withColumn("t1", t1)
+        picked = cum.groupBy("ci", "pj").agg(F.min(F.when(F.col("cum") >= F.col("t0"), F.col("v"))).alias("a"),
+                                             F.min(F.when(F.col("cum") >= F.col("t1"), F.col("v"))).alias("b"))
+        fr = None
+        for (i, j), f in frac.items():
+            hit = (F.col("ci") == i) & (F.col("pj") == j)
+            fr = F.when(hit, F.lit(f)) if fr is None else fr.when(hit, F.lit(f))
+        vals = picked.select(F.concat_ws(":", "ci", "pj").alias("k"),
+                             (F.col("a") + (F.col("b") - F.col("a")) * fr).alias("q"))
+        m = vals.agg(F.map_from_entries(F.collect_list(F.struct("k", "q")))).scalar()  # one entry per cell
+        for i, j in target:
+            out[i][j] = m[f"{i}:{j}"]
     return out

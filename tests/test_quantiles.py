@@ -28,3 +28,22 @@ def test_bracketed_equals_exact(frame, col):
                                              *[e.alias(f"e{i}") for i, e in enumerate(exact)]).first()
     for i in range(len(PROBS)):
         assert row[f"g{i}"] == pytest.approx(row[f"e{i}"], rel=1e-12, abs=1e-9), PROBS[i]
+
+
+def test_many_columns_at_once(frame):
+    cols = [F.col("x"), F.col("hot"), F.col("sparse"), F.col("id")]
+    got = quantiles_for(frame, cols, PROBS, exact_limit=100)
+    exact = quantiles_for(frame, cols, PROBS, exact_limit=10 ** 9)
+    flat_g = [g for row in got for g in row]
+    flat_e = [e for row in exact for e in row]
+    row = frame.sparkSession.range(1).select(*[g.alias(f"g{i}") for i, g in enumerate(flat_g)],
+                                             *[e.alias(f"e{i}") for i, e in enumerate(flat_e)]).first()
+    for i in range(len(flat_g)):
+        assert row[f"g{i}"] == pytest.approx(row[f"e{i}"], rel=1e-12, abs=1e-9), i
+
+
+def test_all_null_column(spark):
+    df = spark.createDataFrame([(i, None) for i in range(300)], "id long, z double")
+    got = quantiles_for(df, [F.col("z"), F.col("id")], [0.5], exact_limit=10)
+    row = spark.range(1).select(got[0][0].alias("z"), got[1][0].alias("id")).first()
+    assert row["z"] is None and row["id"] == 149.5
