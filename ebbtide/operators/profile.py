@@ -78,12 +78,24 @@ def column_catalog(df: DataFrame, exact: bool = True, batch: int = 16) -> DataFr
     return out
 
 
+def null_catalog(df: DataFrame) -> DataFrame:
+    """column, null_count, null_pct (2 dp, as in ``column_catalog``) — one
+    aggregation of plain counts, no distinct counts and so no ``Expand``. For
+    callers that only need nulls (issues, rating, summary, top missing)."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(f"_z{i}") for i, c in enumerate(df.columns)])
+    structs = [F.struct(F.lit(c).alias("column"), F.col(f"_z{i}").alias("null_count"),
+                        r(F.col(f"_z{i}") / F.greatest(F.col("_n"), F.lit(1)) * F.lit(100.0), 2).alias("null_pct"))
+               for i, c in enumerate(df.columns)]
+    return _rows(one, structs)
+
+
 def missing_report(df: DataFrame, exact: bool = True) -> DataFrame:
     return column_catalog(df, exact).filter(F.col("null_count") > 0)
 
 
 def top_missing(df: DataFrame, k: int = 5) -> DataFrame:
-    return (missing_report(df).select("column", F.col("null_pct").alias("missing_pct"))
+    return (null_catalog(df).filter(F.col("null_count") > 0).select("column", F.col("null_pct").alias("missing_pct"))
             .orderBy(F.desc("missing_pct"), F.asc("column")).limit(k))
 
 
@@ -200,7 +212,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
     """
     pos = {c: i for i, c in enumerate(df.columns)}
     pos_of = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
-    miss = (column_catalog(df).filter(F.col("null_pct") > F.lit(HIGH_MISSING_PCT))
+    miss = (null_catalog(df).filter(F.col("null_pct") > F.lit(HIGH_MISSING_PCT))
             .select(F.lit(0).alias("grp"), pos_of[F.col("column")].alias("pos"),
                     F.lit("high_missing").alias("issue_type"), "column",
                     F.col("null_count").alias("count"), r(F.col("null_pct"), 1).alias("pct")))
@@ -224,10 +236,8 @@ def quality_issues(df: DataFrame) -> DataFrame:
 def data_quality_rating(df: DataFrame) -> DataFrame:
     """Good: no column > 10 % null and no duplicates; Fair: at most two such
     columns; Poor otherwise."""
-    cat = column_catalog(df)
-    hi = cat.agg(F.count(F.when(F.col("null_pct") > F.lit(RATING_NULL_PCT), F.lit(1))).alias("high_null_columns"))
-    dup = duplicate_rows(df)
-    return (hi.crossJoin(dup)
+    hi = null_catalog(df).agg(F.count(F.when(F.col("null_pct") > F.lit(RATING_NULL_PCT), F.lit(1)))).scalar()
+    return (duplicate_rows(df).withColumn("high_null_columns", hi)
             .withColumn("rating", F.when((F.col("high_null_columns") == 0) & (F.col("duplicate_rows") == 0),
                                          F.lit("Good"))
                         .when(F.col("high_null_columns") <= 2, F.lit("Fair")).otherwise(F.lit("Poor")))
@@ -237,9 +247,8 @@ def data_quality_rating(df: DataFrame) -> DataFrame:
 def dataset_profile_summary(df: DataFrame) -> DataFrame:
     """Row and column counts, numeric / categorical split, duplicates and the
     number of columns with any null, as one row."""
-    cat = column_catalog(df)
-    miss = cat.agg(F.count(F.when(F.col("null_count") > 0, F.lit(1))).alias("columns_with_missing"))
-    return (duplicate_rows(df).crossJoin(miss)
+    miss = null_catalog(df).agg(F.count(F.when(F.col("null_count") > 0, F.lit(1)))).scalar()
+    return (duplicate_rows(df).withColumn("columns_with_missing", miss)
             .select("total_rows", F.lit(len(df.columns)).alias("total_columns"),
                     F.lit(len(numeric_columns(df))).cast("bigint").alias("numeric_columns"),
                     F.lit(len(categorical_columns(df))).cast("bigint").alias("categorical_columns"),
