@@ -102,13 +102,16 @@ def effective_threshold(df: DataFrame, threshold: float) -> Column:
 def at_risk_auto_threshold(df: DataFrame, thresholds: list[float]) -> DataFrame:
     """One row per input threshold: effective threshold, adjusted flag, cohort size."""
     risk = _num(df, RISK_ALIASES, 0.0)
+    effs = {float(t): effective_threshold(df, t) for t in thresholds}  # one subquery per distinct threshold
+    names = {t: f"_eff{k}" for k, t in enumerate(effs)}
+    x = df.select(risk.alias("_risk"), *[effs[t].alias(names[t]) for t in effs])
     aggs = []
-    for i, t in enumerate(thresholds):
-        eff = effective_threshold(df, t)
+    for t in thresholds:
+        eff = F.col(names[float(t)])
         aggs.append(F.struct(F.lit(float(t)).alias("input_threshold"), F.first(eff).alias("effective_threshold"),
                              (F.first(eff) != F.lit(float(t))).alias("adjusted"),
-                             F.count(F.when(risk >= eff, 1)).alias("cohort_size")))
-    return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+                             F.count(F.when(F.col("_risk") >= eff, 1)).alias("cohort_size")))
+    return x.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
 def row_text_search(df: DataFrame, term: str) -> DataFrame:

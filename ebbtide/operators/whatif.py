@@ -80,12 +80,16 @@ def campaign_grid(df: DataFrame, scenarios: list[Scenario], batch: int = GRID_BA
                        F.sum(fee.cast("decimal(18,2)")).alias("_fee"),
                        F.sum(risk.cast("decimal(18,4)")).alias("_rsum"))
                   .checkpoint(eager=True))
+    # each distinct threshold is one projected column: the aggregates below
+    # refer to it instead of repeating its subquery (keeps planning small)
+    names = {t: f"_eff{k}" for k, t in enumerate(effs)}
+    base = base.select("*", *[effs[t].alias(names[t]) for t in effs])
     parts = []
     for lo in range(0, len(scenarios), batch):
         aggs = []
         for i in range(lo, min(lo + batch, len(scenarios))):
             s = scenarios[i]
-            eff = effs[float(s.risk_threshold)]
+            eff = F.col(names[float(s.risk_threshold)])
             hit = (F.col("_risk") >= eff) & segment_predicate(base, s.target_segment)
             aggs.append(F.struct(
                 F.lit(i).alias("scenario_id"), F.lit(s.target_segment).alias("target_segment"),
