@@ -183,16 +183,21 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """
     cols = cols if cols is not None else numeric_columns(df)
     qs = quantiles_for(df, [F.col(c) for c in cols], [0.25, 0.75])
-    q1 = [r(qs[i][0], THRESHOLD_DP) for i in range(len(cols))]
-    q3 = [r(qs[i][1], THRESHOLD_DP) for i in range(len(cols))]
+    # quartiles projected once as columns; the fences and the aggregation refer
+    # to them instead of repeating the subqueries in every expression
+    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
+                  *[r(qs[i][0], THRESHOLD_DP).alias(f"_q1{i}") for i in range(len(cols))],
+                  *[r(qs[i][1], THRESHOLD_DP).alias(f"_q3{i}") for i in range(len(cols))])
+    q1 = [F.col(f"_q1{i}") for i in range(len(cols))]
+    q3 = [F.col(f"_q3{i}") for i in range(len(cols))]
     lo = [q1[i] - F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
     hi = [q3[i] + F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(F.when((x < lo[i]) | (x > hi[i]), F.lit(1))).alias(f"_o{i}"),
+    for i in range(len(cols)):
+        v = F.col(f"_x{i}")
+        aggs += [F.count(F.when((v < lo[i]) | (v > hi[i]), F.lit(1))).alias(f"_o{i}"),
                  F.first(lo[i]).alias(f"_lo{i}"), F.first(hi[i]).alias(f"_hi{i}")]
-    one = df.agg(*aggs)
+    one = x.agg(*aggs)
     cut = F.greatest(F.lit(float(OUTLIER_MIN_COUNT)), F.col("_n") * F.lit(OUTLIER_MIN_FRAC))
     structs = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
                         r(F.col(f"_lo{i}"), THRESHOLD_DP).alias("lower_fence"),
