@@ -34,11 +34,8 @@ PRIORITY_ACTION = [
 ]
 
 
-def minmax(df: DataFrame, x: Column) -> Column:
-    """Min-max scale to [0,1] with min/max as one scalar subquery;
-    nulls count as 0 and a zero range gives all zeros."""
-    b = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = b["lo"], b["hi"]
+def scaled(x: Column, lo: Column, hi: Column) -> Column:
+    """Min-max scale to [0,1]; nulls count as 0 and a zero range gives all zeros."""
     return F.when(hi > lo, clip((x - lo) / (hi - lo), 0.0, 1.0)).otherwise(F.lit(0.0))
 
 
@@ -48,7 +45,13 @@ def scored(df: DataFrame) -> DataFrame:
     clv = _num(df, CLV_ALIASES, 0.0)
     comp_c = find_col(df, COMPLAINT_ALIASES)
     comp = safe_numeric(F.col(comp_c), 0.0) if comp_c else F.lit(0.0)
-    n_clv, n_comp = minmax(df, clv), minmax(df, comp)
+    # bounds of both columns: one aggregation, one scalar subquery, projected once
+    # as a struct column that the expressions below refer to
+    bounds = df.select(F.struct(F.min(clv).alias("lo_clv"), F.max(clv).alias("hi_clv"),
+                                F.min(comp).alias("lo_comp"), F.max(comp).alias("hi_comp"))).scalar()
+    df = df.select("*", bounds.alias("_b"))
+    n_clv = scaled(clv, F.col("_b.lo_clv"), F.col("_b.hi_clv"))
+    n_comp = scaled(comp, F.col("_b.lo_comp"), F.col("_b.hi_comp"))
     score = r(clip(risk * F.lit(W_RISK) + n_clv * F.lit(W_CLV) + n_comp * F.lit(W_COMPLAINTS), 0.0, 1.0), 4)
     cid, reg = find_col(df, ID_ALIASES), find_dim(df, "region")
     seg, plan = find_dim(df, "customer_segment"), find_dim(df, "plan_type")
