@@ -221,16 +221,42 @@ def churn_drivers(df: DataFrame) -> DataFrame:
     sat_avg = r(F.coalesce(davg(_num(df, SAT_ALIASES), 1), F.lit(0.0)), 4)
     rate = r(ratio(count_if(churn_flag(df)), n) * F.lit(100.0), 2)
     nulld = F.lit(None).cast("double")
-    metrics = df.agg(
+    metrics = [
         (r(count_if(safe_numeric(F.col(tenure)) < 6.0) / n.cast("double") * F.lit(100.0), 2) if tenure else nulld)
         .alias("pct_new"),
         (r(davg(safe_numeric(F.col(comp)), 4), 4) if comp else nulld).alias("avg_comp"),
         (r(count_if(safe_numeric(F.col(pay)) > 0.0) / n.cast("double") * F.lit(100.0), 2) if pay else nulld)
         .alias("pct_pay"),
-        sat_avg.alias("avg_sat"), rate.alias("churn_pct"))
-    seg = _worst(churn_breakdown(df, "customer_segment"), "customer_segment")
-    reg = _worst(churn_breakdown(df, "region"), "region")
-    m = metrics.withColumn("seg", seg).withColumn("reg", reg)
+        sat_avg.alias("avg_sat"), rate.alias("churn_pct")]
+    # ONE scan: grouping sets () / (segment) / (region) in one aggregation with
+    # map-side partial aggregation (the Expand x3 stays inside the scan stage,
+    # only one row per group and partition is shuffled); the portfolio metrics
+    # come from the () row, the worst groups from the per-dimension rows.
+    dims = {k: find_dim(df, k) for k in ("customer_segment", "region")}
+    dims = {k: c for k, c in dims.items() if c is not None and find_col(df, CHURN_ALIASES) is not None}
+    cols = list(dict.fromkeys(dims.values()))
+    g = (df.groupingSets([[]] + [[F.col(c)] for c in cols], *[F.col(c) for c in cols])
+           .agg(*metrics, r(F.avg(churn_value(df)) * F.lit(100.0), 2).alias("_rate"),
+                *[F.grouping(F.col(c)).alias(f"_g{i}") for i, c in enumerate(cols)]))
+    total = F.lit(True)
+    for i in range(len(cols)):
+        total = total & (F.col(f"_g{i}") == 1)
+    # an empty input has no () row: its metrics stay null, the satisfaction average 0 as above
+    picks = [F.max(F.when(total, F.col(c))).alias(c) for c in ("pct_new", "avg_comp", "pct_pay", "churn_pct")]
+    picks.append(F.coalesce(F.max(F.when(total, F.col("avg_sat"))), F.lit(0.0)).alias("avg_sat"))
+    for name, k in (("seg", "customer_segment"), ("reg", "region")):
+        if k in dims:
+            i, key = cols.index(dims[k]), F.col(dims[k]).cast("string")
+            own = (F.col(f"_g{i}") == 0) & key.isNotNull()
+            for j in range(len(cols)):
+                if j != i:
+                    own = own & (F.col(f"_g{j}") == 1)
+            # highest rate first, ties: smallest key (as _worst)
+            picks.append(F.min_by(F.struct(key.alias("k"), F.col("_rate").alias("v")),
+                                  F.when(own, F.struct((-F.col("_rate")).alias("o"), key))).alias(name))
+        else:
+            picks.append(F.lit(None).cast("struct<k:string,v:double>").alias(name))
+    m = g.agg(*picks)  # one row: the aggregation above has one row per group
     above = r((F.col("seg.v") - F.col("churn_pct")) / F.greatest(F.col("churn_pct"), F.lit(0.01)) * F.lit(100.0), 2)
     def row(o, driver, subject, value, threshold, fired):
         return F.struct(F.lit(o).alias("ord"), F.lit(driver).alias("driver"),

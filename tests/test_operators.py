@@ -173,3 +173,9 @@ def test_segment_totals_within_global(customers):
     seg = kpis.risk_segments(customers).agg(F.sum("customer_count").alias("n"), F.sum("total_clv").alias("clv")).first()
     tot = customers.agg(F.count(F.lit(1)).alias("n")).first()
     assert seg["n"] <= tot["n"]
+
+
+def test_churn_drivers_empty_input(spark, sf_dir):
+    from ebbtide.sources.fixtures import customers
+    rows = kpis.churn_drivers(customers(spark, sf_dir).limit(0)).collect()
+    assert len(rows) == 6 and not any(r["fired"] for r in rows) and not any(r["kept"] for r in rows)

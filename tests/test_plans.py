@@ -37,3 +37,17 @@ def test_grouping_combines_map_side(spark, sf_dir, key):
     p = _plan(E.queries()[key](spark, sf_dir))
     assert "Exchange hashpartitioning" in p
     assert "partial_" in p
+
+
+@pytest.mark.parametrize("key", ["churn_drivers", "campaign_grid", "priority_list", "iqr_outliers"])
+def test_scan_count_bounded(spark, sf_dir, key):
+    """Portfolio metrics and both worst-group breakdowns come from one
+    grouping-sets pass; thresholds, bounds and fences are each one subquery,
+    projected once, not repeated per expression."""
+    import re
+    df = E.queries()[key](spark, sf_dir)
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    txt = df._jdf.queryExecution().explainString(mode)
+    scans = len(re.findall(r"^\(\d+\) Scan parquet", txt, re.M))
+    limit = {"churn_drivers": 1, "campaign_grid": 5, "priority_list": 2, "iqr_outliers": 7}[key]
+    assert scans <= limit, (key, scans)
