@@ -374,29 +374,42 @@ def adhoc_insights(df: DataFrame, top: int = 5) -> DataFrame:
     reg = find_col_containing(df, ("region",), ("city",), ("location",), ("state",))
     seg = find_col_containing(df, ("segment",), ("tier",), ("plan_type",), ("plantype",))
     cv = safe_numeric(F.col(churn))
-    portfolio = df.agg(F.struct(
-        r(F.avg(cv) * F.lit(100.0), 2).alias("churn_pct"),
-        F.sum(cv).cast("double").alias("churned"),
-        (r(F.coalesce(dsum(F.when(cv == 1.0, safe_numeric(F.col(clv))), 2), F.lit(0.0)), 2) if clv
-         else F.lit(None).cast("double")).alias("churned_clv"))).scalar()
-    parts = []
-    for dim, c in (("region", reg), ("segment", seg)):
-        if c is None:
-            continue
-        g = (df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("grp"))
-               .agg(r(F.avg(cv) * F.lit(100.0), 2).alias("churn_pct"), F.count(F.lit(1)).alias("n")))
-        w = Window.orderBy(F.desc("churn_pct"), F.asc("grp"))
-        parts.append(g.withColumn("rank", F.row_number().over(w))
-                      .withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy()))
-                      .filter(F.col("rank") <= top)
-                      .withColumn("dimension", F.lit(dim)).withColumn("column", F.lit(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.withColumn("p", portfolio)
+    dims = [(dim, c) for dim, c in (("region", reg), ("segment", seg)) if c is not None]
+    cols = list(dict.fromkeys(c for _, c in dims))
+    # ONE scan: grouping sets () / (region) / (segment), partial aggregation
+    # map-side; the () row carries the portfolio figures
+    g = (df.groupingSets([[]] + [[F.col(c)] for c in cols], *[F.col(c) for c in cols])
+           .agg(r(F.avg(cv) * F.lit(100.0), 2).alias("churn_pct"), F.count(F.lit(1)).alias("n"),
+                F.sum(cv).cast("double").alias("churned"),
+                (r(F.coalesce(dsum(F.when(cv == 1.0, safe_numeric(F.col(clv))), 2), F.lit(0.0)), 2) if clv
+                 else F.lit(None).cast("double")).alias("churned_clv"),
+                *[F.grouping(F.col(c)).alias(f"_g{i}") for i, c in enumerate(cols)]))
+
+    def only(i: int | None) -> Column:
+        """Rows of the grouping set on column ``i`` (None: the () set)."""
+        cond = F.lit(True)
+        for j in range(len(cols)):
+            cond = cond & (F.col(f"_g{j}") == (0 if j == i else 1))
+        return cond
+
+    whole = Window.partitionBy()  # over the aggregated groups only
+    total = only(None)
+    g = g.select("*", *[F.max(F.when(total, F.col(c))).over(whole).alias(f"p_{c}")
+                        for c in ("churn_pct", "churned", "churned_clv")])
+    rows = []
+    for dim, c in dims:
+        key = F.col(c).cast("string")
+        rows.append(F.when(only(cols.index(c)) & key.isNotNull(),
+                           F.struct(F.lit(dim).alias("dimension"), F.lit(c).alias("column"), key.alias("grp"),
+                                    "churn_pct", "n", "p_churn_pct", "p_churned", "p_churned_clv")))
+    per = g.select(F.explode(F.array(*rows)).alias("x")).filter(F.col("x").isNotNull()).select("x.*")
+    rank_w = Window.partitionBy("dimension").orderBy(F.desc("churn_pct"), F.asc("grp"))
+    return (per.withColumn("rank", F.row_number().over(rank_w))
+               .withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("dimension")))
+               .filter(F.col("rank") <= top)
                .select("dimension", "column", "rank", "grp", "churn_pct", "n", "groups",
-                       F.col("p.churn_pct").alias("portfolio_churn_pct"), F.col("p.churned").alias("churned_total"),
-                       F.col("p.churned_clv").alias("churned_clv")))
+                       F.col("p_churn_pct").alias("portfolio_churn_pct"), F.col("p_churned").alias("churned_total"),
+                       F.col("p_churned_clv").alias("churned_clv")))
 
 
 def adhoc_numeric_fallback(df: DataFrame, k: int = 3) -> DataFrame:
