@@ -33,33 +33,43 @@ def enrich(df: DataFrame) -> DataFrame:
     have = {c.lower() for c in df.columns}
     mc, tm = raw(df, "monthlycharges"), raw(df, "tenuremonths")
     pdl, st = raw(df, "paymentdelaydays"), raw(df, "supporttickets")
-    out = df
+    new = {}  # added in this order, in ONE projection (one analysis, not one per column)
     if "estimated_clv" not in have:
-        out = out.withColumn("estimated_clv", r(mc * tm, 2))
+        new["estimated_clv"] = r(mc * tm, 2)
     if "churn_risk_score" not in have:
         z = F.lit(RISK_W_DELAY) * pdl + F.lit(RISK_W_TICKETS) * st + F.lit(RISK_BIAS)
-        out = out.withColumn("churn_risk_score", r(sigmoid(z), 4))
+        new["churn_risk_score"] = r(sigmoid(z), 4)
     if "satisfaction_score" not in have:
-        out = out.withColumn("satisfaction_score", r(F.lit(10.0) - clip(pdl / F.lit(10.0), 0.0, 9.0), 1))
+        new["satisfaction_score"] = r(F.lit(10.0) - clip(pdl / F.lit(10.0), 0.0, 9.0), 1)
     if "upsell_probability" not in have:
         plan = find_col(df, ["plantype"])
-        up = (F.when(F.lower(F.col(plan)) == "standard", F.lit(UPSELL_STANDARD)).otherwise(F.lit(UPSELL_OTHER))
-              if plan else F.lit(UPSELL_NO_PLAN))
-        out = out.withColumn("upsell_probability", up)
+        new["upsell_probability"] = (F.when(F.lower(F.col(plan)) == "standard", F.lit(UPSELL_STANDARD))
+                                     .otherwise(F.lit(UPSELL_OTHER)) if plan else F.lit(UPSELL_NO_PLAN))
     if "retention_offer_cost" not in have:
-        clv = find_col(out, ["estimated_clv"])
-        out = out.withColumn("retention_offer_cost", r(F.col(clv).try_cast("double") * F.lit(OFFER_COST_RATE), 2))
+        clv_c = find_col(df, ["estimated_clv"])
+        clv = F.col(clv_c).try_cast("double") if clv_c else new["estimated_clv"]
+        new["retention_offer_cost"] = r(clv * F.lit(OFFER_COST_RATE), 2)
     if "complaints_90d" not in have:
-        out = out.withColumn("complaints_90d", st.cast("bigint"))
+        new["complaints_90d"] = st.cast("bigint")
     if "payment_failures_12m" not in have:
-        out = out.withColumn("payment_failures_12m", (pdl > F.lit(30.0)).cast("bigint"))
+        new["payment_failures_12m"] = (pdl > F.lit(30.0)).cast("bigint")
     if "region" not in have and "city" in have:
-        out = out.withColumn("region", F.col(find_col(df, ["city"])))
+        new["region"] = F.col(find_col(df, ["city"]))
     if "customer_segment" not in have and "plantype" in have:
-        out = out.withColumn("customer_segment", F.col(find_col(df, ["plantype"])))
-    return out
+        new["customer_segment"] = F.col(find_col(df, ["plantype"]))
+    return df.withColumns(new) if new else df
+
+
+_ENRICHED: dict[tuple[str, str], DataFrame] = {}
 
 
 def enriched_customers(spark, sf_dir: str) -> DataFrame:
+    """The enriched customers table; the DataFrame (an immutable plan over the
+    table written once per session) is built once per session and folder."""
+    import os
+
     from ebbtide.sources.fixtures import customers
-    return enrich(customers(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _ENRICHED:
+        _ENRICHED[key] = enrich(customers(spark, sf_dir))
+    return _ENRICHED[key]

@@ -112,7 +112,7 @@ def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MATERIALIZED: dict[tuple[str, str], str] = {}
+_MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
 
 
 def customers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -128,9 +128,8 @@ def customers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
     if not materialize:
         return derive_customers(spark, sf_dir)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    path = _MATERIALIZED.get(key)
-    if path is None:
+    if key not in _MATERIALIZED:
         path = scratch_dir(spark, f"tables/customers-{uuid.uuid4().hex}")
         derive_customers(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
-    return spark.read.parquet(path)
+        _MATERIALIZED[key] = spark.read.parquet(path)  # files listed once; the plan is immutable
+    return _MATERIALIZED[key]
