@@ -191,11 +191,14 @@ def enhanced_kpis(df: DataFrame) -> DataFrame:
     clv, risk = _num(df, CLV_ALIASES, 0.0), _num(df, RISK_ALIASES, 0.0)
     n = F.count(F.lit(1))
     conc = churn_concentration(df).select(F.struct("*").alias("c")).scalar()
-    hv = count_if(clv > thr_clv)
-    return (df.agg(*kpi_aggs(df),
-                   r(F.coalesce(dsum(F.when(risk >= thr_risk, clv), 2), F.lit(0.0)), 4).alias("biz_revenue_at_risk"),
-                   hv.alias("high_value_customers"),
-                   r(ratio(hv, n) * F.lit(100.0), 2).alias("high_value_pct"))
+    # both thresholds projected once; the aggregation refers to the columns
+    x = df.select("*", thr_risk.alias("_thr_risk"), thr_clv.alias("_thr_clv"))
+    hv = count_if(clv > F.col("_thr_clv"))
+    return (x.agg(*kpi_aggs(df),
+                  r(F.coalesce(dsum(F.when(risk >= F.col("_thr_risk"), clv), 2), F.lit(0.0)), 4)
+                  .alias("biz_revenue_at_risk"),
+                  hv.alias("high_value_customers"),
+                  r(ratio(hv, n) * F.lit(100.0), 2).alias("high_value_pct"))
               .withColumn("conc", conc)
               .select("*", F.col("conc.top_region").alias("top_region"),
                       F.col("conc.customer_count").alias("top_region_count"),
