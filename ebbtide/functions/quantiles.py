@@ -65,12 +65,13 @@ def _bracketed(df: DataFrame, xs: list[Column], probs: list[float]) -> list[list
     n = [ns[f"n{i}"] for i in range(len(xs))]
     acc = [int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * max(k, 1) / BRACKET_ROWS)))) for k in n]
     # pass 2: brackets [approx(p - 2/acc), approx(p + 2/acc)] for every (column, quantile)
-    br = df.agg(*[F.percentile_approx(x, [max(0.0, p - 2.0 / acc[i]) for p in probs], acc[i]).alias(f"lo{i}")
-                  for i, x in enumerate(xs)],
-                *[F.percentile_approx(x, [min(1.0, p + 2.0 / acc[i]) for p in probs], acc[i]).alias(f"hi{i}")
+    # one sketch per column answers both ends of every bracket
+    k = len(probs)
+    br = df.agg(*[F.percentile_approx(x, [max(0.0, p - 2.0 / acc[i]) for p in probs]
+                                      + [min(1.0, p + 2.0 / acc[i]) for p in probs], acc[i]).alias(f"b{i}")
                   for i, x in enumerate(xs)]).first()
-    lo = {(i, j): br[f"lo{i}"][j] if br[f"lo{i}"] else None for i, j in cells}
-    hi = {(i, j): br[f"hi{i}"][j] if br[f"hi{i}"] else None for i, j in cells}
+    lo = {(i, j): br[f"b{i}"][j] if br[f"b{i}"] else None for i, j in cells}
+    hi = {(i, j): br[f"b{i}"][k + j] if br[f"b{i}"] else None for i, j in cells}
     live = [(i, j) for i, j in cells if n[i] > 0]
     inside = {c: xs[c[0]].between(F.lit(lo[c]), F.lit(hi[c])) for c in live}
     # pass 3: rows below and inside every bracket
@@ -93,10 +94,12 @@ def _bracketed(df: DataFrame, xs: list[Column], probs: list[float]) -> list[list
         out[i][j] = df.agg(F.percentile(xs[i], probs[j])).scalar()
     if target:
         # pass 4: only bracketed values, tagged with their (column, quantile) cell
-        tagged = F.filter(F.array(*[F.when(inside[c], F.struct(F.lit(c[0]).alias("ci"), F.lit(c[1]).alias("pj"),
-                                                                 xs[c[0]].alias("v")))
-                                    for c in target]), lambda s: s.isNotNull())
-        per = (df.select(F.explode(tagged).alias("s")).select("s.*")
+        # explode + row filter (both inside whole-stage codegen) rather than a
+        # lambda filter on the array (higher-order functions are interpreted)
+        tagged = F.array(*[F.when(inside[c], F.struct(F.lit(c[0]).alias("ci"), F.lit(c[1]).alias("pj"),
+                                                        xs[c[0]].alias("v")))
+                           for c in target])
+        per = (df.select(F.explode(tagged).alias("s")).filter(F.col("s").isNotNull()).select("s.*")
                .groupBy("ci", "pj", "v").agg(F.count(F.lit(1)).alias("c")))
         run = Window.partitionBy("ci", "pj").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         t0 = t1 = None
