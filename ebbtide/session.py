@@ -9,16 +9,21 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "ebbtide",
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, local_memory: str = "8g") -> SparkSession:
     """Build (or reuse) a session.
 
-    ``master`` is only set when given: on a cluster the launcher decides it.
+    ``master`` is only set when given: on a cluster the launcher decides it
+    (and the executor / driver sizes). On a local master the driver JVM is
+    also the only executor, so it gets ``local_memory`` of heap instead of
+    the 1 GB default (applies when this call starts the JVM).
     Shuffle partitions default to Spark's own value unless given; AQE then
     coalesces small partitions and splits skewed ones at runtime.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local") and local_memory:
+            b = b.config("spark.driver.memory", local_memory)
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.session.timeZone", "UTC")
