@@ -97,3 +97,15 @@ def test_enrich_keeps_present_columns_and_fills(spark):
     assert row["estimated_clv"] == 0.0             # charges null -> 0, tenure text -> 12
     assert row["upsell_probability"] == 0.4        # no plan column
     assert row["payment_failures_12m"] == 0
+
+
+def test_enrich_offer_cost_from_present_clv(spark):
+    """estimated_clv present (as text): the offer cost reads it, a non-number gives null."""
+    df = spark.createDataFrame([("a", "250.5"), ("b", "n/a")], "customer_id string, estimated_clv string")
+    out = enrich(df)
+    rows = {r["customer_id"]: r.asDict() for r in out.collect()}
+    assert rows["a"]["retention_offer_cost"] == 25.05 and rows["a"]["estimated_clv"] == "250.5"
+    assert rows["b"]["retention_offer_cost"] is None
+    # derived columns are appended after the input columns, in their fixed order
+    assert out.columns[:3] == ["customer_id", "estimated_clv", "churn_risk_score"]
+    assert out.columns[-3:] == ["retention_offer_cost", "complaints_90d", "payment_failures_12m"]
