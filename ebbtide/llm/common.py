@@ -81,19 +81,26 @@ def read_range(uri: str, start: int = 0, length: int | None = None) -> bytes:
 MANIFEST = "block long, uri string, n_docs long, n_bytes long"
 
 
-def pack_block(ids: list[int | None], texts: list[bytes]) -> bytes:
-    """ids (null allowed) and texts to one compressed byte string."""
+def pack_block(ids: list[int | None], texts: list[bytes], rows: list[pa.RecordBatch] | None = None) -> bytes:
+    """ids (null allowed), texts and whole rows to one compressed byte string."""
     n = len(ids)
     known = np.array([i is not None for i in ids], dtype=np.uint8)
     arr = np.array([0 if i is None else i for i in ids], dtype=np.int64)
     lens = np.array([len(t) for t in texts], dtype=np.int64)
-    raw = b"".join([struct.pack("<q", n), known.tobytes(), arr.tobytes(), lens.tobytes(), *texts])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    z = zstandard.ZstdCompressor(level=1)
+    first = z.compress(b"".join([struct.pack("<q", n), known.tobytes(), arr.tobytes(), lens.tobytes(), *texts]))
+    sink = pa.BufferOutputStream()
+    if rows:
+        with pa.ipc.new_stream(sink, rows[0].schema) as w:
+            for r in rows:
+                w.write_batch(r)
+    return struct.pack("<q", len(first)) + first + z.compress(sink.getvalue().to_pybytes())
 
 
 def read_block(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """(known, ids, starts, bytes) of a block; text i is bytes[starts[i]:starts[i + 1]]."""
-    raw = zstandard.ZstdDecompressor().decompress(read_range(uri))
+    head = struct.unpack("<q", read_range(uri, 0, 8))[0]
+    raw = zstandard.ZstdDecompressor().decompress(read_range(uri, 8, head))
     n = struct.unpack_from("<q", raw)[0]
     known = np.frombuffer(raw, np.uint8, n, 8).astype(bool)
     ids = np.frombuffer(raw, np.int64, n, 8 + n)
@@ -103,41 +110,56 @@ def read_block(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return known, ids, starts, raw[8 + 17 * n:]
 
 
-def write_blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES, order=None) -> DataFrame:
+def read_rows(uri: str) -> pa.Table:
+    """The whole rows of a block written with ``whole_rows``."""
+    head = struct.unpack("<q", read_range(uri, 0, 8))[0]
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(read_range(uri, 8 + head))).read_all()
+
+
+def write_blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> DataFrame:
     """Pack (doc_id, text) into block files, reading the input once and without
-    a shuffle; returns the written manifest. Null texts count as empty.
+    a shuffle; returns the written manifest. Null texts count as empty. With
+    ``whole_rows`` the block also holds all other columns of its rows.
 
     A block is closed when it holds ``block_bytes`` of text, so one longer text
     is a block of its own."""
     spark = docs.sparkSession
     folder = scratch(spark, name)
+    others = [c for c in docs.columns if c != "text"] if whole_rows else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
         texts: list[bytes] = []
+        rows: list[pa.RecordBatch] = []
         size = 0
 
         def flush():
-            nonlocal ids, texts, size, seq
+            nonlocal ids, texts, rows, size, seq
             uri = f"{folder}/block-{part:06d}-{seq:06d}-{uuid.uuid4().hex}"
-            write_file(uri, pack_block(ids, texts))
+            write_file(uri, pack_block(ids, texts, rows))
             row = {"block": [(part << 24) | seq], "uri": [uri], "n_docs": [len(ids)], "n_bytes": [size]}
-            ids, texts, size, seq = [], [], 0, seq + 1
+            ids, texts, rows, size, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            more = pa.RecordBatch.from_arrays(b.columns[2:], names=others) if others else None
+            last = 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())):
                 ids.append(i)
                 texts.append(t or b"")
                 size += len(texts[-1])
+                if size >= block_bytes or k == b.num_rows - 1:
+                    if more is not None:
+                        rows.append(more.slice(last, k + 1 - last))
+                    last = k + 1
                 if size >= block_bytes:
                     yield flush()
         if ids:
             yield flush()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("string").alias("_text"), *others)
     return materialise(src.mapInArrow(pack, MANIFEST), f"{name}-manifest")
 
 
@@ -147,8 +169,3 @@ def spread(manifest: DataFrame) -> tuple[DataFrame, int, int]:
     n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     tasks = max(1, min(n, max(partitions(manifest.sparkSession), n // 2)))
     return manifest.repartition(tasks), n, size
-
-
-def split_sorted(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bounds of each bucket in ``keys`` sorted by bucket number."""
-    return np.searchsorted(keys, np.arange(n_buckets + 1))

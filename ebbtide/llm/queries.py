@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbtide.llm.common import table
+from ebbtide.llm.mixing import mix
+from ebbtide.llm.packing import pack
 from ebbtide.llm.quality_rules import quality_rules
 from ebbtide.llm.simhash import simhash_groups
 from ebbtide.llm.suffix_dedup import suffix_dedup
@@ -17,11 +19,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Production parameters of the mix: a domain for each source, node weights by
+#: level, the share of all tokens to draw, and how often a document may be drawn.
+DOMAINS = {**{f"src{k}": "web" for k in range(8)}, **{f"src{k}": "books" for k in range(8, 14)}}
+MIX_WEIGHTS = {"domain": {"web": 5.0, "books": 3.0, "other": 2.0},
+               "lang": {"en": 6.0, "de": 1.5, "fr": 1.5, "es": 1.0},
+               "source": {"src0": 3.0, "src8": 2.0}}
+MIX_BUDGET = 0.8
+MIX_EPOCHS = 2
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX_BUDGET, MIX_WEIGHTS, DOMAINS, MIX_EPOCHS)
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import materialise, read_block, spread, write_blocks
+from ebbtide.llm.common import materialise, read_block, read_rows, spread, write_blocks
 
 LENGTH = 50
 WIDTH = 20
@@ -425,51 +425,32 @@ RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
           "span_starts array<long>, span_ends array<long>")
 
 
-def _cut_rows(work: DataFrame, n_buckets: int, n_parts: int, length: int, width: int, texts: bool) -> DataFrame:
-    """The result rows from (block, uri, bucket, bits, part, least)."""
+def _cut_blocks(work: DataFrame, n_buckets: int, n_parts: int, length: int, width: int, finish, schema) -> DataFrame:
+    """``finish(uri, block, mask)`` for each block of (block, uri, bucket, bits, part,
+    least), with the mask of the bytes that go."""
     def run(t: pa.Table) -> pa.Table:
-        block = read_block(t.column("uri")[0].as_py())
-        known, ids, starts, data = block
+        uri = t.column("uri")[0].as_py()
+        block = read_block(uri)
         runs = _surviving(block, _bits_by_block(t), n_buckets, length, width)
         least = {p: _unpack_least(v) for p, v in zip(t.column("part").to_pylist(), t.column("least").to_pylist())
                  if v is not None}
-        cut = _cut_block(block, runs, least, n_parts, length)
-        raw = np.frombuffer(data, np.uint8)
-        cols: dict[str, list] = {k.split()[0]: [] for k in RESULT.split(", ")}
-        for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-            own = cut[a:b]
-            step = np.diff(own.astype(np.int8), prepend=0, append=0)
-            begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            kept = raw[a:b][~own].tobytes() if begin.size else data[a:b]
-            cols["doc_id"].append(int(ids[i]) if known[i] else None)
-            cols["n_bytes"].append(b - a)
-            cols["n_removed"].append(b - a - len(kept))
-            cols["n_spans"].append(begin.size)
-            cols["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            cols["kept"].append(kept if texts else None)
-            cols["span_starts"].append(begin.tolist())
-            cols["span_ends"].append(end.tolist())
-        kinds = {"kept_sha256": pa.string(), "kept": pa.binary(), "span_starts": pa.list_(pa.int64()),
-                 "span_ends": pa.list_(pa.int64())}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()})
+        return finish(uri, block, _cut_block(block, runs, least, n_parts, length))
 
-    return work.groupBy("block").applyInArrow(run, RESULT)
+    return work.groupBy("block").applyInArrow(run, schema)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES,
-                 shard_bytes: int = SHARD_BYTES, bucket_anchors: int = BUCKET_ANCHORS, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left, null
-    unless ``texts``), span_starts and span_ends (the removed runs) for each row."""
+def _repeats(docs: DataFrame, length: int, width: int, bucket_bytes: int, shard_bytes: int, bucket_anchors: int,
+             whole_rows: bool, finish, schema) -> DataFrame:
     if not 8 <= width <= length:
         raise ValueError("width must lie between 8 and length")
     if shard_bytes + MAX_SEGMENT + length >= 1 << 20:
         raise ValueError("shard_bytes must stay below 2^20 less a segment")
-    manifest = write_blocks(docs, "suffix-blocks")
+    manifest = write_blocks(docs, "suffix-blocks", whole_rows=whole_rows)
     blocks, n_blocks, n_bytes = spread(manifest)
     per_byte = 2 / (length - width + 2)  # anchors of random text
     n_buckets = max(1, round(n_bytes * per_byte / bucket_anchors))
     flags = materialise(_repeated_anchors(_anchor_rows(blocks, n_buckets, length, width)), "suffix-flags")
-    # segments: a part holds as much as if every tenth byte were in one
+    # segments: planned for a fifth of the text
     n_parts = max(1, round(n_bytes * per_byte * (length + 1 / per_byte) * 0.2 / bucket_bytes))
     flagged = manifest.select("block", "uri").join(flags, "block", "left")
     least = materialise(_least_rows(_segment_rows(flagged, n_buckets, n_parts, length, width), length, shard_bytes),
@@ -478,4 +459,47 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, buck
     every = (flagged.select("block", "uri", "bucket", "bits", none("long").alias("part"), none("binary").alias("least"))
              .unionByName(manifest.join(least, "block").select(
                  "block", "uri", none("long").alias("bucket"), none("binary").alias("bits"), "part", "least")))
-    return _cut_rows(every, n_buckets, n_parts, length, width, texts)
+    return _cut_blocks(every, n_buckets, n_parts, length, width, finish, schema)
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES,
+                 shard_bytes: int = SHARD_BYTES, bucket_anchors: int = BUCKET_ANCHORS, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left, null
+    unless ``texts``), span_starts and span_ends (the removed runs) for each row."""
+    def finish(uri: str, block, cut: np.ndarray) -> pa.Table:
+        known, ids, starts, data = block
+        raw = np.frombuffer(data, np.uint8)
+        cols: dict[str, list] = {k.split()[0]: [] for k in RESULT.split(", ")}
+        for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+            own = cut[a:b]
+            step = np.diff(own.astype(np.int8), prepend=0, append=0)
+            begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            kept = raw[a:b][~own].tobytes() if begin.size else data[a:b]
+            row = (int(ids[i]) if known[i] else None, b - a, b - a - len(kept), begin.size,
+                   hashlib.sha256(kept).hexdigest(), kept if texts else None, begin.tolist(), end.tolist())
+            for c, v in zip(cols.values(), row):
+                c.append(v)
+        kinds = {"kept_sha256": pa.string(), "kept": pa.binary(), "span_starts": pa.list_(pa.int64()),
+                 "span_ends": pa.list_(pa.int64())}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()})
+
+    return _repeats(docs, length, width, bucket_bytes, shard_bytes, bucket_anchors, False, finish, RESULT)
+
+
+def dedup_texts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES,
+                shard_bytes: int = SHARD_BYTES, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+    """``docs`` with the repeated bytes cut from ``text``; all rows and columns stay.
+    Where a cut leaves part of a UTF-8 character, that part goes too. A null text
+    becomes an empty one."""
+    names = docs.columns
+
+    def finish(uri: str, block, cut: np.ndarray) -> pa.Table:
+        _, _, starts, data = block
+        raw = np.frombuffer(data, np.uint8)
+        text = [raw[a:b][~cut[a:b]].tobytes().decode("utf-8", "ignore")
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        rows = read_rows(uri)
+        return pa.table([pa.array(text, pa.string()) if c == "text" else rows.column(c) for c in names], names=names)
+
+    schema = docs.withColumn("text", F.col("text").cast("string")).schema
+    return _repeats(docs, length, width, bucket_bytes, shard_bytes, bucket_anchors, True, finish, schema)
