@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ebbtide.llm.common import table
 from ebbtide.llm.mixing import mix
+from ebbtide.llm.multiset_hash import edited_fingerprints
 from ebbtide.llm.packing import pack
+from ebbtide.llm.plane_files import round_trip
 from ebbtide.llm.quality_rules import quality_rules
 from ebbtide.llm.simhash import simhash_groups
 from ebbtide.llm.suffix_dedup import suffix_dedup
@@ -54,6 +56,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False).select(
@@ -65,3 +72,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "distance")
+
+
+@query
+def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
