@@ -7,8 +7,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ebbtide.llm.common import table
+from ebbtide.llm.language_id import held_in, language_id
 from ebbtide.llm.mixing import mix
 from ebbtide.llm.multiset_hash import edited_fingerprints
 from ebbtide.llm.packing import pack
@@ -46,6 +48,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MIX_BUDGET, MIX_WEIGHTS, DOMAINS, MIX_EPOCHS)
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(held_in(1, 3), F.lit(False))
+    out = language_id(table(spark, sf_dir, "documents"), held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
