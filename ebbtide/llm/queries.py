@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import table
 from ebbtide.llm.language_id import held_in, language_id
+from ebbtide.llm.lm_scoring import lm_scores
 from ebbtide.llm.mixing import mix
 from ebbtide.llm.multiset_hash import edited_fingerprints
 from ebbtide.llm.packing import pack
@@ -60,6 +61,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
 
 
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
