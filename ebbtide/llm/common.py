@@ -62,7 +62,7 @@ def write_file(uri: str, *parts: bytes) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     tmp = f"{os.path.dirname(path)}/_tmp-{uuid.uuid4().hex}"
-    with fs.open_output_stream(tmp) as out:
+    with fs.open_output_stream(tmp, compression=None) as out:
         for p in parts:
             out.write(p)
     fs.move(tmp, path)

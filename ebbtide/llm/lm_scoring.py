@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import materialise, read_block, spread, write_blocks
 
 ORDER = 2
-MU = 100.0
+MU = 300.0
 ADD = 0.1
 #: Text bytes for each bucket of n-grams of one order.
 BUCKET_BYTES = 6 << 20

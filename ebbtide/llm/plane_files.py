@@ -84,7 +84,7 @@ class PlaneWriter:
         self.fs, self.path = filesystem(uri)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.tmp = f"{self.path.rsplit('/', 1)[0]}/_tmp-{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.tmp)
+        self.out = self.fs.open_output_stream(self.tmp, compression=None)
         self.planes, self.z = planes, zstandard.ZstdCompressor(level=level)
         self.pos = self.total = 0
         self.rest: list[bytes] = []
