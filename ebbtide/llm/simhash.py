@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import materialise
+from ebbtide.llm.common import materialise, partitions
 from ebbtide.llm.components import components
 
 SEED = 42
@@ -110,7 +110,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("max_bits must be 0 to 7")
     masks = [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(8), 8 - max_bits)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    index = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "bytes"))
+    # few bytes become many index rows: spread them before, not by their size
+    dealt = fps.repartition(partitions(fps.sparkSession), "fp")
+    index = dealt.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "bytes"))
     postings = (index.groupBy("k", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
                 .select("fps"))
 
