@@ -165,7 +165,7 @@ def write_blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES, who
 
 def spread(manifest: DataFrame) -> tuple[DataFrame, int, int]:
     """The manifest dealt over enough tasks (about two blocks each, no fewer than
-    the session's shuffle partitions), with its numbers of blocks and bytes."""
+    the session's shuffle partitions), with its numbers of tasks and bytes."""
     n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     tasks = max(1, min(n, max(partitions(manifest.sparkSession), n // 2)))
-    return manifest.repartition(tasks), n, size
+    return manifest.repartition(tasks), tasks, size

@@ -18,12 +18,12 @@ never cross documents. The work is cut so that no task holds more than a few MB:
    the bucket of the anchor; equal windows meet in one bucket.
 4. In a bucket the distinct segments are dealt into shards. Each shard gets a
    suffix array by prefix doubling and its Burrows-Wheeler transform. The shards
-   are merged by refining their interleave: pass j orders it by one more symbol,
-   moving every element along the last-to-first mapping of its own shard, so the
-   suffixes are not sorted again. A position where two neighbours part in pass j
-   has common prefix j - 1; an interval that is still together after ``length``
-   passes is a repeated string. Elements whose interval has shrunk to one leave
-   the refinement. The smallest doc_id of each interval goes back to the blocks.
+   are merged by refining their interleave: each pass orders it by a few more
+   symbols, moving every element along the last-to-first mapping of its own shard,
+   so the suffixes are not sorted again. Two neighbours that part in a pass have a
+   common prefix that ends in it; an interval that is still together after
+   ``length`` symbols is a repeated string. Elements whose interval has shrunk to
+   one leave the refinement. The smallest doc_id of each interval goes back to the blocks.
 5. Each block marks, for every occurrence of a segment, the windows whose string
    has a smaller doc_id than the occurrence's, and cuts the covered bytes.
 
@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import materialise, read_block, read_rows, spread, write_blocks
+from ebbtide.llm.common import materialise, read_block, read_range, read_rows, spread, write_blocks, write_file
 
 LENGTH = 50
 WIDTH = 20
@@ -59,6 +59,8 @@ BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 512 << 10
 #: Anchors per bucket of step 2.
 BUCKET_ANCHORS = 1 << 20
+#: Symbols that one pass of the merge adds (at most 4).
+STRIDE = 4
 NO_ID = np.iinfo(np.int64).max
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SENTINEL = 0xFF  # never part of UTF-8
@@ -176,7 +178,7 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
         twice = (value >> np.uint64(39)).astype(bool)
         value &= np.uint64((1 << 39) - 1)
         s = np.sort(value)
-        again = np.unique(np.concatenate([s[1:][s[1:] == s[:-1]], value[twice]]))
+        again = np.sort(np.concatenate([s[1:][s[1:] == s[:-1]], value[twice]]))
         hit = np.zeros(value.size, bool)
         if again.size:
             at = np.minimum(np.searchsorted(again, value), again.size - 1)
@@ -230,12 +232,39 @@ def _bits_by_block(table: pa.Table) -> dict[int, bytes]:
     return {k: v for k, v in zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist()) if v is not None}
 
 
+def _runs_uri(uri: str) -> str:
+    return f"{uri}.runs"
+
+
+def _write_runs(uri: str, runs, part: np.ndarray, number: np.ndarray, seen: list[dict[bytes, int]], length: int) -> None:
+    """Keep a block's surviving runs, with their segments' numbers and windows, for
+    the last pass. The content depends on the block only, so a retry writes the same."""
+    t, pos, size, _ = runs
+    windows = [np.array([len(x) - length + 1 for x in own], np.int32) for own in seen]
+    raw = b"".join([np.array([t.size, len(seen)], np.int64).tobytes(), t.astype(np.int64).tobytes(),
+                    pos.astype(np.int64).tobytes(), size.astype(np.int64).tobytes(), part.astype(np.int64).tobytes(),
+                    number.astype(np.int64).tobytes(), np.array([w.size for w in windows], np.int64).tobytes(), *windows])
+    write_file(_runs_uri(uri), zstandard.ZstdCompressor(level=1).compress(raw))
+
+
+def _read_runs(uri: str):
+    """(t, pos, size, part, number) and the windows of each part's segments."""
+    raw = zstandard.ZstdDecompressor().decompress(read_range(_runs_uri(uri)))
+    n, parts = np.frombuffer(raw, np.int64, 2).tolist()
+    cols = [np.frombuffer(raw, np.int64, n, 16 + 8 * n * k) for k in range(5)]
+    at = 16 + 40 * n
+    counts = np.frombuffer(raw, np.int64, parts, at)
+    return cols, np.split(np.frombuffer(raw, np.int32, -1, at + 8 * parts), np.cumsum(counts)[:-1])
+
+
 def _segment_rows(flagged: DataFrame, n_buckets: int, n_parts: int, length: int, width: int) -> DataFrame:
     """(part, block, segments, sizes, docs) from (block, uri, bucket, bits)."""
     def run(t: pa.Table) -> pa.Table:
-        block = read_block(t.column("uri")[0].as_py())
+        uri = t.column("uri")[0].as_py()
+        block = read_block(uri)
         runs = _surviving(block, _bits_by_block(t), n_buckets, length, width)
-        seen, least, _, _ = _segments(block, runs, n_parts, length)
+        seen, least, part, number = _segments(block, runs, n_parts, length)
+        _write_runs(uri, runs, part, number, seen, length)
         some = [p for p in range(n_parts) if seen[p]]
         z = zstandard.ZstdCompressor(level=1)
         return pa.table({
@@ -284,33 +313,48 @@ def shard_bwt(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return sa, text[before], inverse[before]
 
 
+def _jump(bwt: np.ndarray, lf: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each element the ``steps`` symbols before it (the farthest in the highest
+    byte) and where the last-to-first mapping leads in as many steps."""
+    code, to = np.zeros(bwt.size, np.uint64), np.arange(bwt.size, dtype=np.int32)
+    for k in range(steps):
+        code |= bwt[to].astype(np.uint64) << np.uint64(8 * k)
+        to = lf[to]
+    return code, to
+
+
 def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge shard transforms to ``depth`` symbols. Returns (place, interval): the
     elements, as positions in the shards' concatenated text, of the strings of
-    ``depth`` symbols that occur twice, and the number of the interval of each."""
+    ``depth`` symbols that occur twice, and the number of the interval of each.
+
+    A pass prepends up to ``STRIDE`` symbols to the common prefixes."""
     offset = np.cumsum([0] + [s[0].size for s in shards])
     sa = np.concatenate([s[0] + o for s, o in zip(shards, offset)])
     bwt = np.concatenate([s[1] for s in shards])
     lf = np.concatenate([s[2] + o for s, o in zip(shards, offset)]).astype(np.int32)
+    if sa.size >= 1 << 31:
+        raise ValueError("a bucket must stay below 2^31 bytes")
     # the interleave starts as one shard after the other; one interval for all
     at = np.arange(sa.size, dtype=np.int32)
     interval = np.zeros(sa.size, np.int32)
-    for _ in range(depth):
+    todo = [STRIDE] * (depth // STRIDE) + [depth % STRIDE] * (depth % STRIDE > 0)
+    jumps = {k: _jump(bwt, lf, k) for k in set(todo)}
+    for steps in todo:
         if at.size < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # stable by symbol: (symbol, place in the interleave) sorted as one number
-        kind, shift = (np.uint32, 24) if at.size < 1 << 24 else (np.uint64, 32)
-        order = np.sort((bwt[at].astype(kind) << kind(shift)) | np.arange(at.size, dtype=kind))
-        symbol = (order >> kind(shift)).astype(np.uint8)
-        order = (order & kind((1 << shift) - 1)).astype(np.int32)
+        code, to = jumps[steps]
+        # stable by the symbols: (symbols, place in the interleave) sorted as one number
+        packed = np.sort((code[at] << np.uint64(32)) | np.arange(at.size, dtype=np.uint64))
+        order = (packed & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        symbols = (packed >> np.uint64(32)).astype(np.uint32)
         old = interval[order]
-        # the common prefix with the element before is cut here, in this pass
+        # neighbours that part here have a common prefix that ends within this pass
         part = np.empty(at.size + 1, bool)
         part[0] = part[-1] = True
-        part[1:-1] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        alone = part[1:] & part[:-1]
-        keep = ~alone
-        at = lf[at[order[keep]]]
+        part[1:-1] = (symbols[1:] != symbols[:-1]) | (old[1:] != old[:-1])
+        keep = ~(part[1:] & part[:-1])
+        at = to[at[order[keep]]]
         interval = np.cumsum(part[:-1][keep], dtype=np.int32)
     return sa[at], interval.astype(np.int64)
 
@@ -401,23 +445,24 @@ def _unpack_least(v: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n))
 
 
-def _cut_block(block, runs, least: dict[int, np.ndarray], n_parts: int, length: int) -> np.ndarray:
+def _cut_block(block, uri: str, least: dict[int, np.ndarray], length: int) -> np.ndarray:
     """A mask of the block's bytes that go."""
     known, ids, _, data = block
-    t, pos, size, _ = runs
-    seen, _, part, number = _segments(block, runs, n_parts, length)
+    (t, pos, size, part, number), windows = _read_runs(uri)
     doc = np.where(known, ids, NO_ID)[t]
     edge = np.zeros(len(data) + 1, np.int32)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(len(windows) + 1))
     for p, v in least.items():
-        own = np.flatnonzero(part == p)
-        windows = np.array([len(s) - length + 1 for s in seen[p]], np.int64)
-        starts = np.concatenate([[0], np.cumsum(windows)])
+        own = order[bounds[p]:bounds[p + 1]]
+        starts = np.concatenate([[0], np.cumsum(windows[p])])
         n = size[own]
-        small = v[np.repeat(starts[number[own]], n) + _ramp(n)]
-        hit = small < np.repeat(doc[own], n)
-        at = (np.repeat(pos[own], n) + _ramp(n))[hit]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+        step = _ramp(n)
+        hit = v[np.repeat(starts[number[own]], n) + step] < np.repeat(doc[own], n)
+        at = (np.repeat(pos[own], n) + step)[hit]
+        # windows start at different places, so plain index sums are enough
+        edge[at] += 1
+        edge[at + length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -425,16 +470,15 @@ RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
           "span_starts array<long>, span_ends array<long>")
 
 
-def _cut_blocks(work: DataFrame, n_buckets: int, n_parts: int, length: int, width: int, finish, schema) -> DataFrame:
-    """``finish(uri, block, mask)`` for each block of (block, uri, bucket, bits, part,
-    least), with the mask of the bytes that go."""
+def _cut_blocks(work: DataFrame, length: int, finish, schema) -> DataFrame:
+    """``finish(uri, block, mask)`` for each block of (block, uri, part, least), with
+    the mask of the bytes that go."""
     def run(t: pa.Table) -> pa.Table:
         uri = t.column("uri")[0].as_py()
         block = read_block(uri)
-        runs = _surviving(block, _bits_by_block(t), n_buckets, length, width)
         least = {p: _unpack_least(v) for p, v in zip(t.column("part").to_pylist(), t.column("least").to_pylist())
                  if v is not None}
-        return finish(uri, block, _cut_block(block, runs, least, n_parts, length))
+        return finish(uri, block, _cut_block(block, uri, least, length))
 
     return work.groupBy("block").applyInArrow(run, schema)
 
@@ -446,20 +490,18 @@ def _repeats(docs: DataFrame, length: int, width: int, bucket_bytes: int, shard_
     if shard_bytes + MAX_SEGMENT + length >= 1 << 20:
         raise ValueError("shard_bytes must stay below 2^20 less a segment")
     manifest = write_blocks(docs, "suffix-blocks", whole_rows=whole_rows)
-    blocks, n_blocks, n_bytes = spread(manifest)
+    blocks, tasks, n_bytes = spread(manifest)
     per_byte = 2 / (length - width + 2)  # anchors of random text
     n_buckets = max(1, round(n_bytes * per_byte / bucket_anchors))
     flags = materialise(_repeated_anchors(_anchor_rows(blocks, n_buckets, length, width)), "suffix-flags")
     # segments: planned for a fifth of the text
     n_parts = max(1, round(n_bytes * per_byte * (length + 1 / per_byte) * 0.2 / bucket_bytes))
-    flagged = manifest.select("block", "uri").join(flags, "block", "left")
+    # rows are few and the work behind them large, so tasks go by blocks, not by bytes
+    flagged = manifest.select("block", "uri").join(flags, "block", "left").repartition(tasks, "block")
     least = materialise(_least_rows(_segment_rows(flagged, n_buckets, n_parts, length, width), length, shard_bytes),
                         "suffix-least")
-    none = lambda kind: F.lit(None).cast(kind)
-    every = (flagged.select("block", "uri", "bucket", "bits", none("long").alias("part"), none("binary").alias("least"))
-             .unionByName(manifest.join(least, "block").select(
-                 "block", "uri", none("long").alias("bucket"), none("binary").alias("bits"), "part", "least")))
-    return _cut_blocks(every, n_buckets, n_parts, length, width, finish, schema)
+    work = manifest.select("block", "uri").join(least, "block", "left").repartition(tasks, "block")
+    return _cut_blocks(work, length, finish, schema)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES,
