@@ -4,15 +4,15 @@ from ebbtide.checks.sqlbase import DAVG, DSUM, R, RATIO, with_enriched
 
 RISK0 = "coalesce(churn_risk_score, 0.0::DOUBLE)"
 CLV0 = "coalesce(estimated_clv, 0.0::DOUBLE)"
-THR_RISK = f"thr_risk AS (SELECT {R(f'quantile_cont({RISK0}, 0.75)', 6)} AS t FROM enriched)"
-THR_CLV = f"thr_clv AS (SELECT {R(f'quantile_cont({CLV0}, 0.75)', 6)} AS t FROM enriched)"
+THR_RISK = f"thr_risk AS (SELECT quantile_cont({RISK0}, 0.75) AS t FROM enriched)"
+THR_CLV = f"thr_clv AS (SELECT quantile_cont({CLV0}, 0.75) AS t FROM enriched)"
 
 KPI_COLS = f"""count(*) AS total_customers,
   {R(RATIO("count(*) FILTER (WHERE churned = 1)", "count(*)") + " * 100.0::DOUBLE", 2)} AS churn_rate_pct,
-  {R(f"coalesce({DAVG('estimated_clv', 2)}, 0.0::DOUBLE)", 4)} AS avg_clv,
-  {R(f"coalesce({DSUM('CASE WHEN churned = 1 THEN estimated_clv END', 2)}, 0.0::DOUBLE)", 4)} AS revenue_at_risk,
-  {R(f"coalesce({DAVG('churn_risk_score', 4)}, 0.0::DOUBLE)", 4)} AS avg_churn_risk_score,
-  {R(f"coalesce({DAVG('satisfaction_score', 1)}, 0.0::DOUBLE)", 4)} AS avg_satisfaction_score"""
+  {R(f"coalesce({DAVG('estimated_clv')}, 0.0::DOUBLE)", 4)} AS avg_clv,
+  {R(f"coalesce({DSUM('CASE WHEN churned = 1 THEN estimated_clv END')}, 0.0::DOUBLE)", 4)} AS revenue_at_risk,
+  {R(f"coalesce({DAVG('churn_risk_score')}, 0.0::DOUBLE)", 4)} AS avg_churn_risk_score,
+  {R(f"coalesce({DAVG('satisfaction_score')}, 0.0::DOUBLE)", 4)} AS avg_satisfaction_score"""
 
 KPI_CTE = f"kpi AS (SELECT {KPI_COLS} FROM enriched)"
 
@@ -50,13 +50,13 @@ SQL["clv_risk_quantiles"] = with_enriched() + "SELECT " + ", ".join(
     [f"{R(f'quantile_cont({RISK0}, {p / 100})', 6)} AS risk_p{p}" for p in (25, 50, 75)]) + " FROM enriched"
 
 SQL["revenue_at_risk_top_quartile"] = with_enriched(THR_RISK) + f"""
-SELECT any_value(thr_risk.t) AS risk_p75,
-  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= thr_risk.t THEN {CLV0} END', 2)}, 0.0::DOUBLE)", 4)} AS revenue_at_risk,
+SELECT {R('any_value(thr_risk.t)', 6)} AS risk_p75,
+  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= thr_risk.t THEN {CLV0} END')}, 0.0::DOUBLE)", 4)} AS revenue_at_risk,
   count(*) FILTER (WHERE {RISK0} >= thr_risk.t) AS high_risk_customers
 FROM enriched, thr_risk"""
 
 SQL["high_value_customers"] = with_enriched(THR_CLV) + f"""
-SELECT any_value(thr_clv.t) AS clv_p75,
+SELECT {R('any_value(thr_clv.t)', 6)} AS clv_p75,
   count(*) FILTER (WHERE {CLV0} > thr_clv.t) AS high_value_customers,
   {R(RATIO(f"count(*) FILTER (WHERE {CLV0} > thr_clv.t)", "count(*)") + " * 100.0::DOUBLE", 2)} AS high_value_pct
 FROM enriched, thr_clv"""
@@ -69,10 +69,10 @@ SQL["risk_concentration"] = with_enriched(THR_RISK, CONC_CTE.replace(
 
 SEG_SELECT = f"""SELECT CAST(region AS VARCHAR) AS region, CAST(customer_segment AS VARCHAR) AS customer_segment,
   CAST(plantype AS VARCHAR) AS plan_type, count(*) AS customer_count,
-  {R(DAVG(RISK0, 4), 4)} AS avg_churn_risk_score,
+  {R(DAVG(RISK0), 4)} AS avg_churn_risk_score,
   {R('coalesce(avg(CAST(churned AS DOUBLE)), 0.0::DOUBLE) * 100.0::DOUBLE', 2)} AS churn_rate,
-  {R(DSUM(CLV0, 2), 4)} AS total_clv,
-  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= thr_risk.t THEN {CLV0} END', 2)}, 0.0::DOUBLE)", 4)} AS revenue_at_risk
+  {R(DSUM(CLV0), 4)} AS total_clv,
+  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= thr_risk.t THEN {CLV0} END')}, 0.0::DOUBLE)", 4)} AS revenue_at_risk
 FROM enriched, thr_risk
 WHERE region IS NOT NULL AND customer_segment IS NOT NULL AND plantype IS NOT NULL
 GROUP BY region, customer_segment, plantype"""
@@ -83,13 +83,13 @@ SQL["risk_segments_top20"] = with_enriched(THR_RISK) + SEG_SELECT + \
 
 SQL["enhanced_kpis"] = with_enriched(THR_RISK, THR_CLV, CONC_CTE) + f"""
 SELECT {KPI_COLS},
-  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= (SELECT t FROM thr_risk) THEN {CLV0} END', 2)}, 0.0::DOUBLE)", 4)} AS biz_revenue_at_risk,
+  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= (SELECT t FROM thr_risk) THEN {CLV0} END')}, 0.0::DOUBLE)", 4)} AS biz_revenue_at_risk,
   count(*) FILTER (WHERE {CLV0} > (SELECT t FROM thr_clv)) AS high_value_customers,
   {R(RATIO(f"count(*) FILTER (WHERE {CLV0} > (SELECT t FROM thr_clv))", "count(*)") + " * 100.0::DOUBLE", 2)} AS high_value_pct,
   (SELECT top_region FROM conc) AS top_region,
   (SELECT customer_count FROM conc) AS top_region_count,
   (SELECT pct_of_total FROM conc) AS pct_of_total_churned,
-  (SELECT t FROM thr_risk) AS risk_p75
+  {R('(SELECT t FROM thr_risk)', 6)} AS risk_p75
 FROM enriched"""
 
 _RL = ("CASE WHEN {x} >= 25 THEN 'Critical' WHEN {x} >= 20 THEN 'High' WHEN {x} >= 15 THEN 'Elevated' "
@@ -116,10 +116,10 @@ SELECT total_customers, churn_rate_pct,
 FROM kpi"""
 
 SQL["combined_exposure"] = with_enriched(THR_RISK) + f"""
-SELECT {R(f"coalesce({DSUM('CASE WHEN churned = 1 THEN estimated_clv END', 2)}, 0.0::DOUBLE)", 4)} AS churned_clv,
-  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= (SELECT t FROM thr_risk) THEN {CLV0} END', 2)}, 0.0::DOUBLE)", 4)} AS top_quartile_clv,
-  {R(R(f"coalesce({DSUM('CASE WHEN churned = 1 THEN estimated_clv END', 2)}, 0.0::DOUBLE)", 4) + " + " +
-     R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= (SELECT t FROM thr_risk) THEN {CLV0} END', 2)}, 0.0::DOUBLE)", 4), 4)} AS combined_exposure
+SELECT {R(f"coalesce({DSUM('CASE WHEN churned = 1 THEN estimated_clv END')}, 0.0::DOUBLE)", 4)} AS churned_clv,
+  {R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= (SELECT t FROM thr_risk) THEN {CLV0} END')}, 0.0::DOUBLE)", 4)} AS top_quartile_clv,
+  {R(R(f"coalesce({DSUM('CASE WHEN churned = 1 THEN estimated_clv END')}, 0.0::DOUBLE)", 4) + " + " +
+     R(f"coalesce({DSUM(f'CASE WHEN {RISK0} >= (SELECT t FROM thr_risk) THEN {CLV0} END')}, 0.0::DOUBLE)", 4), 4)} AS combined_exposure
 FROM enriched"""
 
 for _canon, _short in (("region", "region"), ("customer_segment", "segment")):
@@ -135,7 +135,7 @@ SELECT * FROM (
     {R("churn_rate_pct - (SELECT churn_rate_pct FROM kpi)", 2)} AS diff_pp,
     CASE WHEN churn_rate_pct - (SELECT churn_rate_pct FROM kpi) > 2.0 THEN 'above'
          WHEN churn_rate_pct - (SELECT churn_rate_pct FROM kpi) < -2.0 THEN 'below' ELSE '' END AS flag
-  FROM b) WHERE rank <= 10"""
+  FROM b)"""
     SQL[f"{_short}_estimates"] = with_enriched(breakdown_cte(_canon, _col, "b"), KPI_CTE) + f"""
 SELECT CAST(row_number() OVER (ORDER BY b.churn_rate_pct DESC, b.{_canon} ASC) AS INTEGER) AS rank, b.{_canon}, b.churn_rate_pct,
   count(*) OVER () AS groups,
@@ -149,7 +149,7 @@ _PCT = "CAST(count(*) FILTER (WHERE {c}) AS DOUBLE) / CAST(count(*) AS DOUBLE) *
 SQL["churn_drivers"] = with_enriched(
     KPI_CTE, breakdown_cte("customer_segment", "customer_segment", "bs"), breakdown_cte("region", "region", "br"),
     f"""m AS (SELECT {R(_PCT.format(c='CAST(tenuremonths AS DOUBLE) < 6.0'), 2)} AS pct_new,
-         {R(DAVG('CAST(supporttickets AS DOUBLE)', 4), 4)} AS avg_comp,
+         {R(DAVG('CAST(supporttickets AS DOUBLE)'), 4)} AS avg_comp,
          {R(_PCT.format(c='CAST(paymentdelaydays AS DOUBLE) > 0.0'), 2)} AS pct_pay,
          (SELECT avg_satisfaction_score FROM kpi) AS avg_sat, (SELECT churn_rate_pct FROM kpi) AS churn_pct,
          (SELECT arg_min(customer_segment, (-churn_rate_pct, customer_segment)) FROM bs) AS seg_k,
@@ -172,7 +172,7 @@ FROM d"""
 # --- F25: ad-hoc insights ---------------------------------------------------
 _PORT = f"""port AS (SELECT {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2)} AS churn_pct,
   CAST(sum(CAST(churned AS DOUBLE)) AS DOUBLE) AS churned_total,
-  {R(f"coalesce({DSUM('CASE WHEN CAST(churned AS DOUBLE) = 1.0 THEN estimated_clv END', 2)}, 0.0::DOUBLE)", 2)} AS churned_clv
+  {R(f"coalesce({DSUM('CASE WHEN CAST(churned AS DOUBLE) = 1.0 THEN estimated_clv END')}, 0.0::DOUBLE)", 2)} AS churned_clv
   FROM enriched)"""
 
 
@@ -180,7 +180,7 @@ def _adhoc_dim(dim: str, col: str) -> str:
     return f"""SELECT '{dim}' AS dimension, '{col}' AS "column", rank, grp, churn_pct, n, groups FROM (
   SELECT grp, churn_pct, n, CAST(row_number() OVER (ORDER BY churn_pct DESC, grp ASC) AS INTEGER) AS rank, count(*) OVER () AS groups
   FROM (SELECT CAST({col} AS VARCHAR) AS grp, {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2)} AS churn_pct,
-        count(*) AS n FROM enriched WHERE {col} IS NOT NULL GROUP BY {col})) WHERE rank <= 5"""
+        count(*) AS n FROM enriched WHERE {col} IS NOT NULL GROUP BY {col}))"""
 
 
 SQL["adhoc_insights"] = with_enriched(_PORT) + f"""
@@ -190,4 +190,4 @@ FROM ({_adhoc_dim('region', 'region')} UNION ALL {_adhoc_dim('segment', 'custome
 SQL["adhoc_numeric_fallback"] = "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", {R(f'avg(CAST({c} AS DOUBLE))', 4)} AS mean, {R(f'stddev_samp(CAST({c} AS DOUBLE))', 4)} AS std,
   min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max FROM lineitem"""
-    for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))

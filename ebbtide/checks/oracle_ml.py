@@ -37,7 +37,7 @@ SQL["mode_impute"] = with_enriched() + "\nUNION ALL\n".join(
      (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS f FROM enriched WHERE {c} IS NOT NULL GROUP BY 1)) AS mode,
   count(*) FILTER (WHERE {c} IS NULL) AS nulls_filled FROM enriched""" for c in ML_CAT_PREFERRED + ML_CAT_OTHER)
 
-_AUC = f"""per AS (SELECT {R('CAST(churn_risk_score AS DOUBLE)', 6)} AS s,
+_AUC = f"""per AS (SELECT CAST(churn_risk_score AS DOUBLE) AS s,
     count(*) FILTER (WHERE CAST(churned AS DOUBLE) = 1.0) AS pos, count(*) FILTER (WHERE NOT (CAST(churned AS DOUBLE) = 1.0)) AS neg
   FROM enriched GROUP BY 1),
 cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM per),

@@ -40,12 +40,12 @@ SQL["segment_contains"] = with_enriched() + f"SELECT {_COH} FROM enriched WHERE
 
 def eff_sql(t: float) -> str:
     return (f"(SELECT CASE WHEN count(*) = 0 THEN {float(t)!r}::DOUBLE WHEN max({RISK0}) >= {float(t)!r}::DOUBLE "
-            f"THEN {float(t)!r}::DOUBLE ELSE {R(f'quantile_cont({RISK0}, 0.75)', 6)} END FROM enriched)")
+            f"THEN {float(t)!r}::DOUBLE ELSE quantile_cont({RISK0}, 0.75) END FROM enriched)")
 
 
 AUTO_THRESHOLDS = [0.6, 0.9, 1.0]
 SQL["at_risk_auto_threshold"] = with_enriched() + "\nUNION ALL\n".join(
-    f"""SELECT {float(t)!r}::DOUBLE AS input_threshold, {eff_sql(t)} AS effective_threshold,
+    f"""SELECT {float(t)!r}::DOUBLE AS input_threshold, {R(eff_sql(t), 6)} AS effective_threshold,
   {eff_sql(t)} <> {float(t)!r}::DOUBLE AS adjusted,
   count(*) FILTER (WHERE {RISK0} >= {eff_sql(t)}) AS cohort_size FROM enriched""" for t in AUTO_THRESHOLDS)
 
@@ -64,7 +64,7 @@ ACTIONS = [(a, p, c, sr) for a, p, c, sr, _reason in _NBA_ACTIONS]
 _RATE = "CASE recommendation " + " ".join(f"WHEN '{a}' THEN {s!r}::DOUBLE" for a, _, _, s in ACTIONS) + \
     " ELSE 0.05::DOUBLE END"
 NBA_CTES = [
-    f"thr_nba AS (SELECT coalesce({R('quantile_cont(CAST(estimated_clv AS DOUBLE), 0.75)', 6)}, 5000.0::DOUBLE) AS t FROM enriched)",
+    f"thr_nba AS (SELECT coalesce(quantile_cont(CAST(estimated_clv AS DOUBLE), 0.75), 5000.0::DOUBLE) AS t FROM enriched)",
     """inp AS (SELECT customer_id,
     coalesce(CAST(churn_risk_score AS DOUBLE), 0.0::DOUBLE) AS churn_risk_score,
     coalesce(CAST(estimated_clv AS DOUBLE), 0.0::DOUBLE) AS estimated_clv,
@@ -94,32 +94,48 @@ def _dim_values():
 SQL["nba_dimension_join"] = with_enriched(*NBA_CTES, _dim_values()) + """
 SELECT rec.customer_id, rec.recommendation, dim.priority, dim.confidence, rec.expected_revenue_protected, dim.reason
 FROM rec LEFT JOIN dim ON rec.recommendation = dim.recommendation"""
-SQL["nba_input_validation"] = with_enriched(*NBA_CTES[1:2]) + """
-SELECT count(*) AS total,
-  count(*) FILTER (WHERE NOT (churn_risk_score < 0 OR churn_risk_score > 1 OR estimated_clv < 0 OR upsell_probability < 0
-    OR upsell_probability > 1 OR retention_offer_cost < 0 OR complaints_90d < 0 OR payment_failures_12m < 0
-    OR satisfaction_score < 0 OR satisfaction_score > 10)) AS valid,
-  count(*) FILTER (WHERE churn_risk_score < 0 OR churn_risk_score > 1 OR estimated_clv < 0 OR upsell_probability < 0
-    OR upsell_probability > 1 OR retention_offer_cost < 0 OR complaints_90d < 0 OR payment_failures_12m < 0
-    OR satisfaction_score < 0 OR satisfaction_score > 10) AS rejected
-FROM inp"""
 SQL["strategy_summary"] = with_enriched(*NBA_CTES) + f"""
 SELECT recommendation AS strategy, count(*) AS customer_count,
   {R(RATIO('count(*)', 'sum(count(*)) OVER ()') + ' * 100.0::DOUBLE', 2)} AS pct_of_total,
-  {R(f"coalesce({DSUM('expected_revenue_protected', 2)}, 0.0::DOUBLE)", 2)} AS total_revenue_protected
+  {R(f"coalesce({DSUM('expected_revenue_protected')}, 0.0::DOUBLE)", 2)} AS total_revenue_protected
 FROM rec GROUP BY recommendation"""
 SQL["nba_batch_totals"] = with_enriched(*NBA_CTES) + f"""
 SELECT count(*) AS total_customers,
-  {R(f"coalesce({DSUM('expected_revenue_protected', 2)}, 0.0::DOUBLE)", 2)} AS total_revenue_protected FROM rec"""
+  {R(f"coalesce({DSUM('expected_revenue_protected')}, 0.0::DOUBLE)", 2)} AS total_revenue_protected FROM rec"""
+BAD_CTE = """bad AS (SELECT customer_id,
+    CASE WHEN customer_id % 7 = 0 THEN 1.5::DOUBLE ELSE churn_risk_score END AS churn_risk_score,
+    CASE WHEN customer_id % 11 = 0 THEN NULL ELSE estimated_clv END AS estimated_clv,
+    CASE WHEN customer_id % 13 = 0 THEN 1.5::DOUBLE ELSE upsell_probability END AS upsell_probability,
+    CASE WHEN customer_id % 17 = 0 THEN -3.0::DOUBLE ELSE retention_offer_cost END AS retention_offer_cost,
+    CASE WHEN customer_id % 19 = 0 THEN -1 ELSE complaints_90d END AS complaints_90d,
+    payment_failures_12m,
+    CASE WHEN customer_id % 23 = 0 THEN 10.5::DOUBLE ELSE satisfaction_score END AS satisfaction_score FROM enriched)"""
+
+
+def _reasons(src: str) -> str:
+    parts = []
+    for c, hi in (("churn_risk_score", 1), ("estimated_clv", None), ("upsell_probability", 1), ("retention_offer_cost", None),
+                  ("complaints_90d", None), ("payment_failures_12m", None), ("satisfaction_score", 10)):
+        out = f"{c} < 0" + (f" OR {c} > {hi}" if hi else "")
+        parts.append(f"CASE WHEN {c} IS NULL THEN '{c} missing' WHEN {out} THEN '{c} out of range' END")
+    return f"SELECT customer_id, concat_ws('; ', {', '.join(parts)}) AS reasons FROM {src}"
+
+
+SQL["nba_input_validation"] = with_enriched(f"v AS ({_reasons('enriched')})") + """
+SELECT count(*) AS total, count(*) FILTER (WHERE reasons = '') AS valid, count(*) FILTER (WHERE reasons <> '') AS rejected
+FROM v"""
+SQL["nba_rejected_rows"] = with_enriched(BAD_CTE, f"v AS ({_reasons('bad')})") + "SELECT * FROM v WHERE reasons <> ''"
 _N = {a: f"count(*) FILTER (WHERE recommendation = '{a}')" for a, *_ in ACTIONS}
 SQL["nba_portfolio_triage"] = with_enriched(*NBA_CTES) + f"""
-, t AS (SELECT count(*) AS total_customers, {", ".join(f"{_N[a]} AS n{i}" for i, (a, *_x) in enumerate(ACTIONS))} FROM rec)
+, t AS (SELECT count(*) AS total_customers, coalesce({DSUM('expected_revenue_protected')}, 0.0::DOUBLE) AS protected, {", ".join(f"{_N[a]} AS n{i}" for i, (a, *_x) in enumerate(ACTIONS))} FROM rec)
 SELECT total_customers,
   CASE {" ".join(f"WHEN n{i} = greatest({', '.join(f'n{j}' for j in range(6))}) THEN '{a}'" for i, (a, *_x) in enumerate(ACTIONS))} END AS dominant_action,
   n0 + n1 AS critical_customers, n3 AS growth_customers,
   CASE WHEN {RATIO('n0 + n1', 'total_customers')} > 0.25 THEN 'Critical'
        WHEN {RATIO('n0 + n1', 'total_customers')} > 0.15 THEN 'High' ELSE 'Elevated' END AS risk_level,
-  CASE WHEN total_customers >= 500 THEN 'High' ELSE 'Medium' END AS confidence
+  CASE WHEN total_customers >= 500 THEN 'High' ELSE 'Medium' END AS confidence,
+  {R('protected', 2)} AS revenue_protected, {R('protected * 0.3::DOUBLE', 2)} AS projected_recovery,
+  {R('protected * 0.15::DOUBLE', 2)} AS upsell_opportunity, {R('protected * 0.08::DOUBLE', 2)} AS projected_upsell
 FROM t"""
 
 # --- priority ---------------------------------------------------------------
@@ -144,11 +160,11 @@ SQL["priority_score"] = with_enriched(*PRIO_CTES) + "SELECT customer_id, priorit
 from ebbtide.operators.priority import PRIORITY_ACTION as PRIORITY_TEXT  # noqa: E402
 
 
-def top_ctes(n: int, name: str = "pl") -> list[str]:
+def top_ctes(n: int, name: str = "pl", where: str = "true") -> list[str]:
     return [
-        f"top_{name} AS (SELECT * FROM sc ORDER BY priority_score DESC, customer_id ASC LIMIT {n})",
-        f"""q_{name} AS (SELECT {R('quantile_cont(priority_score, 0.8)', 6)} AS hi,
-                 {R('quantile_cont(priority_score, 0.35)', 6)} AS med FROM top_{name})""",
+        f"top_{name} AS (SELECT * FROM sc WHERE {where} ORDER BY priority_score DESC, customer_id ASC LIMIT {n})",
+        f"""q_{name} AS (SELECT quantile_cont(priority_score, 0.8) AS hi,
+                 quantile_cont(priority_score, 0.35) AS med FROM top_{name})""",
         f"""{name} AS (SELECT customer_id, region, customer_segment, plan_type, estimated_clv, churn_risk_score,
     complaints_90d, priority_score,
     CASE WHEN priority_score >= hi THEN 'High Priority' WHEN priority_score >= med THEN 'Medium Priority'
@@ -162,8 +178,8 @@ def top_ctes(n: int, name: str = "pl") -> list[str]:
 SQL["priority_list"] = with_enriched(*PRIO_CTES, *top_ctes(500)) + "SELECT * FROM plx"
 SQL["priority_class_counts"] = with_enriched(*PRIO_CTES, *top_ctes(500)) + \
     "SELECT priority_class, count(*) AS customers FROM pl GROUP BY priority_class"
-SQL["priority_list_filtered"] = with_enriched(*PRIO_CTES, *top_ctes(20)) + """
-SELECT * FROM plx WHERE contains(lower(customer_segment), 'auto') ORDER BY priority_score DESC, customer_id LIMIT 20"""
+SQL["priority_list_filtered"] = with_enriched(*PRIO_CTES, *top_ctes(20, where="contains(lower(customer_segment), 'auto')")) + \
+    "SELECT * FROM plx"
 SQL["top_high_risk"] = with_enriched() + f"""
 SELECT customer_id, CAST(region AS VARCHAR) AS region, {RISK0} AS churn_risk_score, {CLV0} AS estimated_clv
 FROM enriched WHERE contains(lower(region), 'europe') ORDER BY churn_risk_score DESC, customer_id LIMIT 10"""
@@ -201,9 +217,9 @@ def grid_sql(scenarios, has_fee: bool = True) -> str:
   {float(s.retention_budget)!r}::DOUBLE AS retention_budget, {float(s.offer_discount_pct)!r}::DOUBLE AS offer_discount_pct,
   {float(s.expected_success_rate)!r}::DOUBLE AS expected_success_rate,
   count(*) FILTER (WHERE {hit}) AS n,
-  coalesce({DSUM(f'CASE WHEN {hit} THEN {CLV0} END', 2)}, 0.0::DOUBLE) AS rev,
-  coalesce({DSUM(f'CASE WHEN {hit} THEN {FEE0} END', 2)}, 0.0::DOUBLE) AS fee_sum,
-  coalesce({DSUM(f'CASE WHEN {hit} THEN {RISK0} END', 4)}, 0.0::DOUBLE) AS risk_sum
+  coalesce({DSUM(f'CASE WHEN {hit} THEN {CLV0} END')}, 0.0::DOUBLE) AS rev,
+  coalesce({DSUM(f'CASE WHEN {hit} THEN {FEE0} END')}, 0.0::DOUBLE) AS fee_sum,
+  coalesce({DSUM(f'CASE WHEN {hit} THEN {RISK0} END')}, 0.0::DOUBLE) AS risk_sum
 FROM enriched""")
     g = "g AS (" + "\nUNION ALL\n".join(parts) + ")"
     g1 = """g1 AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE fee_sum / CAST(n AS DOUBLE) END AS avg_fee,
@@ -218,7 +234,7 @@ FROM enriched""")
             " THEN 'High' WHEN n >= 50 THEN 'Medium' ELSE 'Low' END")
     roi_lbl = ("CASE WHEN roi >= 50 THEN 'Excellent' WHEN roi >= 20 THEN 'Strong' WHEN roi >= 5 THEN 'Good' "
                "WHEN roi >= 1 THEN 'Marginal' ELSE 'Negative' END")
-    final = f"""grid AS (SELECT scenario_id, target_segment, risk_threshold, effective_threshold,
+    final = f"""grid AS (SELECT scenario_id, target_segment, risk_threshold, {R('effective_threshold', 6)} AS effective_threshold,
   effective_threshold <> risk_threshold AS threshold_adjusted, retention_budget, offer_discount_pct,
   expected_success_rate, n AS affected_customers, {R('rev', 2)} AS current_revenue_at_risk,
   {R('avg_fee', 2)} AS avg_monthly_fee, {R('avg_risk', 4)} AS avg_churn_risk_score,
@@ -271,8 +287,8 @@ SQL["batch_risk_triage"] = with_enriched() + f"""
 SELECT count(*) AS total_scored, count(*) FILTER (WHERE {_P} >= 0.65) AS high_risk_count,
   count(*) FILTER (WHERE {_P} >= 0.35 AND {_P} < 0.65) AS medium_risk_count,
   count(*) FILTER (WHERE {_P} < 0.35) AS low_risk_count FROM enriched"""
-_AVG = f"(coalesce({DSUM(_P, 4)} / CAST(count(*) AS DOUBLE), 0.0::DOUBLE) * 100.0::DOUBLE)"
-_CLV = f"coalesce({DSUM(f'CASE WHEN {_P} >= 0.65 THEN coalesce({_V}, 0.0::DOUBLE) END', 2)}, 0.0::DOUBLE)"
+_AVG = f"(coalesce({DSUM(_P)} / CAST(count(*) AS DOUBLE), 0.0::DOUBLE) * 100.0::DOUBLE)"
+_CLV = f"coalesce({DSUM(f'CASE WHEN {_P} >= 0.65 THEN coalesce({_V}, 0.0::DOUBLE) END')}, 0.0::DOUBLE)"
 SQL["batch_insight"] = with_enriched() + f"""
 SELECT count(*) AS total, count(*) FILTER (WHERE {_P} >= 0.65) AS n_high,
   count(*) FILTER (WHERE {_P} >= 0.35 AND {_P} < 0.65) AS n_medium,
@@ -305,7 +321,7 @@ _INR = (f"CASE WHEN {_T} >= 1e7 THEN {_fmt1(f'{_T} / 1e7', ' Cr', '₹')} WHEN {
 SQL["format_money"] = with_enriched() + f"""
 SELECT region, total_clv, {_USD} AS usd, {_INR} AS inr FROM (
   SELECT CAST(region AS VARCHAR) AS region,
-    {R(f"coalesce({DSUM('CAST(estimated_clv AS DOUBLE)', 2)}, 0.0::DOUBLE)", 2)} AS total_clv
+    {R(f"coalesce({DSUM('CAST(estimated_clv AS DOUBLE)')}, 0.0::DOUBLE)", 2)} AS total_clv
   FROM enriched WHERE region IS NOT NULL GROUP BY region)"""
 SQL["breakdown_map"] = with_enriched(breakdown_cte("region", "region", "b")) + \
     "SELECT CAST(to_json(map_from_entries(list(struct_pack(k := region, v := churn_rate_pct) ORDER BY region))) AS VARCHAR) AS churn_by_region FROM b"

@@ -32,7 +32,7 @@ SQL["missing_report"] = with_enriched(CATALOG_CTE) + "SELECT * FROM catalog WHER
 SQL["top_missing"] = with_enriched(CATALOG_CTE) + \
     'SELECT "column", null_pct AS missing_pct FROM catalog WHERE null_count > 0 ORDER BY null_pct DESC, "column" LIMIT 5'
 
-EVENT_KEYS = "ev AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events)"
+EVENT_COLS = "event_id, ts, user_id, event_type, value, props"
 
 
 def _dups(src: str, cols: str) -> str:
@@ -41,9 +41,9 @@ def _dups(src: str, cols: str) -> str:
 FROM (SELECT count(*) AS c FROM {src} GROUP BY {cols})"""
 
 
-SQL["duplicate_rows"] = "WITH " + EVENT_KEYS + "\n" + \
-    "SELECT CAST(total_rows AS BIGINT) AS total_rows, CAST(duplicate_rows AS BIGINT) AS duplicate_rows, duplicate_pct " \
-    f"FROM ({_dups('ev', 'user_id, event_type, day')})"
+SQL["duplicate_rows"] = (
+    "SELECT CAST(total_rows AS BIGINT) AS total_rows, CAST(duplicate_rows AS BIGINT) AS duplicate_rows, duplicate_pct "
+    f"FROM ({_dups('events', EVENT_COLS)})")
 
 SQL["numeric_profile"] = "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", count({c}) AS count, {R(f"avg(CAST({c} AS DOUBLE))", 4)} AS mean,
@@ -61,7 +61,7 @@ FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS f FROM enriched WHERE {c} IS
 
 def _fences(src: str, cols: list[str]) -> str:
     qs = ", ".join(
-        f"{R(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 6)} AS q1_{i}, {R(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 6)} AS q3_{i}"
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1_{i}, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3_{i}"
         for i, c in enumerate(cols))
     return f"q AS (SELECT {qs}, count(*) AS n FROM {src})"
 
@@ -83,10 +83,10 @@ FROM {src}, q""")
 SQL["iqr_outliers"] = "WITH " + _fences("events", EVENT_NUM) + "\n" + _outliers("events", EVENT_NUM)
 
 # quality issues over documents left-joined to their labels (labels cover only some documents)
-QI_COLS = ["lang", "source", "n_chars", "quality", "toxic"]
-QI_SRC = ("qi AS (SELECT d.lang, d.source, d.n_chars, l.quality, l.toxic "
+QI_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+QI_SRC = ("qi AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
           "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
-QI_NUM = ["n_chars", "quality", "toxic"]
+QI_NUM = ["doc_id", "n_chars", "quality", "toxic"]
 def quality_sql(src_cte: str, src: str, cols: list[str], num: list[str]) -> str:
     """CTEs ending in ``issues`` (seq, issue_type, column, count, pct) over ``src``."""
     pos = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cols))
@@ -98,10 +98,8 @@ miss AS (SELECT 0 AS grp, CASE "column" {pos} END AS pos,
 dupi AS (SELECT 1 AS grp, 0 AS pos, 'duplicates' AS issue_type, CAST(NULL AS VARCHAR) AS "column",
   CAST(duplicate_rows AS BIGINT) AS count, {R('duplicate_pct', 1)} AS pct FROM dup_{src} WHERE duplicate_rows > 0),
 head AS (SELECT * FROM miss UNION ALL SELECT * FROM dupi),
-fl AS (SELECT *, coalesce(count(*) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
-       FROM outl WHERE flagged),
 o AS (SELECT 2 AS grp, ordinal AS pos, 'outliers' AS issue_type, "column", n_outliers AS count, CAST(NULL AS DOUBLE) AS pct
-      FROM fl WHERE k = 0 OR k < 6 - (SELECT count(*) FROM head)),
+      FROM outl WHERE flagged),
 allx AS (SELECT * FROM head UNION ALL SELECT * FROM o),
 issues AS (SELECT CAST(row_number() OVER (ORDER BY grp, pos) AS INTEGER) AS seq, issue_type, "column", count, pct FROM allx)"""
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 
 def R(expr: str, n: int) -> str:
-    """Same half-up rounding as ``functions.scalars.r``."""
+    """Half away from zero, as ``functions.scalars.r``."""
     s = float(10 ** n)
-    return f"(floor(({expr}) * {s!r}::DOUBLE + 0.5::DOUBLE) / {s!r}::DOUBLE)"
+    return f"(round(({expr}) * {s!r}::DOUBLE) / {s!r}::DOUBLE)"
 
 
 def D(x: float) -> str:
@@ -81,12 +81,12 @@ def with_enriched(*more_ctes: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def DSUM(x: str, scale: int = 2) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE)"
+def DSUM(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(28,10))) AS DOUBLE)"
 
 
-def DAVG(x: str, scale: int = 4) -> str:
-    return f"({DSUM(x, scale)} / CAST(count({x}) AS DOUBLE))"
+def DAVG(x: str) -> str:
+    return f"({DSUM(x)} / CAST(count({x}) AS DOUBLE))"
 
 
 def RATIO(num: str, den: str) -> str:

@@ -10,14 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dsum(x: Column, scale: int = 2) -> Column:
-    """Exact sum of a column with ``scale`` decimals, returned as double."""
-    return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
+def dsum(x: Column) -> Column:
+    """Exact sum of a column, returned as double. Values enter as they are, to ten
+    decimals; nothing is rounded to the places of the result before it is summed."""
+    return F.sum(x.cast("decimal(28,10)")).cast("double")
 
 
-def davg(x: Column, scale: int = 4) -> Column:
+def davg(x: Column) -> Column:
     """Exact average (decimal sum / non-null count) as double; null if no values."""
-    return F.try_divide(dsum(x, scale), F.count(x).cast("double"))
+    return F.try_divide(dsum(x), F.count(x).cast("double"))
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -1,23 +1,21 @@
-"""Exact quantiles (linear interpolation, as pandas and ``quantile_cont``)
-that stay exact and bounded in memory at any table size.
-
-Spark's exact ``percentile`` keeps a value -> count map of every distinct
-value of the group in one task. That is cheap for a few million rows and
-for rounded scores, but not for a money column over billions of rows. So:
-
-* small input (<= ``EXACT_LIMIT`` rows): one ``percentile`` aggregation for
-  all requested columns together;
-* large input: four passes whatever the number of columns and quantiles —
-  (1) non-null counts per column, (2) ``percentile_approx`` brackets around
-  every target rank (rank error at most n / accuracy; the accuracy is
-  chosen so a bracket holds about ``BRACKET_ROWS`` rows), (3) rows below
-  and inside every bracket, (4) only the bracketed values, tagged (column,
-  quantile), reduced to (value, count) by a hash aggregation — a value
-  repeated a billion times is one row — and a running count per (column,
-  quantile) window finds the exact order statistics. No task ever holds
-  more than one bracket.
-
-Results are scalar-subquery ``Column`` objects, usable in any expression.
+"""Exact quantiles (linear interpolation, as pandas and ``quantile_cont``), by one
+path at every table size and with bounded memory.
+
+Any number of columns and probabilities share the passes:
+
+1. non-null counts, and a bracket around each target rank from a
+   ``percentile_approx`` sketch of fixed accuracy;
+2. rows below and inside every bracket. A bracket that still holds more than
+   ``BRACKET_ROWS`` rows of different values is narrowed by a sketch of the rows
+   inside it, and counted again, until all are small: each round divides the rows
+   by thousands, so even 10^12 rows take three;
+3. only the bracketed values, tagged (column, probability), reduced to (value,
+   count) by a hash aggregation (a value repeated a billion times is one row), and
+   a running count for each (column, probability) finds the order statistics.
+
+No task ever holds more than a sketch or one bracket; the driver gets two bounds
+and two counts for each (column, probability). Results are scalar-subquery
+``Column`` objects, usable in any expression.
 """
 
 from __future__ import annotations
@@ -27,96 +25,91 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 2_000_000
+ACCURACY = 10_000
 BRACKET_ROWS = 1_000_000
 
-_COUNTS: dict[int, int] = {}
-
-
-def row_count(df: DataFrame) -> int:
-    """Rows of ``df`` (one number to the driver; remembered per plan)."""
-    key = df.semanticHash()
-    if key not in _COUNTS:
-        _COUNTS[key] = df.count()
-    return _COUNTS[key]
-
 
-def quantiles_for(df: DataFrame, exprs: list[Column], probs: list[float],
-                  exact_limit: int = EXACT_LIMIT) -> list[list[Column]]:
-    """``out[i][j]`` = exact quantile ``probs[j]`` of ``exprs[i]`` over ``df``
-    (nulls ignored; null when a column has no values)."""
-    if not exprs:
-        return []
-    if row_count(df) <= exact_limit:
-        s = df.agg(F.struct(*[F.percentile(e.cast("double"), list(probs)).alias(f"q{i}")
-                              for i, e in enumerate(exprs)])).scalar()
-        return [[s[f"q{i}"][j] for j in range(len(probs))] for i in range(len(exprs))]
-    return _bracketed(df, [e.cast("double") for e in exprs], list(probs))
+def quantile_of(df: DataFrame, x: Column, p: float) -> Column:
+    return quantiles_for(df, [x], [p])[0][0]
 
 
-def quantile_of(df: DataFrame, x: Column, p: float, exact_limit: int = EXACT_LIMIT) -> Column:
-    return quantiles_for(df, [x], [p], exact_limit)[0][0]
+def _bounds(df: DataFrame, asked: dict, accuracy: int) -> dict:
+    """(low, high) values for each cell of ``asked``: cell -> (column, low share, high share)."""
+    row = df.agg(F.lit(0).alias("_"), *[F.percentile_approx(x, [max(0.0, a), min(1.0, b)], accuracy).alias(f"b{i}_{j}")
+                                        for (i, j), (x, a, b) in asked.items()]).first()
+    return {c: tuple(row[f"b{c[0]}_{c[1]}"] or (None, None)) for c in asked}
 
 
-def _bracketed(df: DataFrame, xs: list[Column], probs: list[float]) -> list[list[Column]]:
+def _brackets(df: DataFrame, xs: list[Column], probs: list[float], accuracy: int, bracket_rows: int):
+    """n of each column; (low, high), rows below and the target position of each cell."""
     cells = [(i, j) for i in range(len(xs)) for j in range(len(probs))]
-    # pass 1: non-null values per column
-    ns = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
-    n = [ns[f"n{i}"] for i in range(len(xs))]
-    acc = [int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * max(k, 1) / BRACKET_ROWS)))) for k in n]
-    # pass 2: brackets [approx(p - 2/acc), approx(p + 2/acc)] for every (column, quantile)
-    # one sketch per column answers both ends of every bracket
-    k = len(probs)
-    br = df.agg(*[F.percentile_approx(x, [max(0.0, p - 2.0 / acc[i]) for p in probs]
-                                      + [min(1.0, p + 2.0 / acc[i]) for p in probs], acc[i]).alias(f"b{i}")
-                  for i, x in enumerate(xs)]).first()
-    lo = {(i, j): br[f"b{i}"][j] if br[f"b{i}"] else None for i, j in cells}
-    hi = {(i, j): br[f"b{i}"][k + j] if br[f"b{i}"] else None for i, j in cells}
-    live = [(i, j) for i, j in cells if n[i] > 0]
-    inside = {c: xs[c[0]].between(F.lit(lo[c]), F.lit(hi[c])) for c in live}
-    # pass 3: rows below and inside every bracket
-    cnt = df.agg(F.lit(0).alias("_"),
-                 *[F.count(F.when(xs[i] < F.lit(lo[(i, j)]), 1)).alias(f"b{i}_{j}") for i, j in live],
-                 *[F.count(F.when(inside[(i, j)], 1)).alias(f"w{i}_{j}") for i, j in live]).first()
-    target, frac, fallback = {}, {}, []
-    for i, j in live:
-        pos = probs[j] * (n[i] - 1)
-        k0 = math.floor(pos)
-        k1 = min(k0 + 1, n[i] - 1)
-        below, within = cnt[f"b{i}_{j}"], cnt[f"w{i}_{j}"]
-        if below <= k0 and below + within >= k1 + 1:
-            target[(i, j)] = (k0 - below + 1, k1 - below + 1)   # 1-based positions inside the bracket
-            frac[(i, j)] = pos - k0
-        else:
-            fallback.append((i, j))  # excluded by the sketch's guarantee; stays exact regardless
+    margin = 2.0 / accuracy
+    first = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                   *[F.percentile_approx(x, [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs],
+                                         accuracy).alias(f"b{i}") for i, x in enumerate(xs)]).first()
+    n = [first[f"n{i}"] for i in range(len(xs))]
+    live = [(i, j) for i, j in cells if n[i]]
+    box = {(i, j): (first[f"b{i}"][j], first[f"b{i}"][len(probs) + j]) for i, j in live}
+    pos = {(i, j): probs[j] * (n[i] - 1) for i, j in live}
+    below: dict = {}
+    todo = list(live)
+    while todo:
+        inside = {c: xs[c[0]].between(F.lit(box[c][0]), F.lit(box[c][1])) for c in todo}
+        cnt = df.agg(*[F.count(F.when(xs[c[0]] < F.lit(box[c][0]), 1)).alias(f"b{c[0]}_{c[1]}") for c in todo],
+                     *[F.count(F.when(inside[c], 1)).alias(f"w{c[0]}_{c[1]}") for c in todo]).first()
+        again, wider = {}, {}
+        for c in todo:
+            b, w = cnt[f"b{c[0]}_{c[1]}"], cnt[f"w{c[0]}_{c[1]}"]
+            k = math.floor(pos[c])
+            if b > k or b + w < min(k + 2, n[c[0]]):  # beyond the sketch's promise: look at everything
+                wider[c] = (xs[c[0]], 0.0, 1.0)
+                continue
+            below[c] = b
+            if w > bracket_rows and box[c][0] < box[c][1]:
+                p = (k - b) / w
+                again[c] = (F.when(inside[c], xs[c[0]]), p - margin, p + margin + 1.0 / w)
+        more = {**again, **wider}
+        new = _bounds(df, more, accuracy) if more else {}
+        todo = [c for c in more if new[c] != box[c]]
+        box.update({c: new[c] for c in todo})
+    return n, live, box, below, pos
+
+
+def quantiles_for(df: DataFrame, exprs: list[Column], probs: list[float], accuracy: int = ACCURACY,
+                  bracket_rows: int = BRACKET_ROWS) -> list[list[Column]]:
+    """``out[i][j]`` = exact quantile ``probs[j]`` of ``exprs[i]`` over ``df``
+    (nulls ignored; null when a column has no values)."""
+    xs = [e.cast("double") for e in exprs]
+    probs = list(probs)
     out = [[F.lit(None).cast("double") for _ in probs] for _ in xs]
-    for i, j in fallback:
-        out[i][j] = df.agg(F.percentile(xs[i], probs[j])).scalar()
-    if target:
-        # pass 4: only bracketed values, tagged with their (column, quantile) cell
-        # explode + row filter (both inside whole-stage codegen) rather than a
-        # lambda filter on the array (higher-order functions are interpreted)
-        tagged = F.array(*[F.when(inside[c], F.struct(F.lit(c[0]).alias("ci"), F.lit(c[1]).alias("pj"),
-                                                        xs[c[0]].alias("v")))
-                           for c in target])
-        per = (df.select(F.explode(tagged).alias("s")).filter(F.col("s").isNotNull()).select("s.*")
-               .groupBy("ci", "pj", "v").agg(F.count(F.lit(1)).alias("c")))
-        run = Window.partitionBy("ci", "pj").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        t0 = t1 = None
-        for (i, j), (a, b) in target.items():
-            hit = (F.col("ci") == i) & (F.col("pj") == j)
-            t0 = F.when(hit, F.lit(a)) if t0 is None else t0.when(hit, F.lit(a))
-            t1 = F.when(hit, F.lit(b)) if t1 is None else t1.when(hit, F.lit(b))
-        cum = per.withColumn("cum", F.sum("c").over(run)).withColumn("t0", t0).withColumn("t1", t1)
-        picked = cum.groupBy("ci", "pj").agg(F.min(F.when(F.col("cum") >= F.col("t0"), F.col("v"))).alias("a"),
-                                             F.min(F.when(F.col("cum") >= F.col("t1"), F.col("v"))).alias("b"))
-        fr = None
-        for (i, j), f in frac.items():
-            hit = (F.col("ci") == i) & (F.col("pj") == j)
-            fr = F.when(hit, F.lit(f)) if fr is None else fr.when(hit, F.lit(f))
-        vals = picked.select(F.concat_ws(":", "ci", "pj").alias("k"),
-                             (F.col("a") + (F.col("b") - F.col("a")) * fr).alias("q"))
-        m = vals.agg(F.map_from_entries(F.collect_list(F.struct("k", "q")))).scalar()  # one entry per cell
-        for i, j in target:
-            out[i][j] = m[f"{i}:{j}"]
+    if not xs:
+        return []
+    n, live, box, below, pos = _brackets(df, xs, probs, accuracy, bracket_rows)
+    if not live:
+        return out
+    # explode + row filter (both inside whole-stage codegen) rather than a lambda
+    # filter on the array (higher-order functions are interpreted)
+    tagged = F.array(*[F.when(xs[c[0]].between(F.lit(box[c][0]), F.lit(box[c][1])),
+                              F.struct(F.lit(k).alias("cell"), xs[c[0]].alias("v"))) for k, c in enumerate(live)])
+    per = (df.select(F.explode(tagged).alias("s")).where(F.col("s").isNotNull()).select("s.*")
+           .groupBy("cell", "v").agg(F.count(F.lit(1)).alias("c")))
+    run = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.lit(None).cast("long")
+    top = F.lit(None).cast("long")
+    share = F.lit(None).cast("double")
+    for k, c in enumerate(live):
+        low = math.floor(pos[c])
+        hit = F.col("cell") == k
+        rank = F.when(hit, F.lit(low - below[c] + 1)).otherwise(rank)
+        top = F.when(hit, F.lit(min(low + 1, n[c[0]] - 1) - below[c] + 1)).otherwise(top)
+        share = F.when(hit, F.lit(pos[c] - low)).otherwise(share)
+    cum = per.select("cell", "v", F.sum("c").over(run).alias("cum"), rank.alias("rank"), top.alias("top"), share.alias("share"))
+    picked = cum.groupBy("cell").agg(F.min(F.when(F.col("cum") >= F.col("rank"), F.col("v"))).alias("a"),
+                                     F.min(F.when(F.col("cum") >= F.col("top"), F.col("v"))).alias("b"),
+                                     F.first("share").alias("share"))
+    vals = picked.select("cell", F.when(F.col("a") == F.col("b"), F.col("a"))
+                         .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("q"))
+    m = vals.agg(F.map_from_entries(F.collect_list(F.struct("cell", "q")))).scalar()  # one entry per cell
+    for k, (i, j) in enumerate(live):
+        out[i][j] = m[F.lit(k)]
     return out

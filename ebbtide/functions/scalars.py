@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 
 def r(x: Column, n: int) -> Column:
-    """Half-up rounding to ``n`` places: floor(x * 10^n + 0.5) / 10^n.
+    """Rounding to ``n`` places, half away from zero: round(x * 10^n) / 10^n.
 
-    Used instead of ``F.round`` because Spark rounds the decimal form of a
-    double while other engines scale the binary value; this form gives the
-    same double everywhere (so results compare bit-for-bit with the oracle).
+    The scaled value is rounded as a double (no integer type, so it cannot
+    saturate) and only to whole numbers, where every engine agrees; ``F.round``
+    with places would round the decimal form of a double instead.
     """
     s = float(10 ** n)
-    return F.floor(x * F.lit(s) + F.lit(0.5)) / F.lit(s)
+    return F.round(x.cast("double") * F.lit(s), 0) / F.lit(s)
 
 
 def sigmoid(z: Column, clamp: float = 20.0) -> Column:

@@ -87,28 +87,31 @@ def segment_contains(df: DataFrame, target: str) -> DataFrame:
     return df.filter(segment_predicate(df, target)).select(*_cohort_cols(df))
 
 
-def effective_threshold(df: DataFrame, threshold: float) -> Column:
-    """Scalar subquery: ``threshold`` if any row reaches it, else p75(risk)
-    (computed over the whole table, before any segment filter)."""
+def effective_thresholds(df: DataFrame, thresholds: list[float]) -> dict[float, Column]:
+    """For each distinct threshold: itself if any row reaches it, else p75(risk), over
+    the whole table and before any segment filter. One aggregation and one quantile
+    serve all of them."""
     risk = _num(df, RISK_ALIASES, 0.0)
-    t = F.lit(float(threshold))
-    p75 = r(quantile_of(df, risk, 0.75), THRESHOLD_DP)
-    return df.select(
-        F.when(F.count(F.lit(1)) == 0, t)
-         .when(F.max(risk) >= t, t)
-         .otherwise(F.first(p75)).alias("eff")).scalar()
+    top = df.select(F.max(risk)).scalar()
+    p75 = quantile_of(df, risk, 0.75)
+    return {float(t): F.when(top < F.lit(float(t)), p75).otherwise(F.lit(float(t))) for t in thresholds}
+
+
+def effective_threshold(df: DataFrame, threshold: float) -> Column:
+    return effective_thresholds(df, [threshold])[float(threshold)]
 
 
 def at_risk_auto_threshold(df: DataFrame, thresholds: list[float]) -> DataFrame:
     """One row per input threshold: effective threshold, adjusted flag, cohort size."""
     risk = _num(df, RISK_ALIASES, 0.0)
-    effs = {float(t): effective_threshold(df, t) for t in thresholds}  # one subquery per distinct threshold
+    effs = effective_thresholds(df, thresholds)
     names = {t: f"_eff{k}" for k, t in enumerate(effs)}
     x = df.select(risk.alias("_risk"), *[effs[t].alias(names[t]) for t in effs])
     aggs = []
     for t in thresholds:
         eff = F.col(names[float(t)])
-        aggs.append(F.struct(F.lit(float(t)).alias("input_threshold"), F.first(eff).alias("effective_threshold"),
+        aggs.append(F.struct(F.lit(float(t)).alias("input_threshold"),
+                             r(F.first(eff), THRESHOLD_DP).alias("effective_threshold"),
                              (F.first(eff) != F.lit(float(t))).alias("adjusted"),
                              F.count(F.when(F.col("_risk") >= eff, 1)).alias("cohort_size")))
     return x.agg(F.array(*aggs).alias("a")).select(F.inline("a"))

@@ -18,7 +18,7 @@ from ebbtide.functions.columns import (CHURN_ALIASES, CLV_ALIASES, KPI_CLV_ALIAS
 from ebbtide.functions.quantiles import quantile_of, quantiles_for
 from ebbtide.functions.scalars import r, risk_level, safe_numeric
 
-THRESHOLD_DP = 6  # thresholds are rounded before >= / > so ties fall the same way everywhere
+THRESHOLD_DP = 6  # places of a threshold in the output; comparisons use the raw quantile
 
 
 def _num(df: DataFrame, aliases: list[str], fill: float | None = None) -> Column:
@@ -38,15 +38,15 @@ def churn_value(df: DataFrame) -> Column:
 
 
 def p75_threshold(df: DataFrame, aliases: list[str], p: float = 0.75) -> Column:
-    """Scalar subquery: rounded quantile of the column (nulls filled with 0)."""
+    """Scalar subquery: quantile of the column (nulls filled with 0)."""
     x = _num(df, aliases, 0.0)
-    return r(quantile_of(df, x, p), THRESHOLD_DP)
+    return quantile_of(df, x, p)
 
 
 def p75_thresholds(df: DataFrame, *alias_lists: list[str], p: float = 0.75) -> list[Column]:
-    """Several rounded quantiles from ONE aggregation (one scan of ``df``)."""
+    """Several quantiles from ONE aggregation (one scan of ``df``)."""
     qs = quantiles_for(df, [_num(df, a, 0.0) for a in alias_lists], [p])
-    return [r(q[0], THRESHOLD_DP) for q in qs]
+    return [q[0] for q in qs]
 
 
 def high_risk_mask(df: DataFrame) -> Column:
@@ -63,10 +63,10 @@ def kpi_aggs(df: DataFrame) -> list[Column]:
     return [
         n.alias("total_customers"),
         r(ratio(count_if(churned), n) * F.lit(100.0), 2).alias("churn_rate_pct"),
-        r(F.coalesce(davg(clv, 2), F.lit(0.0)), 4).alias("avg_clv"),
-        r(F.coalesce(dsum(F.when(churned, clv), 2), F.lit(0.0)), 4).alias("revenue_at_risk"),
-        r(F.coalesce(davg(_num(df, RISK_ALIASES), 4), F.lit(0.0)), 4).alias("avg_churn_risk_score"),
-        r(F.coalesce(davg(_num(df, SAT_ALIASES), 1), F.lit(0.0)), 4).alias("avg_satisfaction_score"),
+        r(F.coalesce(davg(clv), F.lit(0.0)), 4).alias("avg_clv"),
+        r(F.coalesce(dsum(F.when(churned, clv)), F.lit(0.0)), 4).alias("revenue_at_risk"),
+        r(F.coalesce(davg(_num(df, RISK_ALIASES)), F.lit(0.0)), 4).alias("avg_churn_risk_score"),
+        r(F.coalesce(davg(_num(df, SAT_ALIASES)), F.lit(0.0)), 4).alias("avg_satisfaction_score"),
     ]
 
 
@@ -116,8 +116,8 @@ def revenue_at_risk_top_quartile(df: DataFrame) -> DataFrame:
     thr = p75_threshold(df, RISK_ALIASES)
     clv, risk = _num(df, CLV_ALIASES, 0.0), _num(df, RISK_ALIASES, 0.0)
     hit = risk >= thr
-    return df.agg(F.first(thr).alias("risk_p75"),
-                  r(F.coalesce(dsum(F.when(hit, clv), 2), F.lit(0.0)), 4).alias("revenue_at_risk"),
+    return df.agg(r(F.first(thr), THRESHOLD_DP).alias("risk_p75"),
+                  r(F.coalesce(dsum(F.when(hit, clv)), F.lit(0.0)), 4).alias("revenue_at_risk"),
                   count_if(hit).alias("high_risk_customers"))
 
 
@@ -126,7 +126,7 @@ def high_value_customers(df: DataFrame) -> DataFrame:
     clv = _num(df, CLV_ALIASES, 0.0)
     n = F.count(F.lit(1))
     hv = count_if(clv > thr)
-    return df.agg(F.first(thr).alias("clv_p75"), hv.alias("high_value_customers"),
+    return df.agg(r(F.first(thr), THRESHOLD_DP).alias("clv_p75"), hv.alias("high_value_customers"),
                   r(ratio(hv, n) * F.lit(100.0), 2).alias("high_value_pct"))
 
 
@@ -166,11 +166,11 @@ def risk_segments(df: DataFrame, top: int | None = None) -> DataFrame:
         base = base.filter(F.col(c).isNotNull())
     g = base.groupBy(*[F.col(c).cast("string").alias(k) for k, c in present]).agg(
         F.count(F.lit(1)).alias("customer_count"),
-        r(davg(risk, 4), 4).alias("avg_churn_risk_score"),
+        r(davg(risk), 4).alias("avg_churn_risk_score"),
         (r(F.coalesce(F.avg(churn_value(df)), F.lit(0.0)) * F.lit(100.0), 2) if has_churn else F.lit(0.0))
         .alias("churn_rate"),
-        r(dsum(clv, 2), 4).alias("total_clv"),
-        r(F.coalesce(dsum(F.when(risk >= thr, clv), 2), F.lit(0.0)), 4).alias("revenue_at_risk"))
+        r(dsum(clv), 4).alias("total_clv"),
+        r(F.coalesce(dsum(F.when(risk >= thr, clv)), F.lit(0.0)), 4).alias("revenue_at_risk"))
     for k, c in keys:
         if c is None:
             g = g.withColumn(k, F.lit("N/A"))
@@ -195,7 +195,7 @@ def enhanced_kpis(df: DataFrame) -> DataFrame:
     x = df.select("*", thr_risk.alias("_thr_risk"), thr_clv.alias("_thr_clv"))
     hv = count_if(clv > F.col("_thr_clv"))
     return (x.agg(*kpi_aggs(df),
-                  r(F.coalesce(dsum(F.when(risk >= F.col("_thr_risk"), clv), 2), F.lit(0.0)), 4)
+                  r(F.coalesce(dsum(F.when(risk >= F.col("_thr_risk"), clv)), F.lit(0.0)), 4)
                   .alias("biz_revenue_at_risk"),
                   hv.alias("high_value_customers"),
                   r(ratio(hv, n) * F.lit(100.0), 2).alias("high_value_pct"))
@@ -204,7 +204,7 @@ def enhanced_kpis(df: DataFrame) -> DataFrame:
                       F.col("conc.customer_count").alias("top_region_count"),
                       F.col("conc.pct_of_total").alias("pct_of_total_churned"))
               .drop("conc")
-              .withColumn("risk_p75", thr_risk))
+              .withColumn("risk_p75", r(thr_risk, THRESHOLD_DP)))
 
 
 # ---------------------------------------------------------------------------
@@ -221,13 +221,13 @@ def churn_drivers(df: DataFrame) -> DataFrame:
     comp = find_col_containing(df, ("complaint",), ("ticket", "support"))
     pay = find_col_containing(df, ("payment", "fail"), ("payment", "delay"))
     n = F.count(F.lit(1))
-    sat_avg = r(F.coalesce(davg(_num(df, SAT_ALIASES), 1), F.lit(0.0)), 4)
+    sat_avg = r(F.coalesce(davg(_num(df, SAT_ALIASES)), F.lit(0.0)), 4)
     rate = r(ratio(count_if(churn_flag(df)), n) * F.lit(100.0), 2)
     nulld = F.lit(None).cast("double")
     metrics = [
         (r(count_if(safe_numeric(F.col(tenure)) < 6.0) / n.cast("double") * F.lit(100.0), 2) if tenure else nulld)
         .alias("pct_new"),
-        (r(davg(safe_numeric(F.col(comp)), 4), 4) if comp else nulld).alias("avg_comp"),
+        (r(davg(safe_numeric(F.col(comp))), 4) if comp else nulld).alias("avg_comp"),
         (r(count_if(safe_numeric(F.col(pay)) > 0.0) / n.cast("double") * F.lit(100.0), 2) if pay else nulld)
         .alias("pct_pay"),
         sat_avg.alias("avg_sat"), rate.alias("churn_pct")]
@@ -331,7 +331,7 @@ def combined_exposure(df: DataFrame) -> DataFrame:
                     r(F.col("revenue_at_risk") + F.col("biz_revenue_at_risk"), 4).alias("combined_exposure"))
 
 
-def group_ranking(df: DataFrame, canonical: str, top: int = 10) -> DataFrame:
+def group_ranking(df: DataFrame, canonical: str, top: int | None = None) -> DataFrame:
     """Groups ranked by churn rate (desc, ties by key) with a +-2pp flag.
 
     The window has no partition key on purpose: it runs on the aggregated
@@ -340,8 +340,8 @@ def group_ranking(df: DataFrame, canonical: str, top: int = 10) -> DataFrame:
     avg = kpi_summary(df).select("churn_rate_pct").scalar()
     w = Window.orderBy(F.desc("churn_rate_pct"), F.asc(canonical))
     diff = F.col("churn_rate_pct") - avg
-    return (b.withColumn("rank", F.row_number().over(w))
-             .filter(F.col("rank") <= top)
+    ranked = b.withColumn("rank", F.row_number().over(w))
+    return ((ranked.filter(F.col("rank") <= top) if top else ranked)
              .select("rank", canonical, "churn_rate_pct",
                      r(diff, 2).alias("diff_pp"),
                      F.when(diff > 2.0, F.lit("above")).when(diff < -2.0, F.lit("below"))
@@ -369,8 +369,8 @@ def group_estimates(df: DataFrame, canonical: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # ad-hoc insight on any table (substring column resolution)
 # ---------------------------------------------------------------------------
-def adhoc_insights(df: DataFrame, top: int = 5) -> DataFrame:
-    """Churn by the first region-like and segment-like columns (top groups),
+def adhoc_insights(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Churn by the first region-like and segment-like columns (all groups, or the ``top`` worst),
     with the portfolio churn mean and churned-CLV sum on every row."""
     churn = find_col_containing(df, ("churn",))
     clv = find_col_containing(df, ("clv",), ("lifetime_value",), ("ltv",))
@@ -384,7 +384,7 @@ def adhoc_insights(df: DataFrame, top: int = 5) -> DataFrame:
     g = (df.groupingSets([[]] + [[F.col(c)] for c in cols], *[F.col(c) for c in cols])
            .agg(r(F.avg(cv) * F.lit(100.0), 2).alias("churn_pct"), F.count(F.lit(1)).alias("n"),
                 F.sum(cv).cast("double").alias("churned"),
-                (r(F.coalesce(dsum(F.when(cv == 1.0, safe_numeric(F.col(clv))), 2), F.lit(0.0)), 2) if clv
+                (r(F.coalesce(dsum(F.when(cv == 1.0, safe_numeric(F.col(clv)))), F.lit(0.0)), 2) if clv
                  else F.lit(None).cast("double")).alias("churned_clv"),
                 *[F.grouping(F.col(c)).alias(f"_g{i}") for i, c in enumerate(cols)]))
 
@@ -409,14 +409,14 @@ def adhoc_insights(df: DataFrame, top: int = 5) -> DataFrame:
     rank_w = Window.partitionBy("dimension").orderBy(F.desc("churn_pct"), F.asc("grp"))
     return (per.withColumn("rank", F.row_number().over(rank_w))
                .withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("dimension")))
-               .filter(F.col("rank") <= top)
+               .filter(F.col("rank") <= top if top else F.lit(True))
                .select("dimension", "column", "rank", "grp", "churn_pct", "n", "groups",
                        F.col("p_churn_pct").alias("portfolio_churn_pct"), F.col("p_churned").alias("churned_total"),
                        F.col("p_churned_clv").alias("churned_clv")))
 
 
-def adhoc_numeric_fallback(df: DataFrame, k: int = 3) -> DataFrame:
-    """No churn column: mean / std / min / max of the first ``k`` numeric columns, as rows."""
+def adhoc_numeric_fallback(df: DataFrame, k: int | None = None) -> DataFrame:
+    """No churn column: mean / std / min / max of all numeric columns (or the first ``k``), as rows."""
     from pyspark.sql.types import NumericType
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)][:k]
     aggs = []

@@ -13,7 +13,6 @@ from ebbtide.functions.aggs import count_if, dsum, ratio
 from ebbtide.functions.columns import (CLV_ALIASES, ID_ALIASES, RISK_ALIASES, SAT_ALIASES, find_col)
 from ebbtide.functions.quantiles import quantile_of
 from ebbtide.functions.scalars import r, safe_numeric
-from ebbtide.operators.kpis import THRESHOLD_DP
 
 # ---------------------------------------------------------------------------
 # Rule thresholds, action attributes and texts.
@@ -21,6 +20,8 @@ from ebbtide.operators.kpis import THRESHOLD_DP
 HIGH_CHURN, LOW_CHURN, HIGH_UPSELL = 0.65, 0.35, 0.65
 MANY_COMPLAINTS, MANY_PAYMENT_FAILURES, LOW_SATISFACTION = 3, 2, 4.0
 CLV_PERCENTILE, CLV_FALLBACK = 0.75, 5000.0
+# shares of the protected revenue: recovered, upsell opportunity, upsell income
+RECOVERY_SHARE, UPSELL_OPPORTUNITY, UPSELL_ARR = 0.30, 0.15, 0.08
 ACTIONS = [
     # (action, priority, confidence, success rate, reason)
     ("Premium Retention Offer", "Critical", 0.90, 0.65,
@@ -81,7 +82,7 @@ def clv_threshold(df: DataFrame) -> Column:
     if c is None:
         return F.lit(CLV_FALLBACK)
     x = safe_numeric(F.col(c))
-    return F.coalesce(r(quantile_of(df, x, CLV_PERCENTILE), THRESHOLD_DP), F.lit(CLV_FALLBACK))
+    return F.coalesce(quantile_of(df, x, CLV_PERCENTILE), F.lit(CLV_FALLBACK))
 
 
 def rule_column(clv_thr: Column) -> Column:
@@ -121,33 +122,50 @@ def nba_with_attributes(df: DataFrame) -> DataFrame:
         "customer_id", "recommendation", "priority", "confidence", "expected_revenue_protected", "reason")
 
 
+def _checked_fields(df: DataFrame) -> list[tuple[str, str, float, float | None]]:
+    """(column of ``df``, field, low, high) of the fields that the table has."""
+    fields = [(RISK_ALIASES, "churn_risk_score", 0.0, 1.0), (CLV_ALIASES, "estimated_clv", 0.0, None),
+              (["upsell_probability"], "upsell_probability", 0.0, 1.0),
+              (["retention_offer_cost"], "retention_offer_cost", 0.0, None),
+              (["complaints_90d"], "complaints_90d", 0.0, None),
+              (["payment_failures_12m"], "payment_failures_12m", 0.0, None),
+              (SAT_ALIASES, "satisfaction_score", 0.0, 10.0)]
+    return [(find_col(df, aliases), name, low, high) for aliases, name, low, high in fields if find_col(df, aliases)]
+
+
+def with_reject_reasons(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` with ``reject_reasons``: for each input field the table has,
+    a value that is missing or not a number, or out of range. Raw values are tested,
+    before any default is filled in; fields that the table lacks take their defaults."""
+    reasons = []
+    for col, name, low, high in _checked_fields(df):
+        x = safe_numeric(F.col(col))
+        reasons.append(F.when(x.isNull(), F.lit(f"{name} missing"))
+                       .when((x < F.lit(low)) | (x > F.lit(high) if high is not None else F.lit(False)),
+                             F.lit(f"{name} out of range")))
+    found = F.filter(F.array(*reasons), lambda v: v.isNotNull()) if reasons else F.array().cast("array<string>")
+    return df.withColumn("reject_reasons", found)
+
+
 def nba_input_validation(df: DataFrame) -> DataFrame:
-    """K4: per-row reject reasons instead of failing the whole batch; one summary row."""
-    x = nba_inputs(df)
-    checks = [
-        ((F.col("churn_risk_score") < 0) | (F.col("churn_risk_score") > 1), "churn_risk_score out of [0,1]"),
-        (F.col("estimated_clv") < 0, "estimated_clv < 0"),
-        ((F.col("upsell_probability") < 0) | (F.col("upsell_probability") > 1), "upsell_probability out of [0,1]"),
-        (F.col("retention_offer_cost") < 0, "retention_offer_cost < 0"),
-        (F.col("complaints_90d") < 0, "complaints_90d < 0"),
-        (F.col("payment_failures_12m") < 0, "payment_failures_12m < 0"),
-        ((F.col("satisfaction_score") < 0) | (F.col("satisfaction_score") > 10), "satisfaction_score out of [0,10]"),
-    ]
-    reasons = F.filter(F.array(*[F.when(c, F.lit(msg)) for c, msg in checks]), lambda v: v.isNotNull())
-    v = x.withColumn("reject_reasons", reasons)
+    """K4: bad rows are counted, not the whole batch refused; one summary row."""
     bad = F.size("reject_reasons") > 0
-    return v.agg(F.count(F.lit(1)).alias("total"), count_if(~bad).alias("valid"), count_if(bad).alias("rejected"))
+    return with_reject_reasons(df).agg(F.count(F.lit(1)).alias("total"), count_if(~bad).alias("valid"),
+                                       count_if(bad).alias("rejected"))
+
+
+def nba_rejected_rows(df: DataFrame) -> DataFrame:
+    """Each rejected customer with its reasons, in the order of the rules."""
+    cid = find_col(df, ID_ALIASES)
+    return (with_reject_reasons(df).filter(F.size("reject_reasons") > 0)
+            .select(F.col(cid).alias("customer_id"), F.concat_ws("; ", "reject_reasons").alias("reasons")))
 
 
 def validated_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with reasons)."""
-    x = nba_inputs(df)
-    checks = [((F.col("churn_risk_score") < 0) | (F.col("churn_risk_score") > 1), "churn_risk_score out of [0,1]"),
-              (F.col("estimated_clv") < 0, "estimated_clv < 0"),
-              ((F.col("satisfaction_score") < 0) | (F.col("satisfaction_score") > 10), "satisfaction_score out of [0,10]")]
-    v = x.withColumn("reject_reasons",
-                     F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in checks]), lambda e: e.isNotNull()))
-    return v.filter(F.size("reject_reasons") == 0).drop("reject_reasons"), v.filter(F.size("reject_reasons") > 0)
+    """(valid rows as rule inputs, rejected rows with reasons)."""
+    v = with_reject_reasons(df)
+    return (nba_inputs(v.filter(F.size("reject_reasons") == 0).drop("reject_reasons")),
+            v.filter(F.size("reject_reasons") > 0))
 
 
 def strategy_summary(df: DataFrame) -> DataFrame:
@@ -158,7 +176,7 @@ def strategy_summary(df: DataFrame) -> DataFrame:
     total = F.sum("customer_count").over(Window.partitionBy())
     return (rec.groupBy("recommendation")
                .agg(F.count(F.lit(1)).alias("customer_count"),
-                    r(F.coalesce(dsum(F.col("expected_revenue_protected"), 2), F.lit(0.0)), 2)
+                    r(F.coalesce(dsum(F.col("expected_revenue_protected")), F.lit(0.0)), 2)
                     .alias("total_revenue_protected"))
                .withColumn("pct_of_total", r(ratio(F.col("customer_count"), total) * F.lit(100.0), 2))
                .select(F.col("recommendation").alias("strategy"), "customer_count", "pct_of_total",
@@ -168,7 +186,7 @@ def strategy_summary(df: DataFrame) -> DataFrame:
 def nba_batch_totals(df: DataFrame) -> DataFrame:
     rec = nba_recommendations(df)
     return rec.agg(F.count(F.lit(1)).alias("total_customers"),
-                   r(F.coalesce(dsum(F.col("expected_revenue_protected"), 2), F.lit(0.0)), 2)
+                   r(F.coalesce(dsum(F.col("expected_revenue_protected")), F.lit(0.0)), 2)
                    .alias("total_revenue_protected"))
 
 
@@ -178,7 +196,8 @@ def nba_portfolio_triage(df: DataFrame) -> DataFrame:
     rec = nba_recommendations(df)
     a = F.col("recommendation")
     counts = [count_if(a == name).alias(f"n{i}") for i, (name, *_rest) in enumerate(ACTIONS)]
-    t = rec.agg(F.count(F.lit(1)).alias("total_customers"), *counts)
+    t = rec.agg(F.count(F.lit(1)).alias("total_customers"),
+                F.coalesce(dsum(F.col("expected_revenue_protected")), F.lit(0.0)).alias("protected"), *counts)
     order = [F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("a"))
              for i, (name, *_rest) in enumerate(ACTIONS)]
     crit = F.col("n0") + F.col("n1")
@@ -189,4 +208,8 @@ def nba_portfolio_triage(df: DataFrame) -> DataFrame:
         crit.alias("critical_customers"),
         F.col("n3").alias("growth_customers"),
         F.when(share > 0.25, "Critical").when(share > 0.15, "High").otherwise("Elevated").alias("risk_level"),
-        F.when(F.col("total_customers") >= 500, "High").otherwise("Medium").alias("confidence"))
+        F.when(F.col("total_customers") >= 500, "High").otherwise("Medium").alias("confidence"),
+        r(F.col("protected"), 2).alias("revenue_protected"),
+        r(F.col("protected") * F.lit(RECOVERY_SHARE), 2).alias("projected_recovery"),
+        r(F.col("protected") * F.lit(UPSELL_OPPORTUNITY), 2).alias("upsell_opportunity"),
+        r(F.col("protected") * F.lit(UPSELL_ARR), 2).alias("projected_upsell"))

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from ebbtide.functions.aggs import quantile
 from ebbtide.functions.columns import (CLV_ALIASES, COMPLAINT_ALIASES, ID_ALIASES, RISK_ALIASES, find_col, find_dim)
 from ebbtide.functions.scalars import clip, r, safe_numeric, truncate_text
-from ebbtide.operators.kpis import THRESHOLD_DP, _num, churn_breakdown, kpi_summary
+from ebbtide.operators.kpis import _num, churn_breakdown, kpi_summary
 
 # Composite-score weights, tier quantiles and class texts.
 W_RISK, W_CLV, W_COMPLAINTS = 0.5, 0.3, 0.2
 HIGH_Q, MED_Q = 0.80, 0.35
-MAX_TOP_N = 5000
 PRIORITY_ACTION = [
     ("High Priority", "Immediate Retention Outreach",
      "High priority score driven by elevated churn risk and/or CLV — "
@@ -87,17 +86,26 @@ def _lookup(cls: Column, idx: int) -> Column:
     return e
 
 
-def priority_list(df: DataFrame, top_n: int = 500, fixed_cuts: tuple[float, float] | None = None) -> DataFrame:
-    """H1 + G3: top ``top_n`` by score (ties: customer id), tiers from the
-    p80 / p35 of the returned slice (or fixed cuts, e.g. (.65, .40))."""
-    n = max(1, min(int(top_n), MAX_TOP_N))
-    top = scored(df).orderBy(F.desc("priority_score"), F.asc("customer_id")).limit(n)
+def priority_list(df: DataFrame, top_n: int = 500, fixed_cuts: tuple[float, float] | None = None,
+                  segment: str | None = None, region: str | None = None) -> DataFrame:
+    """H1 + G3: top ``top_n`` by score (ties: customer id) of the customers whose
+    segment / region contain the given texts, tiers from the p80 / p35 of the
+    returned slice (or fixed cuts, e.g. (.65, .40))."""
+    n = int(top_n)
+    if n < 1:
+        raise ValueError("top_n must be at least 1")
+    rows = scored(df)
+    if segment:
+        rows = rows.filter(F.lower(F.col("customer_segment")).contains(segment.lower()))
+    if region:
+        rows = rows.filter(F.lower(F.col("region")).contains(region.lower()))
+    top = rows.orderBy(F.desc("priority_score"), F.asc("customer_id")).limit(n)
     if fixed_cuts:
         hi, med = F.lit(fixed_cuts[0]), F.lit(fixed_cuts[1])
     else:
         whole = Window.partitionBy()  # bounded slice of n rows
-        hi = r(quantile(F.col("priority_score"), HIGH_Q).over(whole), THRESHOLD_DP)
-        med = r(quantile(F.col("priority_score"), MED_Q).over(whole), THRESHOLD_DP)
+        hi = quantile(F.col("priority_score"), HIGH_Q).over(whole)
+        med = quantile(F.col("priority_score"), MED_Q).over(whole)
     out = top.withColumn("priority_class", _class(F.col("priority_score"), hi, med))
     return out.withColumn("recommended_action", _lookup(F.col("priority_class"), 1)) \
               .withColumn("rationale", _lookup(F.col("priority_class"), 2)) \
@@ -110,14 +118,8 @@ def priority_class_counts(df: DataFrame, top_n: int = 500) -> DataFrame:
 
 def priority_list_filtered(df: DataFrame, top_n: int = 20, segment: str | None = None,
                            region: str | None = None) -> DataFrame:
-    """H6 + D8: the queue size is ``top_n`` clamped to [10, 50]; the queue is
-    then filtered by segment / region substring and cut to ``top_n``."""
-    queue = priority_list(df, max(10, min(50, top_n)))
-    if segment:
-        queue = queue.filter(F.lower(F.col("customer_segment")).contains(segment.lower()))
-    if region:
-        queue = queue.filter(F.lower(F.col("region")).contains(region.lower()))
-    return queue.orderBy(F.desc("priority_score"), F.asc("customer_id")).limit(top_n)
+    """H6 + D8: the ``top_n`` customers among those that match the filters."""
+    return priority_list(df, top_n, segment=segment, region=region)
 
 
 def top_high_risk(df: DataFrame, region: str | None = None, k: int = 10) -> DataFrame:

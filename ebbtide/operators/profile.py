@@ -21,7 +21,6 @@ HIGH_MISSING_PCT = 20.0        # issue when a column is more than this % null
 RATING_NULL_PCT = 10.0         # data-quality rating counts columns above this % null
 OUTLIER_IQR_K = 3.0            # outside [q1 - k*iqr, q3 + k*iqr]
 OUTLIER_MIN_COUNT, OUTLIER_MIN_FRAC = 5, 0.01
-MAX_ISSUES = 6                 # outlier issues stop being added once this many exist
 THRESHOLD_DP = 6
 STAT_DP = 4
 
@@ -105,12 +104,19 @@ def top_missing(df: DataFrame, k: int = 5) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """total_rows, duplicate_rows (= rows beyond the first of each identical group), duplicate_pct.
 
-    One shuffle on all columns; partial aggregation collapses repeated rows on
-    each partition first, so a hot duplicate group never lands on one task whole.
+    A 128-bit digest of each row is counted first (map-side combined, 16 bytes a
+    row); only rows whose digest repeats are then compared whole, and their partial
+    aggregation collapses repeats on each partition, so a hot duplicate group never
+    lands on one task.
     """
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-    return (groups.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("total_rows"),
-                       F.coalesce(F.sum(F.col("_c") - F.lit(1)), F.lit(0)).alias("duplicate_rows"))
+    # two hashes of the row find the groups that may repeat; only their rows move whole
+    digest = [F.xxhash64(*df.columns).alias("_h1"), F.xxhash64(F.lit("second"), *df.columns).alias("_h2")]
+    seen = df.select(*digest).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
+    total = seen.agg(F.coalesce(F.sum("_c"), F.lit(0))).scalar()
+    rows = df.select(*df.columns, *digest).join(seen.filter(F.col("_c") > 1).select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
+    groups = rows.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    return (groups.agg(F.coalesce(F.sum(F.col("_c") - F.lit(1)), F.lit(0)).alias("duplicate_rows"))
+            .select(total.alias("total_rows"), "duplicate_rows")
             .withColumn("duplicate_pct",
                         r(F.col("duplicate_rows") / F.greatest(F.col("total_rows"), F.lit(1)) * F.lit(100.0), 2)))
 
@@ -186,8 +192,8 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     # quartiles projected once as columns; the fences and the aggregation refer
     # to them instead of repeating the subqueries in every expression
     x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
-                  *[r(qs[i][0], THRESHOLD_DP).alias(f"_q1{i}") for i in range(len(cols))],
-                  *[r(qs[i][1], THRESHOLD_DP).alias(f"_q3{i}") for i in range(len(cols))])
+                  *[qs[i][0].alias(f"_q1{i}") for i in range(len(cols))],
+                  *[qs[i][1].alias(f"_q3{i}") for i in range(len(cols))])
     q1 = [F.col(f"_q1{i}") for i in range(len(cols))]
     q3 = [F.col(f"_q3{i}") for i in range(len(cols))]
     lo = [q1[i] - F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
@@ -210,8 +216,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """Rows (seq, issue_type, column, count, pct) in the reference's order:
-    columns with > 20 % nulls, then duplicates, then flagged outlier columns
-    (outlier rows stop once six issues exist; the first one is always kept).
+    columns with > 20 % nulls, then duplicates, then every flagged outlier column.
 
     The ordering windows run on the issue rows only (at most one per column).
     """
@@ -226,11 +231,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
                    F.lit(None).cast("string").alias("column"), F.col("duplicate_rows").alias("count"),
                    r(F.col("duplicate_pct"), 1).alias("pct")))
     head = miss.unionByName(dup)
-    n_before = head.agg(F.count(F.lit(1))).scalar()
-    prior = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     outl = (iqr_outliers(df).filter("flagged")
-            .withColumn("k", F.coalesce(F.count(F.lit(1)).over(prior), F.lit(0)))
-            .filter((F.col("k") == 0) | (F.col("k") < F.lit(MAX_ISSUES) - n_before))
             .select(F.lit(2).alias("grp"), F.col("ordinal").alias("pos"), F.lit("outliers").alias("issue_type"),
                     "column", F.col("n_outliers").alias("count"), F.lit(None).cast("double").alias("pct")))
     return (head.unionByName(outl)

@@ -123,6 +123,6 @@ def money_by_region(df: DataFrame) -> DataFrame:
     reg, clv = find_dim(df, "region"), find_col(df, CLV_ALIASES)
     t = (df.filter(F.col(reg).isNotNull())
          .groupBy(F.col(reg).cast("string").alias("region"))
-         .agg(r(F.coalesce(dsum(safe_numeric(F.col(clv)), 2), F.lit(0.0)), 2).alias("total_clv")))
+         .agg(r(F.coalesce(dsum(safe_numeric(F.col(clv))), F.lit(0.0)), 2).alias("total_clv")))
     return t.select("region", "total_clv", format_usd(F.col("total_clv")).alias("usd"),
                     format_inr(F.col("total_clv")).alias("inr"))

@@ -58,8 +58,8 @@ def batch_insight(df: DataFrame, prob: str, clv: str) -> DataFrame:
     hi, med = count_if(p >= HIGH_P), count_if((p >= MED_P) & (p < HIGH_P))
     a = df.agg(n.alias("total"), hi.alias("n_high"), med.alias("n_medium"),
                r(ratio(hi, n) * F.lit(100.0), 2).alias("high_pct"), r(ratio(med, n) * F.lit(100.0), 2).alias("medium_pct"),
-               F.try_divide(dsum(p, 4), n.cast("double")).alias("avg_p"),
-               F.coalesce(dsum(F.when(p >= HIGH_P, v), 2), F.lit(0.0)).alias("clv_at_risk"))
+               F.try_divide(dsum(p), n.cast("double")).alias("avg_p"),
+               F.coalesce(dsum(F.when(p >= HIGH_P, v)), F.lit(0.0)).alias("clv_at_risk"))
     avg_pct = F.coalesce(F.col("avg_p"), F.lit(0.0)) * F.lit(100.0)
     return a.select("total", "n_high", "n_medium", "high_pct", "medium_pct",
                     r(avg_pct, 2).alias("avg_probability_pct"), risk_level(avg_pct).alias("risk_level"),

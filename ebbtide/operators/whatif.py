@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import CLV_ALIASES, FEE_ALIASES, RISK_ALIASES, find_col
 from ebbtide.functions.scalars import r, roi_label
-from ebbtide.operators.cohorts import effective_threshold, segment_predicate
+from ebbtide.operators.cohorts import effective_thresholds, segment_predicate
 from ebbtide.operators.kpis import _num
 
 # Flat offer cost when the fee is unknown, confidence cut-offs.
@@ -46,66 +46,44 @@ def default_grid(region: str = "asia", segment: str = "building") -> list[Scenar
     return out
 
 
-GRID_BATCH = 32  # scenarios per aggregation (4 aggregates each)
-
-
-def campaign_grid(df: DataFrame, scenarios: list[Scenario], batch: int = GRID_BATCH) -> DataFrame:
+def campaign_grid(df: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     """Evaluate every scenario; one row per scenario.
 
-    Up to ``batch`` scenarios: one pass over the customer table, no shuffle
-    (a single global aggregation). Larger grids: the table is first reduced
-    to one row per distinct (region, segment, plan, risk) with exact decimal
-    sums — a hash aggregation with map-side combine, bounded by the number
-    of distinct combinations (risk has at most 10,001 values) — checkpointed
-    to the shared folder, and the scenarios are evaluated in batches on that
-    reduced table. Decimal sums add up exactly, so both paths agree.
+    Cohorts depend on (segment, threshold) only, so a scenario grid of any size is
+    one pass: each customer is tagged with the distinct cohorts that it belongs to,
+    the tags are summed up with map-side combine, and the scenarios (a table as
+    large as the caller's grid) look up their cohort's sums.
     """
     risk = _num(df, RISK_ALIASES, 0.0)
     clv = _num(df, CLV_ALIASES, 0.0)
     has_fee = find_col(df, FEE_ALIASES) is not None
     fee = _num(df, FEE_ALIASES, 0.0)
-    effs: dict[float, Column] = {}  # one threshold subquery per distinct threshold, not per scenario
-    for s in scenarios:
-        if float(s.risk_threshold) not in effs:
-            effs[float(s.risk_threshold)] = effective_threshold(df, s.risk_threshold)
-    if len(scenarios) <= batch:
-        base = df.select(*_dim_cols(df), risk.alias("_risk"), F.lit(1).cast("bigint").alias("_n"),
-                         clv.cast("decimal(18,2)").alias("_clv"), fee.cast("decimal(18,2)").alias("_fee"),
-                         risk.cast("decimal(18,4)").alias("_rsum"))
-    else:
-        from ebbtide.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        base = (df.groupBy(*_dim_cols(df), risk.alias("_risk"))
-                  .agg(F.count(F.lit(1)).alias("_n"), F.sum(clv.cast("decimal(18,2)")).alias("_clv"),
-                       F.sum(fee.cast("decimal(18,2)")).alias("_fee"),
-                       F.sum(risk.cast("decimal(18,4)")).alias("_rsum"))
-                  .checkpoint(eager=True))
-    # each distinct threshold is one projected column: the aggregates below
-    # refer to it instead of repeating its subquery (keeps planning small)
+    effs = effective_thresholds(df, [s.risk_threshold for s in scenarios])
+    cohorts = {k: i for i, k in enumerate(dict.fromkeys((s.target_segment, float(s.risk_threshold)) for s in scenarios))}
     names = {t: f"_eff{k}" for k, t in enumerate(effs)}
-    base = base.select("*", *[effs[t].alias(names[t]) for t in effs])
-    parts = []
-    for lo in range(0, len(scenarios), batch):
-        aggs = []
-        for i in range(lo, min(lo + batch, len(scenarios))):
-            s = scenarios[i]
-            eff = F.col(names[float(s.risk_threshold)])
-            hit = (F.col("_risk") >= eff) & segment_predicate(base, s.target_segment)
-            aggs.append(F.struct(
-                F.lit(i).alias("scenario_id"), F.lit(s.target_segment).alias("target_segment"),
-                F.lit(float(s.risk_threshold)).alias("risk_threshold"),
-                F.first(eff).alias("effective_threshold"),
-                F.lit(float(s.retention_budget)).alias("retention_budget"),
-                F.lit(float(s.offer_discount_pct)).alias("offer_discount_pct"),
-                F.lit(float(s.expected_success_rate)).alias("expected_success_rate"),
-                F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0)).cast("bigint").alias("n"),
-                F.coalesce(F.sum(F.when(hit, F.col("_clv"))).cast("double"), F.lit(0.0)).alias("rev"),
-                F.coalesce(F.sum(F.when(hit, F.col("_fee"))).cast("double"), F.lit(0.0)).alias("fee_sum"),
-                F.coalesce(F.sum(F.when(hit, F.col("_rsum"))).cast("double"), F.lit(0.0)).alias("risk_sum")))
-        parts.append(base.agg(F.array(*aggs).alias("a")).select(F.inline("a")))
-    g = parts[0]
-    for p in parts[1:]:
-        g = g.unionByName(p)
+    dec = lambda x, name: x.cast("decimal(28,10)").alias(name)
+    base = df.select(*_dim_cols(df), risk.alias("_risk"), dec(clv, "_clv"), dec(fee, "_fee"), dec(risk, "_rsum"),
+                     *[effs[t].alias(names[t]) for t in effs])
+    tags = [F.when((F.col("_risk") >= F.col(names[t])) & segment_predicate(base, seg), F.lit(k))
+            for (seg, t), k in cohorts.items()]
+    sums = (base.select(F.explode(F.array(*tags)).alias("cohort"), "_clv", "_fee", "_rsum")
+            .where(F.col("cohort").isNotNull()).groupBy("cohort")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("_clv").cast("double").alias("rev"),
+                 F.sum("_fee").cast("double").alias("fee_sum"), F.sum("_rsum").cast("double").alias("risk_sum")))
+    rows = [(i, s.target_segment, float(s.risk_threshold), float(s.retention_budget), float(s.offer_discount_pct),
+             float(s.expected_success_rate), cohorts[s.target_segment, float(s.risk_threshold)])
+            for i, s in enumerate(scenarios)]
+    asked = df.sparkSession.createDataFrame(
+        rows, "scenario_id int, target_segment string, risk_threshold double, retention_budget double, "
+              "offer_discount_pct double, expected_success_rate double, cohort int")
+    eff = F.lit(None).cast("double")
+    for t, x in effs.items():
+        eff = F.when(F.col("risk_threshold") == F.lit(t), x).otherwise(eff)
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    g = asked.withColumn("effective_threshold", eff).join(sums, "cohort", "left").select(
+        "scenario_id", "target_segment", "risk_threshold", r(F.col("effective_threshold"), 6).alias("effective_threshold"), "retention_budget",
+        "offer_discount_pct", "expected_success_rate", zero("n", "bigint"), zero("rev", "double"),
+        zero("fee_sum", "double"), zero("risk_sum", "double"))
     return _finish(g, has_fee)
 
 
@@ -136,7 +114,7 @@ def _finish(g: DataFrame, has_fee: bool) -> DataFrame:
     conf = (F.when((n >= HIGH_CONF_N) & F.lit(has_fee), F.lit("High"))
              .when(n >= MED_CONF_N, F.lit("Medium")).otherwise(F.lit("Low")))
     return g.select(
-        "scenario_id", "target_segment", "risk_threshold", "effective_threshold",
+        "scenario_id", "target_segment", "risk_threshold", r(F.col("effective_threshold"), 6).alias("effective_threshold"),
         (F.col("effective_threshold") != F.col("risk_threshold")).alias("threshold_adjusted"),
         "retention_budget", "offer_discount_pct", "expected_success_rate",
         n.alias("affected_customers"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ebbtide.checks import oracle_kpis as OK
 from ebbtide.operators import kpis
 from ebbtide.operators.enrich import enriched_customers as C
@@ -56,6 +58,15 @@ _reg("risk_band_counts", OO.SQL, lambda s, d: cohorts.risk_band_counts(C(s, d)))
 _reg("nba_recommendations", OO.SQL, lambda s, d: nba.nba_recommendations(C(s, d)))
 _reg("nba_dimension_join", OO.SQL, lambda s, d: nba.nba_with_attributes(C(s, d)))
 _reg("nba_input_validation", OO.SQL, lambda s, d: nba.nba_input_validation(C(s, d)))
+def _bad_inputs(s, d):
+    """Customers with planted bad values in every field but one."""
+    k = F.col("customer_id")
+    plant = {"churn_risk_score": (7, 1.5), "estimated_clv": (11, None), "upsell_probability": (13, 1.5),
+             "retention_offer_cost": (17, -3.0), "complaints_90d": (19, -1), "satisfaction_score": (23, 10.5)}
+    return C(s, d).withColumns({c: F.when(k % m == 0, F.lit(v)).otherwise(F.col(c)) for c, (m, v) in plant.items()})
+
+
+_reg("nba_rejected_rows", OO.SQL, lambda s, d: nba.nba_rejected_rows(_bad_inputs(s, d)))
 _reg("strategy_summary", OO.SQL, lambda s, d: nba.strategy_summary(C(s, d)))
 _reg("nba_batch_totals", OO.SQL, lambda s, d: nba.nba_batch_totals(C(s, d)))
 _reg("nba_portfolio_triage", OO.SQL, lambda s, d: nba.nba_portfolio_triage(C(s, d)))
@@ -79,27 +90,20 @@ _reg("campaign_verdict", OO.SQL, lambda s, d: whatif.campaign_verdict(C(s, d), w
 _reg("budget_projection", OO.SQL, lambda s, d: whatif.budget_projection(C(s, d)))
 
 # --- profiling and domain tagging ---------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
 from ebbtide.checks import oracle_profile as OP  # noqa: E402
 from ebbtide.operators import profile  # noqa: E402
 from ebbtide.functions.scalars import r  # noqa: E402
 from ebbtide.sources.tables import table as T  # noqa: E402
 
 
-def _event_keys(s, d):
-    return T(s, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
-
-
 def _labelled_docs(s, d):
-    docs = T(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return docs.join(T(s, d, "labels"), "doc_id", "left").select(*OP.QI_COLS)
+    return T(s, d, "documents").join(T(s, d, "labels"), "doc_id", "left").select(*OP.QI_COLS)
 
 
 _reg("column_catalog", OP.SQL, lambda s, d: profile.column_catalog(C(s, d)))
 _reg("missing_report", OP.SQL, lambda s, d: profile.missing_report(C(s, d)))
 _reg("top_missing", OP.SQL, lambda s, d: profile.top_missing(C(s, d)))
-_reg("duplicate_rows", OP.SQL, lambda s, d: profile.duplicate_rows(_event_keys(s, d)))
+_reg("duplicate_rows", OP.SQL, lambda s, d: profile.duplicate_rows(T(s, d, "events")))
 _reg("numeric_profile", OP.SQL, lambda s, d: profile.numeric_profile(T(s, d, "lineitem"), OP.LINEITEM_NUM))
 _reg("categorical_profile", OP.SQL, lambda s, d: profile.categorical_profile(C(s, d), OP.CAT_COLS))
 _reg("iqr_outliers", OP.SQL, lambda s, d: profile.iqr_outliers(T(s, d, "events"), OP.EVENT_NUM))

@@ -75,10 +75,11 @@ def text_preview(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def sample_rows(df: DataFrame, n: int = 10, order_by: str | None = None) -> DataFrame:
-    """First ``n`` rows in key order (deterministic), 1 <= n <= 500."""
-    n = max(1, min(int(n), 500))
+    """First ``n`` rows in key order (deterministic)."""
+    if int(n) < 1:
+        raise ValueError("n must be at least 1")
     key = order_by or df.columns[0]
-    return df.orderBy(F.col(key)).limit(n)
+    return df.orderBy(F.col(key)).limit(int(n))
 
 
 # ---------------------------------------------------------------------------

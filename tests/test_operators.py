@@ -118,14 +118,14 @@ def test_domain_tags(spark):
     assert tags == {"t1": "Customer Retention", "t2": "General Analytics"}
 
 
-def test_large_grid_matches_single_pass(customers):
-    grid = [whatif.Scenario(t, th, b, d, 0.18) for t in ("All", "asia", "building", "machinery", "none")
-            for th in (0.3, 0.6, 1.0) for b in (100_000.0, 500_000.0) for d in (5.0, 10.0)]
-    assert len(grid) == 60
-    big = whatif.campaign_grid(customers, grid, batch=16)            # reduced table, 4 batches
-    one = whatif.campaign_grid(customers, grid, batch=len(grid))     # one pass over the table
-    assert big.count() == 60
-    assert big.exceptAll(one).count() == 0 and one.exceptAll(big).count() == 0
+def test_large_grid_equals_single_scenarios(customers):
+    grid = [whatif.Scenario(t, thr, b, 10.0, 0.18) for t in ("All", "EUROPE", "AUTOMOBILE", "none")
+            for thr in (0.2, 0.33, 0.6, 1.0) for b in (1e5, 2.5e5, 5e5)]
+    got = {r.scenario_id: r for r in whatif.campaign_grid(customers, grid).collect()}
+    assert len(got) == len(grid) == 48
+    for k in (0, 7, 20, 47):
+        one = whatif.campaign_grid(customers, [grid[k]]).first().asDict()
+        assert {**got[k].asDict(), "scenario_id": 0} == one
 
 
 def _portfolio(spark, n=5000, churned=1065):
@@ -179,3 +179,64 @@ def test_churn_drivers_empty_input(spark, sf_dir):
     from ebbtide.sources.fixtures import customers
     rows = kpis.churn_drivers(customers(spark, sf_dir).limit(0)).collect()
     assert len(rows) == 6 and not any(r["fired"] for r in rows) and not any(r["kept"] for r in rows)
+
+
+def test_sums_and_averages_use_unrounded_values(spark):
+    df = spark.createDataFrame([(1, 1, 100.004, 0.00004, 7.25), (2, 1, 200.004, 0.00004, 6.25)],
+                               "customer_id int, churned int, estimated_clv double, churn_risk_score double, satisfaction_score double")
+    k = kpis.kpi_summary(df).first()
+    assert (k.avg_satisfaction_score, k.avg_clv, k.revenue_at_risk) == (6.75, 150.004, 300.008)
+
+
+def test_rounding_keeps_large_values_and_rounds_away_from_zero(spark):
+    from ebbtide.functions.scalars import r
+    row = spark.range(1).select(r(F.lit(1e15), 4).alias("a"), r(F.lit(5e15), 4).alias("b"), r(F.lit(-2.5), 0).alias("c"),
+                                r(F.lit(9.3e18), 2).alias("d")).first()
+    assert tuple(row) == (1e15, 5e15, -3.0, 9.3e18)
+
+
+def test_priority_list_has_no_cap_and_filters_first(spark):
+    rows = [(k, (k % 97) / 97.0, float(k % 1000), "auto" if k % 20 == 0 else "home") for k in range(6500)]
+    df = spark.createDataFrame(rows, "customer_id int, churn_risk_score double, estimated_clv double, customer_segment string")
+    assert priority.priority_list(df, 6000).count() == 6000
+    got = priority.priority_list_filtered(df, 20, segment="auto")
+    assert got.count() == 20 and {r.customer_segment for r in got.collect()} == {"auto"}
+    with pytest.raises(ValueError):
+        priority.priority_list(df, 0)
+
+
+def test_every_flagged_outlier_column_is_an_issue(spark):
+    rows = [tuple(1e6 if k < 20 else float(k % 10) for _ in range(9)) for k in range(1000)]
+    from ebbtide.operators import profile
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(9)))
+    issues = [r for r in profile.quality_issues(df).collect() if r.issue_type == "outliers"]
+    assert [r.column for r in issues] == [f"c{k}" for k in range(9)]
+
+
+def test_validation_tests_raw_values(spark):
+    df = spark.createDataFrame([(1, "abc", None, 1.5, -3.0, -1, -1, 11.0), (2, "0.4", 10.0, 0.5, 1.0, 0, 0, 5.0)],
+                               "customer_id int, churn_risk_score string, estimated_clv double, upsell_probability double, "
+                               "retention_offer_cost double, complaints_90d int, payment_failures_12m int, satisfaction_score double")
+    assert tuple(nba.nba_input_validation(df).first()) == (2, 1, 1)
+    assert nba.nba_rejected_rows(df).first().reasons == (
+        "churn_risk_score missing; estimated_clv missing; upsell_probability out of range; retention_offer_cost out of range; "
+        "complaints_90d out of range; payment_failures_12m out of range; satisfaction_score out of range")
+    good, bad = nba.validated_split(df)
+    assert good.count() == 1 and bad.count() == 1
+
+
+def test_auc_separates_close_scores_and_cannot_overflow(spark):
+    from ebbtide.operators import ml
+    close = spark.createDataFrame([(0.1000001, 0), (0.1000004, 1)], "s double, y int")
+    assert ml.roc_auc(close, "s", "y").first()[0] == 1.0
+    rows = [((k * 37 % 1000) / 1000.0, int((k * 7919) % 5 == 0)) for k in range(3000)]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert ml.roc_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y", ranges=16).first()[0] == pytest.approx(want, abs=1e-12)
+
+
+def test_duplicates_are_whole_rows(spark):
+    from ebbtide.operators import profile
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (1, "a", "x"), (2, None, None), (2, None, None), (2, None, None)],
+                               "k int, a string, b string")
+    assert tuple(profile.duplicate_rows(df).first())[:2] == (6, 3)

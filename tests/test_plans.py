@@ -2,8 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as E
+from ebbtide import registry
 
+registry.load_all()
 SKIP = {"ml_metrics", "feature_importance", "score_customers"}
 
 
@@ -11,14 +12,14 @@ from ebbtide.plans.inspect import physical_plan as _plan
 from ebbtide.plans.inspect import scan_pushdown, slow_path_operators
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("key", sorted(set(registry.QUERIES) - SKIP))
 def test_no_python_udf_or_cartesian(spark, sf_dir, key):
-    assert slow_path_operators(E.queries()[key](spark, sf_dir)) == [], key
+    assert slow_path_operators(registry.QUERIES[key](spark, sf_dir)) == [], key
 
 
 @pytest.mark.parametrize("key", ["priority_list", "risk_segments_top20", "top_high_risk", "sorted_page"])
 def test_topk_is_take_ordered(spark, sf_dir, key):
-    assert "TakeOrderedAndProject" in _plan(E.queries()[key](spark, sf_dir))
+    assert "TakeOrderedAndProject" in _plan(registry.QUERIES[key](spark, sf_dir))
 
 
 def test_filters_reach_parquet_scan(spark, sf_dir):
@@ -34,20 +35,22 @@ def test_filters_reach_parquet_scan(spark, sf_dir):
 def test_grouping_combines_map_side(spark, sf_dir, key):
     """Partial aggregation before every shuffle: a key holding a third of all
     rows is pre-combined on each partition, never sent whole to one task."""
-    p = _plan(E.queries()[key](spark, sf_dir))
+    p = _plan(registry.QUERIES[key](spark, sf_dir))
     assert "Exchange hashpartitioning" in p
     assert "partial_" in p
 
 
-@pytest.mark.parametrize("key", ["churn_drivers", "campaign_grid", "priority_list", "iqr_outliers"])
+@pytest.mark.parametrize("key", ["churn_drivers", "campaign_grid", "at_risk_auto_threshold", "priority_list",
+                                 "iqr_outliers", "quality_issues"])
 def test_scan_count_bounded(spark, sf_dir, key):
     """Portfolio metrics and both worst-group breakdowns come from one
     grouping-sets pass; thresholds, bounds and fences are each one subquery,
     projected once, not repeated per expression."""
     import re
-    df = E.queries()[key](spark, sf_dir)
+    df = registry.QUERIES[key](spark, sf_dir)
     mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     txt = df._jdf.queryExecution().explainString(mode)
     scans = len(re.findall(r"^\(\d+\) Scan parquet", txt, re.M))
-    limit = {"churn_drivers": 1, "campaign_grid": 5, "priority_list": 2, "iqr_outliers": 7}[key]
+    limit = {"churn_drivers": 1, "campaign_grid": 4, "at_risk_auto_threshold": 3, "priority_list": 2, "iqr_outliers": 2,
+             "quality_issues": 8}[key]
     assert scans <= limit, (key, scans)

@@ -20,30 +20,28 @@ def frame(spark):
     return spark.createDataFrame(rows, "id long, x double, hot double, sparse double")
 
 
-@pytest.mark.parametrize("col", ["x", "hot", "sparse"])
-def test_bracketed_equals_exact(frame, col):
-    got = quantiles_for(frame, [F.col(col)], PROBS, exact_limit=100)[0]
-    exact = quantiles_for(frame, [F.col(col)], PROBS, exact_limit=10 ** 9)[0]
-    row = frame.sparkSession.range(1).select(*[g.alias(f"g{i}") for i, g in enumerate(got)],
-                                             *[e.alias(f"e{i}") for i, e in enumerate(exact)]).first()
-    for i in range(len(PROBS)):
-        assert row[f"g{i}"] == pytest.approx(row[f"e{i}"], rel=1e-12, abs=1e-9), PROBS[i]
-
-
-def test_many_columns_at_once(frame):
-    cols = [F.col("x"), F.col("hot"), F.col("sparse"), F.col("id")]
-    got = quantiles_for(frame, cols, PROBS, exact_limit=100)
-    exact = quantiles_for(frame, cols, PROBS, exact_limit=10 ** 9)
-    flat_g = [g for row in got for g in row]
-    flat_e = [e for row in exact for e in row]
-    row = frame.sparkSession.range(1).select(*[g.alias(f"g{i}") for i, g in enumerate(flat_g)],
-                                             *[e.alias(f"e{i}") for i, e in enumerate(flat_e)]).first()
-    for i in range(len(flat_g)):
-        assert row[f"g{i}"] == pytest.approx(row[f"e{i}"], rel=1e-12, abs=1e-9), i
+def _same(frame, cols, **kw):
+    got = [g for row in quantiles_for(frame, [F.col(c) for c in cols], PROBS, **kw) for g in row]
+    row = frame.sparkSession.range(1).select(*[g.alias(f"g{i}") for i, g in enumerate(got)]).first()
+    want = frame.agg(*[F.percentile(c, PROBS).alias(c) for c in cols]).first()
+    for i, c in enumerate(cols):
+        for j, p in enumerate(PROBS):
+            assert row[f"g{i * len(PROBS) + j}"] == pytest.approx(want[c][j], rel=1e-12, abs=1e-9), (c, p)
+
+
+# a coarse sketch and tiny brackets: several rounds of narrowing on a small table
+@pytest.mark.parametrize("kw", [{}, {"accuracy": 50, "bracket_rows": 20}, {"accuracy": 10, "bracket_rows": 1}])
+def test_equals_exact_percentile(frame, kw):
+    _same(frame, ["x", "hot", "sparse", "id"], **kw)
+
+
+def test_huge_values(spark):
+    df = spark.createDataFrame([(1.7e15 + 1e6 * k, -4.0e18 + 1e12 * k) for k in range(501)], "a double, b double")
+    _same(df, ["a", "b"], accuracy=20, bracket_rows=5)
 
 
 def test_all_null_column(spark):
     df = spark.createDataFrame([(i, None) for i in range(300)], "id long, z double")
-    got = quantiles_for(df, [F.col("z"), F.col("id")], [0.5], exact_limit=10)
+    got = quantiles_for(df, [F.col("z"), F.col("id")], [0.5])
     row = spark.range(1).select(got[0][0].alias("z"), got[1][0].alias("id")).first()
     assert row["z"] is None and row["id"] == 149.5
