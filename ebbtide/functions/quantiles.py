@@ -13,9 +13,10 @@ Any number of columns and probabilities share the passes:
    count) by a hash aggregation (a value repeated a billion times is one row), and
    a running count for each (column, probability) finds the order statistics.
 
-No task ever holds more than a sketch or one bracket; the driver gets two bounds
-and two counts for each (column, probability). Results are scalar-subquery
-``Column`` objects, usable in any expression.
+No task ever holds more than a sketch or one bracket; the driver gets two bounds,
+two counts and the result for each (column, probability). Results are literal
+``Column`` objects, so a plan that compares with them needs no subquery, scans its
+table once, and can push the comparison to the scan.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def quantiles_for(df: DataFrame, exprs: list[Column], probs: list[float], accura
                                      F.first("share").alias("share"))
     vals = picked.select("cell", F.when(F.col("a") == F.col("b"), F.col("a"))
                          .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("q"))
-    m = vals.agg(F.map_from_entries(F.collect_list(F.struct("cell", "q")))).scalar()  # one entry per cell
-    for k, (i, j) in enumerate(live):
-        out[i][j] = m[F.lit(k)]
+    for cell, q in vals.collect():  # one number for each cell
+        i, j = live[cell]
+        out[i][j] = F.lit(q)
     return out

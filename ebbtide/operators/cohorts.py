@@ -89,12 +89,13 @@ def segment_contains(df: DataFrame, target: str) -> DataFrame:
 
 def effective_thresholds(df: DataFrame, thresholds: list[float]) -> dict[float, Column]:
     """For each distinct threshold: itself if any row reaches it, else p75(risk), over
-    the whole table and before any segment filter. One aggregation and one quantile
-    serve all of them."""
+    the whole table and before any segment filter. The maximum is one number, and the
+    quantile is only looked for if some threshold is out of reach."""
     risk = _num(df, RISK_ALIASES, 0.0)
-    top = df.select(F.max(risk)).scalar()
-    p75 = quantile_of(df, risk, 0.75)
-    return {float(t): F.when(top < F.lit(float(t)), p75).otherwise(F.lit(float(t))) for t in thresholds}
+    top = df.agg(F.max(risk)).first()[0]
+    low = top is not None and any(float(t) > top for t in thresholds)
+    p75 = quantile_of(df, risk, 0.75) if low else None
+    return {float(t): F.lit(float(t)) if top is None or float(t) <= top else p75 for t in thresholds}
 
 
 def effective_threshold(df: DataFrame, threshold: float) -> Column:

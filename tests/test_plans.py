@@ -51,6 +51,6 @@ def test_scan_count_bounded(spark, sf_dir, key):
     mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     txt = df._jdf.queryExecution().explainString(mode)
     scans = len(re.findall(r"^\(\d+\) Scan parquet", txt, re.M))
-    limit = {"churn_drivers": 1, "campaign_grid": 4, "at_risk_auto_threshold": 3, "priority_list": 2, "iqr_outliers": 2,
-             "quality_issues": 8}[key]
+    limit = {"churn_drivers": 1, "campaign_grid": 1, "at_risk_auto_threshold": 1, "priority_list": 2, "iqr_outliers": 1,
+             "quality_issues": 10}[key]
     assert scans <= limit, (key, scans)
