@@ -324,9 +324,8 @@ DOMAIN_META = {
 }
 
 
-def domain_scores(text: Column) -> list[Column]:
-    """One score per domain: how many of its keywords occur as substrings."""
-    low = F.lower(text)
+def domain_scores(low: Column) -> list[Column]:
+    """One score per domain: how many of its keywords occur in the lowered text."""
     return [sum((F.coalesce(F.contains(low, F.lit(k)), F.lit(False))).cast("int") for k in kws)
             for _, kws in DOMAIN_RULES]
 
@@ -344,12 +343,14 @@ def domain_pick(scores: list[Column]) -> Column:
 def with_domain(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """Adds ``domain`` and ``score`` (hits of the winning domain).
 
-    Two projections: the keyword scores first (each is then referenced
+    Three projections: the lowered text, so that all keyword tests share it; the
+    keyword scores (each is then referenced
     several times by the arg-max, so Catalyst keeps them in their own
     projection instead of repeating the keyword tests), then the arg-max.
     Pure projections: tagging runs in the scan's codegen stage, no shuffle.
     """
-    stage = df.select(*keep, *[s.alias(f"_d{i}") for i, s in enumerate(domain_scores(text))])
+    low = df.select(*keep, F.lower(text).alias("_low"))
+    stage = low.select(*keep, *[s.alias(f"_d{i}") for i, s in enumerate(domain_scores(F.col("_low")))])
     cols = [F.col(f"_d{i}") for i in range(len(DOMAIN_RULES))]
     return stage.select(*keep, domain_pick(cols).alias("domain"), F.greatest(*cols).alias("score"))
 

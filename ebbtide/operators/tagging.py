@@ -113,6 +113,17 @@ WHATIF_DEFAULTS = {"budget": 500_000.0, "discount": 10.0, "threshold": 0.6, "suc
 
 
 # ---------------------------------------------------------------------------
+def _lower(text: Column, low: Column | None) -> Column:
+    """The lowered text: a column of an earlier projection where the caller has one
+    (many keyword tests then share it), else computed here."""
+    return F.lower(text) if low is None else low
+
+
+def _lowered(msgs: DataFrame) -> DataFrame:
+    """Messages with the lowered text as a column of its own projection."""
+    return msgs.select("conv_id", "turn", "text", F.lower("text").alias("_low"))
+
+
 def _has(low: Column, word: str) -> Column:
     return F.coalesce(F.contains(low, F.lit(word)), F.lit(False))
 
@@ -138,50 +149,50 @@ def _extract_num(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), raw.try_cast("double"))
 
 
-def keyword_intent(text: Column) -> Column:
-    low = F.lower(text)
+def keyword_intent(text: Column, low: Column | None = None) -> Column:
+    low = _lower(text, low)
     e = None
     for name, kws in KEYWORD_INTENTS:
         e = F.when(_any(low, kws), F.lit(name)) if e is None else e.when(_any(low, kws), F.lit(name))
     return e.otherwise(F.lit(UNKNOWN_INTENT))
 
 
-def entity_region(text: Column) -> Column:
-    return _first_word(F.lower(text), ENTITY_REGIONS)
+def entity_region(text: Column, low: Column | None = None) -> Column:
+    return _first_word(_lower(text, low), ENTITY_REGIONS)
 
 
-def entity_segment(text: Column) -> Column:
-    return _first_word(F.lower(text), ENTITY_SEGMENTS)
+def entity_segment(text: Column, low: Column | None = None) -> Column:
+    return _first_word(_lower(text, low), ENTITY_SEGMENTS)
 
 
-def param_budget(text: Column) -> Column:
-    low = F.lower(text)
+def param_budget(text: Column, low: Column | None = None) -> Column:
+    low = _lower(text, low)
     v = _extract_num(low, BUDGET_RE)
     sfx = F.regexp_extract(low, BUDGET_RE, 2)
     return (F.when(sfx == "k", v * F.lit(1_000.0)).when(sfx == "m", v * F.lit(1_000_000.0)).otherwise(v))
 
 
-def param_discount(text: Column) -> Column:
-    return _extract_num(F.lower(text), DISCOUNT_RE)
+def param_discount(text: Column, low: Column | None = None) -> Column:
+    return _extract_num(_lower(text, low), DISCOUNT_RE)
 
 
-def param_top_n(text: Column) -> Column:
-    low = F.lower(text)
+def param_top_n(text: Column, low: Column | None = None) -> Column:
+    low = _lower(text, low)
     return F.when(low.rlike(TOP_N_RE), F.regexp_extract(low, TOP_N_RE, 1).try_cast("bigint"))
 
 
-def param_segment(text: Column) -> Column:
-    return _first_word(F.lower(text), PARAM_SEGMENTS)
+def param_segment(text: Column, low: Column | None = None) -> Column:
+    return _first_word(_lower(text, low), PARAM_SEGMENTS)
 
 
-def param_region(text: Column) -> Column:
-    return _first_word(F.lower(text), PARAM_REGIONS)
+def param_region(text: Column, low: Column | None = None) -> Column:
+    return _first_word(_lower(text, low), PARAM_REGIONS)
 
 
-def regex_intent(text: Column) -> Column:
+def regex_intent(text: Column, low: Column | None = None) -> Column:
     """Ordered regex intents; the region / segment rules need that parameter."""
-    low = F.lower(text)
-    present = {"region": param_region(text).isNotNull(), "segment": param_segment(text).isNotNull()}
+    low = _lower(text, low)
+    present = {"region": param_region(text, low).isNotNull(), "segment": param_segment(text, low).isNotNull()}
     e = None
     for name, needs, pat in REGEX_INTENTS:
         cond = F.coalesce(low.rlike(pat), F.lit(False))
@@ -191,9 +202,9 @@ def regex_intent(text: Column) -> Column:
     return e.otherwise(F.lit(DEFAULT_REGEX_INTENT))
 
 
-def route_scores(text: Column) -> list[Column]:
+def route_scores(text: Column, low: Column | None = None) -> list[Column]:
     """Keyword hits per agent group, in ``ROUTES`` order."""
-    low = F.lower(text)
+    low = _lower(text, low)
     return [sum(_has(low, k).cast("int") for k in kws) for _, kws in ROUTES]
 
 
@@ -241,31 +252,33 @@ def user_messages(conversations: DataFrame) -> DataFrame:
 
 
 def tag_intents_keyword(msgs: DataFrame) -> DataFrame:
-    return msgs.select("conv_id", "turn", keyword_intent(F.col("text")).alias("intent"))
+    t, low = F.col("text"), F.col("_low")
+    return _lowered(msgs).select("conv_id", "turn", keyword_intent(t, low).alias("intent"))
 
 
 def tag_entities(msgs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    return msgs.select("conv_id", "turn", entity_region(t).alias("region"), entity_segment(t).alias("segment"))
+    t, low = F.col("text"), F.col("_low")
+    return _lowered(msgs).select("conv_id", "turn", entity_region(t, low).alias("region"),
+                                 entity_segment(t, low).alias("segment"))
 
 
 def extract_parameters(msgs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    return msgs.select("conv_id", "turn", param_budget(t).alias("budget"), param_discount(t).alias("discount"),
-                       param_top_n(t).alias("top_n"), param_segment(t).alias("segment"),
-                       param_region(t).alias("region"))
+    t, low = F.col("text"), F.col("_low")
+    return _lowered(msgs).select("conv_id", "turn", param_budget(t, low).alias("budget"),
+                                 param_discount(t, low).alias("discount"), param_top_n(t, low).alias("top_n"),
+                                 param_segment(t, low).alias("segment"), param_region(t, low).alias("region"))
 
 
 def tag_intents_regex(msgs: DataFrame) -> DataFrame:
-    return msgs.select("conv_id", "turn", regex_intent(F.col("text")).alias("intent"))
+    return _lowered(msgs).select("conv_id", "turn", regex_intent(F.col("text"), F.col("_low")).alias("intent"))
 
 
 def route_agents(msgs: DataFrame) -> DataFrame:
-    t = F.col("text")
-    scores = route_scores(t)
-    stage = msgs.select("conv_id", "turn", regex_intent(t).alias("_intent"),
-                        _any(F.lower(t), SEGMENT_STRATEGY_WORDS).alias("_strategy"),
-                        *[sc.alias(f"_s{i}") for i, sc in enumerate(scores)])
+    t, low = F.col("text"), F.col("_low")
+    scores = route_scores(t, low)
+    stage = _lowered(msgs).select("conv_id", "turn", regex_intent(t, low).alias("_intent"),
+                                  _any(low, SEGMENT_STRATEGY_WORDS).alias("_strategy"),
+                                  *[sc.alias(f"_s{i}") for i, sc in enumerate(scores)])
     return stage.select("conv_id", "turn", agent_route(
         F.col("_intent"), F.col("_strategy"), [F.col(f"_s{i}") for i in range(len(scores))]).alias("agent"))
 
