@@ -92,6 +92,12 @@ SELECT {KPI_COLS},
   {R('(SELECT t FROM thr_risk)', 6)} AS risk_p75
 FROM enriched"""
 
+_ENH = SQL["enhanced_kpis"][len(with_enriched(THR_RISK, THR_CLV, CONC_CTE)):]
+SQL["enhanced_kpi_segments"] = with_enriched(THR_RISK, THR_CLV, CONC_CTE, f"enh AS ({_ENH})", f"seg AS ({SEG_SELECT})") + """
+SELECT seg.*, """ + ", ".join(f"enh.{c} AS portfolio_{c}" for c in (
+    "total_customers", "churn_rate_pct", "biz_revenue_at_risk", "high_value_customers", "top_region")) + """
+FROM seg, enh ORDER BY revenue_at_risk DESC, region, customer_segment, plan_type LIMIT 20"""
+
 _RL = ("CASE WHEN {x} >= 25 THEN 'Critical' WHEN {x} >= 20 THEN 'High' WHEN {x} >= 15 THEN 'Elevated' "
        "ELSE 'Moderate' END")
 

@@ -1,7 +1,7 @@
 """Oracle SQL (DuckDB dialect) for cohorts, NBA rules, priority list and what-if."""
 
 from ebbtide.checks.oracle_kpis import CLV0, KPI_CTE, RISK0, THR_CLV, THR_RISK, breakdown_cte
-from ebbtide.checks.sqlbase import DSUM, R, RATIO, with_enriched
+from ebbtide.checks.sqlbase import _PD, DAVG, DSUM, R, RATIO, with_enriched
 
 SQL = {}
 
@@ -323,5 +323,39 @@ SELECT region, total_clv, {_USD} AS usd, {_INR} AS inr FROM (
   SELECT CAST(region AS VARCHAR) AS region,
     {R(f"coalesce({DSUM('CAST(estimated_clv AS DOUBLE)')}, 0.0::DOUBLE)", 2)} AS total_clv
   FROM enriched WHERE region IS NOT NULL GROUP BY region)"""
+def _inr(x: str, places: int, lakh: str) -> str:
+    big = lambda d, sfx: f"'₹' || format('{{:.{places}f}}', {R(f'{x} / {d}', places)}) || ' {sfx}'"
+    return (f"CASE WHEN {x} >= 1e7 THEN {big('1e7', 'Cr')} WHEN {x} >= 1e5 THEN {big('1e5', lakh)} "
+            f"ELSE '₹' || format('{{:,}}', CAST({R(x, 0)} AS BIGINT)) END")
+
+
+SQL["display_formats"] = with_enriched() + f"""
+SELECT region, {_USD.replace(_T, 'avg_clv')} AS usd, {_inr('avg_clv', 2, 'Lakh')} AS inr_exact, {_inr('avg_clv', 1, 'L')} AS inr_report,
+  format('{{:.1f}}', {R('churn_rate_pct', 1)}) || '%' AS churn, format('{{:,}}', n) AS customers,
+  '2026-01-02 03:04:05' AS generated_at
+FROM (SELECT CAST(region AS VARCHAR) AS region, {R(f"coalesce({DAVG('CAST(estimated_clv AS DOUBLE)')}, 0.0::DOUBLE)", 2)} AS avg_clv,
+        {R('avg(CAST(churned AS DOUBLE)) * 100.0::DOUBLE', 2)} AS churn_rate_pct, count(*) AS n
+      FROM enriched WHERE region IS NOT NULL GROUP BY region)"""
+_F = ("(CAST(coalesce(CAST(paymentdelaydays AS DOUBLE), 0) > 30 AS INTEGER) + CAST(coalesce(CAST(supporttickets AS DOUBLE), 0) >= 2 AS INTEGER)"
+      " + CAST(coalesce(CAST(tenuremonths AS DOUBLE), 12) < 6 AS INTEGER) + CAST(coalesce(CAST(satisfaction_score AS DOUBLE), 10) < 6 AS INTEGER))")
+
+
+def _actions_sql() -> str:
+    from ebbtide.operators.scoring import PLAYBOOK_ACTIONS
+    money = f"CASE WHEN coalesce(v, 0) <> 0 THEN {_USD.replace(_T, 'v')} ELSE 'unknown' END"
+    rows = []
+    for code, texts in PLAYBOOK_ACTIONS.items():
+        for k, t in enumerate(texts):
+            rows.append(f"""SELECT customer_id, playbook, CASE WHEN f >= 3 THEN 'High' ELSE 'Medium' END AS confidence,
+  CASE WHEN f >= 4 THEN 'High' WHEN f >= 2 THEN 'Medium' ELSE 'Low' END AS signal_confidence, CAST({k} AS INTEGER) AS position,
+  replace(replace('{t}', '{{id}}', CAST(customer_id AS VARCHAR)), '{{clv}}', {money}) AS action
+FROM pb WHERE playbook = '{code}'""")
+    return with_enriched(f"pb AS (SELECT customer_id, {_CODE} AS playbook, {_V} AS v, {_F} AS f FROM enriched)") + "\nUNION ALL\n".join(rows)
+
+
+SQL["customer_actions"] = _actions_sql()
+SQL["enrich_derived_dims"] = with_enriched() + f"""
+SELECT customer_id, state AS region, plantype AS customer_segment, CAST(({_PD}) > 30 AS BIGINT) AS payment_failures_12m,
+  estimated_clv, churn_risk_score, satisfaction_score, complaints_90d FROM enriched"""
 SQL["breakdown_map"] = with_enriched(breakdown_cte("region", "region", "b")) + \
     "SELECT CAST(to_json(map_from_entries(list(struct_pack(k := region, v := churn_rate_pct) ORDER BY region))) AS VARCHAR) AS churn_by_region FROM b"

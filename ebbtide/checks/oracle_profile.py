@@ -160,3 +160,55 @@ SELECT '{dataset}' AS dataset, (SELECT count(*) FROM enriched) AS total_rows, {l
 
 
 SQL["source_context"] = source_context_sql("customers")
+
+
+def _long(src: str, section: str, name: str, values: list[str], label: str = "CAST(NULL AS VARCHAR)") -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{section}' AS section, {name} || '.{v}' AS item, CAST("{v}" AS DOUBLE) AS value, {label} AS label FROM ({src})"""
+        for v in values)
+
+
+_SUMMARY_COLS = ["total_rows", "total_columns", "numeric_columns", "categorical_columns", "duplicate_rows", "columns_with_missing"]
+PROFILE_NUM = ["monthlycharges", "estimated_clv"]
+
+
+def _numeric(src: str, c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return f"""SELECT '{c}' AS "column", count({c}) AS count, {R(f"avg({x})", 4)} AS mean, {R(f"stddev_samp({x})", 4)} AS std,
+  min({x}) AS min, {R(f"quantile_cont({x}, 0.25)", 6)} AS p25, {R(f"quantile_cont({x}, 0.5)", 6)} AS p50,
+  {R(f"quantile_cont({x}, 0.75)", 6)} AS p75, max({x}) AS max FROM {src}"""
+
+
+def profile_report_sql() -> str:
+    summary = SQL["dataset_profile_summary"]
+    top = SQL["top_missing"]
+    cat = SQL["categorical_profile"]
+    num = with_enriched() + "\nUNION ALL\n".join(_numeric("enriched", c) for c in PROFILE_NUM)
+    label = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in CAT_COLS)
+    sample = with_enriched() + (f"SELECT 'sample' AS section, CAST(customer_id AS VARCHAR) AS item, CAST(NULL AS DOUBLE) AS value, "
+                                f"{label} AS label FROM enriched ORDER BY customer_id LIMIT 5")
+    return "\nUNION ALL\n".join([
+        _long(summary, "summary", "'table'", _SUMMARY_COLS),
+        _long(num, "numeric", '"column"', ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]),
+        _long(cat, "categorical", '"column"', ["unique", "top_freq"], "top"),
+        _long(top, "missing", '"column"', ["missing_pct"]),
+        f"SELECT * FROM ({sample})"])
+
+
+SQL["profile_report"] = profile_report_sql()
+
+
+def source_insights_sql(dataset: str) -> str:
+    metrics, analyses = {}, {}
+    for d, (_u, m, a) in DOMAIN_META.items():
+        metrics[d], analyses[d] = "; ".join(m), "; ".join(a)
+    names = (" ".join(CUST_COLS) + " " + dataset).lower()
+    scores = [(d, sum(k in names for k in kws)) for d, kws in DOMAIN_RULES]
+    best = max(x for _, x in scores)
+    dom = next((d for d, x in scores if x == best), GENERAL_DOMAIN) if best > 0 else GENERAL_DOMAIN
+    return with_enriched(quality_sql("", "enriched", CUST_COLS, CUST_NUM)) + f"""
+SELECT '{dataset}' AS dataset, issues.*, '{dom}' AS detected_domain, '{metrics[dom]}' AS key_metrics,
+  '{analyses[dom]}' AS recommended_analyses FROM issues"""
+
+
+SQL["source_insights"] = source_insights_sql("customers")

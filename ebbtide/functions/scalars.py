@@ -112,6 +112,29 @@ def format_usd(v: Column) -> Column:
              .otherwise(F.concat(F.lit("$"), F.format_number(v1, 0))))
 
 
+def format_inr_exact(v: Column) -> Column:
+    """INR with two decimals: Cr above 10^7, Lakh above 10^5, else rupees."""
+    return (F.when(v >= 1e7, F.format_string("₹%.2f Cr", r(v / 1e7, 2)))
+             .when(v >= 1e5, F.format_string("₹%.2f Lakh", r(v / 1e5, 2)))
+             .otherwise(F.concat(F.lit("₹"), F.format_number(r(v, 0), 0))))
+
+
+def format_inr_report(v: Column) -> Column:
+    """INR as in the reports: Cr, L, else rupees."""
+    return (F.when(v >= 1e7, F.format_string("₹%.1f Cr", r(v / 1e7, 1)))
+             .when(v >= 1e5, F.format_string("₹%.1f L", r(v / 1e5, 1)))
+             .otherwise(F.concat(F.lit("₹"), F.format_number(r(v, 0), 0))))
+
+
+def format_percent(x: Column) -> Column:
+    return F.format_string("%.1f%%", r(x, 1))
+
+
+def run_stamp(ts: Column) -> Column:
+    """A run's time as text, UTC."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
 def format_inr(v: Column) -> Column:
     """INR: Cr above 10^7, Lakh above 10^5, else thousands-separated rupees."""
     return (F.when(v >= 1e7, F.format_string("₹%.1f Cr", r(v / 1e7, 1)))

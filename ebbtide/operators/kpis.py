@@ -181,6 +181,14 @@ def risk_segments(df: DataFrame, top: int | None = None) -> DataFrame:
     return g
 
 
+def enhanced_kpi_segments(df: DataFrame, top: int = 20) -> DataFrame:
+    """F12 with F11: the top risk segments, each row with the portfolio's figures."""
+    cols = ["total_customers", "churn_rate_pct", "biz_revenue_at_risk", "high_value_customers", "top_region"]
+    one = enhanced_kpis(df).select(F.struct(*cols)).scalar()
+    return (risk_segments(df, top).withColumn("_k", one)
+            .select("*", *[F.col(f"_k.{c}").alias(f"portfolio_{c}") for c in cols]).drop("_k"))
+
+
 # ---------------------------------------------------------------------------
 # enhanced KPIs in one row
 # ---------------------------------------------------------------------------

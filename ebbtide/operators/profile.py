@@ -47,34 +47,29 @@ def _batches(cols: list[str], size: int) -> list[list[str]]:
 # ---------------------------------------------------------------------------
 # Column catalogue, missing report, top missing
 # ---------------------------------------------------------------------------
-def column_catalog(df: DataFrame, exact: bool = True, batch: int = 16) -> DataFrame:
+def column_catalog(df: DataFrame, exact: bool = True) -> DataFrame:
     """name, dtype, null_count, null_pct (2 dp, denominator max(n,1)), unique_count.
 
-    Distinct counts: several exact ``count_distinct`` in one aggregation are
-    planned with an ``Expand`` (rows x columns), so columns are profiled in
-    batches of ``batch`` per aggregation. ``exact=False`` switches to
-    HyperLogLog (``approx_count_distinct``: one pass, fixed memory per column)
-    for very large tables.
+    Distinct values are counted over (column, value) pairs that are combined on each
+    partition before the shuffle, so repeated values move once and no ``Expand`` of
+    whole rows is planned. ``exact=False`` uses HyperLogLog (one pass, fixed memory).
     """
-    parts = []
-    for cols in _batches(df.columns, batch):
-        aggs = [F.count(F.lit(1)).alias("_n")]
-        for i, c in enumerate(cols):
-            aggs.append(F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(f"_z{i}"))
-            d = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
-            aggs.append(d.alias(f"_u{i}"))
-        one = df.agg(*aggs)
-        types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        structs = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                            F.col(f"_z{i}").alias("null_count"),
-                            r(F.col(f"_z{i}") / F.greatest(F.col("_n"), F.lit(1)) * F.lit(100.0), 2).alias("null_pct"),
-                            F.col(f"_u{i}").alias("unique_count"))
-                   for i, c in enumerate(cols)]
-        parts.append(_rows(one, structs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    dtype = F.create_map(*[F.lit(x) for c in df.columns for x in (c, types[c])])
+    if exact:
+        pairs = df.select(F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.struct(
+            F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))) for i, c in enumerate(df.columns)])).alias("p"))
+        uniq = (pairs.filter(F.col("p").isNotNull()).select("p.*").groupBy("i", "v").agg(F.lit(1).alias("one"))
+                .groupBy("i").agg(F.count(F.lit(1)).alias("unique_count")))
+    else:
+        one = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"_u{i}") for i, c in enumerate(df.columns)])
+        uniq = _rows(one, [F.struct(F.lit(i).alias("i"), F.col(f"_u{i}").alias("unique_count"))
+                           for i in range(len(df.columns))])
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
+    nulls = null_catalog(df).withColumn("i", place[F.col("column")])
+    return nulls.join(uniq, "i", "left").select(
+        "column", dtype[F.col("column")].alias("dtype"), "null_count", "null_pct",
+        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"))
 
 
 def null_catalog(df: DataFrame) -> DataFrame:
@@ -90,7 +85,10 @@ def null_catalog(df: DataFrame) -> DataFrame:
 
 
 def missing_report(df: DataFrame, exact: bool = True) -> DataFrame:
-    return column_catalog(df, exact).filter(F.col("null_count") > 0)
+    """The catalogue rows of the columns with nulls; only these are counted."""
+    cols = [x.column for x in null_catalog(df).filter(F.col("null_count") > 0).collect()]  # at most one row a column
+    out = column_catalog(df.select(*cols), exact) if cols else column_catalog(df, exact=False).limit(0)
+    return out
 
 
 def top_missing(df: DataFrame, k: int = 5) -> DataFrame:
@@ -380,6 +378,48 @@ def domain_metadata_join(tagged: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(domain_metadata(tagged.sparkSession)), "domain", "left")
 
 
+def profile_report(df: DataFrame, numeric: list[str], categorical: list[str], sample: int = 5,
+                   key: str | None = None) -> DataFrame:
+    """B14 + A9: the whole profile in one result of (section, item, value, label) rows:
+    counts, numeric and categorical summaries, top missing columns, and the first rows
+    in key order as text."""
+    def long(rows: DataFrame, section: str, name: str, values: list[str], label: str | None = None) -> DataFrame:
+        cells = [F.struct(F.lit(section).alias("section"), F.concat_ws(".", F.col(name), F.lit(v)).alias("item"),
+                          F.col(v).cast("double").alias("value"),
+                          (F.col(label) if label else F.lit(None).cast("string")).alias("label")) for v in values]
+        return rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+    head = dataset_profile_summary(df)
+    parts = [long(head.withColumn("_t", F.lit("table")), "summary", "_t", head.columns),
+             long(numeric_profile(df, numeric), "numeric", "column",
+                  ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]),
+             long(categorical_profile(df, categorical), "categorical", "column", ["unique", "top_freq"], "top"),
+             long(top_missing(df), "missing", "column", ["missing_pct"])]
+    key = key or df.columns[0]
+    first = df.orderBy(F.col(key)).limit(sample)
+    parts.append(first.select(F.lit("sample").alias("section"), F.col(key).cast("string").alias("item"),
+                              F.lit(None).cast("double").alias("value"),
+                              F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical])
+                              .alias("label")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def source_insights(df: DataFrame, dataset: str) -> DataFrame:
+    """The issue list of a source with the metrics and analyses of its domain, one
+    row an issue."""
+    spark = df.sparkSession
+    names = spark.range(1).select(F.lit((" ".join(df.columns) + " " + dataset).lower()).alias("names"))
+    dom = with_domain(names, F.col("names"), []).select("domain")
+    meta = dom.join(F.broadcast(domain_metadata(spark)), "domain", "left")  # 7-row dimension
+    one = meta.select(F.struct(F.col("domain").alias("d"), F.col("key_metrics").alias("m"), F.col("analysis").alias("a"))).scalar()
+    return quality_issues(df).select(F.lit(dataset).alias("dataset"), "seq", "issue_type", "column", "count", "pct", one.alias("_m")).select(
+        "dataset", "seq", "issue_type", "column", "count", "pct", F.col("_m.d").alias("detected_domain"),
+        F.col("_m.m").alias("key_metrics"), F.col("_m.a").alias("recommended_analyses"))
+
+
 def source_context(df: DataFrame, dataset: str) -> DataFrame:
     """One row — rows, columns, the domain read from the column names
     (and the dataset name), the number of quality issues and the domain's use

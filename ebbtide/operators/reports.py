@@ -126,3 +126,22 @@ def money_by_region(df: DataFrame) -> DataFrame:
          .agg(r(F.coalesce(dsum(safe_numeric(F.col(clv))), F.lit(0.0)), 2).alias("total_clv")))
     return t.select("region", "total_clv", format_usd(F.col("total_clv")).alias("usd"),
                     format_inr(F.col("total_clv")).alias("inr"))
+
+
+def display_formats(df: DataFrame, stamp: str) -> DataFrame:
+    """Average CLV and churn rate by region in every display format, with
+    the run's time stamp."""
+    from ebbtide.functions.aggs import davg
+    from ebbtide.functions.columns import CLV_ALIASES, find_col, find_dim
+    from ebbtide.functions.scalars import (format_inr_exact, format_inr_report, format_percent, format_usd, run_stamp,
+                                           safe_numeric)
+    from ebbtide.operators.kpis import churn_value
+    reg, clv = find_dim(df, "region"), find_col(df, CLV_ALIASES)
+    t = (df.filter(F.col(reg).isNotNull()).groupBy(F.col(reg).cast("string").alias("region"))
+         .agg(r(F.coalesce(davg(safe_numeric(F.col(clv))), F.lit(0.0)), 2).alias("avg_clv"),
+              r(F.avg(churn_value(df)) * F.lit(100.0), 2).alias("churn_rate_pct"), F.count(F.lit(1)).alias("n")))
+    v = F.col("avg_clv")
+    return t.select("region", format_usd(v).alias("usd"), format_inr_exact(v).alias("inr_exact"),
+                    format_inr_report(v).alias("inr_report"), format_percent(F.col("churn_rate_pct")).alias("churn"),
+                    F.format_number("n", 0).alias("customers"),
+                    run_stamp(F.to_timestamp(F.lit(stamp))).alias("generated_at"))

@@ -214,3 +214,29 @@ _reg("format_money", OO.SQL, lambda s, d: reports.money_by_region(C(s, d)))
 _reg("breakdown_map", OO.SQL, lambda s, d: kpis.breakdown_map(C(s, d), "region").select(
     F.to_json("churn_by_region").alias("churn_by_region")))
 _reg("source_context", OP.SQL, lambda s, d: profile.source_context(C(s, d), "customers"))
+
+# --- whole-profile, segment, action and format results ---------------------------------
+from ebbtide.operators.enrich import enrich  # noqa: E402
+
+
+def _plain_customers(s, d):
+    """The customers as a table with a city and without region, segment and failures."""
+    return enrich(C(s, d).select("customer_id", F.col("state").alias("city"), "plantype", "monthlycharges", "tenuremonths",
+                                 "paymentdelaydays", "supporttickets", "churned"))
+
+
+def _factors():
+    """How many of four warning signs a customer shows."""
+    x = lambda c, fill: F.coalesce(F.col(c).cast("double"), F.lit(float(fill)))
+    return ((x("paymentdelaydays", 0) > 30).cast("int") + (x("supporttickets", 0) >= 2).cast("int")
+            + (x("tenuremonths", 12) < 6).cast("int") + (x("satisfaction_score", 10) < 6).cast("int"))
+
+
+_reg("enhanced_kpi_segments", OK.SQL, lambda s, d: kpis.enhanced_kpi_segments(C(s, d)))
+_reg("enrich_derived_dims", OO.SQL, lambda s, d: _plain_customers(s, d).select(
+    "customer_id", "region", "customer_segment", "payment_failures_12m", "estimated_clv", "churn_risk_score",
+    "satisfaction_score", "complaints_90d"))
+_reg("customer_actions", OO.SQL, lambda s, d: scoring.customer_actions(C(s, d), "churn_risk_score", "estimated_clv", _factors()))
+_reg("display_formats", OO.SQL, lambda s, d: reports.display_formats(C(s, d), "2026-01-02 03:04:05"))
+_reg("profile_report", OP.SQL, lambda s, d: profile.profile_report(C(s, d), OP.PROFILE_NUM, OP.CAT_COLS, key="customer_id"))
+_reg("source_insights", OP.SQL, lambda s, d: profile.source_insights(C(s, d), "customers"))
