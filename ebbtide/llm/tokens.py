@@ -1,24 +1,44 @@
 """Tokenizing whole texts with the ``tokenizers`` library, a piece at a time.
 
-Both public vocabularies cut a text at white space before any merge, so the ids
-of a text are those of its white-space pieces one after the other. Pieces repeat
-far more often than texts, so each task keeps their ids (as little-endian bytes)
-in a table of bounded size, asks the library for pieces it has not seen, and
-joins the rest. The vocabulary file must be readable at the same path by every
-executor.
+Both public vocabularies cut a text before any merge: at white space, and between
+letters, digits and other characters. So the ids of a text are those of its white-space
+pieces one after the other, and those of a piece are those of its parts. Pieces repeat
+far more often than texts: each task keeps the ids of pieces and of parts (as little-
+endian bytes) in tables of bounded size and has the library's merge model encode unseen
+parts only, which leaves out its normalizing and cutting of text that is cut already.
+The vocabulary file must be readable at the same path by every executor.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
-import numpy as np
+import regex
 
-#: Pieces kept by a task; the table starts anew when it is full.
-CACHE = 400_000
+#: Entries of a task's table before the older half of its entries is given up.
+CACHE = 300_000
 _ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 
+# How the two vocabularies cut a piece before merging.
+_PARTS = {
+    True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+    False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
+}
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte in both vocabularies: itself if it is
+    printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+_ALPHABET = _byte_alphabet()
+
 
 def encoder(path: str, spaces: bool) -> "PieceEncoder":
     """The worker's encoder of a vocabulary file; ``spaces``: whether a word's
@@ -28,49 +48,83 @@ def encoder(path: str, spaces: bool) -> "PieceEncoder":
     return _ENCODERS[path, spaces]
 
 
+class Table(dict):
+    """A table that keeps what was used lately: when it is full it starts anew and
+    takes entries over from its predecessor as they are asked for."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def fill(self, wanted: set, make) -> None:
+        """Make sure that all of ``wanted`` are there; ``make(list)`` gives the values
+        of those that are not."""
+        new = wanted.difference(self)
+        if len(self) + len(new) > self.limit:
+            self.old, new = dict(self), wanted
+            self.clear()
+        old = self.old
+        todo = []
+        for k in new:
+            v = old.get(k)
+            if v is None:
+                todo.append(k)
+            else:
+                self[k] = v
+        self.update(zip(todo, make(todo)))
+
+
 class PieceEncoder:
     def __init__(self, path: str, spaces: bool, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaces, self.limit, self.cache = spaces, limit, {}
+        self.merge = self.tok.model.tokenize
+        self.spaces, self.words, self.parts = spaces, Table(limit), Table(limit)
 
     def pieces(self, text: bytes) -> list[bytes]:
         """Pieces that are encoded independently of each other."""
         if not self.spaces:
             return text.split()
-        parts = text.split(b" ")
-        out = [parts[0]] + [b" " + p for p in parts[1:]]
+        cut = text.split(b" ")
         # a cut is safe where a single space stands between two other characters
-        if all(parts) and not _EDGES.search(text):
-            return out
-        return self._careful(text)
-
-    @staticmethod
-    def _careful(text: bytes) -> list[bytes]:
-        out, start = [], 0
-        t = text.decode()
+        if all(cut) and not _EDGES.search(text):
+            return [cut[0], *[b" " + p for p in cut[1:]]]
+        out, start, t = [], 0, text.decode()
         for m in _SAFE.finditer(t):
             out.append(t[start:m.start()].encode())
             start = m.start()
         out.append(t[start:].encode())
         return out
 
+    def _cut(self, piece: bytes) -> list[str] | None:
+        """The parts of a piece; None where normalization could move them."""
+        t = piece.decode()
+        if self.spaces:
+            return _PARTS[True].findall(t)
+        if t.isascii():
+            return _PARTS[False].findall(t.lower())
+        if not unicodedata.is_normalized("NFC", t):
+            return None
+        return _PARTS[False].findall("".join(map(str.lower, t)))
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        merge = self.merge
+        return [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_ALPHABET))]).tobytes() for p in parts]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        cut = [self._cut(w) for w in words]
+        self.parts.fill(set().union(*(c for c in cut if c)), self._encode_parts)
+        get = self.parts.__getitem__
+        return [array("I", self.tok.encode(w.decode(), add_special_tokens=False).ids).tobytes() if c is None
+                else b"".join(map(get, c)) for w, c in zip(words, cut)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut) if cut else set()
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = set().union(*cut)
-        todo = list(new)
-        for k in range(0, len(todo), 4096):
-            some = todo[k:k + 4096]
-            found = self.tok.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.cache.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in found]))
-        get = self.cache.__getitem__
+        self.words.fill(set().union(*cut), self._encode_words)
+        get = self.words.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
