@@ -49,29 +49,22 @@ def encoder(path: str, spaces: bool) -> "PieceEncoder":
 
 
 class Table(dict):
-    """A table that keeps what was used lately: when it is full it starts anew and
-    takes entries over from its predecessor as they are asked for."""
+    """A table that makes a missing value on demand and keeps what was used lately:
+    when it is full it starts anew and takes entries over from its predecessor."""
 
-    def __init__(self, limit: int):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
-
-    def fill(self, wanted: set, make) -> None:
-        """Make sure that all of ``wanted`` are there; ``make(list)`` gives the values
-        of those that are not."""
-        new = wanted.difference(self)
-        if len(self) + len(new) > self.limit:
-            self.old, new = dict(self), wanted
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        old = self.old
-        todo = []
-        for k in new:
-            v = old.get(k)
-            if v is None:
-                todo.append(k)
-            else:
-                self[k] = v
-        self.update(zip(todo, make(todo)))
+        self[key] = value
+        return value
 
 
 class PieceEncoder:
@@ -81,51 +74,49 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tok.model.tokenize
-        self.spaces, self.words, self.parts = spaces, Table(limit), Table(limit)
-
-    def pieces(self, text: bytes) -> list[bytes]:
-        """Pieces that are encoded independently of each other."""
-        if not self.spaces:
-            return text.split()
-        cut = text.split(b" ")
-        # a cut is safe where a single space stands between two other characters
-        if all(cut) and not _EDGES.search(text):
-            return [cut[0], *[b" " + p for p in cut[1:]]]
-        out, start, t = [], 0, text.decode()
-        for m in _SAFE.finditer(t):
-            out.append(t[start:m.start()].encode())
-            start = m.start()
-        out.append(t[start:].encode())
-        return out
+        self.spaces = spaces
+        self.parts = Table(self._encode_part, limit)
+        self.words = Table(self._encode_piece, limit)  # a piece as it stands
+        self.after = Table(lambda p: self._encode_piece(b" " + p), limit)  # a piece and the space before it
 
     def _cut(self, piece: bytes) -> list[str] | None:
         """The parts of a piece; None where normalization could move them."""
         t = piece.decode()
         if self.spaces:
-            return _PARTS[True].findall(t)
+            return [t] if t.isascii() and t[1:].isalpha() and t[0] == " " else _PARTS[True].findall(t)
         if t.isascii():
-            return _PARTS[False].findall(t.lower())
+            t = t.lower()
+            return [t] if t.isalpha() else _PARTS[False].findall(t)
         if not unicodedata.is_normalized("NFC", t):
             return None
         return _PARTS[False].findall("".join(map(str.lower, t)))
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        merge = self.merge
-        return [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_ALPHABET))]).tobytes() for p in parts]
+    def _encode_part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.merge(part.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        cut = [self._cut(w) for w in words]
-        self.parts.fill(set().union(*(c for c in cut if c)), self._encode_parts)
-        get = self.parts.__getitem__
-        return [array("I", self.tok.encode(w.decode(), add_special_tokens=False).ids).tobytes() if c is None
-                else b"".join(map(get, c)) for w, c in zip(words, cut)]
+    def _encode_piece(self, piece: bytes) -> bytes:
+        cut = self._cut(piece)
+        if cut is None:
+            return array("I", self.tok.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.parts.__getitem__, cut))
+
+    def ids(self, text: bytes) -> bytes:
+        """The ids of a text, as little-endian unsigned 32-bit integers."""
+        if not self.spaces:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        cut = text.split(b" ")
+        # a cut is safe where a single space stands between two other characters
+        if all(cut) and not _EDGES.search(text):
+            return self.words[cut[0]] + b"".join(map(self.after.__getitem__, cut[1:]))
+        out, start, t = [], 0, text.decode()
+        for m in _SAFE.finditer(t):
+            out.append(self.words[t[start:m.start()].encode()])
+            start = m.start()
+        out.append(self.words[t[start:].encode()])
+        return b"".join(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        self.words.fill(set().union(*cut), self._encode_words)
-        get = self.words.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [self.ids(t) for t in texts]
 
 
 def batches(texts: list[bytes | None], size: int = 1 << 20):
