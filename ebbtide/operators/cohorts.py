@@ -1,5 +1,6 @@
-"""Cohort filters (D1-D9). Predicates are plain Catalyst filters, so on a
-parquet-backed customer table they are pushed to the scan."""
+"""Cohort filters (D1-D9). Predicates are Catalyst filters evaluated in the scan's
+stage. Only comparisons of plain columns reach the Parquet reader; those on derived
+scores, on coerced text or on lowered names cannot, and read their columns whole."""
 
 from __future__ import annotations
 

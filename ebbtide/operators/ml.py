@@ -14,7 +14,7 @@ import os
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
+from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +37,9 @@ TEST_FRACTION = 0.2
 SEED = 42
 LR_MAX_ITER = 500
 RF_TREES = 200
-GBT_ITER = 100
+#: Depth of a tree. The reference grows full trees; Spark holds a node table for each level, so the depth is bounded.
+RF_DEPTH = 5
+GBT_ITER = 200
 TOP_IMPORTANCES = 30
 TOP_FACTORS = 5
 PRED_CUT = 0.5
@@ -96,11 +98,25 @@ def split_hash(df: DataFrame) -> Column:
     return h.cast("double") / F.lit(float(2 ** 32))
 
 
-def with_split(df: DataFrame, test_fraction: float = TEST_FRACTION) -> DataFrame:
-    """Adds ``is_test``: the same hash cut in every class, so each class is
-    split 80/20 (up to binomial noise) without a window over a whole class
-    and without a shuffle."""
-    return df.withColumn("is_test", split_hash(df) < F.lit(test_fraction))
+def with_split(df: DataFrame, test_fraction: float = TEST_FRACTION, label: Column | None = None) -> DataFrame:
+    """Adds ``is_test``: in every class the rows with the smallest hashes, as many as
+    the nearest whole number to ``test_fraction`` of the class. The cut of each class is
+    an exact quantile of its hashes (bounded memory), so no window sorts a class and
+    nothing is shuffled whole. Rows without a label are training rows."""
+    y = safe_numeric(F.col(target_column(df))) if label is None else label
+    u = split_hash(df)
+    sizes = {r[0]: r[1] for r in df.filter(y.isNotNull()).groupBy(y.alias("y")).count().collect()}
+    test = F.lit(False)
+    for c, n in sizes.items():
+        k = int(test_fraction * n + 0.5)
+        if k >= n:
+            test = test | F.coalesce(y == c, F.lit(False))
+        elif k > 0:
+            own = F.when(y == c, u)
+            # halfway between the k-th and the next hash
+            cut = quantiles_for(df, [own], [(k - 0.5) / (n - 1)])[0][0]
+            test = test | F.coalesce((y == c) & (u < cut), F.lit(False))
+    return df.withColumn("is_test", test)
 
 
 def split_counts(df: DataFrame) -> DataFrame:
@@ -151,12 +167,13 @@ def mode_values(df: DataFrame, cat: list[str]) -> DataFrame:
 
 
 def _stages(train: DataFrame, num: list[str], cat: list[str]) -> list:
-    num_in = [f"_n_{c}" for c in num]
-    cast = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"try_cast(`{c}` AS double) AS `_n_{c}`" for c in num) + " FROM __THIS__")
-    imp = Imputer(strategy="median", inputCols=num_in, outputCols=[f"{c}_i" for c in num_in])
-    stages = [cast, imp,
-              VectorAssembler(inputCols=[f"{c}_i" for c in num_in], outputCol="_num_vec", handleInvalid="keep"),
+    # exact medians: one small row of numbers, baked into the stage
+    row = train.sparkSession.range(1).select(*[m[0].alias(f"m{i}") for i, m in enumerate(
+        quantiles_for(train, [safe_numeric(F.col(c)) for c in num], [0.5]))]).first() if num else []
+    fill = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"coalesce(nanvl(try_cast(`{c}` AS double), NULL), {float(row[i] or 0.0)!r}D) AS `_n_{c}`"
+        for i, c in enumerate(num)) + " FROM __THIS__")
+    stages = [fill, VectorAssembler(inputCols=[f"_n_{c}" for c in num], outputCol="_num_vec", handleInvalid="keep"),
               StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True)]
     feats = ["_num_scaled"]
     if cat:
@@ -190,7 +207,7 @@ def _classifiers(n_train: int, include_gbt: bool) -> list[tuple[str, object]]:
                                                   maxIter=LR_MAX_ITER, regParam=1.0 / max(n_train, 1),
                                                   elasticNetParam=0.0)),
         ("RandomForest", RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="w",
-                                                numTrees=RF_TREES, seed=SEED)),
+                                                numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=SEED)),
     ]
     if include_gbt:
         out.append(("GradientBoosting", GBTClassifier(featuresCol="features", labelCol="label", weightCol="w",
@@ -204,7 +221,7 @@ def prepared(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     cid = find_col(df, DROP_COLS)
     keep = ([cid] if cid else []) + num + cat
     base = df.select(*keep, safe_numeric(F.col(y)).alias("label")).filter(F.col("label").isNotNull())
-    return with_split(base), num, cat
+    return with_split(base, label=F.col("label")), num, cat
 
 
 class TrainedModels:
@@ -222,8 +239,12 @@ class TrainedModels:
         self.test = data.filter(F.col("is_test"))
         n_train = self.train.agg(F.count(F.lit(1))).first()[0]
         self.models: dict[str, PipelineModel] = {}
+        # the preprocessing is fitted once, and its features are written once for all models
+        pre = Pipeline(stages=_stages(self.train, self.num, self.cat)).fit(self.train)
+        features = pre.transform(self.train).select("features", "label", "w")
+        features = features.checkpoint(eager=True) if checkpoint else features
         for name, clf in _classifiers(n_train, include_gbt):
-            self.models[name] = Pipeline(stages=_stages(self.train, self.num, self.cat) + [clf]).fit(self.train)
+            self.models[name] = PipelineModel(stages=[*pre.stages, clf.fit(features)])
         rows = [self._metrics(i, name, m) for i, (name, m) in enumerate(self.models.items())]
         self.metrics = rows[0]
         for x in rows[1:]:

@@ -52,13 +52,14 @@ def start_scoring_refreshed(spark: SparkSession, source_dir: str, schema, sink_d
                             available_now: bool = True, name: str = "nba-scoring-refreshed") -> StreamingQuery:
     """As ``start_scoring``, but the CLV threshold is recomputed from the
     batch customer table (Parquet at ``customers_dir``) for every micro-batch
-    inside ``foreachBatch`` — one aggregation per micro-batch, appended with
-    the micro-batch id so a replayed batch can be recognised."""
+    inside ``foreachBatch`` and written to the batch's own folder, so a replayed
+    batch is not stored twice."""
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         cust = spark.read.parquet(customers_dir)
         thr = clv_threshold(enrich(cust))                      # scalar subquery, stays in the plan
         out = nba_recommendations(enrich(batch), thr).withColumn("risk_label", risk_label(F.col("churn_risk_score")))
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        # a folder of its own for each batch: a replayed batch overwrites itself
+        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     feed = spark.readStream.schema(schema).parquet(source_dir)
     w = (feed.writeStream.foreachBatch(score_batch)
