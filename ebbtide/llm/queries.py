@@ -50,6 +50,50 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MIX_BUDGET, MIX_WEIGHTS, DOMAINS, MIX_EPOCHS)
 
 
+def _cases(col: str, table: dict, default) -> str:
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else f"{float(v)!r}::DOUBLE"
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in table.items()) + f" ELSE {lit(default)} END"
+
+
+def _fill_sql(name: str, nodes: str, keys: list[str]) -> str:
+    """CTEs that share the budget of each parent out to its children (weight, cap)."""
+    parent, own = ", ".join(["1", *keys[:-1]]), keys[-1]
+    order = f"PARTITION BY {parent} ORDER BY cap / weight, {own}"
+    before = f"({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name}1 AS (SELECT *, coalesce(sum(cap) OVER {before}, 0) AS bc, coalesce(sum(weight) OVER {before}, 0.0) AS bw,
+  sum(weight) OVER (PARTITION BY {parent}) AS w, sum(cap) OVER (PARTITION BY {parent}) AS c FROM {nodes} WHERE weight > 0),
+{name}2 AS (SELECT *, CASE WHEN budget >= c THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE),
+    max((budget - bc) / greatest(w - bw, 1e-300::DOUBLE)) OVER (PARTITION BY {parent}) * weight) END AS x FROM {name}1),
+{name}3 AS (SELECT *, CAST(floor(x + 1e-6::DOUBLE) AS BIGINT) AS f FROM {name}2),
+{name} AS (SELECT *, f + CASE WHEN row_number() OVER (PARTITION BY {parent} ORDER BY CAST(f >= cap AS INTEGER), round(x - f, 6) DESC, {own})
+    <= least(budget, c) - sum(f) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END AS share FROM {name}3)"""
+
+
+ORACLE["op1_mixing"] = f"""
+WITH r AS (SELECT doc_id, {_cases('source', DOMAINS, 'other')} AS domain, lang, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS supply FROM r GROUP BY ALL),
+base0 AS (SELECT *, supply * {MIX_EPOCHS} AS cap, {_cases('source', MIX_WEIGHTS['source'], 1.0)} AS weight FROM leaf),
+langs0 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, {_cases('lang', MIX_WEIGHTS['lang'], 1.0)} AS weight FROM base0 GROUP BY domain, lang),
+tops AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {_cases('domain', MIX_WEIGHTS['domain'], 1.0)} AS weight,
+    CAST(floor({MIX_BUDGET}::DOUBLE * (SELECT sum(supply) FROM leaf)) AS BIGINT) AS budget FROM langs0 GROUP BY domain),
+{_fill_sql('top', 'tops', ['domain'])},
+langs AS (SELECT l.*, t.share AS budget FROM langs0 l JOIN top t ON l.domain IS NOT DISTINCT FROM t.domain),
+{_fill_sql('mid', 'langs', ['domain', 'lang'])},
+bases AS (SELECT b.*, m.share AS budget FROM base0 b JOIN mid m ON b.domain IS NOT DISTINCT FROM m.domain AND b.lang IS NOT DISTINCT FROM m.lang),
+{_fill_sql('low', 'bases', ['domain', 'lang', 'source'])},
+plan AS (SELECT domain, lang, source, share // supply AS full_epochs, share % supply AS rest FROM low WHERE supply > 0 AND share > 0),
+drawn AS (SELECT r.*, full_epochs, rest FROM r JOIN plan p ON r.domain IS NOT DISTINCT FROM p.domain
+    AND r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source WHERE n > 0),
+part AS (SELECT *, rest - (sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', doc_id, full_epochs, 0)), n
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n) AS room FROM drawn WHERE rest > 0)
+SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(e AS INTEGER) AS epoch, n AS take_tokens
+FROM drawn, unnest(range(0, full_epochs)) AS u(e)
+UNION ALL
+SELECT doc_id, domain, lang, source, n, CAST(full_epochs AS INTEGER), CAST(least(n, room) AS BIGINT) FROM part WHERE room > 0
+"""
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(held_in(1, 3), F.lit(False))
