@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,12 +54,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # a machine-local folder is not visible to the other executors
             raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="ebbtide-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)  # our own folder, local masters only
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_SCRATCH: list[str] = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    """At the end of the driver's process its intermediate tables go, if the session
+    still runs (a session that was stopped before leaves them to the folder's owner)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    for folder in _SCRATCH:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder, for intermediate tables."""
+    """A sub-folder of the shared checkpoint folder, for intermediate tables; removed
+    when the driver's process ends."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    folder = os.path.join(base, name)
+    _SCRATCH.append(folder)
+    return folder

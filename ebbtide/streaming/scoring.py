@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ebbtide.functions.scalars import risk_label
 from ebbtide.operators.enrich import enrich
 from ebbtide.operators.nba import clv_threshold, nba_recommendations
-from ebbtide.session import scratch_dir
+from ebbtide.session import ensure_checkpoint_dir
 
 
 def batch_clv_threshold(customers: DataFrame) -> float:
@@ -42,7 +42,7 @@ def start_scoring(spark: SparkSession, source_dir: str, schema, sink_dir: str, c
     them and append the results as Parquet to ``sink_dir``."""
     feed = spark.readStream.schema(schema).parquet(source_dir)
     w = (score_feed(feed, clv_thr).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", scratch_dir(spark, f"streams/{name}"))
+         .option("checkpointLocation", f"{ensure_checkpoint_dir(spark)}/streams/{name}")
          .option("path", sink_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
@@ -63,6 +63,6 @@ def start_scoring_refreshed(spark: SparkSession, source_dir: str, schema, sink_d
 
     feed = spark.readStream.schema(schema).parquet(source_dir)
     w = (feed.writeStream.foreachBatch(score_batch)
-         .option("checkpointLocation", scratch_dir(spark, f"streams/{name}")))
+         .option("checkpointLocation", f"{ensure_checkpoint_dir(spark)}/streams/{name}"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
