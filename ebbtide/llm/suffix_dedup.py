@@ -3,7 +3,8 @@ transforms.
 
 A byte is removed if it is covered by a string of ``length`` bytes that also
 starts in a document with a smaller doc_id; strings are judged on the input and
-never cross documents. The work is cut so that no task holds more than a few MB:
+never cross documents. The work is cut so that the load of a task does not follow
+from how often one string occurs:
 
 1. Texts are packed into block files (``write_blocks``), which later passes read
    without another shuffle.
@@ -15,7 +16,13 @@ never cross documents. The work is cut so that no task holds more than a few MB:
    only let a window through that repeats nothing.
 3. Runs of consecutive windows with one surviving anchor are segments. A block
    sends each distinct segment once, with the smallest doc_id it has there, to
-   the bucket of the anchor; equal windows meet in one bucket.
+   the bucket of the anchor; equal windows meet in one bucket. An anchor whose
+   segments, distinct in each block, hold ``bucket_bytes`` or more (a phrase that is
+   too short to be a repeat but stands in many contexts) is hot: its windows go one
+   by one to buckets of their own, by a hash of all their bytes.
+   So a bucket holds ``bucket_bytes`` on average while at most a fifth of the text
+   survives (five times that if all does), no anchor adds more than ``bucket_bytes``
+   to it, and one window adds ``length`` bytes for each block that has it.
 4. In a bucket the distinct segments are dealt into shards. Each shard gets a
    suffix array by prefix doubling and its Burrows-Wheeler transform. The shards
    are merged by refining their interleave: each pass orders it by a few more
@@ -23,7 +30,8 @@ never cross documents. The work is cut so that no task holds more than a few MB:
    so the suffixes are not sorted again. Two neighbours that part in a pass have a
    common prefix that ends in it; an interval that is still together after
    ``length`` symbols is a repeated string. Elements whose interval has shrunk to
-   one leave the refinement. The smallest doc_id of each interval goes back to the blocks.
+   one leave the refinement. Windows of hot anchors are whole strings already and
+   need no transform. The smallest doc_id of each interval goes back to the blocks.
 5. Each block marks, for every occurrence of a segment, the windows whose string
    has a smaller doc_id than the occurrence's, and cuts the covered bytes.
 
@@ -40,6 +48,7 @@ keeps all columns.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,14 +155,43 @@ def _distinct_anchors(block, runs, n_buckets: int):
     return ks[first], twice, place
 
 
-def _anchor_rows(manifest: DataFrame, n_buckets: int, length: int, width: int) -> DataFrame:
-    """(bucket, block, data): for each block and bucket its distinct anchors, five
-    bytes each, the top bit set for those in two documents."""
+def _segment_bytes(block, runs, place: np.ndarray, n: int, length: int, exact_from: int) -> np.ndarray:
+    """The bytes of the segments of each of a block's ``n`` distinct anchors; those of
+    ``exact_from`` bytes or more count equal segments once."""
+    data = block[3]
+    _, pos, size, _ = runs
+    total = np.bincount(place, size + length - 1, n).astype(np.int64)
+    big = total >= exact_from
+    if big.any():
+        own = np.flatnonzero(big[place])
+        seen: dict[int, set[bytes]] = {}
+        for g, p, k in zip(place[own].tolist(), pos[own].tolist(), size[own].tolist()):
+            seen.setdefault(g, set()).add(data[p:p + k + length - 1])
+        for g, segments in seen.items():
+            total[g] = sum(map(len, segments))
+    return total
+
+
+def _to_code(size: np.ndarray) -> np.ndarray:
+    """Sizes as one byte each, on a logarithmic scale, rounded up."""
+    return np.minimum(np.ceil(8 * np.log2(size / 64 + 1)), 255).astype(np.uint8)
+
+
+def _from_code(code: np.ndarray) -> np.ndarray:
+    return np.ceil(64 * (2.0 ** (code / 8) - 1)).astype(np.int64)
+
+
+def _anchor_rows(manifest: DataFrame, n_buckets: int, length: int, width: int, hot_bytes: int) -> DataFrame:
+    """(bucket, block, data, weight): for each block and bucket its distinct anchors,
+    five bytes each, the top bit set for those in two documents, and the bytes of
+    their segments as codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block_id, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 block = read_block(uri)
-                keys, twice, _ = _distinct_anchors(block, _runs(block, length, width), n_buckets)
+                runs = _runs(block, length, width)
+                keys, twice, place = _distinct_anchors(block, runs, n_buckets)
+                code = _to_code(_segment_bytes(block, runs, place, keys.size, length, max(1, hot_bytes >> 6)))
                 value = (keys & np.uint64((1 << 39) - 1)) | (twice.astype(np.uint64) << np.uint64(39))
                 five = value.view(np.uint8).reshape(-1, 8)[:, :5]
                 bucket = (keys >> np.uint64(39)).astype(np.int64)
@@ -161,14 +199,16 @@ def _anchor_rows(manifest: DataFrame, n_buckets: int, length: int, width: int) -
                 some = np.flatnonzero(np.diff(ends))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some), pa.array(np.full(some.size, block_id)),
-                     pa.array([five[ends[k]:ends[k + 1]].tobytes() for k in some.tolist()], pa.binary())],
-                    names=["bucket", "block", "data"])
+                     pa.array([five[ends[k]:ends[k + 1]].tobytes() for k in some.tolist()], pa.binary()),
+                     pa.array([code[ends[k]:ends[k + 1]].tobytes() for k in some.tolist()], pa.binary())],
+                    names=["bucket", "block", "data", "weight"])
 
-    return manifest.select("block", "uri").mapInArrow(run, "bucket long, block long, data binary")
+    return manifest.select("block", "uri").mapInArrow(run, "bucket long, block long, data binary, weight binary")
 
 
-def _repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(block, bucket, bits): which of the anchors sent occur in two documents."""
+def _repeated_anchors(rows: DataFrame, hot_bytes: int) -> DataFrame:
+    """(block, bucket, bits, hot, heavy): which of the anchors sent occur in two
+    documents, which of these are hot (null if none), and the bytes of the hot ones."""
     def run(t: pa.Table) -> pa.Table:
         data = t.column("data").to_pylist()
         sizes = np.array([len(d) // 5 for d in data])
@@ -183,25 +223,40 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
         if again.size:
             at = np.minimum(np.searchsorted(again, value), again.size - 1)
             hit = again[at] == value
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(hit[e - n:e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        weight = _from_code(np.frombuffer(b"".join(t.column("weight").to_pylist()), np.uint8))
+        weight[~hit] = 0
+        hot = np.zeros(value.size, bool)
+        if again.size:
+            # an anchor's bytes over all blocks, added up at its first place in ``again``
+            total = np.bincount(np.searchsorted(again, value[hit]), weight[hit], again.size)
+            hot[hit] = total[np.searchsorted(again, value[hit])] >= hot_bytes
+        weight[~hot] = 0
+        parts = [slice(e - n, e) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"),
+                         "bits": pa.array([np.packbits(hit[p]).tobytes() for p in parts], pa.binary()),
+                         "hot": pa.array([np.packbits(hot[p]).tobytes() if hot[p].any() else None for p in parts], pa.binary()),
+                         "heavy": pa.array([int(weight[p].sum()) for p in parts], pa.int64())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "block long, bucket long, bits binary")
+    return rows.groupBy("bucket").applyInArrow(run, "block long, bucket long, bits binary, hot binary, heavy long")
 
 
 # --- segments ----------------------------------------------------------------
-def _surviving(block, bits: dict[int, bytes], n_buckets: int, length: int, width: int):
-    """The runs of a block whose anchor occurs in two documents."""
+def _surviving(block, bits: dict[int, bytes], hot: dict[int, bytes], n_buckets: int, length: int, width: int):
+    """The runs of a block whose anchor occurs in two documents: (of anchors that are
+    not hot, of hot ones)."""
     runs = _runs(block, length, width)
     keys, _, place = _distinct_anchors(block, runs, n_buckets)
-    flag = np.zeros(keys.size, bool)
     ends = np.searchsorted((keys >> np.uint64(39)).astype(np.int64), np.arange(n_buckets + 1))
-    for k, v in bits.items():
-        n = ends[k + 1] - ends[k]
-        flag[ends[k]:ends[k + 1]] = np.unpackbits(np.frombuffer(v, np.uint8), count=n).astype(bool)
-    keep = flag[place] if keys.size else np.zeros(0, bool)
-    return tuple(x[keep] for x in runs)
+
+    def flags(packed: dict[int, bytes]) -> np.ndarray:
+        flag = np.zeros(keys.size, bool)
+        for k, v in packed.items():
+            n = ends[k + 1] - ends[k]
+            flag[ends[k]:ends[k + 1]] = np.unpackbits(np.frombuffer(v, np.uint8), count=n).astype(bool)
+        return flag[place] if keys.size else np.zeros(0, bool)
+
+    repeated, heavy = flags(bits), flags(hot)
+    return tuple(x[repeated & ~heavy] for x in runs), tuple(x[repeated & heavy] for x in runs)
 
 
 def _segments(block, runs, n_parts: int, length: int):
@@ -228,20 +283,50 @@ def _segments(block, runs, n_parts: int, length: int):
     return seen, least, part, number
 
 
-def _bits_by_block(table: pa.Table) -> dict[int, bytes]:
-    return {k: v for k, v in zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist()) if v is not None}
+def _dealt_windows(block, runs, n_parts: int, length: int):
+    """The windows of hot runs, dealt one by one into ``n_parts`` by a hash of their
+    bytes: (text number, position, part, segment number) of each window in order of
+    the parts, and (position, smallest doc_id, part) of each distinct window. Windows
+    whose hashes collide may be listed twice; the part's task merges them."""
+    known, ids, _, data = block
+    t, pos, size, _ = runs
+    if not t.size:
+        none = np.zeros(0, np.int64)
+        return (none,) * 4, (none,) * 3
+    at, text = np.repeat(pos, size) + _ramp(size), np.repeat(t, size)
+    raw = np.frombuffer(data, np.uint8)
+    code = window_anchors(raw, length, length)[at]
+    part = ((code >> np.uint64(17)) % np.uint64(n_parts)).astype(np.int64)
+    doc = np.where(known, ids, NO_ID)[text]
+    order = np.lexsort((doc, code, part))
+    at, text, part, code, doc = at[order], text[order], part[order], code[order], doc[order]
+    new = np.ones(at.size, bool)
+    new[1:] = code[1:] != code[:-1]
+    window = np.lib.stride_tricks.sliding_window_view(raw, length)
+    like = np.flatnonzero(~new)
+    for k in range(0, like.size, 1 << 16):
+        own = like[k:k + (1 << 16)]
+        new[own] = (window[at[own]] != window[at[own - 1]]).any(axis=1)
+    first = np.flatnonzero(new)
+    base = np.searchsorted(part[first], np.arange(n_parts))
+    number = np.cumsum(new) - 1 - base[part]
+    # a group begins with its smallest doc_id
+    return (text, at, part, number), (at[first], doc[first], part[first])
+
+
+def _bits_by_block(table: pa.Table, name: str) -> dict[int, bytes]:
+    return {k: v for k, v in zip(table.column("bucket").to_pylist(), table.column(name).to_pylist()) if v is not None}
 
 
 def _runs_uri(uri: str) -> str:
     return f"{uri}.runs"
 
 
-def _write_runs(uri: str, runs, part: np.ndarray, number: np.ndarray, seen: list[dict[bytes, int]], length: int) -> None:
+def _write_runs(uri: str, t: np.ndarray, pos: np.ndarray, size: np.ndarray, part: np.ndarray, number: np.ndarray,
+                windows: list[np.ndarray]) -> None:
     """Keep a block's surviving runs, with their segments' numbers and windows, for
     the last pass. The content depends on the block only, so a retry writes the same."""
-    t, pos, size, _ = runs
-    windows = [np.array([len(x) - length + 1 for x in own], np.int32) for own in seen]
-    raw = b"".join([np.array([t.size, len(seen)], np.int64).tobytes(), t.astype(np.int64).tobytes(),
+    raw = b"".join([np.array([t.size, len(windows)], np.int64).tobytes(), t.astype(np.int64).tobytes(),
                     pos.astype(np.int64).tobytes(), size.astype(np.int64).tobytes(), part.astype(np.int64).tobytes(),
                     number.astype(np.int64).tobytes(), np.array([w.size for w in windows], np.int64).tobytes(), *windows])
     write_file(_runs_uri(uri), zstandard.ZstdCompressor(level=1).compress(raw))
@@ -257,22 +342,39 @@ def _read_runs(uri: str):
     return cols, np.split(np.frombuffer(raw, np.int32, -1, at + 8 * parts), np.cumsum(counts)[:-1])
 
 
-def _segment_rows(flagged: DataFrame, n_buckets: int, n_parts: int, length: int, width: int) -> DataFrame:
-    """(part, block, segments, sizes, docs) from (block, uri, bucket, bits)."""
+def _segment_rows(flagged: DataFrame, n_buckets: int, n_parts: int, n_hot: int, length: int, width: int) -> DataFrame:
+    """(part, block, segments, sizes, docs) from (block, uri, bucket, bits, hot); the
+    windows of hot anchors have the ``n_hot`` parts behind the others."""
     def run(t: pa.Table) -> pa.Table:
         uri = t.column("uri")[0].as_py()
         block = read_block(uri)
-        runs = _surviving(block, _bits_by_block(t), n_buckets, length, width)
+        runs, hot = _surviving(block, _bits_by_block(t, "bits"), _bits_by_block(t, "hot"), n_buckets, length, width)
         seen, least, part, number = _segments(block, runs, n_parts, length)
-        _write_runs(uri, runs, part, number, seen, length)
-        some = [p for p in range(n_parts) if seen[p]]
+        (wt, wpos, wpart, wnumber), (at, doc, dealt) = _dealt_windows(block, hot, n_hot, length)
+        ends = np.searchsorted(dealt, np.arange(n_hot + 1))
+        windows = [np.array([len(x) - length + 1 for x in own], np.int32) for own in seen]
+        windows += [np.ones(n, np.int32) for n in np.diff(ends).tolist()]
+        _write_runs(uri, *(np.concatenate(c) for c in zip((*runs[:3], part, number),
+                                                          (wt, wpos, np.ones(wt.size, np.int64), wpart + n_parts, wnumber))), windows)
         z = zstandard.ZstdCompressor(level=1)
+        some = [p for p in range(n_parts) if seen[p]]
+        segments = [z.compress(b"".join(seen[p])) for p in some]
+        sizes = [np.array([len(s) for s in seen[p]], np.int32).tobytes() for p in some]
+        docs = [np.array(least[p], np.int64).tobytes() for p in some]
+        if at.size:
+            window = np.lib.stride_tricks.sliding_window_view(np.frombuffer(block[3], np.uint8), length)
+            for p in np.unique(dealt).tolist():
+                own = slice(ends[p], ends[p + 1])
+                some.append(n_parts + p)
+                segments.append(z.compress(window[at[own]].tobytes()))
+                sizes.append(np.full(at[own].size, length, np.int32).tobytes())
+                docs.append(doc[own].tobytes())
         return pa.table({
             "part": pa.array(some, pa.int64()),
             "block": pa.array([t.column("block")[0].as_py()] * len(some), pa.int64()),
-            "segments": pa.array([z.compress(b"".join(seen[p])) for p in some], pa.binary()),
-            "sizes": pa.array([np.array([len(s) for s in seen[p]], np.int32).tobytes() for p in some], pa.binary()),
-            "docs": pa.array([np.array(least[p], np.int64).tobytes() for p in some], pa.binary()),
+            "segments": pa.array(segments, pa.binary()),
+            "sizes": pa.array(sizes, pa.binary()),
+            "docs": pa.array(docs, pa.binary()),
         })
 
     return flagged.groupBy("block").applyInArrow(run, "part long, block long, segments binary, sizes binary, docs binary")
@@ -366,6 +468,8 @@ def least_documents(segments: list[bytes], docs: np.ndarray, length: int, shard_
     windows = sizes - length + 1
     starts = np.concatenate([[0], np.cumsum(windows)])
     least = np.repeat(docs, windows)
+    if (windows == 1).all():  # the segments are distinct, and so are their only windows
+        return least, starts
     # deal whole segments into shards
     shard_of = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) // shard_bytes if len(segments) else np.zeros(0, np.int64)
     shards, place = [], []
@@ -483,6 +587,25 @@ def _cut_blocks(work: DataFrame, length: int, finish, schema) -> DataFrame:
     return work.groupBy("block").applyInArrow(run, schema)
 
 
+def _dealt_segments(manifest: DataFrame, length: int, width: int, bucket_bytes: int, bucket_anchors: int,
+                    hot_bytes: int) -> tuple[DataFrame, int]:
+    """The segments dealt to buckets (see ``_segment_rows``) and the number of tasks
+    for the blocks; anchors of ``hot_bytes`` or more are dealt by their windows."""
+    blocks, tasks, n_bytes = spread(manifest)
+    per_byte = 2 / (length - width + 2)  # anchors of random text
+    n_buckets = max(1, round(n_bytes * per_byte / bucket_anchors))
+    flags = materialise(_repeated_anchors(_anchor_rows(blocks, n_buckets, length, width, hot_bytes), hot_bytes), "suffix-flags")
+    # segments: planned for a fifth of the text
+    n_parts = max(1, round(n_bytes * per_byte * (length + 1 / per_byte) * 0.2 / bucket_bytes))
+    # a hot segment's windows, for runs as long as they are where nothing is periodic
+    span = length - width + 1
+    heavy = flags.agg(F.coalesce(F.sum("heavy"), F.lit(0))).first()[0]
+    n_hot = max(1, math.ceil(heavy * span * length / (span + length - 1) / bucket_bytes))
+    # rows are few and the work behind them large, so tasks go by blocks, not by bytes
+    flagged = manifest.select("block", "uri").join(flags.drop("heavy"), "block", "left").repartition(tasks, "block")
+    return _segment_rows(flagged, n_buckets, n_parts, n_hot, length, width), tasks
+
+
 def _repeats(docs: DataFrame, length: int, width: int, bucket_bytes: int, shard_bytes: int, bucket_anchors: int,
              whole_rows: bool, finish, schema) -> DataFrame:
     if not 8 <= width <= length:
@@ -490,16 +613,8 @@ def _repeats(docs: DataFrame, length: int, width: int, bucket_bytes: int, shard_
     if shard_bytes + MAX_SEGMENT + length >= 1 << 20:
         raise ValueError("shard_bytes must stay below 2^20 less a segment")
     manifest = write_blocks(docs, "suffix-blocks", whole_rows=whole_rows)
-    blocks, tasks, n_bytes = spread(manifest)
-    per_byte = 2 / (length - width + 2)  # anchors of random text
-    n_buckets = max(1, round(n_bytes * per_byte / bucket_anchors))
-    flags = materialise(_repeated_anchors(_anchor_rows(blocks, n_buckets, length, width)), "suffix-flags")
-    # segments: planned for a fifth of the text
-    n_parts = max(1, round(n_bytes * per_byte * (length + 1 / per_byte) * 0.2 / bucket_bytes))
-    # rows are few and the work behind them large, so tasks go by blocks, not by bytes
-    flagged = manifest.select("block", "uri").join(flags, "block", "left").repartition(tasks, "block")
-    least = materialise(_least_rows(_segment_rows(flagged, n_buckets, n_parts, length, width), length, shard_bytes),
-                        "suffix-least")
+    rows, tasks = _dealt_segments(manifest, length, width, bucket_bytes, bucket_anchors, bucket_bytes)
+    least = materialise(_least_rows(rows, length, shard_bytes), "suffix-least")
     work = manifest.select("block", "uri").join(least, "block", "left").repartition(tasks, "block")
     return _cut_blocks(work, length, finish, schema)
 

@@ -460,6 +460,26 @@ def test_suffix_dedup_odd(odd, none):
     assert {r.text for r in cut.collect() if r.doc_id in (5, 10)} == {"", "y"}
 
 
+def test_suffix_dedup_phrase_in_many_contexts(spark):
+    """A line of 25 bytes in distinct contexts: no bucket takes them all, the result is that of the rule."""
+    rng = np.random.default_rng(11)
+    text = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    line = "\nsame line of 25 letters.\n"
+    rows = [(i, "".join(text(40) + line for _ in range(10))) for i in range(300)]
+    rows += [(300 + i, rows[i][1][50:300] + text(30)) for i in range(20)]  # and passages of earlier documents
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = SD.write_blocks(docs, "phrase", block_bytes=20_000)
+    largest = {}
+    for hot in (20_000, 1 << 40):
+        parts, _ = SD._dealt_segments(manifest, SD.LENGTH, SD.WIDTH, 20_000, 5_000, hot)
+        load = Counter()
+        for r in parts.select("part", "sizes").collect():
+            load[r.part] += int(np.frombuffer(r.sizes, np.int32).sum())
+        largest[hot] = max(load.values())
+    assert largest[1 << 40] > 100_000 and largest[20_000] < 60_000, largest
+    check_dedup(docs, [(i, t.encode()) for i, t in rows], bucket_bytes=20_000, bucket_anchors=5_000)
+
+
 def test_merge_of_shards_equals_one_suffix_array():
     rng = np.random.default_rng(5)
     parts = [rng.integers(97, 99, n).astype(np.uint8) for n in (700, 1, 300, 50)]
