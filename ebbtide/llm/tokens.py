@@ -6,6 +6,8 @@ pieces one after the other, and those of a piece are those of its parts. Pieces
 far more often than texts: each task keeps the ids of pieces and of parts (as little-
 endian bytes) in tables of bounded size and has the library's merge model encode unseen
 parts only, which leaves out its normalizing and cutting of text that is cut already.
+Before all else a text is cut at the strings of the vocabulary's added tokens, as the
+library does: each is its one id, and the text between two of them is a text of its own.
 The vocabulary file must be readable at the same path by every executor.
 """
 
@@ -72,7 +74,12 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: (k, t) for k, t in self.tok.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added.values()):
+            raise ValueError("added tokens that are not matched as they stand are not supported")
+        self.added = {c.encode(): array("I", [k]).tobytes() for c, (k, _) in added.items()}
+        # the longest of those that start at a place, as in the library
+        self.find = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or b"(?!)")
         self.merge = self.tok.model.tokenize
         self.spaces = spaces
         self.parts = Table(self._encode_part, limit)
@@ -102,6 +109,14 @@ class PieceEncoder:
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
+        out, start = [], 0
+        for m in self.find.finditer(text):
+            out += [self._plain(text[start:m.start()]), self.added[m.group()]]
+            start = m.end()
+        return b"".join([*out, self._plain(text[start:])]) if out else self._plain(text)
+
+    def _plain(self, text: bytes) -> bytes:
+        """The ids of a text without added tokens."""
         if not self.spaces:
             return b"".join(map(self.words.__getitem__, text.split()))
         cut = text.split(b" ")

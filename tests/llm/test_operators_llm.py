@@ -408,6 +408,19 @@ def test_pieces_are_independent():
             assert np.frombuffer(enc.encode([t.encode()])[0], "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids, (name, t)
 
 
+def test_added_tokens_in_a_text():
+    """Against a tokenizer of its own, as the library reads it."""
+    from tokenizers import Tokenizer
+
+    from ebbtide.llm.tokens import PieceEncoder
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|startoftext|>b", "x  <|endoftext|>\n\n y ", " <|startoftext|>",
+             "<|ENDOFTEXT|> <|endoftext| <<|endoftext|>>", "É<|endoftext|>\u0301 ΑΣ<|startoftext|>.", "it<|endoftext|>'s", "a <|endof text|>", LONG[:300] + "<|endoftext|>" + LONG[:300]]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        enc, tok = PieceEncoder(Q.tokenizer(name), spaces), Tokenizer.from_file(Q.tokenizer(name))
+        for t in texts:
+            assert np.frombuffer(enc.ids(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, (name, t)
+
+
 def test_token_planes_odd(odd, none):
     rows = PF.round_trip(odd, Q.tokenizer("byte_bpe_50k.json")).collect()
     rows.sort(key=lambda r: r.start)
