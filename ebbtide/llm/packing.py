@@ -44,7 +44,8 @@ class Capacity(NamedTuple):
     attention: int = 2048 * 2048
 
 
-WEIGHTS = (1.0, 0.0, 0.0)
+#: All three residuals rank the open sequences: tokens, documents, attention cost.
+WEIGHTS = (1.0, 0.5, 0.5)
 GROUP_SEQUENCES = 4096
 
 

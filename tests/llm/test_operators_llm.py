@@ -209,6 +209,30 @@ def test_best_fit_keeps_every_constraint(rule):
         assert own.size <= 5 and ((own ** 2).sum() <= 4000 or own.size == 1)
 
 
+def test_production_weights_rank_by_all_three_residuals():
+    """Each piece goes to the open sequence with the smallest weighted norm; tokens alone would choose others."""
+    assert min(PK.WEIGHTS) > 0
+    n = np.random.default_rng(8).integers(1, 700, 600)
+    cap = np.array(PK.Capacity())
+
+    def worse_choices(seq):
+        room, worse = {}, 0
+        for i in np.argsort(-n, kind="stable").tolist():
+            need = np.array([n[i], 1, n[i] ** 2])
+            norms = {k: float((((r - need) / cap) ** 2) @ PK.WEIGHTS) for k, r in room.items() if (r >= need).all()}
+            if seq[i] in room:
+                worse += norms[seq[i]] > min(norms.values()) + 1e-12
+            else:
+                assert not norms
+            room[seq[i]] = room.get(seq[i], cap) - need
+        return worse
+
+    seq, _ = PK.best_fit(n)
+    scalar, _ = PK.best_fit(n, weights=(1.0, 0.0, 0.0))
+    assert worse_choices(seq) == 0 and worse_choices(scalar) > 0
+    assert seq.max() <= scalar.max()
+
+
 def test_packing_odd(odd, none):
     rows = PK.pack(odd, Q.tokenizer("word_bpe_49k.json")).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
