@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.llm import spelling_variants as SV
 from ebbtide.llm.common import table
 from ebbtide.llm.language_id import held_in, language_id
 from ebbtide.llm.lm_scoring import lm_scores
@@ -152,3 +153,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SV.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_spelling_variants"] = SV.ORACLE_SQL
