@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.llm import chat_format as CF
+from ebbtide.llm import periodic_runs as PR
 from ebbtide.llm import spelling_variants as SV
 from ebbtide.llm.common import table
 from ebbtide.llm.language_id import held_in, language_id
@@ -161,3 +163,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_spelling_variants"] = SV.ORACLE_SQL
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.run_digests(PR.periodic_runs(PR.with_loops(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CF.chat_round_trip(CF.with_planted(table(spark, sf_dir, "conversations")))
+
+
+ORACLE["op13_chat_formatting"] = CF.ORACLE_SQL
