@@ -18,8 +18,8 @@ _other = " UNION ALL ".join(
     f"FROM enriched HAVING count(DISTINCT {c}) <= 30" for i, c in enumerate(ML_CAT_OTHER))
 SQL["ml_feature_selection"] = with_enriched() + " UNION ALL ".join(_rows) + " UNION ALL " + _other
 
-_U = "(CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
-SPLIT_CTE = f"""sp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u) <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY label) + 0.5) AS is_test
+_U = "md5('42:' || CAST(customer_id AS VARCHAR))"
+SPLIT_CTE = f"""sp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u, customer_id) <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY label) + 0.5) AS is_test
   FROM (SELECT *, CAST(CAST(churned AS DOUBLE) AS INTEGER) AS label, {_U} AS u FROM enriched))"""
 SQL["stratified_split"] = with_enriched(SPLIT_CTE) + \
     "SELECT label, is_test, count(*) AS rows FROM sp GROUP BY label, is_test"

@@ -206,22 +206,7 @@ SQL["action_truncate"] = with_enriched(*PRIO_CTES, *top_ctes(10)) + \
 
 
 # --- what-if ----------------------------------------------------------------
-def grid_sql(scenarios, has_fee: bool = True) -> str:
-    FEE0 = "coalesce(CAST(monthlycharges AS DOUBLE), 0.0::DOUBLE)"
-    parts = []
-    for i, s in enumerate(scenarios):
-        eff = eff_sql(s.risk_threshold)
-        hit = f"({RISK0} >= {eff}) AND ({seg_pred(s.target_segment)})"
-        parts.append(f"""SELECT {i} AS scenario_id, '{s.target_segment}' AS target_segment,
-  {float(s.risk_threshold)!r}::DOUBLE AS risk_threshold, {eff} AS effective_threshold,
-  {float(s.retention_budget)!r}::DOUBLE AS retention_budget, {float(s.offer_discount_pct)!r}::DOUBLE AS offer_discount_pct,
-  {float(s.expected_success_rate)!r}::DOUBLE AS expected_success_rate,
-  count(*) FILTER (WHERE {hit}) AS n,
-  coalesce({DSUM(f'CASE WHEN {hit} THEN {CLV0} END')}, 0.0::DOUBLE) AS rev,
-  coalesce({DSUM(f'CASE WHEN {hit} THEN {FEE0} END')}, 0.0::DOUBLE) AS fee_sum,
-  coalesce({DSUM(f'CASE WHEN {hit} THEN {RISK0} END')}, 0.0::DOUBLE) AS risk_sum
-FROM enriched""")
-    g = "g AS (" + "\nUNION ALL\n".join(parts) + ")"
+def finish_ctes(ids: str, has_fee: bool = True) -> list[str]:
     g1 = """g1 AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE fee_sum / CAST(n AS DOUBLE) END AS avg_fee,
       CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE risk_sum / CAST(n AS DOUBLE) END AS avg_risk FROM g)"""
     g2 = """g2 AS (SELECT *, CASE WHEN avg_fee * offer_discount_pct / 100.0::DOUBLE <= 0 THEN 500.0::DOUBLE
@@ -234,7 +219,7 @@ FROM enriched""")
             " THEN 'High' WHEN n >= 50 THEN 'Medium' ELSE 'Low' END")
     roi_lbl = ("CASE WHEN roi >= 50 THEN 'Excellent' WHEN roi >= 20 THEN 'Strong' WHEN roi >= 5 THEN 'Good' "
                "WHEN roi >= 1 THEN 'Marginal' ELSE 'Negative' END")
-    final = f"""grid AS (SELECT scenario_id, target_segment, risk_threshold, {R('effective_threshold', 6)} AS effective_threshold,
+    final = f"""grid AS (SELECT {ids}, target_segment, risk_threshold, {R('effective_threshold', 6)} AS effective_threshold,
   effective_threshold <> risk_threshold AS threshold_adjusted, retention_budget, offer_discount_pct,
   expected_success_rate, n AS affected_customers, {R('rev', 2)} AS current_revenue_at_risk,
   {R('avg_fee', 2)} AS avg_monthly_fee, {R('avg_risk', 4)} AS avg_churn_risk_score,
@@ -244,12 +229,45 @@ FROM enriched""")
   CASE WHEN n = 0 THEN 'N/A' ELSE {roi_lbl} END AS roi_label,
   CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE {R('reach / CAST(greatest(n, 1) AS DOUBLE) * 100.0::DOUBLE', 2)} END AS coverage_pct,
   CASE WHEN n = 0 THEN 'Low' ELSE {conf} END AS confidence_level FROM g6)"""
-    return with_enriched(g, g1, g2, g3, g4, g5, g6, final)
+    return [g1, g2, g3, g4, g5, g6, final]
+
+
+def grid_sql(scenarios, has_fee: bool = True) -> str:
+    FEE0 = "coalesce(CAST(monthlycharges AS DOUBLE), 0.0::DOUBLE)"
+    parts = []
+    for i, s in enumerate(scenarios):
+        eff = eff_sql(s.risk_threshold)
+        hit = f"({RISK0} >= {eff}) AND ({seg_pred(s.target_segment)})"
+        parts.append(f"""SELECT {i} AS scenario_id, '{s.target_segment}' AS target_segment,
+  {float(s.risk_threshold)!r}::DOUBLE AS risk_threshold, {eff} AS effective_threshold,
+  {float(s.retention_budget)!r}::DOUBLE AS retention_budget, {float(s.offer_discount_pct)!r}::DOUBLE AS offer_discount_pct,
+  {float(s.expected_success_rate)!r}::DOUBLE AS expected_success_rate,
+  count(*) FILTER (WHERE {hit}) AS n,
+  coalesce({DSUM(f'CASE WHEN {hit} THEN {CLV0} END')}, 0.0::DOUBLE) AS rev,
+  coalesce({DSUM(f'CASE WHEN {hit} THEN {FEE0} END')}, 0.0::DOUBLE) AS fee_sum,
+  coalesce({DSUM(f'CASE WHEN {hit} THEN {RISK0} END')}, 0.0::DOUBLE) AS risk_sum
+FROM enriched""")
+    return with_enriched("g AS (" + "\nUNION ALL\n".join(parts) + ")", *finish_ctes("scenario_id", has_fee))
 
 
 def _register_whatif():
     from ebbtide.operators.whatif import Scenario, default_grid
     SQL["campaign_whatif"] = grid_sql([Scenario()]) + "SELECT * FROM grid"
+    from ebbtide.checks.oracle_tagging import WHATIF_SELECT
+    ask = ("'What if we offer ' || customer_id % 37 || '% discount to customers with risk > 0.' || lpad(CAST(customer_id * 131 % 1000 AS VARCHAR), 3, '0') "
+           "|| ', budget $' || 50 + customer_id % 900 || 'k and ' || 5 + customer_id % 60 || '% success?'")
+    SQL["whatif_messages"] = with_enriched(
+        f"msgs AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT -customer_id, 0, {ask} FROM enriched)",
+        f"asked AS ({WHATIF_SELECT})",
+        f"""cut AS (SELECT max({RISK0}) AS top, quantile_cont({RISK0}, 0.75) AS p75 FROM enriched)""",
+        """eff AS (SELECT *, CASE WHEN top IS NULL OR top >= risk_threshold THEN risk_threshold ELSE p75 END AS effective_threshold FROM asked, cut)""",
+        f"""sums AS (SELECT t, count(customer_id) AS n, coalesce({DSUM(CLV0)}, 0.0) AS rev,
+            coalesce({DSUM('coalesce(CAST(monthlycharges AS DOUBLE), 0.0::DOUBLE)')}, 0.0) AS fee_sum, coalesce({DSUM(RISK0)}, 0.0) AS risk_sum
+            FROM (SELECT DISTINCT effective_threshold AS t FROM eff) JOIN enriched ON {RISK0} >= t GROUP BY t)""",
+        """g AS (SELECT conv_id, turn, 'All' AS target_segment, risk_threshold, effective_threshold, retention_budget, offer_discount_pct,
+            expected_success_rate, coalesce(n, 0) AS n, coalesce(rev, 0.0) AS rev, coalesce(fee_sum, 0.0) AS fee_sum,
+            coalesce(risk_sum, 0.0) AS risk_sum FROM eff LEFT JOIN sums ON effective_threshold = t)""",
+        *finish_ctes("conv_id, turn")) + "SELECT * FROM grid"
     SQL["campaign_grid"] = grid_sql(default_grid()) + "SELECT * FROM grid"
     SQL["campaign_verdict"] = grid_sql(default_grid()) + """
 SELECT scenario_id,

@@ -85,9 +85,10 @@ _D = TG.WHATIF_DEFAULTS
 _B0 = f"({budget()})"
 _B1 = f"({extract_num('text', TG.WHATIF_BUDGET_RE)})"
 _BUD = f"(CASE WHEN coalesce({_B0}, 0.0) <> 0 THEN {_B0} WHEN {_B1} IS NOT NULL THEN {_B1} ELSE {_D['budget']!r} END)"
-SQL["whatif_params_from_text"] = f"""WITH {MSGS} SELECT conv_id, turn,
+WHATIF_SELECT = f"""SELECT conv_id, turn,
   CASE WHEN {rx('text', TG.WHATIF_K_SUFFIX_RE)} AND {_BUD} < 10000 THEN {_BUD} * 1000.0 ELSE {_BUD} END AS retention_budget,
   coalesce({extract_num(LOW, TG.DISCOUNT_RE)}, {_D['discount']!r}) AS offer_discount_pct,
   coalesce({extract_num('text', TG.WHATIF_THRESHOLD_RE)}, {_D['threshold']!r}) AS risk_threshold,
   coalesce({extract_num('text', TG.WHATIF_SUCCESS_RE)}, {_D['success_pct']!r}) / 100.0 AS expected_success_rate
 FROM msgs"""
+SQL["whatif_params_from_text"] = f"WITH {MSGS} " + WHATIF_SELECT

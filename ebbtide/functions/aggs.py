@@ -1,7 +1,8 @@
 """Aggregate builders with engine-independent results.
 
 Money and score sums run as decimals (exact, independent of partition order)
-and are turned into doubles only at the end; averages are exact sum / count.
+and are turned into doubles only at the end; averages are exact sum / count. What
+a decimal of ten places cannot hold of a value is summed beside it as a double.
 """
 
 from __future__ import annotations
@@ -10,10 +11,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Values from here on are summed as doubles (a decimal of ten places holds 18 whole digits).
+BIG = 1e17
+
+
+def two_parts(x: Column) -> tuple[Column, Column]:
+    """A value as a decimal of ten places (null from ``BIG`` on) and a double with the rest."""
+    d = x.cast("double")
+    fits = F.abs(d) < F.lit(BIG)
+    dec = F.when(fits, d).cast("decimal(28,10)")
+    return dec, F.when(fits, d - dec.cast("double")).otherwise(d)
+
+
 def dsum(x: Column) -> Column:
-    """Exact sum of a column, returned as double. Values enter as they are, to ten
-    decimals; nothing is rounded to the places of the result before it is summed."""
-    return F.sum(x.cast("decimal(28,10)")).cast("double")
+    """Sum of a column, returned as double; null without any value.
+
+    Two parts: the first ten decimals of all values below ``BIG`` as an exact decimal
+    sum, and a double sum of the rest, that is of the digits beyond ten decimals and of
+    whole values from ``BIG`` on. For values of at most ten decimals the second part is
+    zero and the result does not depend on the order of the rows; tiny and huge values
+    keep a double's precision and overflow nothing."""
+    dec, rest = two_parts(x)
+    return F.coalesce(F.sum(dec).cast("double"), F.when(F.count(rest) > 0, F.lit(0.0))) + F.sum(rest)
 
 
 def davg(x: Column) -> Column:

@@ -1,116 +1,98 @@
-"""Exact quantiles (linear interpolation, as pandas and ``quantile_cont``), by one
-path at every table size and with bounded memory.
+"""Exact quantiles (linear interpolation, as pandas and ``quantile_cont``) inside the
+plan, by one path at every table size and with bounded memory. Nothing runs while a
+query is built: the result is a scalar subquery, and its passes are subqueries of it.
 
 Any number of columns and probabilities share the passes:
 
-1. non-null counts, and a bracket around each target rank from a
-   ``percentile_approx`` sketch of fixed accuracy;
-2. rows below and inside every bracket. A bracket that still holds more than
-   ``BRACKET_ROWS`` rows of different values is narrowed by a sketch of the rows
-   inside it, and counted again, until all are small: each round divides the rows
-   by thousands, so even 10^12 rows take three;
-3. only the bracketed values, tagged (column, probability), reduced to (value,
-   count) by a hash aggregation (a value repeated a billion times is one row), and
-   a running count for each (column, probability) finds the order statistics.
-
-No task ever holds more than a sketch or one bracket; the driver gets two bounds,
-two counts and the result for each (column, probability). Results are literal
-``Column`` objects, so a plan that compares with them needs no subquery, scans its
-table once, and can push the comparison to the scan.
+1. non-null counts, and a bracket around each target rank from a ``percentile_approx``
+   sketch of fixed accuracy;
+2. rows below and inside every bracket, and a sketch of the rows inside it, of which
+   the two cut points next to the target rank are taken: they enclose about n / 10^5
+   rows, and equal values beside them;
+3. the rows of that narrow bracket, tagged (column, probability), reduced to (value,
+   count) by a hash aggregation (a value repeated a billion times is one row); a
+   running count for each (column, probability) finds the order statistics.
+
+No task holds more than a sketch or one narrow bracket. Each pass hands its bounds on
+to the next one together with its own counts, so all three use the same bounds. Should
+a sketch break its promise, the plan fails instead of giving a wrong number.
+
+Tables written with a value-count store (``functions.value_counts``) look their
+quantiles up there instead.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-BRACKET_ROWS = 1_000_000
+#: Cut points of the sketch inside a bracket.
+CUTS = 100
 
 
-def quantile_of(df: DataFrame, x: Column, p: float) -> Column:
-    return quantiles_for(df, [x], [p])[0][0]
+def quantile_struct(df: DataFrame, exprs: list[Column], probs: list[float], accuracy: int = ACCURACY) -> Column:
+    """One scalar subquery: a struct with the field ``q<i>_<j>`` for the exact quantile
+    ``probs[j]`` of ``exprs[i]`` over ``df`` (nulls ignored; null without any value).
+    Project it once and refer to its fields."""
+    probs = list(probs)
+    margin, cuts, width = 2.0 / accuracy, min(CUTS, accuracy), len(probs)
+    base = df.select(*[e.cast("double").alias(f"x{i}") for i, e in enumerate(exprs)])
+    cells = [(i, j) for i in range(len(exprs)) for j in range(width)]
+    ends = ", ".join(["0D", "1D"] + [f"{max(0.0, p - margin)!r}D" for p in probs] + [f"{min(1.0, p + margin)!r}D" for p in probs])
+    steps = ", ".join(f"{k / cuts!r}D" for k in range(cuts + 1))
 
+    # 1: for each column n and the brackets
+    first = base.selectExpr("struct(" + ", ".join(
+        f"count(x{i}) AS n{i}, percentile_approx(x{i}, array({ends}), {accuracy}) AS b{i}" for i in range(len(exprs))) + ") AS a")
 
-def _bounds(df: DataFrame, asked: dict, accuracy: int) -> dict:
-    """(low, high) values for each cell of ``asked``: cell -> (column, low share, high share)."""
-    row = df.agg(F.lit(0).alias("_"), *[F.percentile_approx(x, [max(0.0, a), min(1.0, b)], accuracy).alias(f"b{i}_{j}")
-                                        for (i, j), (x, a, b) in asked.items()]).first()
-    return {c: tuple(row[f"b{c[0]}_{c[1]}"] or (None, None)) for c in asked}
-
-
-def _brackets(df: DataFrame, xs: list[Column], probs: list[float], accuracy: int, bracket_rows: int):
-    """n of each column; (low, high), rows below and the target position of each cell."""
-    cells = [(i, j) for i in range(len(xs)) for j in range(len(probs))]
-    margin = 2.0 / accuracy
-    first = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                   *[F.percentile_approx(x, [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs],
-                                         accuracy).alias(f"b{i}") for i, x in enumerate(xs)]).first()
-    n = [first[f"n{i}"] for i in range(len(xs))]
-    live = [(i, j) for i, j in cells if n[i]]
-    box = {(i, j): (first[f"b{i}"][j], first[f"b{i}"][len(probs) + j]) for i, j in live}
-    pos = {(i, j): probs[j] * (n[i] - 1) for i, j in live}
-    below: dict = {}
-    todo = list(live)
-    while todo:
-        inside = {c: xs[c[0]].between(F.lit(box[c][0]), F.lit(box[c][1])) for c in todo}
-        cnt = df.agg(*[F.count(F.when(xs[c[0]] < F.lit(box[c][0]), 1)).alias(f"b{c[0]}_{c[1]}") for c in todo],
-                     *[F.count(F.when(inside[c], 1)).alias(f"w{c[0]}_{c[1]}") for c in todo]).first()
-        again, wider = {}, {}
-        for c in todo:
-            b, w = cnt[f"b{c[0]}_{c[1]}"], cnt[f"w{c[0]}_{c[1]}"]
-            k = math.floor(pos[c])
-            if b > k or b + w < min(k + 2, n[c[0]]):  # beyond the sketch's promise: look at everything
-                wider[c] = (xs[c[0]], 0.0, 1.0)
-                continue
-            below[c] = b
-            if w > bracket_rows and box[c][0] < box[c][1]:
-                p = (k - b) / w
-                again[c] = (F.when(inside[c], xs[c[0]]), p - margin, p + margin + 1.0 / w)
-        more = {**again, **wider}
-        new = _bounds(df, more, accuracy) if more else {}
-        todo = [c for c in more if new[c] != box[c]]
-        box.update({c: new[c] for c in todo})
-    return n, live, box, below, pos
-
-
-def quantiles_for(df: DataFrame, exprs: list[Column], probs: list[float], accuracy: int = ACCURACY,
-                  bracket_rows: int = BRACKET_ROWS) -> list[list[Column]]:
-    """``out[i][j]`` = exact quantile ``probs[j]`` of ``exprs[i]`` over ``df``
-    (nulls ignored; null when a column has no values)."""
-    xs = [e.cast("double") for e in exprs]
-    probs = list(probs)
-    out = [[F.lit(None).cast("double") for _ in probs] for _ in xs]
-    if not xs:
+    # 2: for each cell rows below (u) and inside (w), cut points (t); then its narrow bracket
+    # and where in it the order statistics stand, all on one row
+    aggs = ["first(a) AS a"]
+    low, high = {}, {}
+    for i, j in cells:
+        # the margins hold a few rows from here on; less rows are all looked at
+        few = f"a.n{i} < {2 * accuracy}"
+        low[i, j], high[i, j] = f"if({few}, a.b{i}[0], a.b{i}[{2 + j}])", f"if({few}, a.b{i}[1], a.b{i}[{2 + width + j}])"
+        lo, hi = low[i, j], high[i, j]
+        aggs += [f"count_if(x{i} < {lo}) AS u{i}_{j}", f"count_if(x{i} BETWEEN {lo} AND {hi}) AS w{i}_{j}",
+                 f"percentile_approx(CASE WHEN x{i} BETWEEN {lo} AND {hi} THEN x{i} END, array({steps}), {accuracy}) AS t{i}_{j}"]
+    counted = base.withColumn("a", first.scalar()).selectExpr(*aggs)
+    places = [f"struct(u{i}_{j} AS u, w{i}_{j} AS w, t{i}_{j} AS t, {low[i, j]} AS low, {probs[j]!r}D * (a.n{i} - 1) AS pos, a.n{i} AS n)"
+              for i, j in cells]
+    share = "(floor(c.pos) - c.u) / greatest(c.w, 1)"
+    second = counted.selectExpr(f"array({', '.join(places)}) AS cells").selectExpr(f"""transform(cells, c -> struct(
+        c.low AS low,
+        get(c.t, cast(greatest(floor(({share} - {margin!r}D) * {cuts}), 1) AS int) - 1) AS cut,
+        get(c.t, cast(least(ceil(({share} + {margin!r}D + 2D / greatest(c.w, 1)) * {cuts}), {cuts}) AS int)) AS high,
+        floor(c.pos) - c.u + 1 AS rank, least(floor(c.pos) + 1, c.n - 1) - c.u + 1 AS next, c.pos - floor(c.pos) AS share)) AS b""")
+
+    # 3: the narrow brackets' values with their running counts; v is null for rows of the wide
+    # bracket below the narrow one
+    tags = ", ".join(f"CASE WHEN x{i} BETWEEN b[{k}].low AND b[{k}].high THEN struct({k} AS cell, "
+                     f"CASE WHEN x{i} >= b[{k}].cut THEN x{i} END AS v) END" for k, (i, j) in enumerate(cells))
+    per = (base.withColumn("b", second.scalar()).selectExpr(f"explode(array({tags})) AS s").where("s IS NOT NULL")
+           .groupBy("s.cell", "s.v").agg(F.count(F.lit(1)).alias("c")))
+    run = Window.partitionBy("cell").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = per.withColumn("cum", F.sum("c").over(run)).withColumn("b", second.scalar()).selectExpr(
+        "cell", "v", "cum", "b[cell].rank AS rank", "b[cell].next AS next", "b[cell].share AS share")
+    picked = cum.groupBy("cell").agg(F.expr("min(CASE WHEN cum >= rank THEN struct(cum, v) END).v AS lo"),
+                                     F.expr("min(CASE WHEN cum >= next THEN struct(cum, v) END).v AS hi"), F.first("share").alias("share"))
+    # a target below the narrow bracket or beyond the wide one would be a broken promise of the sketch
+    picked = picked.selectExpr("cell", """CASE WHEN lo IS NULL OR hi IS NULL THEN raise_error('quantile beyond its bracket')
+        WHEN lo = hi THEN lo ELSE lo + (hi - lo) * share END AS q""")
+    return picked.agg(F.expr("struct(" + ", ".join(
+        f"max(CASE WHEN cell = {k} THEN q END) AS q{i}_{j}" for k, (i, j) in enumerate(cells)) + ") AS q")).scalar()
+
+
+def quantiles_for(df: DataFrame, exprs: list[Column], probs: list[float], accuracy: int = ACCURACY) -> list[list[Column]]:
+    """``out[i][j]`` = exact quantile ``probs[j]`` of ``exprs[i]``: fields of one subquery.
+    For more than a few of them, project ``quantile_struct`` once instead."""
+    if not exprs:
         return []
-    n, live, box, below, pos = _brackets(df, xs, probs, accuracy, bracket_rows)
-    if not live:
-        return out
-    # explode + row filter (both inside whole-stage codegen) rather than a lambda
-    # filter on the array (higher-order functions are interpreted)
-    tagged = F.array(*[F.when(xs[c[0]].between(F.lit(box[c][0]), F.lit(box[c][1])),
-                              F.struct(F.lit(k).alias("cell"), xs[c[0]].alias("v"))) for k, c in enumerate(live)])
-    per = (df.select(F.explode(tagged).alias("s")).where(F.col("s").isNotNull()).select("s.*")
-           .groupBy("cell", "v").agg(F.count(F.lit(1)).alias("c")))
-    run = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.lit(None).cast("long")
-    top = F.lit(None).cast("long")
-    share = F.lit(None).cast("double")
-    for k, c in enumerate(live):
-        low = math.floor(pos[c])
-        hit = F.col("cell") == k
-        rank = F.when(hit, F.lit(low - below[c] + 1)).otherwise(rank)
-        top = F.when(hit, F.lit(min(low + 1, n[c[0]] - 1) - below[c] + 1)).otherwise(top)
-        share = F.when(hit, F.lit(pos[c] - low)).otherwise(share)
-    cum = per.select("cell", "v", F.sum("c").over(run).alias("cum"), rank.alias("rank"), top.alias("top"), share.alias("share"))
-    picked = cum.groupBy("cell").agg(F.min(F.when(F.col("cum") >= F.col("rank"), F.col("v"))).alias("a"),
-                                     F.min(F.when(F.col("cum") >= F.col("top"), F.col("v"))).alias("b"),
-                                     F.first("share").alias("share"))
-    vals = picked.select("cell", F.when(F.col("a") == F.col("b"), F.col("a"))
-                         .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("q"))
-    for cell, q in vals.collect():  # one number for each cell
-        i, j = live[cell]
-        out[i][j] = F.lit(q)
-    return out
+    s = quantile_struct(df, exprs, probs, accuracy)
+    return [[s[f"q{i}_{j}"] for j in range(len(probs))] for i in range(len(exprs))]
+
+
+def quantile_of(df: DataFrame, x: Column, p: float) -> Column:
+    return quantiles_for(df, [x], [p])[0][0]

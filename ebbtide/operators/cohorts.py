@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.quantiles import quantile_of
 from ebbtide.functions.columns import CLV_ALIASES, DIM_ALIASES, ID_ALIASES, RISK_ALIASES, find_col, find_dim
 from ebbtide.functions.scalars import r, risk_label
+from ebbtide.functions.value_counts import store_of
 from ebbtide.operators.kpis import THRESHOLD_DP, _num, churn_flag, p75_threshold
 
 
@@ -90,13 +90,25 @@ def segment_contains(df: DataFrame, target: str) -> DataFrame:
 
 def effective_thresholds(df: DataFrame, thresholds: list[float]) -> dict[float, Column]:
     """For each distinct threshold: itself if any row reaches it, else p75(risk), over
-    the whole table and before any segment filter. The maximum is one number, and the
-    quantile is only looked for if some threshold is out of reach."""
-    risk = _num(df, RISK_ALIASES, 0.0)
-    top = df.agg(F.max(risk)).first()[0]
-    low = top is not None and any(float(t) > top for t in thresholds)
-    p75 = quantile_of(df, risk, 0.75) if low else None
-    return {float(t): F.lit(float(t)) if top is None or float(t) <= top else p75 for t in thresholds}
+    the whole table and before any segment filter. With a value-count store the maximum
+    is known beforehand, and only thresholds out of reach look the quantile up; else both
+    are scalar subqueries."""
+    store, c = store_of(df), find_col(df, RISK_ALIASES)
+    if store is not None and c is not None and c in store:
+        top = store.maximum(c, fill_zero=True)
+        return {float(t): F.lit(float(t)) if top is None or float(t) <= top else p75_threshold(df, RISK_ALIASES) for t in thresholds}
+    top = df.agg(F.max(_num(df, RISK_ALIASES, 0.0))).scalar()
+    p75 = p75_threshold(df, RISK_ALIASES)
+    return {float(t): F.when(F.coalesce(top >= F.lit(float(t)), F.lit(True)), F.lit(float(t))).otherwise(p75) for t in thresholds}
+
+
+def top_and_fallback(df: DataFrame) -> tuple[Column, Column]:
+    """The largest risk score and p75(risk), both with nulls as 0: what decides the
+    effective threshold of any asked one."""
+    store, c = store_of(df), find_col(df, RISK_ALIASES)
+    if store is not None and c is not None and c in store:
+        return F.lit(store.maximum(c, fill_zero=True)).cast("double"), p75_threshold(df, RISK_ALIASES)
+    return df.agg(F.max(_num(df, RISK_ALIASES, 0.0))).scalar(), p75_threshold(df, RISK_ALIASES)
 
 
 def effective_threshold(df: DataFrame, threshold: float) -> Column:

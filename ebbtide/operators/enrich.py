@@ -60,16 +60,20 @@ def enrich(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-_ENRICHED: dict[tuple[str, str], DataFrame] = {}
+_ENRICHED: dict[tuple, DataFrame] = {}
 
 
 def enriched_customers(spark, sf_dir: str) -> DataFrame:
-    """The enriched customers table; the DataFrame (an immutable plan over the
-    table written once per session) is built once per session and folder."""
-    import os
+    """The enriched customers table with its value-count store. Table and store are
+    written once per session and version of the source files; the DataFrame is an
+    immutable plan over them."""
+    import uuid
 
-    from ebbtide.sources.fixtures import customers
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    from ebbtide.functions.value_counts import attach, write_value_counts
+    from ebbtide.session import scratch_dir
+    from ebbtide.sources.fixtures import customers, source_version
+    key = (spark.sparkContext.applicationId, source_version(spark, sf_dir))
     if key not in _ENRICHED:
-        _ENRICHED[key] = enrich(customers(spark, sf_dir))
+        df = enrich(customers(spark, sf_dir))
+        _ENRICHED[key] = attach(df, write_value_counts(df, scratch_dir(spark, f"tables/customer-values-{uuid.uuid4().hex}")))
     return _ENRICHED[key]

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.functions.aggs import count_if, davg, dsum, ratio
 from ebbtide.functions.columns import (CHURN_ALIASES, CLV_ALIASES, KPI_CLV_ALIASES, RISK_ALIASES,
                                        SAT_ALIASES, find_col, find_col_containing, find_dim)
-from ebbtide.functions.quantiles import quantile_of, quantiles_for
+from ebbtide.functions.quantiles import quantiles_for
 from ebbtide.functions.scalars import r, risk_level, safe_numeric
+from ebbtide.functions.value_counts import column_quantile, store_of
 
 THRESHOLD_DP = 6  # places of a threshold in the output; comparisons use the raw quantile
 
@@ -27,8 +29,11 @@ def _num(df: DataFrame, aliases: list[str], fill: float | None = None) -> Column
 
 
 def churn_flag(df: DataFrame) -> Column:
-    """True where churn == 1; false when the churn column is absent."""
+    """True where churn == 1; false when the churn column is absent. On an integer column
+    the comparison is a plain one that reaches the scan."""
     c = find_col(df, CHURN_ALIASES)
+    if c and isinstance(df.schema[c].dataType, T.IntegralType):
+        return F.col(c) == F.lit(1)
     return (safe_numeric(F.col(c)) == F.lit(1.0)) if c else F.lit(False)
 
 
@@ -38,15 +43,16 @@ def churn_value(df: DataFrame) -> Column:
 
 
 def p75_threshold(df: DataFrame, aliases: list[str], p: float = 0.75) -> Column:
-    """Scalar subquery: quantile of the column (nulls filled with 0)."""
-    x = _num(df, aliases, 0.0)
-    return quantile_of(df, x, p)
+    """Scalar subquery: quantile of the column (nulls filled with 0; 0 without a column)."""
+    q = column_quantile(df, aliases, p, fill_zero=True)
+    return F.lit(0.0) if q is None else q
 
 
 def p75_thresholds(df: DataFrame, *alias_lists: list[str], p: float = 0.75) -> list[Column]:
-    """Several quantiles from ONE aggregation (one scan of ``df``)."""
-    qs = quantiles_for(df, [_num(df, a, 0.0) for a in alias_lists], [p])
-    return [q[0] for q in qs]
+    """Several quantiles: from the table's store, else from the same passes over ``df``."""
+    if store_of(df) is not None:
+        return [p75_threshold(df, a, p) for a in alias_lists]
+    return [q[0] for q in quantiles_for(df, [_num(df, a, 0.0) for a in alias_lists], [p])]
 
 
 def high_risk_mask(df: DataFrame) -> Column:
@@ -105,8 +111,11 @@ def breakdown_map(df: DataFrame, canonical: str) -> DataFrame:
 # Quantiles, top-quartile revenue at risk, high-value customers
 # ---------------------------------------------------------------------------
 def clv_risk_quantiles(df: DataFrame) -> DataFrame:
-    clv, risk = _num(df, CLV_ALIASES, 0.0), _num(df, RISK_ALIASES, 0.0)
-    qc, qr = quantiles_for(df, [clv, risk], [0.25, 0.5, 0.75])
+    probs = [0.25, 0.5, 0.75]
+    if store_of(df) is not None:
+        qc, qr = [[p75_threshold(df, a, p) for p in probs] for a in (CLV_ALIASES, RISK_ALIASES)]
+    else:
+        qc, qr = quantiles_for(df, [_num(df, CLV_ALIASES, 0.0), _num(df, RISK_ALIASES, 0.0)], probs)
     return (df.sparkSession.range(1)
               .select(*[r(qc[i], THRESHOLD_DP).alias(f"clv_p{p}") for i, p in enumerate((25, 50, 75))],
                       *[r(qr[i], THRESHOLD_DP).alias(f"risk_p{p}") for i, p in enumerate((25, 50, 75))]))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.quantiles import quantiles_for
+from ebbtide.functions.quantiles import quantile_struct
 from ebbtide.functions.columns import CHURN_ALIASES, find_col
 from ebbtide.functions.scalars import r, risk_label, safe_numeric
 
@@ -72,11 +72,14 @@ def select_features(df: DataFrame) -> tuple[list[str], list[str]]:
     cat = [c for c in PREFERRED_CAT if c in names]
     cand = [f.name for f in cols if isinstance(f.dataType, T.StringType) and f.name not in cat]
     if cand:
-        # HyperLogLog: one pass, fixed memory per column even for an id-like string
-        # column with billions of values; at cardinalities around the cut of 30 its
-        # sparse representation is exact.
-        counts = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cand]).first().asDict()  # one row
-        cat += [c for c in cand if counts[c] <= MAX_CAT_CARDINALITY]
+        # HyperLogLog sorts out id-like columns (one pass, fixed memory even for billions of
+        # values); what is anywhere near the cut is then counted exactly, and is small.
+        near = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cand]).first().asDict()  # one row
+        cand = [c for c in cand if near[c] <= 4 * MAX_CAT_CARDINALITY]
+    if cand:
+        counts = dict(df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cand])).alias("s"))
+                      .select("s.*").where("v IS NOT NULL").distinct().groupBy("c").count().collect())  # one row a column
+        cat += [c for c in cand if counts.get(c, 0) <= MAX_CAT_CARDINALITY]
     return num, cat
 
 
@@ -90,33 +93,51 @@ def feature_selection(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # L3: stratified split; L6: class weights
 # ---------------------------------------------------------------------------
+#: Hash prefixes of which the split counts the rows before it ranks those at the cut.
+SPLIT_BUCKETS = 1 << 16
+
+
 def split_hash(df: DataFrame) -> Column:
-    """Uniform value in [0, 1) from the md5 of the row id (reproducible, and
-    independent of partitioning)."""
+    """The md5 of the row id as hexadecimal digits (reproducible, and independent of
+    partitioning); their order is that of the 128-bit numbers."""
     cid = find_col(df, DROP_COLS) or df.columns[0]
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col(cid).cast("string"))), 1, 8), 16, 10)
-    return h.cast("double") / F.lit(float(2 ** 32))
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(cid).cast("string"), F.lit(""))))
+
+
+def split_cuts(df: DataFrame, y: Column, h: Column, row_id: Column, test_fraction: float) -> DataFrame:
+    """(cls, cut_hash, cut_id): in each class the last test row in order of (hash, id).
+
+    Exact k-th selection: rows are counted by class and 16-bit prefix of the hash (map-side
+    combined), a running count over those at most 65,536 rows a class finds the prefix that
+    holds the k-th row, and only that prefix's rows, one in 65,536, are ranked."""
+    d = df.where(y.isNotNull()).select(y.alias("cls"), h.alias("h"), row_id.alias("i"),
+                                       F.conv(F.substring(h, 1, 4), 16, 10).cast("int").alias("bucket"))
+    per = d.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("cls")
+    run = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.select("cls", "bucket", "n", F.sum("n").over(run).alias("upto"),
+                     F.floor(F.lit(test_fraction) * F.sum("n").over(own) + F.lit(0.5)).alias("k"))
+    edge = per.where((F.col("k") > F.col("upto") - F.col("n")) & (F.col("k") <= F.col("upto"))).select(
+        "cls", "bucket", (F.col("k") - F.col("upto") + F.col("n")).alias("rank"))
+    at = Window.partitionBy("cls").orderBy("h", F.asc_nulls_first("i"))
+    near = d.join(edge, ["cls", "bucket"]).withColumn("r", F.row_number().over(at))
+    return near.where(F.col("r") == F.col("rank")).select("cls", F.col("h").alias("cut_hash"), F.col("i").alias("cut_id"))
 
 
 def with_split(df: DataFrame, test_fraction: float = TEST_FRACTION, label: Column | None = None) -> DataFrame:
-    """Adds ``is_test``: in every class the rows with the smallest hashes, as many as
-    the nearest whole number to ``test_fraction`` of the class. The cut of each class is
-    an exact quantile of its hashes (bounded memory), so no window sorts a class and
-    nothing is shuffled whole. Rows without a label are training rows."""
+    """Adds ``is_test``: in every class the first rows in order of (hash of the id, id),
+    exactly as many as the nearest whole number to ``test_fraction`` of the class (rows with
+    equal ids stay together). The cuts, one row a class, are joined to the rows; the table
+    itself is not shuffled or sorted, and nothing runs while the plan is built. Rows without
+    a label are training rows."""
     y = safe_numeric(F.col(target_column(df))) if label is None else label
-    u = split_hash(df)
-    sizes = {r[0]: r[1] for r in df.filter(y.isNotNull()).groupBy(y.alias("y")).count().collect()}
-    test = F.lit(False)
-    for c, n in sizes.items():
-        k = int(test_fraction * n + 0.5)
-        if k >= n:
-            test = test | F.coalesce(y == c, F.lit(False))
-        elif k > 0:
-            own = F.when(y == c, u)
-            # halfway between the k-th and the next hash
-            cut = quantiles_for(df, [own], [(k - 0.5) / (n - 1)])[0][0]
-            test = test | F.coalesce((y == c) & (u < cut), F.lit(False))
-    return df.withColumn("is_test", test)
+    cid = F.col(find_col(df, DROP_COLS) or df.columns[0])
+    cuts = split_cuts(df, y, split_hash(df), cid, test_fraction)
+    tagged = df.withColumn("_h", split_hash(df)).withColumn("_cls", y)
+    same_id = cid.isNull() | F.coalesce(cid <= F.col("cut_id"), F.lit(False))
+    test = (F.col("_h") < F.col("cut_hash")) | ((F.col("_h") == F.col("cut_hash")) & same_id)
+    return (tagged.join(cuts, F.col("_cls") == F.col("cls"), "left")
+            .select(*df.columns, F.coalesce(test, F.lit(False)).alias("is_test")))
 
 
 def split_counts(df: DataFrame) -> DataFrame:
@@ -148,10 +169,10 @@ def median_values(df: DataFrame, num: list[str]) -> DataFrame:
     """Exact median per numeric feature (linear interpolation) and the number
     of nulls it fills."""
     xs = [safe_numeric(F.col(c)) for c in num]
-    med = quantiles_for(df, xs, [0.5])
-    one = df.agg(*[F.count(F.when(x.isNull(), F.lit(1))).alias(f"_z{i}") for i, x in enumerate(xs)])
+    one = df.agg(*[F.count(F.when(x.isNull(), F.lit(1))).alias(f"_z{i}") for i, x in enumerate(xs)]).withColumn(
+        "_q", quantile_struct(df, xs, [0.5]))
     return one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), r(med[i][0], 6).alias("median"),
+        F.struct(F.lit(c).alias("feature"), r(F.col(f"_q.q{i}_0"), 6).alias("median"),
                  F.col(f"_z{i}").alias("nulls_filled")) for i, c in enumerate(num)])).alias("s")).select("s.*")
 
 
@@ -168,8 +189,8 @@ def mode_values(df: DataFrame, cat: list[str]) -> DataFrame:
 
 def _stages(train: DataFrame, num: list[str], cat: list[str]) -> list:
     # exact medians: one small row of numbers, baked into the stage
-    row = train.sparkSession.range(1).select(*[m[0].alias(f"m{i}") for i, m in enumerate(
-        quantiles_for(train, [safe_numeric(F.col(c)) for c in num], [0.5]))]).first() if num else []
+    row = train.sparkSession.range(1).select(
+        quantile_struct(train, [safe_numeric(F.col(c)) for c in num], [0.5]).alias("q")).first().q if num else []
     fill = SQLTransformer(statement="SELECT *, " + ", ".join(
         f"coalesce(nanvl(try_cast(`{c}` AS double), NULL), {float(row[i] or 0.0)!r}D) AS `_n_{c}`"
         for i, c in enumerate(num)) + " FROM __THIS__")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.aggs import count_if, dsum, ratio
 from ebbtide.functions.columns import (CLV_ALIASES, ID_ALIASES, RISK_ALIASES, SAT_ALIASES, find_col)
-from ebbtide.functions.quantiles import quantile_of
 from ebbtide.functions.scalars import r, safe_numeric
+from ebbtide.functions.value_counts import column_quantile
 
 # ---------------------------------------------------------------------------
 # Rule thresholds, action attributes and texts.
@@ -78,11 +78,8 @@ def nba_inputs(df: DataFrame) -> DataFrame:
 
 def clv_threshold(df: DataFrame) -> Column:
     """Scalar subquery: p75 of the CLV column with nulls dropped (5000 if absent)."""
-    c = find_col(df, CLV_ALIASES)
-    if c is None:
-        return F.lit(CLV_FALLBACK)
-    x = safe_numeric(F.col(c))
-    return F.coalesce(quantile_of(df, x, CLV_PERCENTILE), F.lit(CLV_FALLBACK))
+    q = column_quantile(df, CLV_ALIASES, CLV_PERCENTILE)
+    return F.lit(CLV_FALLBACK) if q is None else F.coalesce(q, F.lit(CLV_FALLBACK))
 
 
 def rule_column(clv_thr: Column) -> Column:

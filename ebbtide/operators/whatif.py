@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.functions.aggs import dsum
 from ebbtide.functions.columns import CLV_ALIASES, FEE_ALIASES, RISK_ALIASES, find_col
 from ebbtide.functions.scalars import r, roi_label
 from ebbtide.operators.cohorts import effective_thresholds, segment_predicate
@@ -61,15 +62,14 @@ def campaign_grid(df: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     effs = effective_thresholds(df, [s.risk_threshold for s in scenarios])
     cohorts = {k: i for i, k in enumerate(dict.fromkeys((s.target_segment, float(s.risk_threshold)) for s in scenarios))}
     names = {t: f"_eff{k}" for k, t in enumerate(effs)}
-    dec = lambda x, name: x.cast("decimal(28,10)").alias(name)
-    base = df.select(*_dim_cols(df), risk.alias("_risk"), dec(clv, "_clv"), dec(fee, "_fee"), dec(risk, "_rsum"),
+    base = df.select(*_dim_cols(df), risk.alias("_risk"), clv.alias("_clv"), fee.alias("_fee"),
                      *[effs[t].alias(names[t]) for t in effs])
     tags = [F.when((F.col("_risk") >= F.col(names[t])) & segment_predicate(base, seg), F.lit(k))
             for (seg, t), k in cohorts.items()]
-    sums = (base.select(F.explode(F.array(*tags)).alias("cohort"), "_clv", "_fee", "_rsum")
+    sums = (base.select(F.explode(F.array(*tags)).alias("cohort"), "_clv", "_fee", "_risk")
             .where(F.col("cohort").isNotNull()).groupBy("cohort")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("_clv").cast("double").alias("rev"),
-                 F.sum("_fee").cast("double").alias("fee_sum"), F.sum("_rsum").cast("double").alias("risk_sum")))
+            .agg(F.count(F.lit(1)).alias("n"), dsum(F.col("_clv")).alias("rev"),
+                 dsum(F.col("_fee")).alias("fee_sum"), dsum(F.col("_risk")).alias("risk_sum")))
     rows = [(i, s.target_segment, float(s.risk_threshold), float(s.retention_budget), float(s.offer_discount_pct),
              float(s.expected_success_rate), cohorts[s.target_segment, float(s.risk_threshold)])
             for i, s in enumerate(scenarios)]
@@ -94,7 +94,7 @@ def _dim_cols(df: DataFrame) -> list[Column]:
             if c is not None]
 
 
-def _finish(g: DataFrame, has_fee: bool) -> DataFrame:
+def _finish(g: DataFrame, has_fee: bool, ids: list[str] = ["scenario_id"]) -> DataFrame:  # noqa: B006
     n = F.col("n")
     empty = n == 0
     nd = n.cast("double")
@@ -114,7 +114,7 @@ def _finish(g: DataFrame, has_fee: bool) -> DataFrame:
     conf = (F.when((n >= HIGH_CONF_N) & F.lit(has_fee), F.lit("High"))
              .when(n >= MED_CONF_N, F.lit("Medium")).otherwise(F.lit("Low")))
     return g.select(
-        "scenario_id", "target_segment", "risk_threshold", r(F.col("effective_threshold"), 6).alias("effective_threshold"),
+        *ids, "target_segment", "risk_threshold", r(F.col("effective_threshold"), 6).alias("effective_threshold"),
         (F.col("effective_threshold") != F.col("risk_threshold")).alias("threshold_adjusted"),
         "retention_budget", "offer_discount_pct", "expected_success_rate",
         n.alias("affected_customers"),
@@ -167,3 +167,72 @@ def budget_projection(df: DataFrame, budgets=(250_000.0, 500_000.0), discount_pc
                              saved.alias("expected_retained"), r(protected, 2).alias("revenue_protected"),
                              r(protected / F.lit(float(b)), 4).alias("estimated_roi")))
     return k.select(F.inline(F.array(*rows)))
+
+
+# ---------------------------------------------------------------------------
+# N6 into M1: a simulation for every message
+# ---------------------------------------------------------------------------
+class RiskLadder:
+    """Customers added up by risk score, in order of the score.
+
+    A written table with one row for each distinct score: the number of customers and the
+    sums of CLV, fee and risk, each with its running total over the smaller scores. The
+    cohort ``risk >= t`` of any threshold is the grand total less the running total at the
+    first score not below t, so any number of thresholds is answered from one row each.
+    """
+
+    SUMS = ["n", *(f"{m}_{part}" for m in ("clv", "fee", "risk") for part in ("dec", "rest"))]
+
+    def __init__(self, df: DataFrame, path: str):
+        from ebbtide.functions.aggs import two_parts
+        from ebbtide.functions.running import write_running
+        risk, clv, fee = _num(df, RISK_ALIASES, 0.0), _num(df, CLV_ALIASES, 0.0), _num(df, FEE_ALIASES, 0.0)
+        parts = {f"{m}_{k}": c for m, x in (("clv", clv), ("fee", fee), ("risk", risk)) for k, c in zip(("dec", "rest"), two_parts(x))}
+        per = df.groupBy(risk.alias("score")).agg(F.count(F.lit(1)).alias("n"), *[
+            F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,10)" if k.endswith("dec") else "double").alias(k) for k, c in parts.items()])
+        self.has_fee = find_col(df, FEE_ALIASES) is not None
+        self.table = write_running(per, path, [], "score", self.SUMS)
+
+    def cohorts(self, thresholds: DataFrame) -> DataFrame:
+        """(threshold, n, rev, fee_sum, risk_sum) of each distinct ``threshold``: an as-of
+        lookup. Thresholds are dealt to the range that holds the next score (one bound a
+        range), and inside a range one sorted pass carries the next score down to them."""
+        bounds = self.table.groupBy("part").agg(F.max("score").alias("top")).agg(
+            F.sort_array(F.collect_list(F.struct("top", "part"))).alias("b")).scalar()
+        asked = thresholds.select("threshold").distinct().withColumn("b", bounds)
+        holds = F.get(F.filter("b", lambda c: c["top"] >= F.col("threshold")), F.lit(0))
+        asked = asked.select(holds["part"].alias("part"), F.col("threshold").alias("score"), F.lit(1).alias("kind"), F.lit(None).alias("at"))
+        steps = self.table.select("part", "score", F.lit(0).alias("kind"), F.struct(*[f"{c}_before" for c in self.SUMS]).alias("at"))
+        down = Window.partitionBy("part").orderBy(F.desc("score"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = (steps.unionByName(asked.select("part", "score", "kind", F.col("at").cast(steps.schema["at"].dataType)))
+                 .withColumn("at", F.last("at", ignorenulls=True).over(down)).where("kind = 1"))
+        whole = self.table.agg(F.struct(*[F.sum(c).alias(c) for c in self.SUMS])).scalar()
+        found = found.withColumn("whole", whole)
+
+        def rest(c: str) -> Column:
+            """Total less what lies below the threshold; nothing where no score reaches it."""
+            return F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.col(f"whole.{c}") - F.col(f"at.{c}_before"))
+
+        both = lambda m: rest(f"{m}_dec").cast("double") + rest(f"{m}_rest").cast("double")
+        return found.select(F.col("score").alias("threshold"), rest("n").cast("bigint").alias("n"), both("clv").alias("rev"),
+                            both("fee").alias("fee_sum"), both("risk").alias("risk_sum"))
+
+
+def message_whatif(msgs: DataFrame, df: DataFrame, ladder: RiskLadder) -> DataFrame:
+    """One simulation for each message (conv_id, turn, text), with the parameters that its
+    text names: the row that ``campaign_whatif`` gives for them over ``df``.
+
+    All rows of one threshold share a lookup in ``ladder``; the rest is row-local. A
+    threshold that no customer reaches falls back to p75(risk), as in the grid."""
+    from ebbtide.operators.cohorts import top_and_fallback
+    from ebbtide.operators.tagging import whatif_parameters
+    top, p75 = top_and_fallback(df)
+    asked = whatif_parameters(msgs).withColumn("_top", top).withColumn("_p75", p75)
+    reached = F.coalesce(F.col("_top") >= F.col("risk_threshold"), F.lit(True))
+    asked = asked.withColumn("effective_threshold", F.when(reached, F.col("risk_threshold")).otherwise(F.col("_p75")))
+    sums = ladder.cohorts(asked.select(F.col("effective_threshold").alias("threshold")))
+    g = asked.join(sums, F.col("effective_threshold") == F.col("threshold"), "left").select(
+        "conv_id", "turn", F.lit("All").alias("target_segment"), "risk_threshold", "effective_threshold", "retention_budget",
+        "offer_discount_pct", "expected_success_rate", *[F.coalesce(F.col(c), F.lit(0)).cast(k).alias(c) for c, k in (
+            ("n", "bigint"), ("rev", "double"), ("fee_sum", "double"), ("risk_sum", "double"))])
+    return _finish(g, ladder.has_fee, ["conv_id", "turn"])

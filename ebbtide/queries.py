@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ebbtide.checks import oracle_kpis as OK
 from ebbtide.operators import kpis
 from ebbtide.operators.enrich import enriched_customers as C
 from ebbtide.registry import register
+from ebbtide.session import scratch_dir
 
 
 def _reg(name, sql_map, fn):
@@ -84,9 +87,28 @@ _reg("segment_strategy", OO.SQL, lambda s, d: priority.segment_strategy(C(s, d),
 _reg("action_truncate", OO.SQL, lambda s, d: priority.action_truncate(C(s, d), 10))
 
 # --- what-if --------------------------------------------------------------------
+def _ladder(s, d):
+    """The customers' risk ladder, written once with their table."""
+    df = C(s, d)
+    if not hasattr(df, "_risk_ladder"):
+        df._risk_ladder = whatif.RiskLadder(df, scratch_dir(s, f"tables/risk-ladder-{uuid.uuid4().hex}"))
+    return df._risk_ladder
+
+
+def _questions(s, d):
+    """The users' messages, and a question for each customer with parameters of its own."""
+    k = F.col("customer_id")
+    ask = F.concat(F.lit("What if we offer "), k % 37, F.lit("% discount to customers with risk > 0."),
+                   F.lpad((k * 131 % 1000).cast("string"), 3, "0"), F.lit(", budget $"), 50 + k % 900, F.lit("k and "),
+                   5 + k % 60, F.lit("% success?"))
+    asked = C(s, d).select((-k).alias("conv_id"), F.lit(0).cast("long").alias("turn"), ask.alias("text"))
+    return tagging.user_messages(T(s, d, "conversations")).unionByName(asked)
+
+
 _reg("campaign_whatif", OO.SQL, lambda s, d: whatif.campaign_whatif(C(s, d)))
 _reg("campaign_grid", OO.SQL, lambda s, d: whatif.campaign_grid(C(s, d), whatif.default_grid()))
 _reg("campaign_verdict", OO.SQL, lambda s, d: whatif.campaign_verdict(C(s, d), whatif.default_grid()))
+_reg("whatif_messages", OO.SQL, lambda s, d: whatif.message_whatif(_questions(s, d), C(s, d), _ladder(s, d)))
 _reg("budget_projection", OO.SQL, lambda s, d: whatif.budget_projection(C(s, d)))
 
 # --- profiling and domain tagging ---------------------------------------------

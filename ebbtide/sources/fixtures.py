@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import r
@@ -32,14 +32,21 @@ CUTOFF_DAYS = 365
 
 
 # Latest pre-cut-off order = max of (order day, order key) packed into one
-# long: day * 2^41 + key. Keys must stay below 2^41 (2.2e12; the largest
-# TPC-H-style key at 100 TB is ~6e11). A fixed-width ordering and an int
-# value keep ``max_by`` inside the hash aggregation (a string value or a
-# struct ordering would force a sort-based aggregation over all orders).
+# long: day * 2^41 + key. Keys must lie in [0, 2^41) (2.2e12; the largest
+# TPC-H-style key at 100 TB is ~6e11), any other fails the query. A fixed-width
+# ordering and an int value keep ``max_by`` inside the hash aggregation (a string
+# value or a struct ordering would force a sort-based aggregation over all orders).
 ORDER_KEY_BITS = 41
 PLAN_CODES = {prio: i + 1 for i, (prio, _) in enumerate(PRIORITY_PLAN)}  # other -> 0
 
 
+def checked_order_key(key: Column) -> Column:
+    """The key, or an error for one that does not fit beside the day."""
+    fits = (key >= 0) & (key < F.lit(1 << ORDER_KEY_BITS))
+    return F.when(F.coalesce(fits, F.lit(True)), key).otherwise(
+        F.raise_error(F.concat(F.lit("order key out of range: "), key.cast("string"))))
+
+
 def order_history(orders: DataFrame) -> DataFrame:
     """Per-customer order aggregates relative to the cut-off (one shuffle).
 
@@ -54,7 +61,7 @@ def order_history(orders: DataFrame) -> DataFrame:
         "o_custkey", "o_orderstatus", "o_orderdate",
         F.col("o_totalprice").cast("decimal(18,2)").alias("price"),  # money summed as exact decimal
         (F.unix_date(F.to_date("o_orderdate")).cast("bigint") * F.lit(1 << ORDER_KEY_BITS)
-         + F.col("o_orderkey")).alias("recency"),
+         + checked_order_key(F.col("o_orderkey"))).alias("recency"),
         code.alias("plan_code"),
         (F.col("o_orderdate") <= cutoff).alias("pre"),
         cutoff.alias("t"))
@@ -112,11 +119,27 @@ def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
+_MATERIALIZED: dict[tuple, DataFrame] = {}
+
+
+def source_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("customer", "nation", "region", "orders")) -> tuple:
+    """(path, size, time of change) of every file of the tables: changes when they do."""
+    files = []
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        todo = [path]
+        while todo:
+            for f in fs.listStatus(todo.pop()):
+                if f.isDirectory():
+                    todo.append(f.getPath())
+                else:
+                    files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(files))
 
 
 def customers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """The customers table, written once per session and then read back.
+    """The customers table, written once per session and version of its sources, then read back.
 
     Every retention query starts from this table; deriving it means one
     aggregation of all orders. Writing it once to the shared checkpoint
@@ -127,7 +150,7 @@ def customers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
     """
     if not materialize:
         return derive_customers(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, source_version(spark, sf_dir))
     if key not in _MATERIALIZED:
         path = scratch_dir(spark, f"tables/customers-{uuid.uuid4().hex}")
         derive_customers(spark, sf_dir).write.mode("overwrite").parquet(path)

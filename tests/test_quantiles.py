@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.functions.quantiles import quantiles_for
+from ebbtide.functions.quantiles import quantile_struct, quantiles_for
 
 PROBS = [0.0, 0.01, 0.25, 0.35, 0.5, 0.75, 0.8, 0.99, 1.0]
 
@@ -21,23 +21,22 @@ def frame(spark):
 
 
 def _same(frame, cols, **kw):
-    got = [g for row in quantiles_for(frame, [F.col(c) for c in cols], PROBS, **kw) for g in row]
-    row = frame.sparkSession.range(1).select(*[g.alias(f"g{i}") for i, g in enumerate(got)]).first()
+    row = frame.sparkSession.range(1).select(quantile_struct(frame, [F.col(c) for c in cols], PROBS, **kw).alias("q")).first().q
     want = frame.agg(*[F.percentile(c, PROBS).alias(c) for c in cols]).first()
     for i, c in enumerate(cols):
         for j, p in enumerate(PROBS):
-            assert row[f"g{i * len(PROBS) + j}"] == pytest.approx(want[c][j], rel=1e-12, abs=1e-9), (c, p)
+            assert row[f"q{i}_{j}"] == pytest.approx(want[c][j], rel=1e-12, abs=1e-9), (c, p)
 
 
-# a coarse sketch and tiny brackets: several rounds of narrowing on a small table
-@pytest.mark.parametrize("kw", [{}, {"accuracy": 50, "bracket_rows": 20}, {"accuracy": 10, "bracket_rows": 1}])
+# coarse sketches: the brackets hold many rows and are narrowed on a small table too
+@pytest.mark.parametrize("kw", [{}, {"accuracy": 1000}, {"accuracy": 50}, {"accuracy": 10}])
 def test_equals_exact_percentile(frame, kw):
     _same(frame, ["x", "hot", "sparse", "id"], **kw)
 
 
 def test_huge_values(spark):
     df = spark.createDataFrame([(1.7e15 + 1e6 * k, -4.0e18 + 1e12 * k) for k in range(501)], "a double, b double")
-    _same(df, ["a", "b"], accuracy=20, bracket_rows=5)
+    _same(df, ["a", "b"], accuracy=20)
 
 
 def test_all_null_column(spark):
@@ -45,3 +44,8 @@ def test_all_null_column(spark):
     got = quantiles_for(df, [F.col("z"), F.col("id")], [0.5])
     row = spark.range(1).select(got[0][0].alias("z"), got[1][0].alias("id")).first()
     assert row["z"] is None and row["id"] == 149.5
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 10, 11, 101])
+def test_small_tables(spark, n):
+    _same(spark.range(n).select(F.col("id"), (F.col("id") % 3).alias("m")).repartition(3), ["id", "m"])
