@@ -111,7 +111,8 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
 
 def forms(vocab: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, n_near, form, form_n)."""
-    links = pairs.select("a", "b", "n_b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_a").alias("n_b")))
+    both = F.array(F.struct("a", "b", "n_b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_a").alias("n_b")))
+    links = pairs.select(F.explode(both).alias("l")).select("l.*")
     best = links.groupBy(F.col("a").alias("word")).agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("less"), F.col("b").alias("form"))).alias("best"))
     taken = -F.col("best.less") >= ratio * F.col("n")
