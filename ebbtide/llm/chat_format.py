@@ -101,7 +101,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def escape(c: Column) -> Column:
     doubled = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    marked = F.regexp_replace(doubled, "#(?=##)|(?<=#)#(?=#)|(?<=##)#", "\\\\\\\\#")
+    marked = F.regexp_replace(doubled, "#(?=##)|(?<=#)#(?=#)|(?<=##)#", "\\\\#")
     return F.replace(marked, F.lit(END), F.lit("<\\/turn>"))
 
 
