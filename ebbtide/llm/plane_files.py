@@ -44,6 +44,8 @@ from ebbtide.llm.tokens import batches, encoder
 
 MAGIC = b"IDPLANES"
 BLOCK_IDS = 1 << 16
+#: Text that is encoded together: the larger, the fewer words are looked up twice.
+ENCODE_BYTES = 8 << 20
 END = 0
 FOOTER = struct.Struct("<QQQQ8s")
 DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ids", "<u8")])
@@ -194,7 +196,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, planes: int = 4) ->
         for b in parts:
             doc_ids = b.column(0).to_pylist()
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in batches(texts):
+            for lo, hi in batches(texts, ENCODE_BYTES):
                 for doc_id, ids in zip(doc_ids[lo:hi], enc.encode([t or b"" for t in texts[lo:hi]])):
                     out = out or PlaneWriter(uri, planes)
                     out.add(doc_id, ids + end)
