@@ -6,16 +6,16 @@ Any number of columns and probabilities share the passes:
 
 1. non-null counts, and a bracket around each target rank from a ``percentile_approx``
    sketch of fixed accuracy;
-2. rows below and inside every bracket, and a sketch of the rows inside it, of which
-   the two cut points next to the target rank are taken: they enclose about n / 10^5
-   rows, and equal values beside them;
-3. the rows of that narrow bracket, tagged (column, probability), reduced to (value,
-   count) by a hash aggregation (a value repeated a billion times is one row); a
-   running count for each (column, probability) finds the order statistics.
+2. rows below every bracket;
+3. the bracketed rows, 4 in 10,000 and those equal to a bound, tagged (column,
+   probability) and reduced to (value, count) by a hash aggregation (a value repeated a
+   billion times is one row). A bracket is cut into slices of equal width; a running
+   count over the slices' totals finds the one or two that hold the wanted ranks, and
+   only their values are ordered.
 
-No task holds more than a sketch or one narrow bracket. Each pass hands its bounds on
-to the next one together with its own counts, so all three use the same bounds. Should
-a sketch break its promise, the plan fails instead of giving a wrong number.
+No task holds more than a sketch or one slice. Pass 2 hands the bounds of pass 1 on to
+pass 3 together with its counts, so all use the same bounds. Should a sketch break its
+promise, the plan fails instead of giving a wrong number.
 
 Tables written with a value-count store (``functions.value_counts``) look their
 quantiles up there instead.
@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-#: Cut points of the sketch inside a bracket.
-CUTS = 100
+#: Slices of a bracket.
+SLICES = 1024
 
 
 def quantile_struct(df: DataFrame, exprs: list[Column], probs: list[float], accuracy: int = ACCURACY) -> Column:
@@ -36,50 +36,49 @@ def quantile_struct(df: DataFrame, exprs: list[Column], probs: list[float], accu
     ``probs[j]`` of ``exprs[i]`` over ``df`` (nulls ignored; null without any value).
     Project it once and refer to its fields."""
     probs = list(probs)
-    margin, cuts, width = 2.0 / accuracy, min(CUTS, accuracy), len(probs)
+    margin, width = 2.0 / accuracy, len(probs)
     base = df.select(*[e.cast("double").alias(f"x{i}") for i, e in enumerate(exprs)])
     cells = [(i, j) for i in range(len(exprs)) for j in range(width)]
     ends = ", ".join(["0D", "1D"] + [f"{max(0.0, p - margin)!r}D" for p in probs] + [f"{min(1.0, p + margin)!r}D" for p in probs])
-    steps = ", ".join(f"{k / cuts!r}D" for k in range(cuts + 1))
 
     # 1: for each column n and the brackets
     first = base.selectExpr("struct(" + ", ".join(
         f"count(x{i}) AS n{i}, percentile_approx(x{i}, array({ends}), {accuracy}) AS b{i}" for i in range(len(exprs))) + ") AS a")
 
-    # 2: for each cell rows below (u) and inside (w), cut points (t); then its narrow bracket
-    # and where in it the order statistics stand, all on one row
-    aggs = ["first(a) AS a"]
-    low, high = {}, {}
+    # 2: for each cell the rows below (u) and inside (w); then, on one row, its bracket and
+    # where in it the order statistics stand
+    low, high, aggs, places = {}, {}, ["first(a) AS a"], [[] for _ in exprs]
     for i, j in cells:
-        # the margins hold a few rows from here on; less rows are all looked at
-        few = f"a.n{i} < {2 * accuracy}"
+        few = f"a.n{i} < {2 * accuracy}"  # from here on the margins hold a few rows; less rows are all looked at
         low[i, j], high[i, j] = f"if({few}, a.b{i}[0], a.b{i}[{2 + j}])", f"if({few}, a.b{i}[1], a.b{i}[{2 + width + j}])"
-        lo, hi = low[i, j], high[i, j]
-        aggs += [f"count_if(x{i} < {lo}) AS u{i}_{j}", f"count_if(x{i} BETWEEN {lo} AND {hi}) AS w{i}_{j}",
-                 f"percentile_approx(CASE WHEN x{i} BETWEEN {lo} AND {hi} THEN x{i} END, array({steps}), {accuracy}) AS t{i}_{j}"]
-    counted = base.withColumn("a", first.scalar()).selectExpr(*aggs)
-    places = [f"struct(u{i}_{j} AS u, w{i}_{j} AS w, t{i}_{j} AS t, {low[i, j]} AS low, {probs[j]!r}D * (a.n{i} - 1) AS pos, a.n{i} AS n)"
-              for i, j in cells]
-    share = "(floor(c.pos) - c.u) / greatest(c.w, 1)"
-    second = counted.selectExpr(f"array({', '.join(places)}) AS cells").selectExpr(f"""transform(cells, c -> struct(
-        c.low AS low,
-        get(c.t, cast(greatest(floor(({share} - {margin!r}D) * {cuts}), 1) AS int) - 1) AS cut,
-        get(c.t, cast(least(ceil(({share} + {margin!r}D + 2D / greatest(c.w, 1)) * {cuts}), {cuts}) AS int)) AS high,
-        floor(c.pos) - c.u + 1 AS rank, least(floor(c.pos) + 1, c.n - 1) - c.u + 1 AS next, c.pos - floor(c.pos) AS share)) AS b""")
-
-    # 3: the narrow brackets' values with their running counts; v is null for rows of the wide
-    # bracket below the narrow one
-    tags = ", ".join(f"CASE WHEN x{i} BETWEEN b[{k}].low AND b[{k}].high THEN struct({k} AS cell, "
-                     f"CASE WHEN x{i} >= b[{k}].cut THEN x{i} END AS v) END" for k, (i, j) in enumerate(cells))
-    per = (base.withColumn("b", second.scalar()).selectExpr(f"explode(array({tags})) AS s").where("s IS NOT NULL")
-           .groupBy("s.cell", "s.v").agg(F.count(F.lit(1)).alias("c")))
-    run = Window.partitionBy("cell").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per.withColumn("cum", F.sum("c").over(run)).withColumn("b", second.scalar()).selectExpr(
-        "cell", "v", "cum", "b[cell].rank AS rank", "b[cell].next AS next", "b[cell].share AS share")
+        aggs += [f"count_if(x{i} < {low[i, j]}) AS u{i}_{j}"]
+        pos = f"{probs[j]!r}D * (a.n{i} - 1)"
+        places[i] += [f"{low[i, j]} AS l{j}", f"{high[i, j]} AS h{j}", f"floor({pos}) - u{i}_{j} + 1 AS r{j}",
+                      f"least(floor({pos}) + 1, a.n{i} - 1) - u{i}_{j} + 1 AS m{j}", f"{pos} - floor({pos}) AS s{j}"]
+    second = base.withColumn("a", first.scalar()).selectExpr(*aggs).selectExpr(
+        "array(" + ", ".join(f"struct({', '.join(c)})" for c in places) + ") AS b")
+
+    # 3: the brackets' values with their counts, cut into slices of equal width. Columns become
+    # rows before the brackets are looked at, so the generated code stays small enough to be compiled
+    values = base.withColumn("b", second.scalar()).selectExpr(
+        "b", "explode(array(" + ", ".join(f"struct({i} AS i, x{i} AS v)" for i in range(len(exprs))) + ")) AS s").where("s.v IS NOT NULL")
+    tags = ", ".join(
+        f"CASE WHEN v BETWEEN p.l{j} AND p.h{j} THEN struct(i * {width} + {j} AS cell, v AS v, "
+        f"CASE WHEN p.h{j} - p.l{j} BETWEEN 1e-300 AND 1e300 THEN cast((v - p.l{j}) / (p.h{j} - p.l{j}) * {SLICES} AS int) ELSE 0 END AS slice, "
+        f"p.r{j} AS rank, p.m{j} AS next, p.s{j} AS share) END" for j in range(width))
+    per = (values.selectExpr("s.i AS i", "s.v AS v", "b[s.i] AS p").selectExpr(f"explode(array({tags})) AS s").where("s IS NOT NULL").select("s.*")
+           .groupBy("cell", "v", "slice", "rank", "next", "share").agg(F.count(F.lit(1)).alias("c")))
+    # the slices that hold the wanted ranks, by a running count over the slices' totals
+    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("slice"))
+    kept = (per.groupBy("cell", "slice", "rank", "next").agg(F.sum("c").alias("n")).withColumn("upto", upto)
+            .where("upto >= rank AND upto - n < next").select("cell", "slice", (F.col("upto") - F.col("n")).alias("base")))
+    run = Window.partitionBy("cell", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = per.join(kept, ["cell", "slice"]).withColumn("cum", F.col("base") + F.sum("c").over(run))
     picked = cum.groupBy("cell").agg(F.expr("min(CASE WHEN cum >= rank THEN struct(cum, v) END).v AS lo"),
-                                     F.expr("min(CASE WHEN cum >= next THEN struct(cum, v) END).v AS hi"), F.first("share").alias("share"))
-    # a target below the narrow bracket or beyond the wide one would be a broken promise of the sketch
-    picked = picked.selectExpr("cell", """CASE WHEN lo IS NULL OR hi IS NULL THEN raise_error('quantile beyond its bracket')
+                                     F.expr("min(CASE WHEN cum >= next THEN struct(cum, v) END).v AS hi"),
+                                     F.first("share").alias("share"), F.min("rank").alias("rank"))
+    # a rank below the bracket or beyond it would be a broken promise of the sketch
+    picked = picked.selectExpr("cell", """CASE WHEN lo IS NULL OR hi IS NULL OR rank < 1 THEN raise_error('quantile beyond its bracket')
         WHEN lo = hi THEN lo ELSE lo + (hi - lo) * share END AS q""")
     return picked.agg(F.expr("struct(" + ", ".join(
         f"max(CASE WHEN cell = {k} THEN q END) AS q{i}_{j}" for k, (i, j) in enumerate(cells)) + ") AS q")).scalar()

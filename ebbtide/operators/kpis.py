@@ -173,13 +173,14 @@ def risk_segments(df: DataFrame, top: int | None = None) -> DataFrame:
     base = df
     for _, c in present:
         base = base.filter(F.col(c).isNotNull())
+    base = base.withColumn("_thr", thr)  # projected once; the aggregation refers to the column
     g = base.groupBy(*[F.col(c).cast("string").alias(k) for k, c in present]).agg(
         F.count(F.lit(1)).alias("customer_count"),
         r(davg(risk), 4).alias("avg_churn_risk_score"),
         (r(F.coalesce(F.avg(churn_value(df)), F.lit(0.0)) * F.lit(100.0), 2) if has_churn else F.lit(0.0))
         .alias("churn_rate"),
         r(dsum(clv), 4).alias("total_clv"),
-        r(F.coalesce(dsum(F.when(risk >= thr, clv)), F.lit(0.0)), 4).alias("revenue_at_risk"))
+        r(F.coalesce(dsum(F.when(risk >= F.col("_thr"), clv)), F.lit(0.0)), 4).alias("revenue_at_risk"))
     for k, c in keys:
         if c is None:
             g = g.withColumn(k, F.lit("N/A"))

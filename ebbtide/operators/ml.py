@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from ebbtide.functions.quantiles import quantile_struct
 from ebbtide.functions.columns import CHURN_ALIASES, find_col
 from ebbtide.functions.scalars import r, risk_label, safe_numeric
+from ebbtide.operators import trees
+from ebbtide.sources.artifacts import ArtifactStore
 
 # Identifier columns, preferred features, split and model settings.
 DROP_COLS = ["customer_id", "customerid", "id"]
@@ -37,7 +39,7 @@ TEST_FRACTION = 0.2
 SEED = 42
 LR_MAX_ITER = 500
 RF_TREES = 200
-#: Depth of a tree. The reference grows full trees; Spark holds a node table for each level, so the depth is bounded.
+#: Depth of a tree of Spark's own forest, which holds a node table for each level; ``trees.forest`` grows full trees.
 RF_DEPTH = 5
 GBT_ITER = 200
 TOP_IMPORTANCES = 30
@@ -294,6 +296,11 @@ class TrainedModels:
         return (imp.orderBy(F.desc("importance"), F.asc("feature")).limit(TOP_IMPORTANCES)
                 .select("feature", r(F.col("importance"), 6).alias("importance")))
 
+    def save_version(self, store: ArtifactStore) -> int:
+        """The selected model, all metrics and the importances as one committed version."""
+        return store.write(tables={"metrics": self.metrics, "importances": self.importances()}, texts={"best": self.best_name},
+                           models={"model": self.best})
+
     def save(self, path: str) -> str:
         self.best.write().overwrite().save(path)
         self.metrics.write.mode("overwrite").json(os.path.join(path, "_metrics"))
@@ -375,6 +382,39 @@ def score_customers(model: PipelineModel, df: DataFrame, factors: DataFrame | No
     return out
 
 
+# ---------------------------------------------------------------------------
+# L8-L9 on histogram trees: boosted rounds and a forest of full depth
+# ---------------------------------------------------------------------------
+class TreeTraining:
+    """The split, the preprocessing and the features (id, label, is_test, features) that
+    tree models are trained on; written once."""
+
+    def __init__(self, df: DataFrame):
+        data, self.num, self.cat = prepared(df)
+        self.id = find_col(df, DROP_COLS)
+        data = data.checkpoint(eager=True)
+        train = data.filter(~F.col("is_test"))
+        self.pre = Pipeline(stages=_stages(train, self.num, self.cat)).fit(train)
+        self.rows = trees.with_features(self.pre.transform(data), F.col(self.id).alias("id"), "label", "is_test").checkpoint(eager=True)
+        self.train, self.test = self.rows.filter(~F.col("is_test")), self.rows.filter("is_test")
+
+    def boosted(self, rounds: int = GBT_ITER, **kw) -> trees.TreeModel:
+        """Second-order boosting, positives scaled by negatives / positives."""
+        return trees.boosted(self.train, "id", rounds=rounds, **kw)
+
+    def forest(self, n: int = RF_TREES, **kw) -> trees.TreeModel:
+        """Balanced bootstrap trees, grown until their leaves are pure."""
+        return trees.forest(self.train, "id", trees=n, seed=SEED, **kw)
+
+    def scored(self, model: trees.TreeModel) -> DataFrame:
+        """(id, label, is_test, probability) of every labelled row."""
+        return model.transform(self.rows, "id", "label", "is_test")
+
+    def metrics(self, model: trees.TreeModel, name: str) -> DataFrame:
+        s = model.transform(self.test, "id", "label").withColumn("prediction", (F.col("probability") >= F.lit(PRED_CUT)).cast("double"))
+        return classification_metrics(s, "probability", "label", "prediction").select(F.lit(name).alias("model_name"), "*")
+
+
 _CACHE: dict[tuple, TrainedModels] = {}
 
 

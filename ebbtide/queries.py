@@ -192,13 +192,37 @@ _reg("roc_auc_rank", OM.SQL,
      lambda s, d: ml.roc_auc(C(s, d), "churn_risk_score", "churned").select(r(F.col("auc"), 6).alias("roc_auc")))
 _reg("classification_metrics", OM.SQL,
      lambda s, d: ml.classification_metrics(_risk_scored(s, d), "churn_risk_score", "churned", "prediction"))
+
+
+_TREES: dict = {}
+
+
+def _trees(s, d):
+    """Training table of the tree models, one for each version of the customers table."""
+    df = C(s, d)
+    if id(df) not in _TREES:
+        _TREES[id(df)] = (df, ml.TreeTraining(df))
+    return _TREES[id(df)][1]
+
+
+def _boosted_scores(s, d):
+    t = _trees(s, d)
+    return t.scored(t.boosted()).select(F.col("id").alias("customer_id"), "is_test", "label", r(F.col("probability"), 4).alias("churn_probability"))
+
+
+_reg("boosted_metrics", {}, lambda s, d: _trees(s, d).metrics(_trees(s, d).boosted(), "GradientBoosting"))
+_reg("boosted_scores", {}, _boosted_scores)
+_reg("full_forest_metrics", {}, lambda s, d: _trees(s, d).metrics(_trees(s, d).forest(), "RandomForest"))
 _reg("ml_metrics", {}, lambda s, d: _models(s, d).metrics)
 _reg("feature_importance", {}, lambda s, d: _models(s, d).importances())
 _reg("score_customers", {}, lambda s, d: ml.score_customers(_models(s, d).best, C(s, d), _models(s, d).importances()))
 
 # --- sources and sinks ------------------------------------------------------------------
 from ebbtide.checks import oracle_io as OI  # noqa: E402
+from ebbtide.sources import delimited as DL  # noqa: E402
 from ebbtide.sources import io as IO  # noqa: E402
+from ebbtide.sources.artifacts import ArtifactStore  # noqa: E402
+from ebbtide.sources.tables import append_chunks  # noqa: E402
 
 
 def _display_names(df):
@@ -211,12 +235,78 @@ def _csv_scan(s, d):
     return IO.roundtrip(df, "csv", header_names=_display_names(df))
 
 
+def _delimited(s, d):
+    """A delimited text for each customer: their orders, with quoted remarks that hold
+    separators and quotes, empty fields, a short last line, and separators by turns."""
+    sep = F.get(F.array(F.lit(","), F.lit("\t"), F.lit("|")), (F.col("doc_id") % 3).cast("int"))
+    o = T(s, d, "orders").where(F.col("o_custkey").isNotNull() & F.col("o_orderkey").isNotNull()).withColumn("doc_id", F.col("o_custkey"))
+    remark = F.concat(F.lit('"said ""'), "o_orderpriority", F.lit('""'), F.when(F.col("o_orderkey") % 2 == 0, sep).otherwise(F.lit("")), F.lit(' twice"'))
+    line = F.concat_ws("\u0001", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 4 == 1, F.lit("")).otherwise(F.col("o_orderstatus")),
+                       F.floor("o_totalprice").cast("long"), F.col("o_orderkey") % 2 == 0, remark)
+    line = F.replace(line, F.lit("\u0001"), sep)
+    rows = o.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("rows"))
+    head = F.replace(F.lit("order key\u0001status\u0001price\u0001even\u0001remark\n"), F.lit("\u0001"), sep)
+    last = F.concat(F.lit("\n-1"), sep, F.lit("X"), sep, F.lit("0"), sep, F.lit("true"))
+    return rows.select("doc_id", F.concat(head, F.array_join(F.transform("rows", lambda r: r["l"]), "\n"), last).alias("text"))
+
+
+def _text_table(s, d):
+    """The orders written as pipe-separated text files, sniffed and read with inferred types."""
+    path = IO.new_output_dir(s, "text-table")
+    T(s, d, "orders").select(F.col("o_orderkey").alias(" Order Key "), "o_orderstatus", "o_totalprice", "o_orderpriority").write.option(
+        "header", True).option("sep", "|").csv(path)
+    return DL.read_text_table(s, path)
+
+
+def _chunks(s, d):
+    """Three chunks of the customers with differing columns and types, appended."""
+    k, df = F.col("customer_id"), C(s, d)
+    a = df.where(k % 3 == 0).select(k.cast("int").alias("Customer Id"), F.floor("estimated_clv").cast("int").alias("clv"), "region")
+    b = df.where(k % 3 == 1).select("customer_id", F.col("estimated_clv").alias("clv"), F.lit(None).alias("region"), "tenuremonths")
+    c = df.where(k % 3 == 2).select("customer_id", F.col("estimated_clv").cast("decimal(18,2)").alias("CLV"), F.col("state").alias("region"),
+                                    F.concat(F.col("tenuremonths").cast("string"), F.lit(" months")).alias("tenuremonths"))
+    return append_chunks([a, b, c])
+
+
+def _versions(s, d):
+    """Two committed versions and one that was never finished: the second one is read."""
+    store = ArtifactStore(s, IO.new_output_dir(s, "artifacts"))
+    store.write(tables={"churn": kpis.churn_breakdown(C(s, d), "region")})
+    store.write(tables={"churn": kpis.churn_breakdown(C(s, d), "customer_segment")})
+
+    class Lost(Exception):
+        pass
+
+    def lose():
+        raise Lost
+
+    try:
+        store.write(tables={"churn": kpis.churn_breakdown(C(s, d), "plan_type")}, before_commit=lose)
+    except Lost:
+        pass
+    return store.table("churn")
+
+
+def _saved_scores(s, d):
+    """Scores by the model, and with the importances, as read back from a saved version."""
+    store = ArtifactStore(s, IO.new_output_dir(s, "models"))
+    _models(s, d).save_version(store)
+    return ml.score_customers(store.model("model"), C(s, d), store.table("importances").orderBy(F.desc("importance"), "feature"))
+
+
 _reg("csv_scan", OI.SQL, _csv_scan)
 _reg("json_roundtrip", OI.SQL, lambda s, d: IO.roundtrip(C(s, d), "json"))
 _reg("parquet_roundtrip", OI.SQL, lambda s, d: IO.roundtrip(C(s, d), "parquet"))
 _reg("sample_rows", OI.SQL, lambda s, d: IO.sample_rows(C(s, d), 10, "customer_id"))
 _reg("export_action_list", OI.SQL, lambda s, d: IO.export_action_list(priority.priority_list(C(s, d), 500))[1])
 _reg("sniff_delimiter", OI.SQL, lambda s, d: IO.sniff_delimiter(T(s, d, "documents")))
+_reg("delimited_cells", OI.SQL, lambda s, d: DL.parse_texts(_delimited(s, d)))
+_reg("delimited_types", OI.SQL, lambda s, d: DL.field_types(DL.parse_texts(_delimited(s, d))))
+_reg("delimited_documents", OI.SQL, lambda s, d: DL.parse_texts(T(s, d, "documents")))
+_reg("text_table", OI.SQL, _text_table)
+_reg("append_chunks", OI.SQL, _chunks)
+_reg("artifact_versions", OI.SQL, _versions)
+_reg("artifact_scores", {}, _saved_scores)
 _reg("text_preview", OI.SQL, lambda s, d: IO.text_preview(T(s, d, "documents")))
 
 # --- scored batches, enrichment, bands, formats ---------------------------------------

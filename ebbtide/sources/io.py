@@ -38,28 +38,32 @@ def nonblank_lines(text_col: str = "text"):
     return F.filter(F.split(F.col(text_col), "\n", -1), lambda line: line.rlike(NONBLANK_RE))
 
 
-def sniff_delimiter(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def sniff_delimiter(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """Per text: the first separator (, then tab then |) for which every
     non-blank line splits into more than one field and the field counts
     differ by at most two; null when none fits. All lines of the whole text
-    are used. Higher-order array functions: one projection, no shuffle."""
-    lines = docs.select(id_col, nonblank_lines(text_col).alias("_lines"))
+    are used. Higher-order array functions: one projection, no shuffle. With
+    ``keep_text`` the text stays beside its separator."""
+    kept = [text_col] if keep_text else []
+    lines = docs.select(id_col, *kept, nonblank_lines(text_col).alias("_lines"))
     stats = []
     for i, sep in enumerate(SNIFF_SEPARATORS):
         counts = F.transform("_lines", _field_count(sep))
         stats.append(F.struct(F.array_min(counts).alias("lo"), F.array_max(counts).alias("hi")).alias(f"_s{i}"))
-    staged = lines.select(id_col, F.size("_lines").alias("nonblank_lines"), *stats)
+    staged = lines.select(id_col, *kept, F.size("_lines").alias("nonblank_lines"), *stats)
     pick = None
     for i, sep in enumerate(SNIFF_SEPARATORS):
         s = F.col(f"_s{i}")
         ok = (F.col("nonblank_lines") > 0) & (s["lo"] > 1) & (s["hi"] - s["lo"] <= SNIFF_MAX_SPREAD)
         pick = F.when(ok, F.lit(sep)) if pick is None else pick.when(ok, F.lit(sep))
-    return staged.select(id_col, "nonblank_lines", pick.alias("separator"))
+    return staged.select(id_col, *kept, "nonblank_lines", pick.alias("separator"))
 
 
-def read_delimited_text(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """Parse a text file as a table once its separator is known."""
-    return load_table(spark, path, fmt="csv", sep=sep)
+def read_delimited_text(spark: SparkSession, path: str, sep: str, schema=None, multiline: bool = False) -> DataFrame:
+    """Parse a text file as a table once its separator is known (a quote is escaped by a
+    second one). ``multiline`` lets quoted fields hold line ends, at the price of one task
+    a file; without it Spark splits large files."""
+    return load_table(spark, path, fmt="csv", schema=schema, sep=sep, escape='"', multiLine=multiline)
 
 
 def text_preview(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -130,7 +134,7 @@ ACTION_LIST_COLS = ["customer_id", "priority_class", "estimated_clv", "churn_ris
 def export_action_list(priority: DataFrame) -> tuple[str, DataFrame]:
     """Write the priority list's action columns as CSV with a header.
 
-    The list is a bounded top-n (n <= 5000), so it is written as one file.
+    The list is a top-n of the size that the caller asked for, written as one file.
     Returns (path, the file read back)."""
     spark = priority.sparkSession
     path = new_output_dir(spark, "action_list")
