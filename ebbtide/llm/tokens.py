@@ -192,7 +192,8 @@ class PieceEncoder:
         parts = _PARTS[True].findall("".join([f" {t}" for _, t in joint]))
         ids = list(map(self.parts.__getitem__, parts))
         starts = [j for j, part in enumerate(parts) if part[0] == " "]
-        for (k, _), a, b in zip(joint, starts, [*starts[1:], len(parts)], strict=True):
+        ends = [*starts[1:], len(parts)] if starts else []
+        for (k, _), a, b in zip(joint, starts, ends, strict=True):
             values[k] = ids[a] if b == a + 1 else b"".join(ids[a:b])
             self.after.put(pieces[k], values[k])
         return values
