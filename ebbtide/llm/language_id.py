@@ -22,13 +22,13 @@ words of any length are scored whole; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +59,7 @@ RANGES = [(0x0000, 0), (0x0041, 1), (0x02B0, 0), (0x0370, 2), (0x0400, 3), (0x05
           (0xAC00, 21), (0xD7B0, 0), (0xF900, 25), (0xFB00, 1), (0xFB13, 4), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0),
           (0xFE70, 6), (0xFF00, 1), (0xFF66, 24), (0xFFA0, 21), (0x10000, 0), (0x20000, 25), (0x32000, 0)]
 STARTS = [a for a, _ in RANGES]
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # Unicode category L: no digits, fractions or number signs
 
 
 def word_script(word: bytes) -> int:
