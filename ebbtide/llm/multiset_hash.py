@@ -1,7 +1,8 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraphs.
 
-A paragraph (line) is hashed to a wide vector of 16-bit lanes; a text's fingerprint
-is the sum of its paragraphs' vectors modulo 2^16. Sums commute, so the order of
+A paragraph (line) is hashed to a wide vector of lanes; a text's fingerprint is the sum
+of its paragraphs' vectors, modulo 2^16 in the lanes for equality and modulo 2^32 in
+those for likeness. Sums commute, so the order of
 paragraphs does not matter, and a paragraph is inserted or deleted by adding or
 subtracting its vector, without the rest of the text.
 
@@ -10,7 +11,7 @@ carry equality: two texts with different paragraphs agree in all of them with a
 chance of 2^-1024. The other ``SKETCH`` lanes carry likeness: every ``GRAM`` bytes of
 the paragraph add +1 or -1 to one lane, so that differences of fingerprints keep
 their size, and 1 - |A - B|^2 / (|A|^2 + |B|^2), lane differences taken around zero
-modulo 2^16, estimates the share of common content (1 for equal texts, about 0 for
+modulo 2^32 (a text of 2 GB cannot reach beyond), estimates the share of common content (1 for equal texts, about 0 for
 texts with nothing in common).
 
 Edge cases: null and empty texts are one empty paragraph; repeated paragraphs count
@@ -40,8 +41,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def paragraphs_vector(paragraphs: list[bytes]) -> np.ndarray:
-    """The sum of the paragraphs' vectors, as unsigned 16-bit lanes."""
-    out = np.zeros(WIDE + SKETCH, np.uint16)
+    """The sum of the paragraphs' vectors, as unsigned 32-bit lanes; sums and differences of
+    vectors are ``reduced`` before they are compared or written."""
+    out = np.zeros(WIDE + SKETCH, np.uint32)
     wide = np.frombuffer(b"".join([hashlib.shake_128(p).digest(2 * WIDE) for p in paragraphs]), "<u2")
     out[:WIDE] = wide.reshape(-1, WIDE).sum(axis=0, dtype=np.uint16)
     # grams of each paragraph; a shorter one is padded with zero bytes
@@ -63,10 +65,21 @@ def paragraphs_vector(paragraphs: list[bytes]) -> np.ndarray:
         h *= MIX
         code = (h >> np.uint64(55)).astype(np.int64)  # 8 bits lane, 1 bit sign
         c = np.bincount(code, minlength=2 * SKETCH)
-        out[WIDE:] = (c[0::2] - c[1::2]).astype(np.uint16)
+        out[WIDE:] = (c[0::2] - c[1::2]).astype(np.uint32)
     return out
 
 
+def reduced(vector: np.ndarray) -> np.ndarray:
+    """The equality lanes modulo 2^16."""
+    out = vector.copy()
+    out[:WIDE] &= np.uint32(0xFFFF)
+    return out
+
+
+def as_bytes(vector: np.ndarray) -> bytes:
+    return vector[:WIDE].astype("<u2").tobytes() + vector[WIDE:].astype("<u4").tobytes()
+
+
 def text_vector(text: str) -> np.ndarray:
     return paragraphs_vector(text.encode().split(b"\n"))
 
@@ -76,14 +89,14 @@ def replace_from(vector: np.ndarray, text: str, cut: int, tail: str) -> np.ndarr
     cut on are deleted, the new ones inserted."""
     start = text.rfind("\n", 0, cut) + 1
     gone, new = text[start:], text[start:cut] + tail
-    return vector - paragraphs_vector(gone.encode().split(b"\n")) + paragraphs_vector(new.encode().split(b"\n"))
+    return reduced(vector - paragraphs_vector(gone.encode().split(b"\n")) + paragraphs_vector(new.encode().split(b"\n")))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if (a == b).all():
         return 1.0
     x, y = a[WIDE:], b[WIDE:]
-    size = [float((v.view(np.int16).astype(np.int64) ** 2).sum()) for v in (x, y, x - y)]
+    size = [float((v.view(np.int32).astype(np.float64) ** 2).sum()) for v in (x, y, x - y)]
     return max(0.0, min(1.0, 1 - size[2] / (size[0] + size[1]))) if size[0] + size[1] else 0.0
 
 
@@ -98,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([text_vector(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "n_chars", "vector"])
+                 pa.array([as_bytes(text_vector(t)) for t in texts], pa.binary())], names=["doc_id", "n_chars", "vector"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, n_chars long, vector binary")
@@ -156,7 +169,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                     cut, new = len(own) - k, text[:k]
                     edited = replace_from(own_vec, own, cut, new)
                     rows.append((own_id, len(own), hashlib.sha256((own[:cut] + new).encode()).hexdigest(),
-                                 own_vec.tobytes().hex(), edited.tobytes().hex(),
+                                 as_bytes(own_vec).hex(), as_bytes(edited).hex(),
                                  likeness(own_vec, edited), likeness(own_vec, vec)))
                 held = (bucket, doc_id, text, vec) if not tail else None
             cols = list(zip(*rows)) or [()] * 7
