@@ -6,16 +6,17 @@ votes with the 64 bits of its XXH64. A fingerprint bit is 1 if it is set in over
 half the votes.
 
 Two fingerprints that differ in at most d bits share at least 8 - d of their
-eight bytes, position by position. The inverted index therefore has one posting
-key for each choice of 8 - d byte positions with the bytes there; two
-fingerprints meet in C(t, 8 - d) postings if they share t positional bytes, so
-each pair that can link meets at least once and a pair below the guaranteed
-minimum never does. Within a posting the shared positional bytes of each pair
-are tallied, pairs that reach the minimum are verified by bit distance, and of
-the verified links only a spanning forest leaves the posting. The index holds
-distinct fingerprints only, so however many copies a text has they are one
-entry, and a posting can hold no more than 256^d entries (65,536 for two bits)
-whatever the input.
+eight bytes, position by position: the guaranteed minimum. The inverted index has
+a posting key for each choice of one position less with the bytes there, so pairs
+that share a byte too few meet as well, and a pair that can link meets in every
+choice of its shared positions. Within a posting the shared positional bytes of
+each pair are tallied, pairs that do not reach the minimum are dropped, the others
+are verified by bit distance, and of the verified links only a spanning forest
+leaves the posting. A posting of more than ``SPLIT`` fingerprints is first split by
+each further byte position, since a pair that reaches the minimum shares one more
+byte. The index holds distinct fingerprints only, so however many copies a text
+has they are one entry; a split posting holds at most 256^d of them (65,536 for two
+bits) whatever the input.
 
 Connected components of the links give each document the smallest doc_id that
 it reaches.
@@ -46,6 +47,8 @@ SHINGLE = 3
 MAX_BITS = 2
 #: Rows of the distance matrix handled at once in a posting.
 TILE = 512
+#: Fingerprints of a posting from which on it is split by a further byte.
+SPLIT = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -74,8 +77,30 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
     return src.mapInArrow(run, "doc_id long, fp long")
 
 
-def _posting_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the verified links among the fingerprints of a posting."""
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes each pair of fingerprints shares."""
+    differ = a[:, None] ^ b[None, :]
+    return (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
+
+
+def posting_links(fps: np.ndarray, max_bits: int, split: int = SPLIT) -> list[tuple[int, int]]:
+    """Links (places in ``fps``) that connect the near fingerprints of a posting."""
+    if fps.size <= split:
+        return _forest(fps, max_bits)
+    links = []
+    for p in range(8):
+        byte = (fps >> np.uint64(8 * p)) & np.uint64(255)
+        if (byte == byte[0]).all():
+            continue  # a position of the key
+        order = np.argsort(byte, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
+            links += [(int(own[x]), int(own[y])) for x, y in _forest(fps[own], max_bits)]
+    return links
+
+
+def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the verified links: pairs whose tally reaches the minimum and
+    whose bits are near."""
     n, least = fps.size, 8 - max_bits
     root = list(range(n))
 
@@ -89,12 +114,10 @@ def _posting_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     for s in range(0, n, TILE):
         for t in range(s, n, TILE):
             a, b = fps[s:s + TILE], fps[t:t + TILE]
-            differ = a[:, None] ^ b[None, :]
-            tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
-            i, j = np.nonzero(tally >= least)
+            i, j = np.nonzero(tally(a, b) >= least)
             if s == t:
                 i, j = i[i < j], j[i < j]
-            ok = np.bitwise_count(differ[i, j]) <= max_bits
+            ok = np.bitwise_count(a[i] ^ b[j]) <= max_bits
             for x, y in zip((s + i[ok]).tolist(), (t + j[ok]).tolist()):
                 rx, ry = find(x), find(y)
                 if rx != ry:
@@ -108,10 +131,11 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fp) that lie within ``max_bits`` of each other, by way of the inverted index."""
     if not 0 <= max_bits < 8:
         raise ValueError("max_bits must be 0 to 7")
-    masks = [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(8), 8 - max_bits)]
+    masks = [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(8), max(1, 7 - max_bits))]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    # few bytes become many index rows: spread them before, not by their size
-    dealt = fps.repartition(partitions(fps.sparkSession), "fp")
+    # few bytes become many index rows: spread them before, not by their size (by a hash of
+    # their own, since rows grouped by fp already would stay in the few tasks that hold them)
+    dealt = fps.repartition(partitions(fps.sparkSession), F.xxhash64("fp"))
     index = dealt.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "bytes"))
     postings = (index.groupBy("k", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
                 .select("fps"))
@@ -125,7 +149,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for end in ends.tolist():
                 own = np.sort(flat[start:end].view(np.uint64))
                 start = end
-                for x, y in _posting_links(own, max_bits):
+                for x, y in posting_links(own, max_bits):
                     a.append(own[x])
                     b.append(own[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (a, b)],

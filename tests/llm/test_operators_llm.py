@@ -593,7 +593,7 @@ def test_multiset_fingerprints(spark, sf_dir, texts):
         edited = t[:len(t) - k] + texts[j][:k]
         a, b, c = MH.text_vector(t), MH.text_vector(edited), MH.text_vector(texts[j])
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (a.tobytes().hex(), b.tobytes().hex())
+        assert (r.fingerprint, r.edited_fingerprint) == (MH.as_bytes(a).hex(), MH.as_bytes(b).hex())
         assert (r.near_edited, r.near_next) == (MH.likeness(a, b), MH.likeness(a, c))
         near.append(r.near_edited > r.near_next)
     assert np.mean(near) > 0.95
@@ -603,8 +603,8 @@ def test_multiset_order_insertion_deletion():
     p = [b"one paragraph of text", b"another one, longer than the first", b"x", b"", b"x"]
     whole = MH.paragraphs_vector(p)
     assert (MH.paragraphs_vector(p[::-1]) == whole).all()
-    assert (MH.paragraphs_vector(p[:2]) + MH.paragraphs_vector(p[2:]) == whole).all()
-    assert (whole - MH.paragraphs_vector(p[2:3]) == MH.paragraphs_vector(p[:2] + p[3:])).all()
+    assert (MH.reduced(MH.paragraphs_vector(p[:2]) + MH.paragraphs_vector(p[2:])) == whole).all()
+    assert (MH.reduced(whole - MH.paragraphs_vector(p[2:3])) == MH.paragraphs_vector(p[:2] + p[3:])).all()
     assert not (MH.paragraphs_vector(p[:4]) == whole).all()
 
 
