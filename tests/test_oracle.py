@@ -64,7 +64,7 @@ def test_matches_oracle(spark, sf_dir, duck, key):
 
 def test_every_key_has_oracle_or_is_model_output():
     missing = set(registry.QUERIES) - set(ORACLE)
-    assert missing <= {"ml_metrics", "feature_importance", "score_customers"}
+    assert missing <= {"ml_metrics", "feature_importance", "score_customers", "artifact_scores", "boosted_metrics", "boosted_scores", "full_forest_metrics"}
 
 
 def test_entry_smoke(spark):
