@@ -45,7 +45,7 @@ from ebbtide.llm.tokens import batches, encoder
 MAGIC = b"IDPLANES"
 BLOCK_IDS = 1 << 16
 #: Text that is encoded together: the larger, the fewer words are looked up twice.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 END = 0
 FOOTER = struct.Struct("<QQQQ8s")
 DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ids", "<u8")])

@@ -23,8 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Entries of a task's table before the older half of its entries is given up.
+#: Entries of a task's table before the older half of its entries is given up; where texts
+#: are encoded together, that of parts is the only large one.
 CACHE = 300_000
+PARTS_CACHE = 600_000
 _ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 # How the two vocabularies cut a piece before merging.
@@ -70,11 +72,6 @@ class Table(dict):
         return value
 
 
-    def find(self, key):
-        """The value if it is known, else None."""
-        value = self.get(key)
-        return self.old.get(key) if value is None else value
-
     def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
@@ -95,7 +92,7 @@ class PieceEncoder:
         self.find = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or b"(?!)")
         self.merge = self.tok.model.tokenize
         self.spaces = spaces
-        self.parts = Table(self._encode_part, limit)
+        self.parts = Table(self._encode_part, max(limit, PARTS_CACHE) if spaces and limit >= CACHE else limit)
         self.words = Table(self._encode_piece, limit)  # a piece as it stands
         self.after = Table(lambda p: self._encode_piece(b" " + p), limit)  # a piece and the space before it
 
@@ -167,36 +164,27 @@ class PieceEncoder:
         heads = [t.partition(b" ") for t in texts]
         words = pc.split_pattern(pa.array([rest if space else None for _, space, rest in heads], pa.large_binary()), b" ")
         coded = words.flatten().dictionary_encode()
-        values = self._after_all(coded.dictionary.to_pylist())
-        sizes = np.array([len(v) // 4 for v in values], np.int64)
-        pool = np.frombuffer(b"".join(values), np.uint32)
-        first = np.cumsum(sizes) - sizes
+        pool, first, sizes = self._after_space(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy()
         n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)  # a batch of texts, far below 2^31 ids
+        ids = pool[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)]
         at = ends[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())])]
         return [self.words[head] + ids[a:b].tobytes() for (head, _, _), a, b in zip(heads, at[:-1].tolist(), at[1:].tolist())]
 
-    def _after_all(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces that follow a space. Unseen ones are cut all at once: a space
-        begins a piece, so the parts up to the next space are its own."""
-        values = [self.after.find(p) for p in pieces]
-        new = [(k, pieces[k].decode()) for k, v in enumerate(values) if v is None]
-        joint = [(k, t) for k, t in new if not (t[0].isspace() or t[-1].isspace())]
-        if len(joint) < len(new):
-            rest = {k for k, _ in joint}
-            for k, _ in new:
-                if k not in rest:
-                    values[k] = self.after[pieces[k]]
-        parts = _PARTS[True].findall("".join([f" {t}" for _, t in joint]))
+    def _after_space(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces that follow a space, one after the other, and where each one's
+        begin and how many they are. All pieces are cut at once: a space begins a piece, so
+        the parts up to the next space are its own."""
+        parts = _PARTS[True].findall((b" " + b" ".join(pieces)).decode()) if pieces else []
         ids = list(map(self.parts.__getitem__, parts))
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
         starts = [j for j, part in enumerate(parts) if part[0] == " "]
-        ends = [*starts[1:], len(parts)] if starts else []
-        for (k, _), a, b in zip(joint, starts, ends, strict=True):
-            values[k] = ids[a] if b == a + 1 else b"".join(ids[a:b])
-            self.after.put(pieces[k], values[k])
-        return values
+        if len(starts) != len(pieces):
+            raise ValueError("pieces and parts do not agree")
+        sizes = sizes.astype(np.int32)
+        first = sizes[starts]
+        return np.frombuffer(b"".join(ids), np.uint32), first, np.diff(first, append=sizes[-1])
 
 
 def batches(texts: list[bytes | None], size: int = 1 << 20):
@@ -217,16 +205,18 @@ _WS = "\t-\r \x85\xa0  -     　"
 _WS_BYTES = (b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: A space between two characters that are not white space.
 _SAFE = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
-#: What makes the quick cut at every space unsafe: a space beside other white space. Fixed
-#: strings are looked for one by one, which takes a tenth of the time of one pattern.
-_BESIDE = [x for c in b"\t\n\x0b\x0c\r" for x in (bytes([c, 32]), bytes([32, c]))]
+#: Control characters that count as white space somewhere; single bytes are found fastest.
+_CONTROLS = [bytes([c]) for c in b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+_BESIDE = [x for c in (*_CONTROLS, b"\n") for x in (c + b" ", b" " + c)]
 _BEYOND = re.compile(_WS_BYTES)
+_RARE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
 
 def _spaces_are_safe(text: bytes) -> bool:
-    if b"  " in text or text[:1] == b" " or text[-1:] == b" " or any(x in text for x in _BESIDE):
+    """Whether every space stands between two characters that are not white space. Fixed
+    strings are looked for one by one, which takes a fraction of the time of one pattern."""
+    if b"  " in text or text[:1] == b" " or text[-1:] == b" " or b"\n " in text or b" \n" in text:
+        return False
+    if any(c in text for c in _CONTROLS) and (any(x in text for x in _BESIDE) or text[-1:] in _CONTROLS or text[:1] in _CONTROLS):
         return False
     return text.isascii() or not (any(x in text for x in _RARE) and _BEYOND.search(text))
-
-
-_RARE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
