@@ -169,7 +169,7 @@ def _long(src: str, section: str, name: str, values: list[str], label: str = "CA
 
 
 _SUMMARY_COLS = ["total_rows", "total_columns", "numeric_columns", "categorical_columns", "duplicate_rows", "columns_with_missing"]
-PROFILE_NUM = ["monthlycharges", "estimated_clv"]
+PROFILE_NUM = CUST_NUM  # the whole numeric section
 
 
 def _numeric(src: str, c: str) -> str:

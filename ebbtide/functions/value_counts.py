@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.functions.columns import find_col
-from ebbtide.functions.quantiles import quantile_of
+from ebbtide.functions.quantiles import quantile_of, quantile_struct
 from ebbtide.functions.running import write_running
 from ebbtide.functions.scalars import safe_numeric
 
@@ -82,6 +82,24 @@ class ValueCounts:
         return row.select(F.when(x == y, x).otherwise(x + (y - x) * F.lit(pos - low)).alias("q")).scalar()
 
 
+    def quantiles(self, columns: list[str], probs: list[float]) -> Column:
+        """A struct with the field ``q<i>_<j>`` for quantile ``probs[j]`` of ``columns[i]``
+        (nulls ignored): one subquery that reads the store once."""
+        aggs, fields, keep = [], [], F.lit(False)
+        for i, c in enumerate(columns):
+            n = self.stats[c].n
+            for j, p in enumerate(probs):
+                pos = p * (n - 1)
+                low = math.floor(pos)
+                for end, k in (("a", low), ("b", min(low + 1, n - 1))):
+                    hit = (F.col("name") == c) & (F.col("below") <= k) & (F.col("upto") > k)
+                    keep = keep | hit
+                    aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"{end}{i}_{j}"))
+                x, y = F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
+                fields.append(F.when(x == y, x).otherwise(x + (y - x) * F.lit(pos - low)).alias(f"q{i}_{j}"))
+        return self.table.where(keep).agg(*aggs).select(F.struct(*fields)).scalar()
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
@@ -116,6 +134,15 @@ def store_of(df: DataFrame) -> ValueCounts | None:
     return getattr(df, "_value_counts", None)
 
 
+def quantiles_of(df: DataFrame, columns: list[str], probs: list[float]) -> Column:
+    """The struct of ``quantile_struct`` for whole columns, from the store of ``df`` if it
+    has them all."""
+    store = store_of(df)
+    if store is not None and all(c in store for c in columns):
+        return store.quantiles(columns, probs)
+    return quantile_struct(df, [F.col(c) for c in columns], probs)
+
+
 def column_quantile(df: DataFrame, aliases: list[str], p: float, fill_zero: bool = False) -> Column | None:
     """The quantile of the column that the aliases name (None if there is none): from the
     store of ``df`` if it has one, else from the passes of ``functions.quantiles``."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.quantiles import quantile_struct
+from ebbtide.functions.value_counts import quantiles_of
 from ebbtide.functions.scalars import r
 
 # Quality-issue and rating cut-offs.
@@ -135,7 +135,7 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
                  F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    one = df.agg(*aggs).withColumn("_q", quantile_struct(df, [F.col(c) for c in cols], [0.25, 0.5, 0.75]))
+    one = df.agg(*aggs).withColumn("_q", quantiles_of(df, cols, [0.25, 0.5, 0.75]))
     qs = [[F.col(f"_q.q{i}_{j}") for j in range(3)] for i in range(len(cols))]
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
                         r(F.col(f"_m{i}"), STAT_DP).alias("mean"), r(F.col(f"_s{i}"), STAT_DP).alias("std"),
@@ -189,7 +189,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     # quartiles projected once as columns; the fences and the aggregation refer
     # to them instead of repeating the subqueries in every expression
     x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
-                  quantile_struct(df, [F.col(c) for c in cols], [0.25, 0.75]).alias("_q"))
+                  quantiles_of(df, cols, [0.25, 0.75]).alias("_q"))
     q1 = [F.col(f"_q.q{i}_0") for i in range(len(cols))]
     q3 = [F.col(f"_q.q{i}_1") for i in range(len(cols))]
     lo = [q1[i] - F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
