@@ -151,6 +151,10 @@ SELECT CAST(row_number() OVER (ORDER BY b.churn_rate_pct DESC, b.{_canon} ASC) A
   CASE WHEN b.churn_rate_pct >= 25 THEN 'Critical' WHEN b.churn_rate_pct >= 20 THEN 'High' ELSE 'Moderate' END AS risk_level
 FROM b, kpi"""
 
+_MANY = "(state || '-' || customer_id * 7 % 499)"
+for _key in ("ranking", "estimates"):
+    SQL[f"many_group_{_key}"] = SQL[f"region_{_key}"].replace(breakdown_cte("region", DIM_COL["region"], "b"), breakdown_cte("region", _MANY, "b"))
+
 _PCT = "CAST(count(*) FILTER (WHERE {c}) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0::DOUBLE"
 SQL["churn_drivers"] = with_enriched(
     KPI_CTE, breakdown_cte("customer_segment", "customer_segment", "bs"), breakdown_cte("region", "region", "br"),

@@ -17,6 +17,7 @@ from ebbtide.functions.aggs import count_if, davg, dsum, ratio
 from ebbtide.functions.columns import (CHURN_ALIASES, CLV_ALIASES, KPI_CLV_ALIASES, RISK_ALIASES,
                                        SAT_ALIASES, find_col, find_col_containing, find_dim)
 from ebbtide.functions.quantiles import quantiles_for
+from ebbtide.functions.ranking import with_rank
 from ebbtide.functions.scalars import r, risk_level, safe_numeric
 from ebbtide.functions.value_counts import column_quantile, store_of
 
@@ -350,15 +351,12 @@ def combined_exposure(df: DataFrame) -> DataFrame:
 
 
 def group_ranking(df: DataFrame, canonical: str, top: int | None = None) -> DataFrame:
-    """Groups ranked by churn rate (desc, ties by key) with a +-2pp flag.
-
-    The window has no partition key on purpose: it runs on the aggregated
-    breakdown (one row per group), never on customer rows."""
+    """Groups ranked by churn rate (desc, ties by key) with a +-2pp flag, for any
+    number of groups (``functions.ranking``)."""
     b = churn_breakdown(df, canonical)
     avg = kpi_summary(df).select("churn_rate_pct").scalar()
-    w = Window.orderBy(F.desc("churn_rate_pct"), F.asc(canonical))
     diff = F.col("churn_rate_pct") - avg
-    ranked = b.withColumn("rank", F.row_number().over(w))
+    ranked = with_rank(b, [F.desc("churn_rate_pct"), F.asc(canonical)])
     return ((ranked.filter(F.col("rank") <= top) if top else ranked)
              .select("rank", canonical, "churn_rate_pct",
                      r(diff, 2).alias("diff_pp"),
@@ -371,11 +369,9 @@ def group_estimates(df: DataFrame, canonical: str) -> DataFrame:
     and revenue (portfolio figures split evenly over the G groups)."""
     b = churn_breakdown(df, canonical)
     k = kpi_summary(df).select(F.struct("*").alias("k")).scalar()
-    w = Window.orderBy(F.desc("churn_rate_pct"), F.asc(canonical))
-    g = F.count(F.lit(1)).over(Window.partitionBy())
     rate = F.col("churn_rate_pct")
-    return (b.withColumn("k", k).withColumn("groups", g)
-             .select(F.row_number().over(w).alias("rank"), canonical, "churn_rate_pct", "groups",
+    return (with_rank(b, [F.desc("churn_rate_pct"), F.asc(canonical)], total="groups").withColumn("k", k)
+             .select("rank", canonical, "churn_rate_pct", "groups",
                      r(rate - F.col("k.churn_rate_pct"), 2).alias("deviation_pp"),
                      F.floor(F.col("k.total_customers") * rate / F.lit(100.0) / F.greatest(F.col("groups"), F.lit(1)))
                       .alias("est_customers"),

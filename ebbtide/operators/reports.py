@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.functions.ranking import with_rank
 from ebbtide.functions.scalars import campaign_priority, r, risk_level, segment_action, truncate_text
 from ebbtide.operators.cohorts import dimension_predicate
 from ebbtide.operators.kpis import churn_breakdown, enhanced_kpis
@@ -58,20 +59,14 @@ def report_scorecard(df: DataFrame) -> DataFrame:
 
 
 def _group_table(df: DataFrame, canonical: str) -> DataFrame:
-    """Breakdown rows with the portfolio size and group count attached.
-
-    The per-group frame has one row per group; the unpartitioned windows
-    (rank, group count) run on that aggregated frame only.
-    """
+    """Breakdown rows with their rank, the portfolio size and the number of groups."""
     b = churn_breakdown(df, canonical)
     total = df.agg(F.count(F.lit(1))).scalar()
-    whole = Window.partitionBy()
     rate = F.col("churn_rate_pct")
-    g = F.count(F.lit(1)).over(whole)
+    g = F.col("_groups")
     est = F.floor(total.cast("double") * (rate / F.lit(100.0)) * (F.lit(1.0) / g.cast("double")))
-    return b.select(
-        F.row_number().over(Window.orderBy(F.desc("churn_rate_pct"), F.asc(canonical))).alias("ord"),
-        canonical, r(rate, 1).alias("churn_rate_pct_1dp"), risk_level(rate, upper=True).alias("risk_level"),
+    return with_rank(b, [F.desc("churn_rate_pct"), F.asc(canonical)], "ord", "_groups").select(
+        "ord", canonical, r(rate, 1).alias("churn_rate_pct_1dp"), risk_level(rate, upper=True).alias("risk_level"),
         est.cast("bigint").alias("est_churned"), rate.alias("_rate"))
 
 

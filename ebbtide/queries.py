@@ -39,6 +39,16 @@ _reg("region_spread", OK.SQL, lambda s, d: kpis.group_spread(C(s, d), "region"))
 _reg("segment_spread", OK.SQL, lambda s, d: kpis.group_spread(C(s, d), "customer_segment"))
 _reg("region_ranking", OK.SQL, lambda s, d: kpis.group_ranking(C(s, d), "region"))
 _reg("segment_ranking", OK.SQL, lambda s, d: kpis.group_ranking(C(s, d), "customer_segment"))
+
+
+
+def _many_groups(s, d):
+    """The customers with a region for every few of them."""
+    return C(s, d).withColumn("region", F.concat_ws("-", "state", (F.col("customer_id") * 7 % 499).cast("string")))
+
+
+_reg("many_group_ranking", OK.SQL, lambda s, d: kpis.group_ranking(_many_groups(s, d), "region"))
+_reg("many_group_estimates", OK.SQL, lambda s, d: kpis.group_estimates(_many_groups(s, d), "region"))
 _reg("region_estimates", OK.SQL, lambda s, d: kpis.group_estimates(C(s, d), "region"))
 _reg("segment_estimates", OK.SQL, lambda s, d: kpis.group_estimates(C(s, d), "customer_segment"))
 
