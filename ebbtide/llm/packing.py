@@ -121,7 +121,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), rule:
     pieces = materialise(token_pieces(docs, tokenizer, capacity.tokens, with_ids), "packing-pieces")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / (capacity.tokens * group_sequences)))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the place in the written table tells equal rows (repeated, or without an id) apart, so
+    # that they spread over all groups; a repeated task reads the same places
+    place = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", place), F.lit(groups)))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])

@@ -82,6 +82,20 @@ def test_batches_encode_as_the_library(name, spaces):
         assert np.frombuffer(ids, np.uint32).tolist() == fresh.encode(t, add_special_tokens=False).ids, t
 
 
+def test_equal_rows_without_an_id_spread_over_all_groups(spark):
+    """A third of the rows are the same text without a doc_id."""
+    from ebbtide.llm import packing as PK
+    rows = [(None, "the same words again and again")] * 1000 + [(k, f"document {k} " * (k % 40 + 1)) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = PK.pack(docs, Q.tokenizer("word_bpe_49k.json"), group_sequences=4).toPandas()
+    groups = out.assign(g=out.sequence_id.to_numpy() >> 32)
+    total = groups.groupby("g").length.sum()
+    assert len(total) >= 8 and total.max() < 1.5 * total.mean() and (out.doc_id.isna()).sum() == 1000
+    for _, s in out.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.length.sum() <= 2048 and (s.offset.to_numpy() == np.concatenate([[0], np.cumsum(s.length)[:-1]])).all()
+
+
 def test_registered_operators():
     assert [k for k in E.queries() if k.startswith("op")] == [
         "op1_mixing", "op2_language_id", "op3_packing", "op4_lm_scoring", "op5_simhash", "op6_warc", "op7_token_planes", "op8_suffix_dedup",
