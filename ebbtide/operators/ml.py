@@ -415,15 +415,5 @@ class TreeTraining:
         return classification_metrics(s, "probability", "label", "prediction").select(F.lit(name).alias("model_name"), "*")
 
 
-_CACHE: dict[tuple, TrainedModels] = {}
-
-
-def trained(df: DataFrame, key: tuple, include_gbt: bool = True) -> TrainedModels:
-    """Train once per key in this process (queries that share a model reuse it)."""
-    if key not in _CACHE:
-        _CACHE[key] = TrainedModels(df, include_gbt)
-    return _CACHE[key]
-
-
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

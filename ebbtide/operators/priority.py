@@ -3,8 +3,8 @@ the other top-k reports (C11-C14, H1-H7, G3-G4, F18, F26).
 
 Top-n is ``orderBy(...).limit(n)`` -> ``TakeOrderedAndProject``: every
 partition keeps its own n best rows, so nothing larger than n x partitions
-ever meets in one task. Quantiles for the tiers are taken over that bounded
-slice with an unpartitioned window (n <= 5000 by contract).
+ever meets in one task. Quantiles for the tiers are taken over that slice, whose
+size the caller chooses, with an unpartitioned window.
 """
 
 from __future__ import annotations

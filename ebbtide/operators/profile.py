@@ -99,24 +99,32 @@ def top_missing(df: DataFrame, k: int = 5) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Duplicate rows (null-safe: grouping treats null = null, as pandas does)
 # ---------------------------------------------------------------------------
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """total_rows, duplicate_rows (= rows beyond the first of each identical group), duplicate_pct.
+def _repeated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digests with their counts, one row with the number of rows beyond the first of each
+    identical group).
 
     A 128-bit digest of each row is counted first (map-side combined, 16 bytes a
     row); only rows whose digest repeats are then compared whole, and their partial
     aggregation collapses repeats on each partition, so a hot duplicate group never
     lands on one task.
     """
-    # two hashes of the row find the groups that may repeat; only their rows move whole
     digest = [F.xxhash64(*df.columns).alias("_h1"), F.xxhash64(F.lit("second"), *df.columns).alias("_h2")]
     seen = df.select(*digest).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
-    total = seen.agg(F.coalesce(F.sum("_c"), F.lit(0))).scalar()
     rows = df.select(*df.columns, *digest).join(seen.filter(F.col("_c") > 1).select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
     groups = rows.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-    return (groups.agg(F.coalesce(F.sum(F.col("_c") - F.lit(1)), F.lit(0)).alias("duplicate_rows"))
-            .select(total.alias("total_rows"), "duplicate_rows")
-            .withColumn("duplicate_pct",
-                        r(F.col("duplicate_rows") / F.greatest(F.col("total_rows"), F.lit(1)) * F.lit(100.0), 2)))
+    return seen, groups.agg(F.coalesce(F.sum(F.col("_c") - F.lit(1)), F.lit(0)).alias("duplicate_rows"))
+
+
+def _share(part: Column, n: Column) -> Column:
+    return r(part / F.greatest(n, F.lit(1)) * F.lit(100.0), 2)
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """total_rows, duplicate_rows (= rows beyond the first of each identical group), duplicate_pct."""
+    seen, repeats = _repeated(df)
+    total = seen.agg(F.coalesce(F.sum("_c"), F.lit(0))).scalar()
+    return (repeats.select(total.alias("total_rows"), "duplicate_rows")
+            .withColumn("duplicate_pct", _share(F.col("duplicate_rows"), F.col("total_rows"))))
 
 
 # ---------------------------------------------------------------------------
@@ -178,61 +186,60 @@ def categorical_profile(df: DataFrame, cols: list[str] | None = None) -> DataFra
 # ---------------------------------------------------------------------------
 # IQR outliers; B10-B11: quality issues; B13 rating; B14 summary
 # ---------------------------------------------------------------------------
+def _fence_frame(df: DataFrame, cols: list[str], *more: Column) -> tuple[DataFrame, list[Column], list[tuple[Column, ...]]]:
+    """The numeric columns with their quartiles projected once (and ``more``), the
+    aggregates for the fences, and for each column (lower, upper, outliers, flagged) over
+    the aggregated row, which has the number of rows as ``_n``."""
+    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
+                  *([quantiles_of(df, cols, [0.25, 0.75]).alias("_q")] if cols else []), *more)
+    aggs, out = [F.count(F.lit(1)).alias("_n")], []
+    cut = F.greatest(F.lit(float(OUTLIER_MIN_COUNT)), F.col("_n") * F.lit(OUTLIER_MIN_FRAC))
+    for i in range(len(cols)):
+        v, q1, q3 = F.col(f"_x{i}"), F.col(f"_q.q{i}_0"), F.col(f"_q.q{i}_1")
+        lo, hi = q1 - F.lit(OUTLIER_IQR_K) * (q3 - q1), q3 + F.lit(OUTLIER_IQR_K) * (q3 - q1)
+        aggs += [F.count(F.when((v < lo) | (v > hi), F.lit(1))).alias(f"_o{i}"), F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}")]
+        out.append((r(F.col(f"_lo{i}"), THRESHOLD_DP), r(F.col(f"_hi{i}"), THRESHOLD_DP), F.col(f"_o{i}"), F.col(f"_o{i}") > cut))
+    return x, aggs, out
+
+
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: q1, q3, fences, number of values outside them, and
-    whether that number passes the reporting cut ``> max(5, 1 % of rows)``.
-
-    Pass 1 is one aggregation of all quartiles; pass 2 counts fence hits for
-    all columns in one aggregation with the fences as scalar subqueries.
-    """
+    whether that number passes the reporting cut ``> max(5, 1 % of rows)``. All quartiles
+    are one subquery; one aggregation counts the fence hits of all columns."""
     cols = cols if cols is not None else numeric_columns(df)
-    # quartiles projected once as columns; the fences and the aggregation refer
-    # to them instead of repeating the subqueries in every expression
-    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
-                  quantiles_of(df, cols, [0.25, 0.75]).alias("_q"))
-    q1 = [F.col(f"_q.q{i}_0") for i in range(len(cols))]
-    q3 = [F.col(f"_q.q{i}_1") for i in range(len(cols))]
-    lo = [q1[i] - F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
-    hi = [q3[i] + F.lit(OUTLIER_IQR_K) * (q3[i] - q1[i]) for i in range(len(cols))]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i in range(len(cols)):
-        v = F.col(f"_x{i}")
-        aggs += [F.count(F.when((v < lo[i]) | (v > hi[i]), F.lit(1))).alias(f"_o{i}"),
-                 F.first(lo[i]).alias(f"_lo{i}"), F.first(hi[i]).alias(f"_hi{i}")]
-    one = x.agg(*aggs)
-    cut = F.greatest(F.lit(float(OUTLIER_MIN_COUNT)), F.col("_n") * F.lit(OUTLIER_MIN_FRAC))
-    structs = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
-                        r(F.col(f"_lo{i}"), THRESHOLD_DP).alias("lower_fence"),
-                        r(F.col(f"_hi{i}"), THRESHOLD_DP).alias("upper_fence"),
-                        F.col(f"_o{i}").alias("n_outliers"),
-                        (F.col(f"_o{i}") > cut).alias("flagged"))
-               for i, c in enumerate(cols)]
-    return _rows(one, structs)
+    x, aggs, fences = _fence_frame(df, cols)
+    return _rows(x.agg(*aggs), [
+        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), lo.alias("lower_fence"), hi.alias("upper_fence"),
+                 n.alias("n_outliers"), flag.alias("flagged")) for i, (c, (lo, hi, n, flag)) in enumerate(zip(cols, fences))])
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """Rows (seq, issue_type, column, count, pct) in the reference's order:
     columns with > 20 % nulls, then duplicates, then every flagged outlier column.
 
-    The ordering windows run on the issue rows only (at most one per column).
+    Nulls and outliers are counted in the same aggregation, the quartiles and the number
+    of duplicate rows are subqueries of its one row, and the issues come from that row.
+    The ordering window runs on the issue rows only (at most two a column).
     """
-    pos = {c: i for i, c in enumerate(df.columns)}
-    pos_of = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
-    miss = (null_catalog(df).filter(F.col("null_pct") > F.lit(HIGH_MISSING_PCT))
-            .select(F.lit(0).alias("grp"), pos_of[F.col("column")].alias("pos"),
-                    F.lit("high_missing").alias("issue_type"), "column",
-                    F.col("null_count").alias("count"), r(F.col("null_pct"), 1).alias("pct")))
-    dup = (duplicate_rows(df).filter(F.col("duplicate_rows") > 0)
-           .select(F.lit(1).alias("grp"), F.lit(0).alias("pos"), F.lit("duplicates").alias("issue_type"),
-                   F.lit(None).cast("string").alias("column"), F.col("duplicate_rows").alias("count"),
-                   r(F.col("duplicate_pct"), 1).alias("pct")))
-    head = miss.unionByName(dup)
-    outl = (iqr_outliers(df).filter("flagged")
-            .select(F.lit(2).alias("grp"), F.col("ordinal").alias("pos"), F.lit("outliers").alias("issue_type"),
-                    "column", F.col("n_outliers").alias("count"), F.lit(None).cast("double").alias("pct")))
-    return (head.unionByName(outl)
-            .select(F.row_number().over(Window.orderBy("grp", "pos")).alias("seq"),
-                    "issue_type", "column", "count", "pct"))
+    num = numeric_columns(df)
+    x, aggs, fences = _fence_frame(df, num, *[F.col(c).isNull().alias(f"_b{i}") for i, c in enumerate(df.columns)])
+    one = x.agg(*aggs, *[F.count_if(F.col(f"_b{i}")).alias(f"_z{i}") for i in range(len(df.columns))])
+    one = one.withColumn("_d", _repeated(df)[1].scalar())
+
+    def issue(cond: Column, grp: int, pos: int, kind: str, column: str | None, count: Column, pct: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(grp).alias("grp"), F.lit(pos).alias("pos"), F.lit(kind).alias("issue_type"),
+                                     F.lit(column).cast("string").alias("column"), count.cast("bigint").alias("count"),
+                                     pct.cast("double").alias("pct")))
+
+    found = []
+    for i, c in enumerate(df.columns):
+        pct = _share(F.col(f"_z{i}"), F.col("_n"))
+        found.append(issue(pct > F.lit(HIGH_MISSING_PCT), 0, i, "high_missing", c, F.col(f"_z{i}"), r(pct, 1)))
+    found.append(issue(F.col("_d") > 0, 1, 0, "duplicates", None, F.col("_d"), r(_share(F.col("_d"), F.col("_n")), 1)))
+    for i, (c, (_, _, n, flag)) in enumerate(zip(num, fences)):
+        found.append(issue(flag, 2, i, "outliers", c, n, F.lit(None)))
+    rows = one.select(F.explode(F.array(*found)).alias("i")).where(F.col("i").isNotNull()).select("i.*")
+    return rows.select(F.row_number().over(Window.orderBy("grp", "pos")).alias("seq"), "issue_type", "column", "count", "pct")
 
 
 def data_quality_rating(df: DataFrame) -> DataFrame:

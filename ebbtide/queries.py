@@ -184,8 +184,11 @@ from ebbtide.operators import ml  # noqa: E402
 
 
 def _models(s, d):
-    # LR + RF as in the source (its boosted model is optional); trained once per process
-    return ml.trained(C(s, d), ("churn", s.sparkContext.applicationId, d), include_gbt=False)
+    # LR + RF as in the source (its boosted model is optional); trained once per version of the customers table
+    df = C(s, d)
+    if not hasattr(df, "_models"):
+        df._models = ml.TrainedModels(df, include_gbt=False)
+    return df._models
 
 
 def _risk_scored(s, d):
@@ -204,15 +207,12 @@ _reg("classification_metrics", OM.SQL,
      lambda s, d: ml.classification_metrics(_risk_scored(s, d), "churn_risk_score", "churned", "prediction"))
 
 
-_TREES: dict = {}
-
-
 def _trees(s, d):
     """Training table of the tree models, one for each version of the customers table."""
     df = C(s, d)
-    if id(df) not in _TREES:
-        _TREES[id(df)] = (df, ml.TreeTraining(df))
-    return _TREES[id(df)][1]
+    if not hasattr(df, "_trees"):
+        df._trees = ml.TreeTraining(df)
+    return df._trees
 
 
 def _boosted_scores(s, d):

@@ -53,7 +53,8 @@ def test_scan_count_bounded(spark, sf_dir, key):
     txt = df._jdf.queryExecution().explainString(mode)
     places = re.findall(r"^\(\d+\) Scan parquet.*?\nLocation: \w+ \[(.*?)\]", txt, re.M | re.S)
     scans = sum("values" not in p for p in places)  # lookups in the value-count store read single row groups
-    # quantiles of a table without a store are three passes inside the plan; quality_issues joins two tables
-    limit = {"churn_drivers": 1, "campaign_grid": 1, "at_risk_auto_threshold": 1, "priority_list": 2, "iqr_outliers": 4,
-             "quality_issues": 16}[key]
+    # quantiles of a table without a store are three passes inside the plan, the last of which is planned twice and
+    # runs once (its exchange is reused); quality_issues joins two tables (one pass of its own, two for duplicates)
+    limit = {"churn_drivers": 1, "campaign_grid": 1, "at_risk_auto_threshold": 1, "priority_list": 2, "iqr_outliers": 5,
+             "quality_issues": 14}[key]
     assert scans <= limit, (key, scans)
