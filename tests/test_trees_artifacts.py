@@ -1,6 +1,7 @@
 """Histogram trees, delimited texts, chunk append and versioned artefacts."""
 
 import json
+import uuid
 
 import duckdb
 import numpy as np
@@ -9,13 +10,18 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbtide import session
 from ebbtide.operators import ml, trees
-from ebbtide.session import scratch_dir
 from ebbtide.sources import delimited as DL
 from ebbtide.sources.artifacts import ArtifactStore
 from ebbtide.sources.tables import append_chunks, merged_type, read_chunks
 
 
+def fresh(spark, name):
+    """A folder of its own: the shared folder may outlive a run."""
+    return session.scratch_dir(spark, f"{uuid.uuid4().hex}-{name}")
+
+
 def _data(spark, n=900, seed=0, noise=0.3):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 4)).round(1)
@@ -156,12 +162,12 @@ def test_field_types(spark):
 
 def test_text_files_become_tables(spark):
     for sep in DL.SNIFF_SEPARATORS:
-        path = scratch_dir(spark, f"test-text-{ord(sep)}")
+        path = fresh(spark, f"test-text-{ord(sep)}")
         spark.range(50).select(F.col("id").alias(" Row Id "), (F.col("id") / 4).alias("quarter")).write.option("header", True).option("sep", sep).csv(path)
         assert DL.sniff_file(spark, path) == sep
         out = DL.read_text_table(spark, path)
         assert out.dtypes == [("row_id", "int"), ("quarter", "double")] and out.agg(F.sum("row_id"), F.sum("quarter")).first() == (1225, 306.25)
-    path = scratch_dir(spark, "test-prose")
+    path = fresh(spark, "test-prose")
     spark.createDataFrame([("just prose",), ("of two lines",)], "t string").write.text(path)
     assert DL.sniff_file(spark, path) is None and DL.read_text_table(spark, path).count() == 2
 
@@ -192,14 +198,14 @@ def test_chunks_with_differing_types(spark):
 def test_chunk_files(spark):
     paths = []
     for k, df in enumerate([spark.range(3).select(F.col("id").alias("v")), spark.range(3).select((F.col("id") + 0.5).alias("v"))]):
-        paths.append(scratch_dir(spark, f"test-chunk-{k}.csv"))
+        paths.append(fresh(spark, f"test-chunk-{k}.csv"))
         df.write.option("header", True).csv(paths[-1])
     out = read_chunks(spark, paths)
     assert out.dtypes == [("v", "double")] and out.agg(F.sum("v")).first()[0] == 7.5
 
 
 def test_only_whole_versions_are_read(spark):
-    store = ArtifactStore(spark, scratch_dir(spark, "test-artifacts"))
+    store = ArtifactStore(spark, fresh(spark, "test-artifacts"))
     with pytest.raises(LookupError):
         store.manifest()
     df = spark.range(5).select("id", (F.col("id") / 2).alias("x"))
@@ -227,7 +233,7 @@ def test_only_whole_versions_are_read(spark):
 def test_saved_model_scores_the_same(spark, customers):
     df = customers.select("customer_id", "region", "monthlycharges", "tenuremonths", "supporttickets", "churned")
     models = ml.TrainedModels(df, include_gbt=False)
-    store = ArtifactStore(spark, scratch_dir(spark, "test-models"))
+    store = ArtifactStore(spark, fresh(spark, "test-models"))
     models.save_version(store)
     rows = lambda m, i: sorted(map(tuple, ml.score_customers(m, df, i).select("customer_id", "churn_probability", "risk_label").collect()))
     assert rows(store.model("model"), store.table("importances")) == rows(models.best, models.importances())

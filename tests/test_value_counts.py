@@ -1,6 +1,7 @@
 """The value-count store, running totals, exact sums, the exact split, the risk ladder."""
 
 import random
+import uuid
 from dataclasses import astuple
 
 import numpy as np
@@ -8,14 +9,20 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from ebbtide import session
 from ebbtide.functions.aggs import davg, dsum
 from ebbtide.functions.running import write_running
 from ebbtide.functions.value_counts import attach, column_quantile, store_of, write_value_counts
 from ebbtide.operators import cohorts, ml, whatif
 from ebbtide.operators.tagging import whatif_parameters
-from ebbtide.session import scratch_dir
 from ebbtide.sources.fixtures import checked_order_key
 
+
+def fresh(spark, name):
+    """A folder of its own: the shared folder may outlive a run."""
+    return session.scratch_dir(spark, f"{uuid.uuid4().hex}-{name}")
+
+
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
@@ -28,7 +35,7 @@ def frame(spark):
 
 
 def test_quantiles_from_the_store(spark, frame):
-    store = write_value_counts(frame, scratch_dir(spark, "test-values"))
+    store = write_value_counts(frame, fresh(spark, "test-values"))
     pdf = frame.toPandas()
     asked, want = [], []
     for c in ("id", "hot", "sparse"):
@@ -44,12 +51,12 @@ def test_quantiles_from_the_store(spark, frame):
 
 
 def test_store_of_an_empty_table(spark, frame):
-    store = write_value_counts(frame.limit(0), scratch_dir(spark, "test-values"))
+    store = write_value_counts(frame.limit(0), fresh(spark, "test-values"))
     assert spark.range(1).select(store.quantile("hot", 0.5).alias("a")).first().a is None
 
 
 def test_store_belongs_to_one_table_only(spark, frame):
-    df = attach(frame.select("*"), write_value_counts(frame, scratch_dir(spark, "test-values")))
+    df = attach(frame.select("*"), write_value_counts(frame, fresh(spark, "test-values")))
     assert store_of(df) is not None and store_of(df.where("id < 10")) is None
     q = spark.range(1).select(column_quantile(df, ["id"], 0.5).alias("a"), column_quantile(df.where("id < 11"), ["id"], 0.5).alias("b")).first()
     assert (q.a, q.b) == (1499.5, 5.0) and column_quantile(df, ["absent"], 0.5) is None
@@ -66,7 +73,7 @@ def many_ranges(spark):
 def test_running_totals(spark, many_ranges):
     rows = [(k % 3, float(v), v % 5) for k, v in enumerate(random.Random(2).sample(range(5000), 900))]
     df = spark.createDataFrame(rows, "g long, v double, n long").repartition(7)
-    out = write_running(df, scratch_dir(spark, "test-running"), ["g"], "v", ["n"])
+    out = write_running(df, fresh(spark, "test-running"), ["g"], "v", ["n"])
     assert out.select("part").distinct().count() > 1
     for r in out.collect():
         assert r.n_before == sum(n for g, v, n in rows if g == r.g and v < r.v) and r.n_upto == r.n_before + r.n
@@ -117,7 +124,7 @@ ASKS = ["what if we spend $50k budget", "12% discount, risk > 0.35", "risk > 0.9
 
 
 def test_messages_equal_single_simulations(spark, customers):
-    ladder = whatif.RiskLadder(customers, scratch_dir(spark, "test-ladder"))
+    ladder = whatif.RiskLadder(customers, fresh(spark, "test-ladder"))
     msgs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(ASKS)], "conv_id long, turn long, text string")
     got = {r.conv_id: r for r in whatif.message_whatif(msgs, customers, ladder).collect()}
     params = {r.conv_id: r for r in whatif_parameters(msgs).collect()}
@@ -131,7 +138,7 @@ def test_messages_equal_single_simulations(spark, customers):
 
 
 def test_ladder_over_many_ranges(spark, customers, many_ranges):
-    ladder = whatif.RiskLadder(customers, scratch_dir(spark, "test-ladder"))
+    ladder = whatif.RiskLadder(customers, fresh(spark, "test-ladder"))
     assert ladder.table.select("part").distinct().count() > 3
     scores = [r[0] for r in customers.select("churn_risk_score").collect()]
     ts = sorted({0.0, 1.0, *scores, *(s + 1e-5 for s in scores)})
