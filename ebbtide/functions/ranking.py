@@ -1,7 +1,7 @@
-"""Global ranks without a task that sees all rows.
+"""Global ranks and running totals without a task that sees all rows.
 
-Rows are range-partitioned by the order; each partition numbers its own, and the sizes of
-the partitions before it are added. The partition sizes are one entry a partition in a
+Rows are range-partitioned by the order; each partition adds up its own, and the totals of
+the partitions before it are added. The partitions' totals are one entry a partition in a
 scalar subquery over the same exchange, which Spark runs once and reuses. Ranges are
 sampled, so should the exchange ever run twice and cut elsewhere, the digests of the
 partitions differ and the query fails instead of giving wrong ranks.
@@ -13,18 +13,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_rank(df: DataFrame, order: list[Column], rank: str = "rank", total: str | None = None) -> DataFrame:
-    """Add the 1-based rank of each row in ``order`` (which must be total), and the number
-    of rows under the name ``total``."""
+def with_totals_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add for each name the total of its column over all rows that stand before in
+    ``order`` (which must be total), and ``<name>_all``, the total over all rows."""
     digest = F.xxhash64(*df.columns)
     dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(digest).alias("d"))
-    sizes = sizes.agg(F.collect_list(F.struct("_part", "n", "d")).alias("s")).scalar()
+    sizes = dealt.groupBy("_part").agg(F.bit_xor(digest).alias("d"), F.count(F.lit(1)).alias("n"),
+                                       *[F.sum(x).alias(f"s{i}") for i, x in enumerate(sums.values())])
+    sizes = sizes.agg(F.collect_list(F.struct("*")).alias("s")).scalar()
     own = Window.partitionBy("_part")
-    out = dealt.select("*", F.row_number().over(own.orderBy(*order)).alias("_r"), F.bit_xor(digest).over(own).alias("_d"),
-                       F.count(F.lit(1)).over(own).alias("_n")).withColumn("_s", sizes)
+    previous = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", F.bit_xor(digest).over(own).alias("_d"), F.count(F.lit(1)).over(own).alias("_n"),
+                       *[F.sum(x).over(previous).alias(f"_s{i}") for i, x in enumerate(sums.values())]).withColumn("_s", sizes)
     same = F.exists("_s", lambda x: (x["_part"] == F.col("_part")) & (x["n"] == F.col("_n")) & (x["d"] == F.col("_d")))
-    before = F.aggregate(F.filter("_s", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    place = F.when(same, (before + F.col("_r")).cast("int")).otherwise(F.raise_error(F.lit("range exchange was not reused")))
-    more = [F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias(total)] if total else []
-    return out.select(*df.columns, place.alias(rank), *more)
+    cols = []
+    for i, name in enumerate(sums):
+        kind = out.schema[f"_s{i}"].dataType
+        zero = F.lit(0).cast(kind)
+
+        def total(parts: Column, i=i, zero=zero, kind=kind) -> Column:
+            return F.aggregate(parts, zero, lambda a, x: (a + F.coalesce(x[f"s{i}"], zero)).cast(kind))
+
+        before = total(F.filter("_s", lambda x: x["_part"] < F.col("_part"))) + F.coalesce(F.col(f"_s{i}"), zero)
+        cols += [F.when(same, before).otherwise(F.raise_error(F.lit("range exchange was not reused"))).alias(name), total(F.col("_s")).alias(f"{name}_all")]
+    return out.select(*df.columns, *cols)
+
+
+def with_rank(df: DataFrame, order: list[Column], rank: str = "rank", total: str | None = None) -> DataFrame:
+    """Add the 1-based rank of each row in ``order`` (which must be total), and the number
+    of rows under the name ``total``."""
+    out = with_totals_before(df, order, {"_before": F.lit(1)})
+    return out.select(*df.columns, (F.col("_before") + 1).cast("int").alias(rank), *([F.col("_before_all").alias(total)] if total else []))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ebbtide.functions.quantiles import quantile_struct
 from ebbtide.functions.columns import CHURN_ALIASES, find_col
+from ebbtide.functions.ranking import with_totals_before
 from ebbtide.functions.scalars import r, risk_label, safe_numeric
 from ebbtide.operators import trees
 from ebbtide.sources.artifacts import ArtifactStore
@@ -335,31 +336,21 @@ def classification_metrics(pred: DataFrame, score: str, label: str, prediction:
                     r(auc, 4).alias("roc_auc"))
 
 
-def roc_auc(pred: DataFrame, score: str, label: str, ranges: int = 256) -> DataFrame:
+def roc_auc(pred: DataFrame, score: str, label: str) -> DataFrame:
     """Exact ROC-AUC (Mann-Whitney with tied scores counted half).
 
     Rows are reduced to (score, positives, negatives) per distinct score first (map-
-    side combined). Distinct scores are cut into ``ranges`` ranges; the running sum
-    goes over the ranges' totals, and within each range over its own scores, so no
-    task orders them all. Products are doubles, which cannot overflow.
+    side combined), so each score's negatives below are a running total over ranges of
+    distinct scores (``functions.ranking``) and no task orders them all. Products are
+    doubles, which cannot overflow.
     """
     y = F.col(label).cast("double") == F.lit(1.0)
-    s = F.col(score).cast("double")
-    cuts = pred.agg(F.percentile_approx(s, [k / ranges for k in range(1, ranges)], 20 * ranges)).scalar()
-    per = (pred.filter(y.isNotNull()).select(s.alias("s"), y.alias("y"))
-           .groupBy("s").agg(F.count(F.when(F.col("y"), 1)).alias("pos"), F.count(F.when(~F.col("y"), 1)).alias("neg"))
-           .withColumn("cuts", cuts)
-           .withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("s"))), F.lit(-1))).drop("cuts"))
-    totals = per.groupBy("part").agg(F.sum("neg").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per.join(totals, "part").select(
-        F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg"),
-        (F.col("base") + F.coalesce(F.sum("neg").over(inside), F.lit(0))).cast("double").alias("neg_below"))
-    return cum.agg(F.try_divide(
-        F.sum(F.col("pos") * F.col("neg_below") + F.col("pos") * F.col("neg") * F.lit(0.5)),
-        F.sum("pos") * F.sum("neg")).alias("auc"))
+    per = (pred.filter(y.isNotNull()).select(F.col(score).cast("double").alias("s"), y.alias("y"))
+           .groupBy("s").agg(F.count(F.when(F.col("y"), 1)).alias("pos"), F.count(F.when(~F.col("y"), 1)).alias("neg")))
+    cum = with_totals_before(per, [F.asc("s")], {"below": F.col("neg")}).select(
+        *[F.col(c).cast("double").alias(c) for c in ("pos", "neg", "below")])
+    return cum.agg(F.try_divide(F.sum(F.col("pos") * F.col("below") + F.col("pos") * F.col("neg") * F.lit(0.5)),
+                                F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 # ---------------------------------------------------------------------------

@@ -232,7 +232,7 @@ def test_auc_separates_close_scores_and_cannot_overflow(spark):
     rows = [((k * 37 % 1000) / 1000.0, int((k * 7919) % 5 == 0)) for k in range(3000)]
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
-    assert ml.roc_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y", ranges=16).first()[0] == pytest.approx(want, abs=1e-12)
+    assert ml.roc_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()[0] == pytest.approx(want, abs=1e-12)
 
 
 def test_duplicates_are_whole_rows(spark):
