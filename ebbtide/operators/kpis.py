@@ -356,7 +356,7 @@ def group_ranking(df: DataFrame, canonical: str, top: int | None = None) -> Data
     b = churn_breakdown(df, canonical)
     avg = kpi_summary(df).select("churn_rate_pct").scalar()
     diff = F.col("churn_rate_pct") - avg
-    ranked = with_rank(b, [F.desc("churn_rate_pct"), F.asc(canonical)])
+    ranked = with_rank(b, [F.col("churn_rate_pct").isNull(), -F.col("churn_rate_pct"), F.col(canonical)])
     return ((ranked.filter(F.col("rank") <= top) if top else ranked)
              .select("rank", canonical, "churn_rate_pct",
                      r(diff, 2).alias("diff_pp"),
@@ -370,7 +370,7 @@ def group_estimates(df: DataFrame, canonical: str) -> DataFrame:
     b = churn_breakdown(df, canonical)
     k = kpi_summary(df).select(F.struct("*").alias("k")).scalar()
     rate = F.col("churn_rate_pct")
-    return (with_rank(b, [F.desc("churn_rate_pct"), F.asc(canonical)], total="groups").withColumn("k", k)
+    return (with_rank(b, [F.col("churn_rate_pct").isNull(), -F.col("churn_rate_pct"), F.col(canonical)], total="groups").withColumn("k", k)
              .select("rank", canonical, "churn_rate_pct", "groups",
                      r(rate - F.col("k.churn_rate_pct"), 2).alias("deviation_pp"),
                      F.floor(F.col("k.total_customers") * rate / F.lit(100.0) / F.greatest(F.col("groups"), F.lit(1)))

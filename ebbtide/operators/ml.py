@@ -347,7 +347,7 @@ def roc_auc(pred: DataFrame, score: str, label: str) -> DataFrame:
     y = F.col(label).cast("double") == F.lit(1.0)
     per = (pred.filter(y.isNotNull()).select(F.col(score).cast("double").alias("s"), y.alias("y"))
            .groupBy("s").agg(F.count(F.when(F.col("y"), 1)).alias("pos"), F.count(F.when(~F.col("y"), 1)).alias("neg")))
-    cum = with_totals_before(per, [F.asc("s")], {"below": F.col("neg")}).select(
+    cum = with_totals_before(per, [F.col("s")], {"below": F.col("neg")}).select(
         *[F.col(c).cast("double").alias(c) for c in ("pos", "neg", "below")])
     return cum.agg(F.try_divide(F.sum(F.col("pos") * F.col("below") + F.col("pos") * F.col("neg") * F.lit(0.5)),
                                 F.sum("pos") * F.sum("neg")).alias("auc"))

@@ -65,7 +65,7 @@ def _group_table(df: DataFrame, canonical: str) -> DataFrame:
     rate = F.col("churn_rate_pct")
     g = F.col("_groups")
     est = F.floor(total.cast("double") * (rate / F.lit(100.0)) * (F.lit(1.0) / g.cast("double")))
-    return with_rank(b, [F.desc("churn_rate_pct"), F.asc(canonical)], "ord", "_groups").select(
+    return with_rank(b, [F.col("churn_rate_pct").isNull(), -F.col("churn_rate_pct"), F.col(canonical)], "ord", "_groups").select(
         "ord", canonical, r(rate, 1).alias("churn_rate_pct_1dp"), risk_level(rate, upper=True).alias("risk_level"),
         est.cast("bigint").alias("est_churned"), rate.alias("_rate"))
 

@@ -20,7 +20,7 @@ def test_ranks_over_many_ranges(spark):
         df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.round(F.rand(3) * 100, 2)).alias("score"),
                                         F.concat(F.lit("k"), F.col("id")).alias("key"))
         df = df.groupBy("key").agg(F.max("score").alias("score"))
-        got = with_rank(df, [F.desc("score"), F.asc("key")], total="n").collect()
+        got = with_rank(df, [-F.col("score"), F.col("key")], total="n").collect()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -30,12 +30,11 @@ def test_ranks_over_many_ranges(spark):
 
 
 def test_ranks_of_nothing(spark):
-    assert with_rank(spark.range(0), [F.asc("id")], total="n").collect() == []
+    assert with_rank(spark.range(0), [F.col("id")], total="n").collect() == []
 
 
 def test_no_task_ranks_all_groups(spark, sf_dir):
     for key in ("many_group_ranking", "many_group_estimates", "region_ranking", "report_region_table"):
         plan = E.queries()[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert re.search(r"rangepartitioning", plan) and not re.search(r"Window \[.*\], \[\w+.*(DESC|ASC).*\]\n.*\n.*Exchange SinglePartition", plan), key
-        for block in plan.split("Window [")[1:]:
-            assert "_part" in block.split("\n")[0], key
+        assert re.search(r"rangepartitioning", plan), key
+        assert "Window [" not in plan, key
