@@ -66,7 +66,9 @@ def quantile_struct(df: DataFrame, exprs: list[Column], probs: list[float], accu
         f"CASE WHEN v BETWEEN p.l{j} AND p.h{j} THEN struct(i * {width} + {j} AS cell, v AS v, "
         f"CASE WHEN p.h{j} - p.l{j} BETWEEN 1e-300 AND 1e300 THEN cast((v - p.l{j}) / (p.h{j} - p.l{j}) * {SLICES} AS int) ELSE 0 END AS slice, "
         f"p.r{j} AS rank, p.m{j} AS next, p.s{j} AS share) END" for j in range(width))
-    per = (values.selectExpr("s.i AS i", "s.v AS v", "b[s.i] AS p").selectExpr(f"explode(array({tags})) AS s").where("s IS NOT NULL").select("s.*")
+    # most values lie in no bracket and leave before the second explode
+    inside = " OR ".join(f"v BETWEEN p.l{j} AND p.h{j}" for j in range(width))
+    per = (values.selectExpr("s.i AS i", "s.v AS v", "b[s.i] AS p").where(inside).selectExpr(f"explode(array({tags})) AS s").where("s IS NOT NULL").select("s.*")
            .groupBy("cell", "v", "slice", "rank", "next", "share").agg(F.count(F.lit(1)).alias("c")))
     # the slices that hold the wanted ranks, by a running count over the slices' totals
     upto = F.sum("n").over(Window.partitionBy("cell").orderBy("slice"))
