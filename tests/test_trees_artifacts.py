@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ebbtide import session
 from ebbtide.operators import ml, trees
+from ebbtide.plans.inspect import physical_plan
 from ebbtide.sources import delimited as DL
 from ebbtide.sources.artifacts import ArtifactStore
 from ebbtide.sources.tables import append_chunks, merged_type, read_chunks
@@ -80,6 +81,56 @@ def test_distributed_levels_give_the_same_trees(spark):
     assert (_scores(a, d) == _scores(b, d)).all()
 
 
+def test_a_boosted_level_is_one_job(spark):
+    """Rounds over shares of the rows: three levels a tree cost at most three jobs."""
+    d, _, _ = _data(spark)
+    jobs = []
+    for rounds in (1, 3):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "boosted")
+        trees.boosted(d, "id", rounds=rounds, rule=trees.Rule(max_depth=3), local_rows=20)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup(uuid.uuid4().hex, "")
+    assert jobs[1] - jobs[0] <= 2 * 3
+
+
+def test_shares_with_two_bin_and_constant_features(spark):
+    """Eight features of two bins share a byte; nineteen of them, a constant and a wide one."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 2, (600, 19)), np.full(600, 7.0), rng.normal(size=600).round(1)]).astype(float)
+    y = ((x[:, 0] + x[:, 9] + x[:, 18] + x[:, 20] + rng.normal(size=600) * 0.5) > 1.5).astype(float)
+    df = spark.createDataFrame([(int(i), [*map(float, r)], float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, features array<double>, label double")
+    one, many = (trees.boosted(df.repartition(3), "id", rounds=3, rule=trees.Rule(max_depth=4), local_rows=n) for n in (1000, 100))
+    assert one.to_json() != "" and (_scores(one, df) == _scores(many, df)).all()
+
+
+def test_pure_nodes_draw_no_features(monkeypatch):
+    drawn, draw = [], trees.Rule.drawn
+    monkeypatch.setattr(trees.Rule, "drawn", lambda self, *a: drawn.append(a) or draw(self, *a))
+    rule = trees.Rule(l2=0.0, min_weight=0.0, max_depth=None, negate=False, features=2)
+    bins, h = np.random.default_rng(0).integers(0, 200, (500, 6)).astype(np.uint8), np.full(500, int(trees.UNIT))
+    for g in (h, 0 * h):
+        assert trees.grow_local(bins, g, h, rule, 256, 0, 1, 0).feature == [-1]
+    assert not drawn
+
+
+def test_few_rows_are_cut_as_by_histogram():
+    rng = np.random.default_rng(1)
+    for rule in (trees.Rule(), trees.Rule(l2=0.0, min_weight=0.0, max_depth=None, negate=False)):
+        for n in (2, 3, 10, 60, 200):
+            part = rng.integers(0, rng.choice([2, 5, 250]), (4, n)).astype(np.uint8)
+            h = rng.integers(1, 5, n) * trees.UNIT
+            g = np.where(rng.random(n) < 0.4, h, 0.0)
+            assert trees._best_local(part, g, h, rule, 256, 0) == rule.best(*trees.sums(part, 256, g, h), None, 0)
+
+
+def test_split_keeps_rows_where_they_are(spark):
+    """A large table is not shuffled by class, of which there are two."""
+    df = spark.range(50_000_000).selectExpr("id AS customer_id", "id % 2 AS churned", "id * 2 AS x")
+    plan = physical_plan(ml.with_split(df))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
 def test_full_depth_tree_learns_every_row(spark):
     d, x, y = _data(spark, noise=2.0)
     model = trees.forest(d, "id", trees=1, bootstrap=False, features=None, balanced=False, local_rows=150)
