@@ -27,6 +27,18 @@ from ebbtide.session import scratch_dir
 BLOCK_BYTES = 4 << 20
 
 
+#: Tables that operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def give_up_kept() -> None:
+    """Spark's Python workers outlive a step. The tasks of a step that keeps no tables
+    give up those of the steps before, which would count beside their own arrays."""
+    for own in KEPT:
+        own.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,8 +20,8 @@ from how often one string occurs:
    segments, distinct in each block, hold ``bucket_bytes`` or more (a phrase that is
    too short to be a repeat but stands in many contexts) is hot: its windows go one
    by one to buckets of their own, by a hash of all their bytes.
-   So a bucket holds ``bucket_bytes`` on average while at most a fifth of the text
-   survives (five times that if all does), no anchor adds more than ``bucket_bytes``
+   There are as many buckets as the surviving segments' bytes, which step 2 adds up,
+   fill with ``bucket_bytes`` each on average, whatever share of the text survives; no anchor adds more than ``bucket_bytes``
    to it, and one window adds ``length`` bytes for each block that has it.
 4. In a bucket the distinct segments are dealt into shards. Each shard gets a
    suffix array by prefix doubling and its Burrows-Wheeler transform. The shards
@@ -57,7 +57,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import materialise, read_block, read_range, read_rows, spread, write_blocks, write_file
+from ebbtide.llm.common import give_up_kept, materialise, read_block, read_range, read_rows, spread, write_blocks, write_file
 
 LENGTH = 50
 WIDTH = 20
@@ -66,6 +66,8 @@ MAX_SEGMENT = 4096
 #: Text of a bucket and of a shard within it, in bytes.
 BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 512 << 10
+#: Windows whose anchors are made at once.
+SLICE = 1 << 17
 #: Anchors per bucket of step 2.
 BUCKET_ANCHORS = 1 << 20
 #: Symbols that one pass of the merge adds (at most 4).
@@ -100,31 +102,50 @@ def window_anchors(raw: np.ndarray, length: int, width: int) -> np.ndarray:
 
 def _runs(block, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: (text number, first window as a position
-    in the block's bytes, windows, anchor)."""
+    in the block's bytes, windows, anchor). Anchors are made for ``SLICE`` windows at a
+    time; only the runs grow with the block."""
     _, _, starts, data = block
     raw = np.frombuffer(data, np.uint8)
-    if raw.size < length:
+    cols: list[tuple] = []
+    windows, last = 0, None
+    for s in range(0, raw.size - length + 1, SLICE):
+        anchor = window_anchors(raw[s:s + SLICE + length - 1], length, width)
+        # the texts that the slice lies in
+        lo, hi = np.searchsorted(starts, s, "right") - 1, np.searchsorted(starts, s + anchor.size)
+        n = np.diff(np.clip(starts[lo:hi + 1], s, s + anchor.size))
+        # windows that lie within one text
+        pos = s + np.flatnonzero(np.arange(s + length, s + length + anchor.size) <= np.repeat(starts[lo + 1:hi + 1], n))
+        if not pos.size:
+            continue
+        a, t = anchor[pos - s], np.repeat(np.arange(lo, hi), n)[pos - s]
+        new = np.ones(pos.size, bool)
+        new[0] = (a[0], t[0], pos[0] - 1) != last  # else the run of the slice before goes on
+        new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1] + 1)
+        first = np.flatnonzero(new)
+        cols.append((t[first], pos[first], first + windows, a[first]))
+        windows, last = windows + pos.size, (a[-1], t[-1], pos[-1])
+    if not cols:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    anchor = window_anchors(raw, length, width)
-    # windows that lie within one text
-    text = np.repeat(np.arange(starts.size - 1), np.diff(starts))[:anchor.size]
-    inside = np.arange(anchor.size) + length <= starts[text + 1]
-    pos = np.flatnonzero(inside)
-    if not pos.size:
-        return pos, pos, pos, np.zeros(0, np.uint64)
-    a, t = anchor[pos], text[pos]
-    new = np.ones(pos.size, bool)
-    new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1] + 1)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, pos.size))
+    t, pos, first, a = map(np.concatenate, zip(*cols))
+    size = np.diff(np.append(first, windows))
     if size.max(initial=0) > MAX_SEGMENT:  # periodic text: cut at fixed steps
         parts = -(-size // MAX_SEGMENT)
         run = np.repeat(np.arange(first.size), parts)
         k = np.arange(run.size) - np.repeat(np.cumsum(parts) - parts, parts)
         size = np.minimum(size[run] - k * MAX_SEGMENT, MAX_SEGMENT)
-        first = first[run] + k * MAX_SEGMENT
-    return t[first], pos[first], size, a[first]
+        t, pos, a = t[run], pos[run] + k * MAX_SEGMENT, a[run]
+    return t, pos, size, a
+
+
+def _window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ``at`` (ascending) by all their bytes, a slice at a time."""
+    out = np.empty(at.size, np.uint64)
+    steps = range(0, raw.size, SLICE)
+    for s, i, j in zip(steps, np.searchsorted(at, steps), np.searchsorted(at, [s + SLICE for s in steps])):
+        if i < j:
+            out[i:j] = window_anchors(raw[s:s + SLICE + length - 1], length, length)[at[i:j] - s]
+    return out
 
 
 def _bucket_of(anchor: np.ndarray, n: int) -> np.ndarray:
@@ -186,6 +207,7 @@ def _anchor_rows(manifest: DataFrame, n_buckets: int, length: int, width: int, h
     five bytes each, the top bit set for those in two documents, and the bytes of
     their segments as codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_kept()
         for b in batches:
             for block_id, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 block = read_block(uri)
@@ -207,8 +229,9 @@ def _anchor_rows(manifest: DataFrame, n_buckets: int, length: int, width: int, h
 
 
 def _repeated_anchors(rows: DataFrame, hot_bytes: int) -> DataFrame:
-    """(block, bucket, bits, hot, heavy): which of the anchors sent occur in two
-    documents, which of these are hot (null if none), and the bytes of the hot ones."""
+    """(block, bucket, bits, hot, heavy, light): which of the anchors sent occur in two
+    documents, which of these are hot (null if none), and the bytes of the segments of
+    the hot ones and of the others."""
     def run(t: pa.Table) -> pa.Table:
         data = t.column("data").to_pylist()
         sizes = np.array([len(d) // 5 for d in data])
@@ -230,14 +253,14 @@ def _repeated_anchors(rows: DataFrame, hot_bytes: int) -> DataFrame:
             # an anchor's bytes over all blocks, added up at its first place in ``again``
             total = np.bincount(np.searchsorted(again, value[hit]), weight[hit], again.size)
             hot[hit] = total[np.searchsorted(again, value[hit])] >= hot_bytes
-        weight[~hot] = 0
         parts = [slice(e - n, e) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"),
                          "bits": pa.array([np.packbits(hit[p]).tobytes() for p in parts], pa.binary()),
                          "hot": pa.array([np.packbits(hot[p]).tobytes() if hot[p].any() else None for p in parts], pa.binary()),
-                         "heavy": pa.array([int(weight[p].sum()) for p in parts], pa.int64())})
+                         "heavy": pa.array([int(weight[p][hot[p]].sum()) for p in parts], pa.int64()),
+                         "light": pa.array([int(weight[p][~hot[p]].sum()) for p in parts], pa.int64())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "block long, bucket long, bits binary, hot binary, heavy long")
+    return rows.groupBy("bucket").applyInArrow(run, "block long, bucket long, bits binary, hot binary, heavy long, light long")
 
 
 # --- segments ----------------------------------------------------------------
@@ -295,7 +318,7 @@ def _dealt_windows(block, runs, n_parts: int, length: int):
         return (none,) * 4, (none,) * 3
     at, text = np.repeat(pos, size) + _ramp(size), np.repeat(t, size)
     raw = np.frombuffer(data, np.uint8)
-    code = window_anchors(raw, length, length)[at]
+    code = _window_hashes(raw, at, length)
     part = ((code >> np.uint64(17)) % np.uint64(n_parts)).astype(np.int64)
     doc = np.where(known, ids, NO_ID)[text]
     order = np.lexsort((doc, code, part))
@@ -408,19 +431,19 @@ def shard_bwt(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     """(suffix array, transform, last-to-first mapping) of a shard's text."""
     sa = suffix_array(text, depth)
     n = text.size
-    inverse = np.empty(n, np.int64)
-    inverse[sa] = np.arange(n)
+    inverse = np.empty(n, np.int32)
+    inverse[sa] = np.arange(n, dtype=np.int32)
     before = sa - 1
     before[before < 0] = n - 1
-    return sa, text[before], inverse[before]
+    return sa.astype(np.int32), text[before], inverse[before]
 
 
 def _jump(bwt: np.ndarray, lf: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """For each element the ``steps`` symbols before it (the farthest in the highest
     byte) and where the last-to-first mapping leads in as many steps."""
-    code, to = np.zeros(bwt.size, np.uint64), np.arange(bwt.size, dtype=np.int32)
+    code, to = np.zeros(bwt.size, np.uint32), np.arange(bwt.size, dtype=np.int32)
     for k in range(steps):
-        code |= bwt[to].astype(np.uint64) << np.uint64(8 * k)
+        code |= bwt[to].astype(np.uint32) << np.uint32(8 * k)
         to = lf[to]
     return code, to
 
@@ -432,24 +455,30 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], de
 
     A pass prepends up to ``STRIDE`` symbols to the common prefixes."""
     offset = np.cumsum([0] + [s[0].size for s in shards])
-    sa = np.concatenate([s[0] + o for s, o in zip(shards, offset)])
-    bwt = np.concatenate([s[1] for s in shards])
-    lf = np.concatenate([s[2] + o for s, o in zip(shards, offset)]).astype(np.int32)
-    if sa.size >= 1 << 31:
+    if offset[-1] >= 1 << 31:
         raise ValueError("a bucket must stay below 2^31 bytes")
+    sa = np.concatenate([s[0] + np.int32(o) for s, o in zip(shards, offset)])
+    bwt = np.concatenate([s[1] for s in shards])
+    lf = np.concatenate([s[2] + np.int32(o) for s, o in zip(shards, offset)])
     # the interleave starts as one shard after the other; one interval for all
     at = np.arange(sa.size, dtype=np.int32)
     interval = np.zeros(sa.size, np.int32)
     todo = [STRIDE] * (depth // STRIDE) + [depth % STRIDE] * (depth % STRIDE > 0)
-    jumps = {k: _jump(bwt, lf, k) for k in set(todo)}
-    for steps in todo:
+    for k, steps in enumerate(todo):
         if at.size < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        code, to = jumps[steps]
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        if not k or steps != todo[k - 1]:
+            code = to = None  # one of them at a time
+            code, to = _jump(bwt, lf, steps)
         # stable by the symbols: (symbols, place in the interleave) sorted as one number
-        packed = np.sort((code[at] << np.uint64(32)) | np.arange(at.size, dtype=np.uint64))
-        order = (packed & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        symbols = (packed >> np.uint64(32)).astype(np.uint32)
+        packed = code[at].astype(np.uint64)
+        packed <<= np.uint64(32)
+        packed |= np.arange(at.size, dtype=np.uint32)
+        packed.sort()
+        order = packed.astype(np.uint32).view(np.int32)  # the low half
+        packed >>= np.uint64(32)
+        symbols = packed.astype(np.uint32)
+        del packed
         old = interval[order]
         # neighbours that part here have a common prefix that ends within this pass
         part = np.empty(at.size + 1, bool)
@@ -458,7 +487,7 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], de
         keep = ~(part[1:] & part[:-1])
         at = to[at[order[keep]]]
         interval = np.cumsum(part[:-1][keep], dtype=np.int32)
-    return sa[at], interval.astype(np.int64)
+    return sa[at], interval
 
 
 def least_documents(segments: list[bytes], docs: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES):
@@ -479,7 +508,7 @@ def least_documents(segments: list[bytes], docs: np.ndarray, length: int, shard_
         text = np.frombuffer(bytes([SENTINEL]).join(segments[i] for i in own.tolist()) + bytes([SENTINEL]), np.uint8)
         shards.append(shard_bwt(text, length))
         # text position -> window number, -1 where no whole window starts
-        where = np.full(text.size, -1, np.int64)
+        where = np.full(text.size, -1, np.int32)
         begin = np.concatenate([[0], np.cumsum(sizes[own] + 1)[:-1]])
         at = np.repeat(begin, windows[own]) + _ramp(windows[own])
         where[at] = np.repeat(starts[own], windows[own]) + _ramp(windows[own])
@@ -549,15 +578,16 @@ def _unpack_least(v: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n))
 
 
-def _cut_block(block, uri: str, least: dict[int, np.ndarray], length: int) -> np.ndarray:
-    """A mask of the block's bytes that go."""
+def _cut_block(block, uri: str, least: dict[int, bytes], length: int) -> np.ndarray:
+    """A mask of the block's bytes that go; ``least`` as ``_least_rows`` packs it."""
     known, ids, _, data = block
     (t, pos, size, part, number), windows = _read_runs(uri)
     doc = np.where(known, ids, NO_ID)[t]
     edge = np.zeros(len(data) + 1, np.int32)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(len(windows) + 1))
-    for p, v in least.items():
+    for p, packed in least.items():
+        v = _unpack_least(packed)
         own = order[bounds[p]:bounds[p + 1]]
         starts = np.concatenate([[0], np.cumsum(windows[p])])
         n = size[own]
@@ -567,7 +597,7 @@ def _cut_block(block, uri: str, least: dict[int, np.ndarray], length: int) -> np
         # windows start at different places, so plain index sums are enough
         edge[at] += 1
         edge[at + length] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
@@ -580,7 +610,7 @@ def _cut_blocks(work: DataFrame, length: int, finish, schema) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         uri = t.column("uri")[0].as_py()
         block = read_block(uri)
-        least = {p: _unpack_least(v) for p, v in zip(t.column("part").to_pylist(), t.column("least").to_pylist())
+        least = {p: v for p, v in zip(t.column("part").to_pylist(), t.column("least").to_pylist())
                  if v is not None}
         return finish(uri, block, _cut_block(block, uri, least, length))
 
@@ -595,14 +625,14 @@ def _dealt_segments(manifest: DataFrame, length: int, width: int, bucket_bytes:
     per_byte = 2 / (length - width + 2)  # anchors of random text
     n_buckets = max(1, round(n_bytes * per_byte / bucket_anchors))
     flags = materialise(_repeated_anchors(_anchor_rows(blocks, n_buckets, length, width, hot_bytes), hot_bytes), "suffix-flags")
-    # segments: planned for a fifth of the text
-    n_parts = max(1, round(n_bytes * per_byte * (length + 1 / per_byte) * 0.2 / bucket_bytes))
+    heavy, light = flags.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("heavy", "light"))).first()
+    # by what survives, be it a little of the text or all of it
+    n_parts = max(1, math.ceil(light / bucket_bytes))
     # a hot segment's windows, for runs as long as they are where nothing is periodic
     span = length - width + 1
-    heavy = flags.agg(F.coalesce(F.sum("heavy"), F.lit(0))).first()[0]
     n_hot = max(1, math.ceil(heavy * span * length / (span + length - 1) / bucket_bytes))
     # rows are few and the work behind them large, so tasks go by blocks, not by bytes
-    flagged = manifest.select("block", "uri").join(flags.drop("heavy"), "block", "left").repartition(tasks, "block")
+    flagged = manifest.select("block", "uri").join(flags.drop("heavy", "light"), "block", "left").repartition(tasks, "block")
     return _segment_rows(flagged, n_buckets, n_parts, n_hot, length, width), tasks
 
 

@@ -23,11 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from ebbtide.llm.common import KEPT
+
 #: Entries of a task's table before the older half of its entries is given up; where texts
 #: are encoded together, that of parts is the only large one.
 CACHE = 300_000
 PARTS_CACHE = 600_000
 _ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
+KEPT.append(_ENCODERS)
 
 # How the two vocabularies cut a piece before merging.
 _PARTS = {

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -453,6 +454,16 @@ def test_token_planes_odd(odd, none):
     assert PF.round_trip(none, Q.tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_worker_gives_up_what_other_steps_kept():
+    from ebbtide.llm import common, tokens
+    first = tokens.encoder(Q.tokenizer("word_bpe_49k.json"), False)
+    ids = first.ids(b"some words")
+    common.give_up_kept()
+    assert not tokens._ENCODERS
+    again = tokens.encoder(Q.tokenizer("word_bpe_49k.json"), False)
+    assert again is not first and again.ids(b"some words") == ids
+
+
 # --- 8: suffix-array dedup ---------------------------------------------------------------------
 def brute_dedup(rows, length=50):
     """(mask, kept) of (doc_id, bytes) rows; ids may repeat or be None."""
@@ -517,6 +528,56 @@ def test_suffix_dedup_phrase_in_many_contexts(spark):
     check_dedup(docs, [(i, t.encode()) for i, t in rows], bucket_bytes=20_000, bucket_anchors=5_000)
 
 
+def test_anchor_runs_by_slices(monkeypatch):
+    """Runs do not depend on where a block is cut into slices, and need no array of the whole block's windows."""
+    rng = np.random.default_rng(3)
+    lens = rng.choice([0, 1, 49, 50, 51, 300, 6000], 40)
+    data = b"".join(bytes(rng.integers(97, 97 + rng.choice([1, 2, 26]), n).astype(np.uint8)) for n in lens)
+    block = (None, None, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), data)
+    whole = SD._runs(block, SD.LENGTH, SD.WIDTH)
+    at = np.flatnonzero(rng.random(len(data) - SD.LENGTH + 1) < 0.5)
+    hashes = SD._window_hashes(np.frombuffer(data, np.uint8), at, SD.LENGTH)
+    for n in (1, 37, 1000):
+        monkeypatch.setattr(SD, "SLICE", n)
+        assert all((a == b).all() for a, b in zip(whole, SD._runs(block, SD.LENGTH, SD.WIDTH), strict=True))
+        assert (SD._window_hashes(np.frombuffer(data, np.uint8), at, SD.LENGTH) == hashes).all()
+    monkeypatch.undo()
+    large = (None, None, np.array([0, 2 << 20], np.int64), rng.integers(97, 123, 2 << 20).astype(np.uint8).tobytes())
+    assert peak_bytes(lambda: SD._runs(large, SD.LENGTH, SD.WIDTH)) < 16 * (2 << 20)
+
+
+def peak_bytes(f) -> int:
+    """What ``f`` holds at most, beside what there was before."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_merge_holds_little_for_each_byte():
+    rng = np.random.default_rng(4)
+    segments = [rng.integers(97, 123, 100).astype(np.uint8).tobytes() for _ in range(20_000)]
+    segments += [a[50:] + b[:50] for a, b in zip(segments[:5_000], segments[5_000:])]
+    peak = peak_bytes(lambda: SD.least_documents(segments, np.arange(len(segments)), SD.LENGTH))
+    assert peak < 75 * sum(map(len, segments)), peak
+
+
+def test_suffix_dedup_buckets_where_all_repeats(spark):
+    """Where every document has a copy, buckets are no larger than where few have."""
+    rng = np.random.default_rng(12)
+    text = ["".join(map(chr, rng.integers(97, 123, 600))) for _ in range(600)]
+    docs = spark.createDataFrame([(i, text[i % 600]) for i in range(1200)], "doc_id long, text string").repartition(4)
+    manifest = SD.write_blocks(docs, "copies", block_bytes=60_000)
+    parts, _ = SD._dealt_segments(manifest, SD.LENGTH, SD.WIDTH, 20_000, 5_000, 20_000)
+    load = Counter()
+    for r in parts.select("part", "sizes").collect():
+        load[r.part] += int(np.frombuffer(r.sizes, np.int32).sum())
+    assert max(load.values()) < 2 * 20_000 and sum(load.values()) > 40 * 20_000, load
+    check_dedup(docs, [(i, text[i % 600].encode()) for i in range(1200)], bucket_bytes=20_000, bucket_anchors=5_000)
+
+
 def test_merge_of_shards_equals_one_suffix_array():
     rng = np.random.default_rng(5)
     parts = [rng.integers(97, 99, n).astype(np.uint8) for n in (700, 1, 300, 50)]
