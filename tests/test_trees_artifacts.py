@@ -142,6 +142,23 @@ def test_full_depth_tree_learns_every_row(spark):
     assert max(model.trees[0].depth) > 8
 
 
+def test_a_forest_stays_in_a_table(spark, monkeypatch):
+    """The driver keeps the parts above the subtrees, and gets one row a node; scoring deals the rows
+    to the subtrees and gives what the whole trees give, in any number of passes, parts and blocks."""
+    d, _, _ = _data(spark, noise=2.0)
+    sent, collect = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: sent.extend(out := collect(self)) or out)
+    one, many = (trees.forest(d, "id", trees=3, local_rows=n) for n in (1000, 100))
+    assert [len(t.feature) for t in one.tops] == [1, 1, 1] and max(len(t.feature) for t in many.tops) < 100
+    assert len(sent) < 100 * 3 and min(len(t.feature) for t in many.trees) > 200
+    monkeypatch.undo()
+    whole = _scores(trees.TreeModel("forest", many.cuts, many.trees), d)
+    assert (_scores(one, d) == whole).all() and (_scores(many, d) == whole).all()
+    for name, value in (("PASS_ROWS", 1000), ("SUBTREE_ROWS", 300), ("BLOCK_BITS", 6)):
+        monkeypatch.setattr(trees, name, value)
+    assert (_scores(many, d) == whole).all() and many.transform(d.where("id < 0"), "id").count() == 0
+
+
 def test_models_survive_json(spark):
     d, _, _ = _data(spark, 300)
     model = trees.boosted(d, "id", rounds=2)
